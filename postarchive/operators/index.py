@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from postarchive import schema as S
 from postarchive.functions import text as T
 from postarchive.functions.stem import stems
+from postarchive.session import spread
 
 BUCKETS = 256
 # Rows of a hot bucket are spread over this many writers.
@@ -58,7 +59,7 @@ def _tokenised(posts: DataFrame) -> DataFrame:
             for i, name in enumerate(S.SEARCH_COLUMNS)
         ]
     )
-    filled = searchable(posts).select(
+    filled = spread(searchable(posts), S.KEY).select(
         S.KEY, F.filter(cols, lambda c: F.size(c["tokens"]) > 0).alias("cols")
     )
     length = F.aggregate(
@@ -72,11 +73,17 @@ def doc_lengths(posts: DataFrame) -> DataFrame:
 
 
 def tokenise(posts: DataFrame, stem: bool) -> DataFrame:
-    """Postings of the given posts."""
-    columns = _tokenised(posts).select(S.KEY, "dl", F.inline("cols"))
+    """Postings of the given posts.
+
+    The outer forms of the generators keep the optimiser from adding a filter on
+    the array size below them, which would tokenise every text a second time.
+    """
+    columns = _tokenised(posts).select(S.KEY, "dl", F.inline_outer("cols"))
     terms = stems("tokens") if stem else F.col("tokens")
-    return columns.select(S.KEY, "dl", "col", F.posexplode(terms).alias("pos", "term")).select(
-        "term", S.KEY, "col", "pos", "dl"
+    return (
+        columns.select(S.KEY, "dl", "col", F.posexplode_outer(terms).alias("pos", "term"))
+        .where(F.col("term").isNotNull())
+        .select("term", S.KEY, "col", "pos", "dl")
     )
 
 

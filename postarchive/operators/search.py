@@ -123,7 +123,7 @@ def probe(terms: DataFrame, tokens: DataFrame, known: TokenProfile) -> DataFrame
     shortest = known.lengths[0] if known.lengths else 0
     offered = (
         terms.where(term_length >= shortest)
-        .select("*", F.explode(parts).alias("part"))
+        .select("*", F.explode_outer(parts).alias("part"))
         .where(F.col("part").isNotNull())
     )
     matches = (F.col("part") == F.col("token")) & (

@@ -46,6 +46,19 @@ def broadcast_when(small: bool, df: DataFrame) -> DataFrame:
     return F.broadcast(df) if small else df
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` over all cores when its scan has fewer splits than there are cores.
+
+    For expensive row-wise work on small inputs.  A large input has more splits
+    than cores and is returned as it is, so there it costs no shuffle.  The rows
+    are not left partitioned by ``key`` itself: a later shuffle by ``key`` then
+    happens after the expensive work, where its result can be used twice.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    few = df.rdd.getNumPartitions() < cores
+    return df.repartition(cores, F.xxhash64(key)) if few else df
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder name below the cluster's shared work folder.
 
