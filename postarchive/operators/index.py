@@ -3,18 +3,19 @@
 ``postings(term, tweet_id, col, pos, dl)`` has one row per token.  ``dl``, the
 token count of the whole post, rides along so that scoring needs no join with
 the document lengths.  ``docs(tweet_id, dl)`` has one row per post, also for
-posts without tokens.  ``vocabulary(term, bucket)`` exists for stored indexes.
+posts without tokens.
 
-A stored index is laid out by ``bucket``, a hash of the term, and sorted by term
-inside a bucket: the terms a batch of queries matches carry their buckets, so
-only those folders are read.
+Stored postings are range-partitioned and sorted by term and post.  A file then
+covers a short range of terms, so a search for a few terms skips all other files
+by their statistics, and a term that makes up much of the text is cut into many
+files by post.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postarchive import schema as S
@@ -22,9 +23,8 @@ from postarchive.functions import text as T
 from postarchive.functions.stem import stems
 from postarchive.session import spread
 
-BUCKETS = 256
-# Rows of a hot bucket are spread over this many writers.
-WRITERS_PER_BUCKET = 8
+POSTINGS = "term string, tweet_id string, col int, pos int, dl bigint"
+DOCS = "tweet_id string, dl bigint"
 
 
 @dataclass
@@ -32,7 +32,6 @@ class Index:
     postings: DataFrame
     docs: DataFrame
     stemmed: bool
-    vocabulary: DataFrame | None = None
 
     @property
     def n_docs(self) -> Column:
@@ -92,32 +91,24 @@ def build_index(posts: DataFrame, stem: bool = True) -> Index:
     return Index(tokenise(posts, stem), doc_lengths(posts), stem)
 
 
-def bucket_of(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+def layout(postings: DataFrame) -> DataFrame:
+    """Postings in the order they are stored in."""
+    return postings.repartitionByRange("term", S.KEY).sortWithinPartitions(
+        "term", S.KEY, "col", "pos"
+    )
 
 
 def write_index(posts: DataFrame, path: str, stem: bool = True) -> None:
-    """Store the index of ``posts`` below ``path``, which must be new.
-
-    A bucket holding a very common term is split over several writers by post.
-    """
-    postings = tokenise(posts, stem).withColumn("bucket", bucket_of(F.col("term")))
-    salt = F.pmod(F.xxhash64(S.KEY), F.lit(WRITERS_PER_BUCKET))
-    (
-        postings.repartition("bucket", salt)
-        .sortWithinPartitions("bucket", "term", S.KEY, "col", "pos")
-        .write.partitionBy("bucket")
-        .parquet(f"{path}/postings")
-    )
-    doc_lengths(posts).write.parquet(f"{path}/docs")
-    stored = posts.sparkSession.read.parquet(f"{path}/postings")
-    stored.select("bucket", "term").distinct().write.parquet(f"{path}/vocabulary")
+    """Store the index of ``posts`` below ``path``, replacing what is there."""
+    layout(tokenise(posts, stem)).write.mode("overwrite").parquet(f"{path}/postings")
+    doc_lengths(posts).write.mode("overwrite").parquet(f"{path}/docs")
 
 
-def read_index(spark, path: str, stem: bool = True) -> Index:
-    read = spark.read.parquet
+def read_index(spark: SparkSession, path: str, stem: bool = True) -> Index:
     return Index(
-        read(f"{path}/postings"), read(f"{path}/docs"), stem, read(f"{path}/vocabulary")
+        spark.read.schema(POSTINGS).parquet(f"{path}/postings"),
+        spark.read.schema(DOCS).parquet(f"{path}/docs"),
+        stem,
     )
 
 
@@ -126,7 +117,7 @@ def refresh(index: Index, touched_posts: DataFrame) -> Index:
     keys = touched_posts.select(S.KEY)
     fresh = build_index(touched_posts, index.stemmed)
     return Index(
-        index.postings.drop("bucket").join(keys, S.KEY, "left_anti").unionByName(fresh.postings),
+        index.postings.join(keys, S.KEY, "left_anti").unionByName(fresh.postings),
         index.docs.join(keys, S.KEY, "left_anti").unionByName(fresh.docs),
         index.stemmed,
     )

@@ -5,9 +5,8 @@ prefix (``durable-obj`` finds "durable objects").  Posts matching all phrases of
 a query win; only when no post does, posts matching any phrase are returned.
 The ranking is BM25 over all columns.
 
-Plan: the query tokens are probed against the postings (or, for a stored index,
-against its vocabulary, whose matches then select the postings).  The matching
-rows are shuffled once, by post.  Phrase matching, term frequencies and scores
+Plan: the query tokens are probed against the postings.  The matching rows are
+shuffled once, by post.  Phrase matching, term frequencies and scores
 are all computed per post in that partitioning, and each task cuts its own top k
 before the k rows per query are brought together.  A frequent term is spread
 over the posts that contain it, so no task holds one term or one query.
@@ -17,6 +16,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,7 +26,7 @@ from postarchive.functions import text as T
 from postarchive.functions.stem import stems
 from postarchive.operators.filters import clamp
 from postarchive.operators.index import Index
-from postarchive.session import BROADCAST_ROWS, broadcast_when, is_small
+from postarchive.session import BROADCAST_ROWS, broadcast_when
 
 # BM25 parameters and the floor of the inverse document frequency.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
@@ -37,6 +37,8 @@ MATCH_ALL, MATCH_ANY = "all", "any"
 
 # With more different token lengths than this, terms offer parts of all lengths.
 MAX_LISTED_LENGTHS = 32
+# Up to this many tokens, as of a single query, are given to the scan as literals.
+MAX_PUSHED_TOKENS = 32
 
 
 def require_terms(query: str) -> None:
@@ -93,6 +95,7 @@ class TokenProfile:
 
     small: bool  # phrases and tokens may be broadcast
     lengths: list[int]  # the different token lengths
+    tokens: list[str]  # the different tokens, if they are few
 
 
 def profile(phrases: DataFrame) -> TokenProfile:
@@ -101,7 +104,12 @@ def profile(phrases: DataFrame) -> TokenProfile:
     row = tokens.agg(
         F.count("*").alias("n"), F.collect_set(F.length("token")).alias("lengths")
     ).first()
-    return TokenProfile(row["n"] <= BROADCAST_ROWS, sorted(row["lengths"]))
+    few = row["n"] <= MAX_PUSHED_TOKENS
+    return TokenProfile(
+        small=row["n"] <= BROADCAST_ROWS,
+        lengths=sorted(row["lengths"]),
+        tokens=sorted(r["token"] for r in tokens.distinct().collect()) if few else [],
+    )
 
 
 def probe(terms: DataFrame, tokens: DataFrame, known: TokenProfile) -> DataFrame:
@@ -136,12 +144,12 @@ def probe(terms: DataFrame, tokens: DataFrame, known: TokenProfile) -> DataFrame
 
 def _matching_rows(index: Index, tokens: DataFrame, known: TokenProfile) -> DataFrame:
     """Postings matched by a query token, with the token's phrase and offset."""
-    if index.vocabulary is None:
-        return probe(index.postings, tokens, known)
-    matched = probe(index.vocabulary, tokens, known)
-    return index.postings.join(
-        broadcast_when(is_small(matched), matched), ["bucket", "term"]
-    )
+    postings = index.postings
+    if known.tokens:
+        # Literal prefixes reach the scan, which skips files and row groups by them.
+        wanted = [F.col("term").startswith(token) for token in known.tokens]
+        postings = postings.where(reduce(Column.__or__, wanted))
+    return probe(postings, tokens, known)
 
 
 def phrase_frequencies(index: Index, phrases: DataFrame, known: TokenProfile) -> DataFrame:

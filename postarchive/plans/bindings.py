@@ -222,3 +222,127 @@ def phrase_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.get(words, F.lit(0)), F.lit("-"), F.substring(F.get(words, F.lit(1)), 1, 2)
         ).alias("query"),
     )
+
+
+def export_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One export text per document, among them rejected files and malformed posts."""
+    c, d = F.col, F.col("doc_id")
+    label = d.cast("string")
+    created = F.timestamp_seconds(F.lit(EPOCH_2024) + d * 37 * 60)
+    meta = F.to_json(
+        F.struct(
+            F.when(d % 17 == 0, 3).otherwise(2).alias("schema_version"),
+            F.lit("someone").alias("screen_name"),
+            F.lit("2024-01-31T10:00:00.000Z").alias("exported_at"),
+            F.struct(F.when(d % 2 == 0, "complete").otherwise("partial").alias("folders")).alias(
+                "collection"
+            ),
+        )
+    )
+    written = (
+        F.when(d % 5 == 0, F.date_format(created, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+        .when(d % 5 == 1, F.date_format(created, "yyyy-MM-dd HH:mm:ss'+0000'"))
+        .when(d % 5 == 2, F.unix_seconds(created).cast("string"))
+        .when(d % 5 == 3, F.concat(F.lit("Mon "), F.date_format(created, "MMM dd HH:mm:ss '+0000' yyyy")))
+        .otherwise("not a date")
+    )
+    post = F.to_json(
+        F.struct(
+            F.when(d % 19 != 0, post_id(d)).alias("tweet_id"),
+            F.when(d % 3 == 0, S.AVAILABLE).when(d % 3 == 1, S.UNAVAILABLE).alias("status"),
+            written.alias("created_at"),
+            F.when(d % 7 != 0, c("text")).alias("full_text"),
+            c("lang"),
+            F.struct(
+                F.when(d % 4 != 0, c("source")).alias("screen_name"), c("source").alias("name")
+            ).alias("author"),
+            F.struct(
+                F.when(d % 6 == 0, "12.5").otherwise(c("n_chars").cast("string")).alias("likes"),
+                c("n_chars").alias("views"),
+            ).alias("metrics"),
+            F.struct(
+                F.when(d % 2 == 0, F.array("lang", "source")).otherwise(F.array()).alias("hashtags"),
+                F.array(
+                    F.struct(
+                        F.when(d % 3 == 0, F.concat(F.lit("https://e.org/"), label)).alias(
+                            "expanded_url"
+                        ),
+                        F.concat(F.lit("https://s.co/"), label).alias("url"),
+                    )
+                ).alias("urls"),
+            ).alias("entities"),
+            F.when(
+                d % 8 == 0,
+                F.array(
+                    F.struct(
+                        F.lit("photo").alias("type"),
+                        F.concat(F.lit("https://t.co/"), label).alias("thumbnail_url"),
+                    )
+                ),
+            ).alias("media"),
+            F.array(F.concat(F.lit("Folder "), (d % 9).cast("string"))).alias("folders"),
+            F.when(d % 2 == 0, F.array(F.concat(F.lit("f-"), (d % 25).cast("string")))).alias(
+                "folder_ids"
+            ),
+        )
+    )
+    broken = F.when(d % 10 == 0, ',"oops"').otherwise("")
+    return table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("file-"), label).alias("file_path"),
+        d.alias("file_no"),
+        F.concat(
+            F.lit('{"export_metadata":'), meta, F.lit(',"bookmarks":['), post, broken, F.lit("]}")
+        ).alias("value"),
+    )
+
+
+def feed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One landed feed line per document."""
+    c, d = F.col, F.col("doc_id")
+    label = d.cast("string")
+    created = F.timestamp_seconds(F.lit(EPOCH_2024) + d * 37 * 60)
+    variant = lambda rate, name: F.struct(
+        F.concat(F.lit(f"https://v.co/{name}/"), label).alias("url"),
+        F.lit(rate).alias("bitrate"),
+        F.lit("video/mp4").alias("contentType"),
+    )
+    record = F.struct(
+        F.lit("main").alias("feed_id"),
+        d.alias("pos"),
+        F.lit("2024-01-31T10:00:00Z").alias("observed_at"),
+        F.when(d % 19 != 0, post_id(d)).alias("id_str"),
+        F.when(d % 19 != 0, d).alias("id"),
+        F.when(d % 5 == 0, F.concat(F.lit("https://x.com/a/status/"), post_id(d))).alias("url"),
+        c("text").alias("rawContent"),
+        c("lang"),
+        F.date_format(created, "yyyy-MM-dd HH:mm:ss'+00:00'").alias("date"),
+        F.when(d % 2 == 0, "").otherwise(label).alias("conversationIdStr"),
+        (d * 3).alias("conversationId"),
+        F.struct(
+            F.when(d % 4 != 0, c("source")).alias("username"), c("source").alias("displayname"),
+            c("n_chars").alias("followersCount"),
+        ).alias("user"),
+        c("n_chars").alias("likeCount"),
+        F.struct(
+            F.when(d % 6 == 0, F.array(F.struct(F.concat(F.lit("https://p.co/"), label).alias("url"))))
+            .alias("photos"),
+            F.when(
+                d % 3 == 0,
+                F.array(
+                    F.struct(
+                        F.lit("https://t.co/v").alias("thumbnailUrl"),
+                        F.lit(1500).alias("duration"),
+                        F.when(
+                            d % 2 == 0, F.array(variant(10, "low"), variant(90, "high"), variant(90, "same"))
+                        ).alias("variants"),
+                    )
+                ),
+            ).alias("videos"),
+        ).alias("media"),
+        F.when(d % 2 == 0, F.array("lang")).otherwise(F.array()).alias("hashtags"),
+        F.array(
+            F.struct(F.lit("").alias("url"), F.concat(F.lit("https://s.co/"), label).alias("tcourl")),
+            F.struct(F.lit("").alias("url"), F.lit(None).cast("string").alias("tcourl")),
+        ).alias("links"),
+    )
+    return table(spark, sf_dir, "documents").select(F.to_json(record).alias("value"))

@@ -14,7 +14,10 @@ from postarchive.operators import (
     boundary, filters, index as ix, membership, merge, projections, rollups, search, selftest,
 )
 from postarchive.plans import bindings as B
-from postarchive.session import configure
+from postarchive.session import configure, shared_dir
+from postarchive.sources import exports, feed as feeds
+from postarchive.sources.store import ArchiveStore
+from postarchive.streaming.ingest import StreamIngest
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -108,6 +111,83 @@ def folder_upsert(spark, sf_dir):
     )
 
 
+@query
+def stream_merge(spark, sf_dir):
+    """All observations through the streaming ingest, read back from its store."""
+    root = shared_dir(spark, "stream-merge")
+    store = ArchiveStore(spark, f"{root}/archive")
+    shape = B.table(spark, sf_dir, "events").schema
+    # A pattern, because a stream reads a single file only through one.
+    events = spark.readStream.schema(shape).parquet(f"{sf_dir}/events.parque[t]")
+    StreamIngest(store, "merge", f"{root}/checkpoint", indexed=False, as_of=B.AS_OF).run(
+        B.observations(events)
+    )
+    return flat(store.posts(), MERGED)
+
+
+# --- ingest -----------------------------------------------------------------
+
+
+@query
+def normalize_export(spark, sf_dir):
+    """Export texts to observations, with their folder observations."""
+    parsed = exports.parse_exports(B.export_texts(spark, sf_dir), B.AS_OF)
+    posts = exports.normalise_entries(parsed.entries)
+    folders = exports.membership_entries(parsed.entries).drop("tweet_id")
+    shown = posts.join(folders, "seq").withColumns(
+        {
+            "media_url": F.get("media", F.lit(0))["url"],
+            "n_tags": F.coalesce(F.size("entities.hashtags"), F.lit(0)),
+        }
+    )
+    return flat(
+        shown,
+        ["tweet_id", "seq", "url", "full_text", "lang", "created_at", "author_name",
+         "author_handle", "likes", "views", "status", "hashtags", "links", "media_url",
+         "n_tags", "origin", "first_seen_at", "last_seen_at", "complete", "folder_ids"],
+    )
+
+
+@query
+def export_quarantine(spark, sf_dir):
+    """Rejected files and malformed posts by reason."""
+    parsed = exports.parse_exports(B.export_texts(spark, sf_dir), B.AS_OF)
+    return parsed.quarantine.groupBy("reason").agg(
+        F.count("*").alias("n"), F.count("pos").alias("in_file")
+    )
+
+
+@query
+def legacy_folders(spark, sf_dir):
+    """Folders that exports name without an id."""
+    parsed = exports.parse_exports(B.export_texts(spark, sf_dir), B.AS_OF)
+    named = exports.legacy_folders(exports.membership_entries(parsed.entries))
+    return membership.upsert_folders(B.folders(spark, sf_dir), named)
+
+
+@query
+def normalize_feed(spark, sf_dir):
+    """Landed feed lines to observations."""
+    lines = B.feed_texts(spark, sf_dir)
+    records = lines.select(
+        F.from_json("value", S.FEED, {"columnNameOfCorruptRecord": "_malformed"}).alias("r")
+    ).select("r.*")
+    good, _ = feeds.split_valid(records)
+    shown = feeds.normalise_feed(good, B.AS_OF).withColumns(
+        {
+            "media_types": F.array_join("media.type", "|"),
+            "media_urls": F.array_join("media.url", "|"),
+            "n_tags": F.coalesce(F.size("entities.hashtags"), F.lit(0)),
+        }
+    )
+    return flat(
+        shown,
+        ["tweet_id", "seq", "url", "full_text", "lang", "created_at", "conversation_id",
+         "author_name", "author_handle", "author_followers", "likes", "status", "hashtags",
+         "links", "media_types", "media_urls", "n_tags", "origin", "last_seen_at"],
+    )
+
+
 # --- incremental sync -------------------------------------------------------
 
 

@@ -223,6 +223,71 @@ FROM (SELECT id, name, -1 AS seq FROM folders
 GROUP BY id"""
 )
 
+# --- ingest -----------------------------------------------------------------
+
+CREATED = "(TIMESTAMP '2024-01-01' + to_minutes(doc_id * 37))"
+
+ORACLES["normalize_export"] = f"""SELECT
+  CAST({FIRST_ID} + doc_id AS VARCHAR) AS tweet_id,
+  doc_id * 4294967296 AS seq,
+  CASE WHEN doc_id % 4 <> 0
+       THEN 'https://x.com/' || source || '/status/' || CAST({FIRST_ID} + doc_id AS VARCHAR)
+       ELSE 'https://x.com/i/status/' || CAST({FIRST_ID} + doc_id AS VARCHAR) END AS url,
+  CASE WHEN doc_id % 7 <> 0 THEN nullif(text, '') END AS full_text, lang,
+  CASE WHEN doc_id % 5 <> 4 THEN {iso(CREATED)} END AS created_at,
+  source AS author_name,
+  CASE WHEN doc_id % 4 <> 0 THEN source END AS author_handle,
+  CASE WHEN doc_id % 6 <> 0 THEN n_chars END AS likes, n_chars AS views,
+  CASE WHEN doc_id % 3 = 0 THEN 'available' WHEN doc_id % 3 = 1 THEN 'unavailable'
+       WHEN doc_id % 7 <> 0 AND text <> '' THEN 'available' ELSE 'unavailable' END AS status,
+  CASE WHEN doc_id % 2 = 0 THEN lang || '|' || source END AS hashtags,
+  CASE WHEN doc_id % 3 = 0 THEN 'https://e.org/' ELSE 'https://s.co/' END
+    || CAST(doc_id AS VARCHAR) AS links,
+  CASE WHEN doc_id % 8 = 0 THEN 'https://t.co/' || CAST(doc_id AS VARCHAR) END AS media_url,
+  CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 0 END AS n_tags,
+  'export' AS origin, '2024-01-31T10:00:00+00:00' AS first_seen_at,
+  '2024-01-31T10:00:00+00:00' AS last_seen_at,
+  doc_id % 2 = 0 AS complete,
+  CASE WHEN doc_id % 2 = 0 THEN 'f-' || CAST(doc_id % 25 AS VARCHAR)
+       ELSE 'legacy:Folder ' || CAST(doc_id % 9 AS VARCHAR) END AS folder_ids
+FROM documents WHERE doc_id % 17 <> 0 AND doc_id % 19 <> 0"""
+
+ORACLES["export_quarantine"] = """SELECT * FROM (
+  SELECT 'unsupported schema version' AS reason, count(*) AS n, CAST(0 AS BIGINT) AS in_file
+  FROM documents WHERE doc_id % 17 = 0
+  UNION ALL SELECT 'malformed post', count(*), count(*) FROM documents
+  WHERE doc_id % 17 <> 0 AND doc_id % 10 = 0
+  UNION ALL SELECT 'missing tweet_id', count(*), count(*) FROM documents
+  WHERE doc_id % 17 <> 0 AND doc_id % 19 = 0) q WHERE n > 0"""
+
+ORACLES["legacy_folders"] = (
+    with_(FOLDERS)
+    + """SELECT id, name FROM folders
+UNION SELECT 'legacy:Folder ' || CAST(doc_id % 9 AS VARCHAR), 'Folder ' || CAST(doc_id % 9 AS VARCHAR)
+FROM documents WHERE doc_id % 2 = 1 AND doc_id % 17 <> 0 AND doc_id % 19 <> 0"""
+)
+
+ORACLES["normalize_feed"] = f"""SELECT
+  CAST({FIRST_ID} + doc_id AS VARCHAR) AS tweet_id, doc_id AS seq,
+  CASE WHEN doc_id % 5 = 0 THEN 'https://x.com/a/status/'
+       WHEN doc_id % 4 = 0 THEN 'https://x.com/i/status/'
+       ELSE 'https://x.com/' || source || '/status/' END
+    || CAST({FIRST_ID} + doc_id AS VARCHAR) AS url,
+  nullif(text, '') AS full_text, lang, {iso(CREATED)} AS created_at,
+  CASE WHEN doc_id % 2 = 0 THEN CAST(doc_id * 3 AS VARCHAR) ELSE CAST(doc_id AS VARCHAR) END
+    AS conversation_id,
+  source AS author_name, CASE WHEN doc_id % 4 <> 0 THEN source END AS author_handle,
+  n_chars AS author_followers, n_chars AS likes, 'available' AS status,
+  CASE WHEN doc_id % 2 = 0 THEN lang END AS hashtags,
+  'https://s.co/' || CAST(doc_id AS VARCHAR) AS links,
+  CASE WHEN doc_id % 6 = 0 THEN 'photo|video' WHEN doc_id % 3 = 0 THEN 'video' END AS media_types,
+  CASE WHEN doc_id % 6 = 0 THEN 'https://p.co/' || CAST(doc_id AS VARCHAR)
+                                || '|https://v.co/high/' || CAST(doc_id AS VARCHAR)
+       WHEN doc_id % 3 = 0 THEN 'https://t.co/v' END AS media_urls,
+  CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS n_tags,
+  'live' AS origin, '2024-01-31T10:00:00+00:00' AS last_seen_at
+FROM documents WHERE doc_id % 19 <> 0"""
+
 # --- incremental sync -------------------------------------------------------
 
 ORACLES["quick_cut"] = with_(FEED) + "SELECT * FROM quick"

@@ -34,7 +34,7 @@ class Export:
 def read_export_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """One row per file: ``file_path``, ``value`` (the whole text)."""
     return (
-        spark.read.option("wholetext", True).text(paths)
+        spark.read.text(paths, wholetext=True)
         .select(F.col("_metadata.file_path").alias("file_path"), "value")
     )
 
