@@ -117,8 +117,8 @@ def refresh(index: Index, touched_posts: DataFrame) -> Index:
     keys = touched_posts.select(S.KEY)
     fresh = build_index(touched_posts, index.stemmed)
     return Index(
-        index.postings.join(keys, S.KEY, "left_anti").unionByName(fresh.postings),
-        index.docs.join(keys, S.KEY, "left_anti").unionByName(fresh.docs),
+        fresh.postings.unionByName(index.postings.join(keys, S.KEY, "left_anti")),
+        fresh.docs.unionByName(index.docs.join(keys, S.KEY, "left_anti")),
         index.stemmed,
     )
 

@@ -26,7 +26,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postarchive import schema as S
@@ -35,29 +35,19 @@ ARCHIVED = -1
 ORIGIN_SEPARATOR = "+"
 
 
-def nonempty(name: str) -> Column:
-    c, kind = F.col(name), S.POST_TYPES[name]
+def nonempty(name: str) -> str:
+    """SQL condition that a column holds a value."""
+    kind = S.POST_TYPES[name]
     if kind == "string":
-        return c.isNotNull() & (c != "")
+        return f"{name} <> ''"
     if kind.startswith("array"):
-        return F.size(c) > 0
-    return c.isNotNull()
+        return f"size({name}) > 0"
+    return f"{name} IS NOT NULL"
 
 
-def _last(value: Column, condition: Column) -> Column:
+def last(value: str, condition: str, alias: str) -> str:
     """The value of the last row for which ``condition`` holds, NULL included."""
-    return F.max_by(value, F.when(condition, F.col("seq")))
-
-
-def _content(name: str) -> list[Column]:
-    c = F.col(name)
-    if name != "url":
-        return [_last(c, nonempty(name)).alias(name)]
-    made_up = c == F.concat(F.lit(S.URL_WITHOUT_HANDLE), F.col(S.KEY))
-    return [
-        _last(c, nonempty(name) & ~made_up).alias(name),
-        _last(c, made_up).alias("_made_up_url"),
-    ]
+    return f"max_by({value}, seq) FILTER (WHERE {condition}) AS {alias}"
 
 
 def fold(rows: DataFrame, as_of: datetime) -> DataFrame:
@@ -67,52 +57,55 @@ def fold(rows: DataFrame, as_of: datetime) -> DataFrame:
     columns plus ``n_observations`` and ``_prior``, the archived row as a struct
     (NULL for a new post).
     """
-    is_prior = F.col("seq") == ARCHIVED
+    content = [last(c, nonempty(c), c) for c in S.CONTENT if c != "url"]
+    made_up = f"url = concat('{S.URL_WITHOUT_HANDLE}', {S.KEY})"
+    has_content = f"({nonempty('full_text')} OR {nonempty('media')})"
+    gone = f"status = '{S.UNAVAILABLE}'"
+    back = f"status = '{S.AVAILABLE}'"
+    aggregates = [
+        *content,
+        last("url", f"url <> '' AND NOT {made_up}", "_real_url"),
+        last("url", made_up, "_made_up_url"),
+        last("status", nonempty("status"), "_status"),
+        last(
+            f"CASE WHEN {gone} THEN unavailable_reason END",
+            f"{back} OR ({gone} AND {nonempty('unavailable_reason')})",
+            "_reason",
+        ),
+        f"flatten(collect_set(split(origin, '[+]')) FILTER (WHERE {nonempty('origin')})) AS _origins",
+        f"min_by(coalesce({nonempty('origin')}, false), seq) AS _origin_known",
+        "min_by(coalesce(first_seen_at, _observed), seq) AS _first_row_seen",
+        "min(first_seen_at) AS _first_seen",
+        "max(_observed) AS last_seen_at",
+        "max(content_updated_at) AS _updated",
+        "min(seq) FILTER (WHERE content_updated_at IS NOT NULL) AS _updated_seq",
+        f"min(seq) FILTER (WHERE {has_content}) AS _content_seq",
+        f"min_by(_observed, seq) FILTER (WHERE {has_content}) AS _content_seen",
+        f"count_if(seq <> {ARCHIVED}) AS n_observations",
+        f"max_by(struct({', '.join(S.POST_COLUMNS)}), seq) FILTER (WHERE seq = {ARCHIVED}) AS _prior",
+    ]
     observed = F.coalesce("last_seen_at", F.lit(as_of))
-    has_content = nonempty("full_text") | nonempty("media")
-    status, reason = F.col("status"), F.col("unavailable_reason")
-    gone_with_reason = (status == S.UNAVAILABLE) & nonempty("unavailable_reason")
-    origins = F.when(nonempty("origin"), F.split("origin", r"\+"))
-
-    folded = rows.groupBy(S.KEY).agg(
-        *[column for name in S.CONTENT for column in _content(name)],
-        _last(status, nonempty("status")).alias("_status"),
-        _last(
-            F.when(status == S.UNAVAILABLE, reason), (status == S.AVAILABLE) | gone_with_reason
-        ).alias("_reason"),
-        F.flatten(F.collect_set(origins)).alias("_origins"),
-        F.min_by(F.coalesce(nonempty("origin"), F.lit(False)), "seq").alias("_origin_known"),
-        F.min_by(F.coalesce("first_seen_at", observed), "seq").alias("_first_row_seen"),
-        F.min("first_seen_at").alias("_first_seen"),
-        F.max(observed).alias("last_seen_at"),
-        F.max("content_updated_at").alias("_updated"),
-        F.min(F.when(F.col("content_updated_at").isNotNull(), F.col("seq"))).alias("_updated_seq"),
-        F.min(F.when(has_content, F.col("seq"))).alias("_content_seq"),
-        F.min_by(observed, F.when(has_content, F.col("seq"))).alias("_content_seen"),
-        F.count(F.when(~is_prior, True)).alias("n_observations"),
-        F.max_by(F.struct(*S.POST_COLUMNS), F.when(is_prior, F.lit(0))).alias("_prior"),
+    folded = (
+        rows.withColumn("_observed", observed)
+        .groupBy(S.KEY)
+        .agg(*[F.expr(a) for a in aggregates])
     )
+    status = f"coalesce(_status, '{S.AVAILABLE}')"
+    origins = f"IF(_origin_known, _origins, array_append(_origins, '{S.ORIGIN_UNKNOWN}'))"
     # Content that arrived before any stated update time dates the update itself.
-    own_update = F.when(
-        F.col("_updated_seq").isNull() | (F.col("_content_seq") < F.col("_updated_seq")),
-        F.col("_content_seen"),
-    )
-    new_status = F.coalesce("_status", F.lit(S.AVAILABLE))
-    all_origins = F.when(F.col("_origin_known"), F.col("_origins")).otherwise(
-        F.array_append("_origins", F.lit(S.ORIGIN_UNKNOWN))
+    own_update = (
+        "CASE WHEN _updated_seq IS NULL OR _content_seq < _updated_seq THEN _content_seen END"
     )
     derived = {
-        "url": F.coalesce("url", "_made_up_url"),
-        "status": new_status,
-        "unavailable_reason": F.when(new_status != S.AVAILABLE, F.col("_reason")),
-        "origin": F.array_join(F.array_sort(F.array_distinct(all_origins)), ORIGIN_SEPARATOR),
-        "first_seen_at": F.least("_first_row_seen", "_first_seen"),
-        "content_updated_at": F.greatest("_updated", own_update),
+        "url": "coalesce(_real_url, _made_up_url)",
+        "status": status,
+        "unavailable_reason": f"CASE WHEN {status} <> '{S.AVAILABLE}' THEN _reason END",
+        "origin": f"array_join(array_sort(array_distinct({origins})), '{ORIGIN_SEPARATOR}')",
+        "first_seen_at": "least(_first_row_seen, _first_seen)",
+        "content_updated_at": f"greatest(_updated, {own_update})",
     }
-    return folded.select(
-        *[derived.get(name, F.col(name)).alias(name) for name in S.POST_COLUMNS],
-        "n_observations",
-        "_prior",
+    return folded.selectExpr(
+        *[f"{derived.get(c, c)} AS {c}" for c in S.POST_COLUMNS], "n_observations", "_prior"
     )
 
 
@@ -135,19 +128,15 @@ def merge_observations(archive: DataFrame, observations: DataFrame, as_of: datet
     prior_rows = touched(archive, keys).withColumn("seq", F.lit(ARCHIVED).cast("bigint"))
     folded = fold(prior_rows.unionByName(observations), as_of)
 
-    def differs(names: list[str]) -> Column:
-        now = F.struct(*names)
-        then = F.struct(*[F.col(f"_prior.{name}").alias(name) for name in names])
-        return ~now.eqNullSafe(then)
+    def same(columns: list[str]) -> str:
+        then = [f"_prior.{c}" for c in columns]
+        return f"struct({', '.join(columns)}) <=> struct({', '.join(then)})"
 
-    is_new = F.col("_prior").isNull()
-    return folded.select(
+    return folded.selectExpr(
         *S.POST_COLUMNS,
-        F.when(is_new, "added")
-        .when(differs(S.POST_COLUMNS), "updated")
-        .otherwise("unchanged")
-        .alias("outcome"),
-        (is_new | differs(list(S.CONTENT))).alias("content_changed"),
+        f"""CASE WHEN _prior IS NULL THEN 'added' WHEN {same(S.POST_COLUMNS)} THEN 'unchanged'
+            ELSE 'updated' END AS outcome""",
+        f"_prior IS NULL OR NOT ({same(list(S.CONTENT))}) AS content_changed",
         "n_observations",
     )
 
