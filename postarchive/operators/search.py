@@ -35,8 +35,6 @@ SCORE_DIGITS = 6
 
 MATCH_ALL, MATCH_ANY = "all", "any"
 
-# With more different token lengths than this, terms offer parts of all lengths.
-MAX_LISTED_LENGTHS = 32
 # Up to this many tokens, as of a single query, are given to the scan as literals.
 MAX_PUSHED_TOKENS = 32
 
@@ -94,81 +92,141 @@ class TokenProfile:
     """What is known about a batch of query phrases before it is joined."""
 
     small: bool  # phrases and tokens may be broadcast
-    lengths: list[int]  # the different token lengths
+    shortest: int  # token lengths
+    longest: int
+    has_words: bool  # there are phrases of one token
+    has_phrases: bool  # there are phrases of several tokens
     tokens: list[str]  # the different tokens, if they are few
 
 
 def profile(phrases: DataFrame) -> TokenProfile:
     """Count and measure query tokens: one small row from one job over the queries."""
-    tokens = phrases.select(F.explode(F.split("phrase", " ")).alias("token"))
+    tokens = phrases.select(
+        F.split("phrase", " ").alias("tokens")
+    ).select(F.size("tokens").alias("n_tokens"), F.explode("tokens").alias("token"))
     row = tokens.agg(
-        F.count("*").alias("n"), F.collect_set(F.length("token")).alias("lengths")
+        F.count("*").alias("n"),
+        F.coalesce(F.min(F.length("token")), F.lit(1)).alias("shortest"),
+        F.coalesce(F.max(F.length("token")), F.lit(1)).alias("longest"),
+        F.min("n_tokens").alias("fewest"),
+        F.max("n_tokens").alias("most"),
     ).first()
     few = row["n"] <= MAX_PUSHED_TOKENS
     return TokenProfile(
         small=row["n"] <= BROADCAST_ROWS,
-        lengths=sorted(row["lengths"]),
-        tokens=sorted(r["token"] for r in tokens.distinct().collect()) if few else [],
+        shortest=row["shortest"],
+        longest=row["longest"],
+        has_words=(row["fewest"] or 1) == 1,
+        has_phrases=(row["most"] or 1) > 1,
+        tokens=sorted(r["token"] for r in tokens.select("token").distinct().collect())
+        if few
+        else [],
     )
 
 
-def probe(terms: DataFrame, tokens: DataFrame, known: TokenProfile) -> DataFrame:
-    """Rows of ``terms`` joined with the query tokens they match.
+def offer_parts(rows: DataFrame, term: str, known: TokenProfile) -> DataFrame:
+    """Repeat rows for every leading part of ``term`` that is as long as a token can be.
 
-    Prefix matching becomes an equi-join: a term offers its own leading parts,
-    of the lengths query tokens have, and a token takes the part equal to it.
-    Terms shorter than every token drop out before that.
+    This makes prefix matching an equi-join on ``part``.
     """
-    term_length = F.length("term")
-    part = lambda n: F.substring("term", 1, n)
-    if len(known.lengths) <= MAX_LISTED_LENGTHS:
-        parts = F.array(*[F.when(term_length >= n, part(n)) for n in known.lengths])
-        parts = parts.cast("array<string>")
-    else:
-        parts = F.transform(
-            F.sequence(F.lit(1), term_length), lambda n: F.col("term").substr(F.lit(1), n)
-        )
-    shortest = known.lengths[0] if known.lengths else 0
-    offered = (
-        terms.where(term_length >= shortest)
-        .select("*", F.explode_outer(parts).alias("part"))
-        .where(F.col("part").isNotNull())
-    )
-    matches = (F.col("part") == F.col("token")) & (
-        F.col("is_prefix") | (F.col("part") == F.col("term"))
+    size = F.length(term)
+    parts = F.sequence(
+        F.lit(known.shortest), F.greatest(F.least(size, F.lit(known.longest)), F.lit(known.shortest))
     )
-    return offered.join(broadcast_when(known.small, tokens), matches).drop(
-        "part", "token", "is_prefix"
+    return (
+        rows.where(size >= known.shortest)
+        .select("*", F.explode_outer(parts).alias("part_size"))
+        .withColumn("part", F.col(term).substr(F.lit(1), F.col("part_size")))
+        .drop("part_size")
     )
 
 
-def _matching_rows(index: Index, tokens: DataFrame, known: TokenProfile) -> DataFrame:
-    """Postings matched by a query token, with the token's phrase and offset."""
-    postings = index.postings
-    if known.tokens:
-        # Literal prefixes reach the scan, which skips files and row groups by them.
-        wanted = [F.col("term").startswith(token) for token in known.tokens]
-        postings = postings.where(reduce(Column.__or__, wanted))
-    return probe(postings, tokens, known)
+def matches(term: str) -> Column:
+    """Whether the token that equals ``part`` matches all of ``term``."""
+    return F.col("is_prefix") | (F.col("part") == F.col(term))
 
 
-def phrase_frequencies(index: Index, phrases: DataFrame, known: TokenProfile) -> DataFrame:
-    """``tweet_id``, ``phrase``, ``dl``, ``tf``: occurrences of each phrase in each post.
+def _candidates(index: Index, known: TokenProfile) -> DataFrame:
+    """The postings, cut at the scan when the query tokens are few."""
+    if not known.tokens:
+        return index.postings
+    # Literal prefixes reach the scan, which skips files and row groups by them.
+    wanted = [F.col("term").startswith(token) for token in known.tokens]
+    return index.postings.where(reduce(Column.__or__, wanted))
+
+
+def _word_frequencies(index: Index, phrases: DataFrame, known: TokenProfile) -> DataFrame:
+    """Frequencies of one-token phrases, partitioned by post."""
+    words = phrases.select(F.col("phrase").alias("token")).distinct()
+    rows = (
+        offer_parts(_candidates(index, known).select(S.KEY, "dl", "term"), "term", known)
+        .join(broadcast_when(known.small, words), F.col("part") == F.col("token"))
+        .select(S.KEY, "dl", F.col("token").alias("phrase"))
+    )
+    return rows.repartition(S.KEY).groupBy(S.KEY, "dl", "phrase").agg(F.count("*").alias("tf"))
+
+
+def _phrase_frequencies(index: Index, phrases: DataFrame, known: TokenProfile) -> DataFrame:
+    """Frequencies of phrases of several tokens, partitioned by post.
 
-    The result is partitioned by post.
+    Tokens are matched to postings without regard to phrases, the matching
+    postings of a post are laid side by side, and neighbours are matched to the
+    word pairs of the phrases.  So a frequent word costs its occurrences once,
+    not once per phrase it is part of.
     """
-    rows = _matching_rows(index, phrase_tokens(phrases), known).select(
-        S.KEY, "dl", "phrase", "n_tokens", "col", (F.col("pos") - F.col("offset")).alias("start")
+    tokens = phrase_tokens(phrases)
+    rows = (
+        offer_parts(_candidates(index, known), "term", known)
+        .join(
+            broadcast_when(known.small, tokens.select("token", "is_prefix").distinct()),
+            (F.col("part") == F.col("token")) & matches("term"),
+        )
+        .select(S.KEY, "dl", "col", "pos", "term")
+        .repartition(S.KEY)
+        .dropDuplicates([S.KEY, "col", "pos"])
+    )
+    along = Window.partitionBy(S.KEY, "col").orderBy("pos")
+    pairs = (
+        rows.withColumn("next_pos", F.lead("pos").over(along))
+        .withColumn("next_term", F.lead("term").over(along))
+        .where(F.col("next_pos") == F.col("pos") + 1)
+    )
+    after = tokens.select(
+        "phrase", (F.col("offset") - 1).alias("offset"),
+        F.col("token").alias("second"), "is_prefix",
+    )
+    wanted = (
+        tokens.select("phrase", "n_tokens", "offset", F.col("token").alias("first"))
+        .join(after, ["phrase", "offset"])
     )
-    by_post = rows.repartition(S.KEY)
     occurrences = (
-        by_post.groupBy(S.KEY, "dl", "phrase", "n_tokens", "col", "start")
-        .agg(F.count("*").alias("matched"))
-        .where(F.col("matched") == F.col("n_tokens"))
+        offer_parts(pairs, "next_term", known)
+        .join(
+            broadcast_when(known.small, wanted),
+            (F.col("term") == F.col("first"))
+            & (F.col("part") == F.col("second"))
+            & matches("next_term"),
+        )
+        .groupBy(
+            S.KEY, "dl", "col", "phrase", "n_tokens", (F.col("pos") - F.col("offset")).alias("start")
+        )
+        .agg(F.count("*").alias("n_pairs"))
+        .where(F.col("n_pairs") == F.col("n_tokens") - 1)
     )
     return occurrences.groupBy(S.KEY, "dl", "phrase").agg(F.count("*").alias("tf"))
 
 
+def phrase_frequencies(index: Index, phrases: DataFrame, known: TokenProfile) -> DataFrame:
+    """``tweet_id``, ``dl``, ``phrase``, ``tf``: occurrences of each phrase in each post."""
+    is_word = ~F.col("phrase").contains(" ")
+    if not known.has_phrases:
+        return _word_frequencies(index, phrases, known)
+    several = _phrase_frequencies(index, phrases.where(~is_word), known)
+    if not known.has_words:
+        return several
+    return _word_frequencies(index, phrases.where(is_word), known).unionByName(several)
+
+
 def idf(df: Column, n_docs: Column) -> Column:
     return F.greatest(F.log((n_docs - df + 0.5) / (df + 0.5)), F.lit(IDF_FLOOR))
 

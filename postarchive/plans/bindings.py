@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postarchive import schema as S
-from postarchive.operators.index import build_index
+from postarchive.operators.index import Index, build_index
 from postarchive.plans.archive import Archive
 from postarchive.sources.exports import observation
 
@@ -86,6 +86,10 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def index(spark: SparkSession, sf_dir: str, stem: bool = False) -> Index:
+    return build_index(posts(spark, sf_dir), stem)
+
+
 def archive(spark: SparkSession, sf_dir: str, stem: bool = False) -> Archive:
     rows = posts(spark, sf_dir)
     return Archive(

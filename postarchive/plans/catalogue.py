@@ -132,9 +132,8 @@ def stream_merge(spark, sf_dir):
 def normalize_export(spark, sf_dir):
     """Export texts to observations, with their folder observations."""
     parsed = exports.parse_exports(B.export_texts(spark, sf_dir), B.AS_OF)
-    posts = exports.normalise_entries(parsed.entries)
-    folders = exports.membership_entries(parsed.entries).drop("tweet_id")
-    shown = posts.join(folders, "seq").withColumns(
+    both = parsed.entries.select(*exports.post_columns(), *exports.membership_columns())
+    shown = both.withColumns(
         {
             "media_url": F.get("media", F.lit(0))["url"],
             "n_tags": F.coalesce(F.size("entities.hashtags"), F.lit(0)),
@@ -262,19 +261,19 @@ def index_integrity(spark, sf_dir):
 
 @query
 def search_bm25_batch(spark, sf_dir):
-    index = B.archive(spark, sf_dir).index
+    index = B.index(spark, sf_dir)
     return search.rank(B.search_queries(spark, sf_dir), index, 10)
 
 
 @query
 def search_and_or_fallback(spark, sf_dir):
-    index = B.archive(spark, sf_dir).index
+    index = B.index(spark, sf_dir)
     return search.rank(B.fallback_queries(spark, sf_dir), index, 10)
 
 
 @query
 def search_phrase_prefix(spark, sf_dir):
-    index = B.archive(spark, sf_dir).index
+    index = B.index(spark, sf_dir)
     return search.rank(B.phrase_queries(spark, sf_dir), index, 10)
 
 
@@ -294,8 +293,7 @@ def search_per_author(spark, sf_dir):
     queries = B.search_queries(spark, sf_dir).withColumn(
         "author", F.concat(F.lit("@src"), (F.col("query_id").cast("bigint") % 20).cast("string"))
     )
-    archive = B.archive(spark, sf_dir)
-    return search.rank(queries, archive.index, 10, archive.posts)
+    return search.rank(queries, B.index(spark, sf_dir), 10, B.posts(spark, sf_dir))
 
 
 @query
@@ -313,9 +311,8 @@ def search_terms(spark, sf_dir):
 
 @query
 def unique_tokens(spark, sf_dir):
-    archive = B.archive(spark, sf_dir)
-    tested = selftest.sample(archive.posts, size=None)
-    return selftest.unique_tokens(tested, archive.index)
+    tested = selftest.sample(B.posts(spark, sf_dir), size=None)
+    return selftest.unique_tokens(tested, B.index(spark, sf_dir))
 
 
 @query
@@ -364,7 +361,7 @@ def get_by_reference(spark, sf_dir):
 
 @query
 def folder_counts(spark, sf_dir):
-    return B.archive(spark, sf_dir).list_folders()
+    return rollups.folder_counts(B.memberships(spark, sf_dir), B.folders(spark, sf_dir))
 
 
 @query
@@ -378,7 +375,7 @@ def attach_folders(spark, sf_dir):
 
 @query
 def top_authors(spark, sf_dir):
-    return B.archive(spark, sf_dir).top_authors(limit=15, min_posts=2)
+    return rollups.top_authors(B.posts(spark, sf_dir), limit=15, min_posts=2)
 
 
 @query

@@ -170,13 +170,20 @@ def entities(hashtags: Column, cashtags: Column, mentions: Column) -> Column:
 def observation(columns: dict[str, Column]) -> list[Column]:
     """Select list of a full observation; columns not given are NULL."""
     return [
-        columns.get(name, F.lit(None)).cast(kind).alias(name)
+        columns[name].cast(kind).alias(name)
+        if name in columns
+        else F.expr(f"CAST(NULL AS {kind}) AS {name}")
         for name, kind in {**S.POST_TYPES, "seq": "bigint"}.items()
     ]
 
 
 def normalise_entries(entries: DataFrame) -> DataFrame:
     """Export posts as observations."""
+    return entries.select(*post_columns())
+
+
+def post_columns() -> list[Column]:
+    """The observation columns of an export post."""
     p = F.col("post")
     author, metrics, quoted, card, seen = (
         p["author"], p["metrics"], p["quoted_tweet"], p["card"], p["_archive"],
@@ -187,61 +194,64 @@ def normalise_entries(entries: DataFrame) -> DataFrame:
         F.when(X.text(p["full_text"]).isNotNull(), S.AVAILABLE).otherwise(S.UNAVAILABLE)
     )
     no_tags = F.array().cast("array<string>")
-    return entries.select(
-        *observation(
-            {
-                "tweet_id": p["tweet_id"],
-                "url": X.post_url(p["tweet_id"], author["screen_name"]),
-                "full_text": X.text(p["full_text"]),
-                "lang": p["lang"],
-                "created_at": X.instant(p["created_at"]),
-                "created_at_raw": X.text(p["created_at"]),
-                "source": p["source"],
-                "conversation_id": X.text(p["conversation_id"]),
-                "in_reply_to_tweet_id": X.text(p["in_reply_to_tweet_id"]),
-                "author_id": X.text(author["user_id"]),
-                "author_name": author["name"],
-                "author_handle": author["screen_name"],
-                "author_followers": X.whole_number(author["followers_count"]),
-                "author_profile_image": author["profile_image_url"],
-                "likes": X.whole_number(metrics["likes"]),
-                "retweets": X.whole_number(metrics["retweets"]),
-                "replies": X.whole_number(metrics["replies"]),
-                "quotes": X.whole_number(metrics["quotes"]),
-                "bookmarks": X.whole_number(metrics["bookmarks"]),
-                "views": X.whole_number(metrics["views"]),
-                "quoted_tweet_id": X.text(quoted["tweet_id"]),
-                "quoted_full_text": X.text(quoted["full_text"]),
-                "quoted_author_handle": quoted["author"]["screen_name"],
-                "quoted_author_name": quoted["author"]["name"],
-                "card_type": card["type"],
-                "card_title": card["title"],
-                "card_url": card["url"],
-                "media": _media(p["media"]),
-                "entities": entities(
-                    p["entities"]["hashtags"], no_tags, p["entities"]["mentions"]
-                ),
-                "hashtags": X.or_null(p["entities"]["hashtags"]),
-                "links": _links(p["entities"]["urls"]),
-                "sort_index": X.whole_number(p["sort_index"]),
-                "status": status,
-                "unavailable_reason": p["unavailable_reason"],
-                "origin": F.lit(S.ORIGIN_EXPORT),
-                "first_seen_at": F.coalesce(
-                    X.instant(seen["first_seen_at"]), F.col("exported_at")
-                ),
-                "last_seen_at": F.coalesce(
-                    X.instant(seen["last_seen_at"]), F.col("exported_at")
-                ),
-                "content_updated_at": X.instant(seen["content_updated_at"]),
-                "seq": F.col("seq"),
-            }
-        )
+    return observation(
+        {
+            "tweet_id": p["tweet_id"],
+            "url": X.post_url(p["tweet_id"], author["screen_name"]),
+            "full_text": X.text(p["full_text"]),
+            "lang": p["lang"],
+            "created_at": X.instant(p["created_at"]),
+            "created_at_raw": X.text(p["created_at"]),
+            "source": p["source"],
+            "conversation_id": X.text(p["conversation_id"]),
+            "in_reply_to_tweet_id": X.text(p["in_reply_to_tweet_id"]),
+            "author_id": X.text(author["user_id"]),
+            "author_name": author["name"],
+            "author_handle": author["screen_name"],
+            "author_followers": X.whole_number(author["followers_count"]),
+            "author_profile_image": author["profile_image_url"],
+            "likes": X.whole_number(metrics["likes"]),
+            "retweets": X.whole_number(metrics["retweets"]),
+            "replies": X.whole_number(metrics["replies"]),
+            "quotes": X.whole_number(metrics["quotes"]),
+            "bookmarks": X.whole_number(metrics["bookmarks"]),
+            "views": X.whole_number(metrics["views"]),
+            "quoted_tweet_id": X.text(quoted["tweet_id"]),
+            "quoted_full_text": X.text(quoted["full_text"]),
+            "quoted_author_handle": quoted["author"]["screen_name"],
+            "quoted_author_name": quoted["author"]["name"],
+            "card_type": card["type"],
+            "card_title": card["title"],
+            "card_url": card["url"],
+            "media": _media(p["media"]),
+            "entities": entities(
+                p["entities"]["hashtags"], no_tags, p["entities"]["mentions"]
+            ),
+            "hashtags": X.or_null(p["entities"]["hashtags"]),
+            "links": _links(p["entities"]["urls"]),
+            "sort_index": X.whole_number(p["sort_index"]),
+            "status": status,
+            "unavailable_reason": p["unavailable_reason"],
+            "origin": F.lit(S.ORIGIN_EXPORT),
+            "first_seen_at": F.coalesce(
+                X.instant(seen["first_seen_at"]), F.col("exported_at")
+            ),
+            "last_seen_at": F.coalesce(
+                X.instant(seen["last_seen_at"]), F.col("exported_at")
+            ),
+            "content_updated_at": X.instant(seen["content_updated_at"]),
+            "seq": F.col("seq"),
+        }
     )
 
 
 def membership_entries(entries: DataFrame) -> DataFrame:
-    """Folder observations of export posts.
+    """Folder observations of export posts (``MEMBERSHIP_OBSERVATIONS``)."""
+    return entries.select(F.col("post.tweet_id"), "seq", *membership_columns())
+
+
+def membership_columns() -> list[Column]:
+    """``complete`` and ``folder_ids`` of an export post.
 
     Folder ids win over folder names; a name stands for the id ``legacy:<name>``.
     The post's own completeness flag wins over that of the file.
@@ -251,12 +261,10 @@ def membership_entries(entries: DataFrame) -> DataFrame:
     ids = F.when(F.size(p["folder_ids"]) > 0, given(p["folder_ids"])).otherwise(
         F.transform(given(p["folders"]), lambda n: F.concat(F.lit(S.LEGACY_FOLDER), n))
     )
-    return entries.select(
-        p["tweet_id"].alias("tweet_id"),
-        "seq",
+    return [
         F.coalesce(p["_archive"]["folders_complete"], F.col("folders_complete")).alias("complete"),
         X.items(ids).alias("folder_ids"),
-    )
+    ]
 
 
 def legacy_folders(membership_observations: DataFrame) -> DataFrame:

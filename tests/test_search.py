@@ -125,7 +125,6 @@ def test_large_batches_join_by_shuffle(spark, monkeypatch):
     index = ix.build_index(posts, False)
     expected = sorted(map(tuple, search.rank(queries, index, 10).collect()))
     monkeypatch.setattr(search, "BROADCAST_ROWS", 1)
-    monkeypatch.setattr(search, "MAX_LISTED_LENGTHS", 0)
     assert sorted(map(tuple, search.rank(queries, index, 10).collect())) == expected
 
 
