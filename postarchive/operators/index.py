@@ -34,12 +34,11 @@ class Index:
     stemmed: bool
 
     @property
-    def n_docs(self) -> Column:
-        return self.docs.agg(F.count("*")).scalar()
-
-    @property
-    def mean_length(self) -> Column:
-        return self.docs.agg(F.avg("dl")).scalar()
+    def corpus(self) -> Column:
+        """``n``, the number of posts, and ``mean_length``, as one scalar subquery."""
+        return self.docs.agg(
+            F.struct(F.count("*").alias("n"), F.avg("dl").alias("mean_length"))
+        ).scalar()
 
 
 def searchable(posts: DataFrame) -> DataFrame:

@@ -35,6 +35,8 @@ SCORE_DIGITS = 6
 
 MATCH_ALL, MATCH_ANY = "all", "any"
 
+# The phrases of a batch up to this size are fetched and planned as a local table.
+LOCAL_PHRASES = 10_000
 # Up to this many tokens, as of a single query, are given to the scan as literals.
 MAX_PUSHED_TOKENS = 32
 
@@ -88,9 +90,10 @@ def phrase_tokens(phrases: DataFrame) -> DataFrame:
 
 
 @dataclass
-class TokenProfile:
-    """What is known about a batch of query phrases before it is joined."""
+class Batch:
+    """The phrases of a batch of queries, and what is known about their tokens."""
 
+    phrases: DataFrame
     small: bool  # phrases and tokens may be broadcast
     shortest: int  # token lengths
     longest: int
@@ -98,43 +101,65 @@ class TokenProfile:
     has_phrases: bool  # there are phrases of several tokens
     tokens: list[str]  # the different tokens, if they are few
 
+    def of(self, phrases: DataFrame) -> DataFrame:
+        return broadcast_when(self.small, phrases)
 
-def profile(phrases: DataFrame) -> TokenProfile:
-    """Count and measure query tokens: one small row from one job over the queries."""
-    tokens = phrases.select(
-        F.split("phrase", " ").alias("tokens")
-    ).select(F.size("tokens").alias("n_tokens"), F.explode("tokens").alias("token"))
-    row = tokens.agg(
-        F.count("*").alias("n"),
-        F.coalesce(F.min(F.length("token")), F.lit(1)).alias("shortest"),
-        F.coalesce(F.max(F.length("token")), F.lit(1)).alias("longest"),
-        F.min("n_tokens").alias("fewest"),
-        F.max("n_tokens").alias("most"),
-    ).first()
-    few = row["n"] <= MAX_PUSHED_TOKENS
-    return TokenProfile(
+
+def prepare(queries: DataFrame, stem: bool) -> Batch:
+    """Phrases of the queries, measured by one job.
+
+    The phrases of a small batch are fetched and become a local table, so that
+    they are not computed again wherever the plan uses them.
+    """
+    phrases = query_phrases(queries, stem)
+    fetched = phrases.limit(LOCAL_PHRASES + 1).toArrow()
+    if fetched.num_rows <= LOCAL_PHRASES:
+        token_lists = [p.split(" ") for p in fetched.column("phrase").to_pylist()]
+        tokens = {token for tokens in token_lists for token in tokens}
+        lengths = [len(token) for token in tokens] or [1]
+        return Batch(
+            phrases=queries.sparkSession.createDataFrame(fetched, phrases.schema).coalesce(1),
+            small=True,
+            shortest=min(lengths),
+            longest=max(lengths),
+            has_words=any(len(tokens) == 1 for tokens in token_lists) or not token_lists,
+            has_phrases=any(len(tokens) > 1 for tokens in token_lists),
+            tokens=sorted(tokens) if len(tokens) <= MAX_PUSHED_TOKENS else [],
+        )
+    row = (
+        phrases.select(F.split("phrase", " ").alias("tokens"))
+        .select(F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
+        .agg(
+            F.count("*").alias("n"),
+            F.min(F.length("token")).alias("shortest"),
+            F.max(F.length("token")).alias("longest"),
+            F.min("size").alias("fewest"),
+            F.max("size").alias("most"),
+        )
+        .first()
+    )
+    return Batch(
+        phrases=phrases,
         small=row["n"] <= BROADCAST_ROWS,
         shortest=row["shortest"],
         longest=row["longest"],
-        has_words=(row["fewest"] or 1) == 1,
-        has_phrases=(row["most"] or 1) > 1,
-        tokens=sorted(r["token"] for r in tokens.select("token").distinct().collect())
-        if few
-        else [],
+        has_words=row["fewest"] == 1,
+        has_phrases=row["most"] > 1,
+        tokens=[],
     )
 
 
-def offer_parts(rows: DataFrame, term: str, known: TokenProfile) -> DataFrame:
+def offer_parts(rows: DataFrame, term: str, batch: Batch) -> DataFrame:
     """Repeat rows for every leading part of ``term`` that is as long as a token can be.
 
     This makes prefix matching an equi-join on ``part``.
     """
     size = F.length(term)
     parts = F.sequence(
-        F.lit(known.shortest), F.greatest(F.least(size, F.lit(known.longest)), F.lit(known.shortest))
+        F.lit(batch.shortest), F.greatest(F.least(size, F.lit(batch.longest)), F.lit(batch.shortest))
     )
     return (
-        rows.where(size >= known.shortest)
+        rows.where(size >= batch.shortest)
         .select("*", F.explode_outer(parts).alias("part_size"))
         .withColumn("part", F.col(term).substr(F.lit(1), F.col("part_size")))
         .drop("part_size")
@@ -146,27 +171,27 @@ def matches(term: str) -> Column:
     return F.col("is_prefix") | (F.col("part") == F.col(term))
 
 
-def _candidates(index: Index, known: TokenProfile) -> DataFrame:
+def _candidates(index: Index, batch: Batch) -> DataFrame:
     """The postings, cut at the scan when the query tokens are few."""
-    if not known.tokens:
+    if not batch.tokens:
         return index.postings
     # Literal prefixes reach the scan, which skips files and row groups by them.
-    wanted = [F.col("term").startswith(token) for token in known.tokens]
+    wanted = [F.col("term").startswith(token) for token in batch.tokens]
     return index.postings.where(reduce(Column.__or__, wanted))
 
 
-def _word_frequencies(index: Index, phrases: DataFrame, known: TokenProfile) -> DataFrame:
+def _word_frequencies(index: Index, words: DataFrame, batch: Batch) -> DataFrame:
     """Frequencies of one-token phrases, partitioned by post."""
-    words = phrases.select(F.col("phrase").alias("token")).distinct()
+    words = words.select(F.col("phrase").alias("token")).distinct()
     rows = (
-        offer_parts(_candidates(index, known).select(S.KEY, "dl", "term"), "term", known)
-        .join(broadcast_when(known.small, words), F.col("part") == F.col("token"))
+        offer_parts(_candidates(index, batch).select(S.KEY, "dl", "term"), "term", batch)
+        .join(batch.of(words), F.col("part") == F.col("token"))
         .select(S.KEY, "dl", F.col("token").alias("phrase"))
     )
     return rows.repartition(S.KEY).groupBy(S.KEY, "dl", "phrase").agg(F.count("*").alias("tf"))
 
 
-def _phrase_frequencies(index: Index, phrases: DataFrame, known: TokenProfile) -> DataFrame:
+def _phrase_frequencies(index: Index, phrases: DataFrame, batch: Batch) -> DataFrame:
     """Frequencies of phrases of several tokens, partitioned by post.
 
     Tokens are matched to postings without regard to phrases, the matching
@@ -176,9 +201,9 @@ def _phrase_frequencies(index: Index, phrases: DataFrame, known: TokenProfile) -
     """
     tokens = phrase_tokens(phrases)
     rows = (
-        offer_parts(_candidates(index, known), "term", known)
+        offer_parts(_candidates(index, batch), "term", batch)
         .join(
-            broadcast_when(known.small, tokens.select("token", "is_prefix").distinct()),
+            batch.of(tokens.select("token", "is_prefix").distinct()),
             (F.col("part") == F.col("token")) & matches("term"),
         )
         .select(S.KEY, "dl", "col", "pos", "term")
@@ -200,9 +225,9 @@ def _phrase_frequencies(index: Index, phrases: DataFrame, known: TokenProfile) -
         .join(after, ["phrase", "offset"])
     )
     occurrences = (
-        offer_parts(pairs, "next_term", known)
+        offer_parts(pairs, "next_term", batch)
         .join(
-            broadcast_when(known.small, wanted),
+            batch.of(wanted),
             (F.col("term") == F.col("first"))
             & (F.col("part") == F.col("second"))
             & matches("next_term"),
@@ -216,15 +241,16 @@ def _phrase_frequencies(index: Index, phrases: DataFrame, known: TokenProfile) -
     return occurrences.groupBy(S.KEY, "dl", "phrase").agg(F.count("*").alias("tf"))
 
 
-def phrase_frequencies(index: Index, phrases: DataFrame, known: TokenProfile) -> DataFrame:
+def phrase_frequencies(index: Index, batch: Batch) -> DataFrame:
     """``tweet_id``, ``dl``, ``phrase``, ``tf``: occurrences of each phrase in each post."""
     is_word = ~F.col("phrase").contains(" ")
-    if not known.has_phrases:
-        return _word_frequencies(index, phrases, known)
-    several = _phrase_frequencies(index, phrases.where(~is_word), known)
-    if not known.has_words:
+    if not batch.has_phrases:
+        return _word_frequencies(index, batch.phrases, batch)
+    several = _phrase_frequencies(index, batch.phrases.where(~is_word), batch)
+    if not batch.has_words:
         return several
-    return _word_frequencies(index, phrases.where(is_word), known).unionByName(several)
+    words = _word_frequencies(index, batch.phrases.where(is_word), batch)
+    return words.unionByName(several)
 
 
 def idf(df: Column, n_docs: Column) -> Column:
@@ -250,24 +276,21 @@ def rank(
     term statistics.
     """
     per_author = "author" in queries.columns
-    phrases = query_phrases(queries, index.stemmed)
-    known = profile(phrases)
-    small = known.small
-    tf = phrase_frequencies(index, phrases, known)
+    batch = prepare(queries, index.stemmed)
+    tf = phrase_frequencies(index, batch)
     # At most one row per query phrase.
     df = tf.groupBy("phrase").agg(F.count("*").alias("df"))
 
     if eligible is not None:
         facts = eligible.select(S.KEY, *(["author_handle"] if per_author else []))
         tf = tf.join(facts, S.KEY, "inner" if per_author else "left_semi")
+    corpus = index.corpus
     contribution = (
         F.col("mult")
-        * idf(F.col("df"), index.n_docs)
-        * bm25(F.col("tf"), F.col("dl"), index.mean_length)
-    )
-    matches = tf.join(broadcast_when(small, df), "phrase").join(
-        broadcast_when(small, phrases), "phrase"
+        * idf(F.col("df"), corpus["n"])
+        * bm25(F.col("tf"), F.col("dl"), corpus["mean_length"])
     )
+    matches = tf.join(batch.of(df), "phrase").join(batch.of(batch.phrases), "phrase")
     if per_author:
         handle, wanted = F.col("author_handle"), F.col("author")
         matches = matches.where(

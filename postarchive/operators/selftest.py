@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from postarchive import schema as S
 from postarchive.functions import text as T
 from postarchive.operators.index import Index
-from postarchive.operators.search import phrase_frequencies, profile, query_phrases, rank
-from postarchive.session import broadcast_when
+from postarchive.operators.search import phrase_frequencies, prepare, rank
 
 # Text length and result sizes of the test.
 MIN_LENGTH, UNIQUE_RESULTS, FALLBACK_RESULTS = 80, 10, 200
@@ -35,18 +34,15 @@ def unique_tokens(posts: DataFrame, index: Index) -> DataFrame:
         S.KEY, F.posexplode(T.candidate_words(F.col("full_text"))).alias("place", "raw")
     ).select(S.KEY, "place", F.lower("raw").alias("word"))
     distinct = words.select(F.col("word").alias("query_id"), F.col("word").alias("query")).distinct()
-    phrases = query_phrases(distinct, index.stemmed).select(
-        F.col("query_id").alias("word"), "phrase"
-    )
-    known = profile(phrases)
-    small = known.small
-    tf = phrase_frequencies(index, phrases, known)
+    batch = prepare(distinct, index.stemmed)
+    phrases = batch.phrases.select(F.col("query_id").alias("word"), "phrase")
+    tf = phrase_frequencies(index, batch)
     unique = (
         tf.groupBy("phrase").agg(F.count("*").alias("df")).where("df = 1").select("phrase")
     )
-    chosen = phrases.join(broadcast_when(small, unique), "phrase", "left_semi").select("word")
+    chosen = phrases.join(batch.of(unique), "phrase", "left_semi").select("word")
     return (
-        words.join(broadcast_when(small, chosen), "word", "left_semi")
+        words.join(batch.of(chosen), "word", "left_semi")
         .groupBy(S.KEY)
         .agg(F.min_by("word", "place").alias("token"))
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +17,8 @@ from postarchive.operators.search import rank, require_terms
 from postarchive.session import broadcast_when, is_small
 
 PASS, WARN, FAIL = "pass", "warn", "fail"
+# Lookups of up to this many posts give the ids to the scans as literals.
+PUSHED_KEYS = 200
 
 
 @dataclass
@@ -32,33 +35,51 @@ class Archive:
     def spark(self) -> SparkSession:
         return self.posts.sparkSession
 
-    def search(
-        self,
-        queries: DataFrame,
-        limit: int = 25,
-        author: str | None = None,
-        folder: str | None = None,
-        since: str | None = None,
-        until: str | None = None,
-    ) -> DataFrame:
-        """Ranked results of all ``query_id``, ``query`` rows, with post summaries."""
+    def search(self, queries: DataFrame, limit: int = 25, **filters_) -> DataFrame:
+        """Ranked results of all ``query_id``, ``query`` rows, with post summaries.
+
+        Filters are ``author``, ``folder``, ``since`` and ``until``.
+        """
         k = filters.clamp(limit, S.LIMIT_RESULTS)
-        eligible = None
-        if author or folder or since or until:
-            eligible = filters.select_posts(
-                self.posts, self.memberships, self.folders, author, folder, since, until
-            )
-        hits = rank(queries, self.index, k, eligible)
+        hits = rank(queries, self.index, k, self._eligible(**filters_))
         # At most k rows per query.
         small = is_small(queries, k)
         found = projections.summary(self.posts).join(broadcast_when(small, hits), S.KEY)
         return self._with_folders(found, hits, small)
 
-    def search_one(self, query: str, **options) -> DataFrame:
-        """Results of one query, best first; ValueError when it has no terms."""
+    def search_one(self, query: str, limit: int = 25, **filters_) -> DataFrame:
+        """Results of one query, best first; ValueError when it has no terms.
+
+        The at most ``limit`` hits are fetched, so that their ids reach the scans
+        of posts and memberships as literals.
+        """
         require_terms(query)
-        queries = self.spark.createDataFrame([("q", query)], "query_id string, query string")
-        return self.search(queries, **options).orderBy("rank").drop("query_id")
+        queries = self.spark.createDataFrame(
+            pa.table({"query_id": ["q"], "query": [query]})
+        )
+        ranked = rank(
+            queries, self.index, filters.clamp(limit, S.LIMIT_RESULTS), self._eligible(**filters_)
+        ).drop("query_id")
+        hits = ranked.toArrow()
+        keys = F.col(S.KEY).isin(hits.column(S.KEY).to_pylist())
+        local = self.spark.createDataFrame(hits, ranked.schema)
+        found = projections.summary(self.posts.where(keys)).join(F.broadcast(local), S.KEY)
+        return projections.attach_folders(
+            found, local, self.memberships.where(keys), self.folders, small=True
+        ).orderBy("rank")
+
+    def _eligible(
+        self,
+        author: str | None = None,
+        folder: str | None = None,
+        since: str | None = None,
+        until: str | None = None,
+    ) -> DataFrame | None:
+        if not (author or folder or since or until):
+            return None
+        return filters.select_posts(
+            self.posts, self.memberships, self.folders, author, folder, since, until
+        )
 
     def recent(
         self,
@@ -87,9 +108,22 @@ class Archive:
         )
 
     def get(self, references: DataFrame) -> DataFrame:
-        """Posts for rows of ``ref``, with ``found`` and folder names."""
-        found = lookup.by_reference(references, self.posts)
-        return self._with_folders(found, found, is_small(references))
+        """Posts for rows of ``ref``, with ``found`` and folder names.
+
+        The ids of a few references reach the scan as literals.
+        """
+        ids = references.select(X.reference_id(F.col("ref")).alias("id")).where(
+            F.col("id").isNotNull()
+        )
+        few = [r["id"] for r in ids.limit(PUSHED_KEYS + 1).collect()]
+        posts, memberships = self.posts, self.memberships
+        if len(few) <= PUSHED_KEYS:
+            keys = F.col(S.KEY).isin(few)
+            posts, memberships = posts.where(keys), memberships.where(keys)
+        found = lookup.by_reference(references, posts)
+        return projections.attach_folders(
+            found, found, memberships, self.folders, is_small(references)
+        )
 
     def list_folders(self) -> DataFrame:
         return rollups.folder_counts(self.memberships, self.folders)

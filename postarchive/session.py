@@ -18,6 +18,8 @@ RUNTIME_CONF = {
     # The fold keeps ~50 values per key, so hashing pays for more than the
     # default 128 keys before the aggregate turns to sorting.
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",
+    # Id lists of lookups are compared with row-group statistics one by one.
+    "spark.sql.parquet.pushdown.inFilterThreshold": "200",
 }
 
 # A side is broadcast by hint only if it is known to have at most this many rows.

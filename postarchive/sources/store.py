@@ -96,6 +96,15 @@ class ArchiveStore:
         rows.write.mode("overwrite").parquet(self.path(table, version))
         return self.spark.read.parquet(self.path(table, version))
 
+    def write_base(self, table: str, version: int, rows: DataFrame) -> None:
+        """Write a table range-partitioned and sorted by its key.
+
+        Lookups by id then skip files by statistics.  Post ids grow with time, so
+        files also cover short ranges of created times.
+        """
+        key = TABLES[table][1]
+        self.write(table, version, rows.repartitionByRange(key).sortWithinPartitions(key))
+
     def write_index(self, version: int, posts: DataFrame) -> None:
         index = ix.build_index(posts, self.stem)
         self.write("postings", version, ix.layout(index.postings))
@@ -109,9 +118,9 @@ class ArchiveStore:
     def compact(self) -> int:
         """Fold all deltas into a new base version."""
         version = self.next_version()
-        self.write("posts", version, self.posts())
-        self.write("membership_sets", version, self.membership_sets())
-        self.write("folders", version, self.folders())
+        self.write_base("posts", version, self.posts())
+        self.write_base("membership_sets", version, self.membership_sets())
+        self.write_base("folders", version, self.folders())
         self.write_index(version, self.spark.read.parquet(self.path("posts", version)))
         self.commit(version, BASE)
         return version
