@@ -44,7 +44,8 @@ def write_merged(
     The index follows for the posts whose content changed.
     """
     merged = store.write(
-        "posts", version, merge.merge_observations(store.posts(), observations, as_of)
+        "posts", version,
+        merge.merge_observations(store.posts(), observations, as_of).sortWithinPartitions(S.KEY),
     )
     if indexed:
         store.write_index(version, merged.where("content_changed").select(*S.POST_COLUMNS))
@@ -66,7 +67,7 @@ def import_exports(
     Files to be applied in another order are imported one call after the other.
     """
     as_of = _now(as_of)
-    spark, version = store.spark, store.next_version()
+    spark, version, before = store.spark, store.next_version(), store.snapshot()
     parsed = exports.parse_exports(
         exports.number_files(exports.read_export_files(spark, paths)), as_of
     )
@@ -78,7 +79,7 @@ def import_exports(
     # A partial observation without folders says nothing.
     telling = observed.where(F.col("complete") | (F.size("folder_ids") > 0))
     keys = telling.select("tweet_id").distinct()
-    prior = store.memberships().join(keys, "tweet_id", "left_semi")
+    prior = before.memberships().join(keys, "tweet_id", "left_semi")
     sets = membership.folder_ids_by_post(membership.fold_memberships(prior, telling))
     empty = F.array().cast("array<string>")
     store.write(
@@ -91,7 +92,7 @@ def import_exports(
     store.write(
         "folders", version,
         membership.upsert_folders(
-            store.folders().join(named.select("id").distinct(), "id", "left_semi"), named
+            before.folders().join(named.select("id").distinct(), "id", "left_semi"), named
         ),
     )
     last = parsed.files.agg(

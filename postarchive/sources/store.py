@@ -21,6 +21,7 @@ what it touches; :meth:`ArchiveStore.compact` folds deltas into a new base.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
@@ -62,25 +63,26 @@ class ArchiveStore:
             .write.mode("append").parquet(f"{self.root}/{name}")
         )
 
-    def commits(self) -> DataFrame:
-        return self._read("commits", COMMITS)
-
-    def live_versions(self) -> tuple[int | None, list[int]]:
-        """The newest base version and the deltas after it; one row per run since then."""
-        commits = self.commits()
-        base = commits.where(F.col("kind") == BASE).agg(F.max("version")).first()[0]
-        deltas = commits.where(F.col("kind") == DELTA).where(
-            F.col("version") > (-1 if base is None else base)
-        )
-        return base, sorted(r[0] for r in deltas.select("version").distinct().collect())
+    def commits(self) -> list:
+        """``version``, ``kind``, ``source`` of all commits: one small row per run."""
+        return self._read("commits", COMMITS).select("version", "kind", "source").collect()
 
     def next_version(self) -> int:
-        newest = self.commits().agg(F.max("version")).first()[0]
-        return 0 if newest is None else newest + 1
+        return max((c["version"] for c in self.commits()), default=-1) + 1
 
     def version_of(self, source: str) -> int | None:
         """The committed version that a source, e.g. a stream batch, has produced."""
-        return self.commits().where(F.col("source") == source).agg(F.max("version")).first()[0]
+        return max((c["version"] for c in self.commits() if c["source"] == source), default=None)
+
+    def snapshot(self) -> Snapshot:
+        """The state after the last commit; later commits do not change it."""
+        commits = self.commits()
+        base = max((c["version"] for c in commits if c["kind"] == BASE), default=None)
+        deltas = {
+            c["version"] for c in commits
+            if c["kind"] == DELTA and (base is None or c["version"] > base)
+        }
+        return Snapshot(self, base, sorted(deltas), sorted({c["version"] for c in commits}))
 
     def commit(self, version: int, kind: str, source: str | None = None) -> None:
         now = datetime.now(timezone.utc)
@@ -117,34 +119,64 @@ class ArchiveStore:
 
     def compact(self) -> int:
         """Fold all deltas into a new base version."""
-        version = self.next_version()
-        self.write_base("posts", version, self.posts())
-        self.write_base("membership_sets", version, self.membership_sets())
-        self.write_base("folders", version, self.folders())
+        version, now = self.next_version(), self.snapshot()
+        self.write_base("posts", version, now.posts())
+        self.write_base("membership_sets", version, now.membership_sets())
+        self.write_base("folders", version, now.folders())
         self.write_index(version, self.spark.read.parquet(self.path("posts", version)))
         self.commit(version, BASE)
         return version
 
     # --- reading ------------------------------------------------------------
 
-    def _versions_of(self, table: str, ddl: str, versions: list[int]) -> DataFrame:
-        """The given versions of a table, with their ``version``; absent folders are empty."""
-        rows = self._read(table, f"{ddl}, version bigint")
-        return rows.where(F.col("version").isin(versions)) if versions else rows.where(F.lit(False))
+    def posts(self) -> DataFrame:
+        return self.snapshot().posts()
+
+    def memberships(self) -> DataFrame:
+        return self.snapshot().memberships()
+
+    def folders(self) -> DataFrame:
+        return self.snapshot().folders()
+
+    def runs(self) -> DataFrame:
+        return self.snapshot().runs()
+
+    def index(self) -> ix.Index:
+        return self.snapshot().index()
+
+    def archive(self) -> Archive:
+        return self.snapshot().archive()
+
+
+@dataclass
+class Snapshot:
+    """The tables of one committed state."""
+
+    store: ArchiveStore
+    base: int | None
+    deltas: list[int]
+    committed: list[int]
+
+    def _rows(self, table: str, ddl: str, versions: list[int]) -> DataFrame:
+        """The given versions of a table, with their ``version``."""
+        rows = self.store._read(table, f"{ddl}, version bigint")
+        return rows.where(F.col("version").isin(versions) if versions else F.lit(False))
 
     def _current(self, table: str) -> DataFrame:
         ddl, key = TABLES[table]
-        base, deltas = self.live_versions()
-        columns = self.spark.createDataFrame([], ddl).columns
-        rows = self._versions_of(table, ddl, [] if base is None else [base]).select(*columns)
-        if not deltas:
-            return rows
-        changed = self._versions_of(table, ddl, deltas)
-        latest = changed.groupBy(key).agg(
-            F.max_by(F.struct(*columns), "version").alias("row")
-        ).select("row.*")
+        base = self._rows(table, ddl, [] if self.base is None else [self.base]).drop("version")
+        if not self.deltas:
+            return base
+        changed = self._rows(table, ddl, self.deltas)
+        latest = (
+            changed.groupBy(key)
+            .agg(F.max_by(F.struct(*base.columns), "version").alias("row"))
+            .select("row.*")
+        )
+        if self.base is None:
+            return latest
         touched = changed.select(key).distinct()
-        return rows.join(touched, key, "left_anti").unionByName(latest)
+        return base.join(touched, key, "left_anti").unionByName(latest)
 
     def posts(self) -> DataFrame:
         return self._current("posts")
@@ -160,18 +192,17 @@ class ArchiveStore:
 
     def runs(self) -> DataFrame:
         """Run state of committed versions."""
-        committed = self.commits().select("version").distinct()
-        return self._read("runs", RUN_ROWS).join(committed, "version", "left_semi").drop("version")
+        rows = self.store._read("runs", RUN_ROWS)
+        return rows.where(F.col("version").isin(self.committed)).drop("version")
 
     def index(self) -> ix.Index:
         """The stored index: a base and deltas, in which the newest rows of a post count."""
-        base, deltas = self.live_versions()
-        live = ([] if base is None else [base]) + deltas
-        docs = self._versions_of("docs", ix.DOCS, live)
-        postings = self._versions_of("postings", ix.POSTINGS, live)
-        if deltas:
+        live = ([] if self.base is None else [self.base]) + self.deltas
+        docs = self._rows("docs", ix.DOCS, live)
+        postings = self._rows("postings", ix.POSTINGS, live)
+        if self.deltas:
             newest = (
-                docs.where(F.col("version").isin(deltas))
+                docs.where(F.col("version").isin(self.deltas))
                 .groupBy(S.KEY)
                 .agg(F.max("version").alias("newest"))
             )
@@ -181,15 +212,11 @@ class ArchiveStore:
                 .drop("newest")
                 for rows in (docs, postings)
             )
-        return ix.Index(postings.drop("version"), docs.drop("version"), self.stem)
+        return ix.Index(postings.drop("version"), docs.drop("version"), self.store.stem)
 
     def archive(self) -> Archive:
         return Archive(
-            posts=self.posts(),
-            memberships=self.memberships(),
-            folders=self.folders(),
-            runs=self.runs(),
-            index=self.index(),
+            self.posts(), self.memberships(), self.folders(), self.runs(), self.index()
         )
 
 

@@ -17,7 +17,7 @@ def spark():
         .appName("postarchive-tests")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.shuffle.partitions", "4")
+        .config("spark.sql.shuffle.partitions", "2")
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )
