@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from postarchive import schema as S
+from postarchive.session import broadcast_when, is_small
 
 BLOCK = 65_536
 
@@ -26,13 +27,16 @@ def mark_known(feed: DataFrame, archive_keys: DataFrame) -> DataFrame:
 
     The only unknown row of a post is its first one, so the posts are reduced to
     their first positions before they meet the archive, and the flag comes back
-    by position, a key without hot values.
+    by position, a key without hot values.  The archive's keys are cut to those
+    of the feed, without a shuffle of the archive when the feed is small.
     """
-    fresh = (
-        feed.groupBy("feed_id", "tweet_id")
-        .agg(F.min("pos").alias("pos"))
-        .join(archive_keys.select("tweet_id"), "tweet_id", "left_anti")
-        .select("feed_id", "pos", F.lit(False).alias("known"))
+    firsts = feed.groupBy("feed_id", "tweet_id").agg(F.min("pos").alias("pos"))
+    asked = firsts.select("tweet_id").distinct()
+    held = archive_keys.select("tweet_id").join(
+        broadcast_when(is_small(feed), asked), "tweet_id", "left_semi"
+    )
+    fresh = firsts.join(held, "tweet_id", "left_anti").select(
+        "feed_id", "pos", F.lit(False).alias("known")
     )
     return feed.join(fresh, ["feed_id", "pos"], "left").withColumn(
         "known", F.coalesce("known", F.lit(True))
@@ -40,7 +44,7 @@ def mark_known(feed: DataFrame, archive_keys: DataFrame) -> DataFrame:
 
 
 def known_streaks(marked: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Add ``streak``, the length of the run of known rows that ends at a row."""
+    """Add ``block`` and ``streak``, the length of the run of known rows that ends at a row."""
     placed = marked.withColumn("block", F.floor(F.col("pos") / block))
     inside = Window.partitionBy("feed_id", "block").orderBy("pos")
     local = placed.withColumn("nth", F.row_number().over(inside)).withColumn(
@@ -80,29 +84,30 @@ def known_streaks(marked: DataFrame, block: int = BLOCK) -> DataFrame:
                 F.col("nth") - F.col("broken_at")
             ),
         )
-        .drop("block", "nth", "broken_at", "carried")
-    )
-
-
-def stop_positions(marked: DataFrame, boundary: int = S.QUICK_BOUNDARY) -> DataFrame:
-    """The last position read of every feed that reaches the boundary."""
-    return (
-        known_streaks(marked)
-        .where(F.col("streak") >= boundary)
-        .groupBy("feed_id")
-        .agg(F.min("pos").alias("stop"))
+        .drop("nth", "broken_at", "carried")
     )
 
 
 def quick_cut(
-    feed: DataFrame, archive_keys: DataFrame, boundary: int = S.QUICK_BOUNDARY
+    feed: DataFrame,
+    archive_keys: DataFrame,
+    boundary: int = S.QUICK_BOUNDARY,
+    block: int = BLOCK,
 ) -> DataFrame:
-    """The part of each feed a quick sync reads, with ``known`` and ``stopped_reason``."""
+    """The part of each feed a quick sync reads, with ``known`` and ``stopped_reason``.
+
+    The stop of a feed is found among its blocks and comes back to the rows by
+    block, so no join is keyed by the feed alone.
+    """
     keys = feed.select("feed_id", "pos", "tweet_id")
-    marked = mark_known(keys, archive_keys)
-    stops = stop_positions(marked, boundary)
+    streaks = known_streaks(mark_known(keys, archive_keys), block)
+    stops = (
+        streaks.groupBy("feed_id", "block")
+        .agg(F.min(F.when(F.col("streak") >= boundary, F.col("pos"))).alias("stop"))
+        .withColumn("stop", F.min("stop").over(Window.partitionBy("feed_id")))
+    )
     return (
-        marked.join(stops, "feed_id", "left")
+        streaks.join(stops, ["feed_id", "block"])
         .where(F.col("stop").isNull() | (F.col("pos") <= F.col("stop")))
         .select(
             "feed_id", "pos", "tweet_id", "known",

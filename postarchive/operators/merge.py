@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postarchive import schema as S
+from postarchive.session import broadcast_when, is_small
 
 ARCHIVED = -1
 ORIGIN_SEPARATOR = "+"
@@ -125,6 +126,9 @@ def merge_observations(archive: DataFrame, observations: DataFrame, as_of: datet
     the cost follows the batch, not the archive.
     """
     keys = observations.select(S.KEY).distinct()
+    # The keys of a small batch filter the archive where it is scanned; only the
+    # rows that are left are shuffled.
+    keys = broadcast_when(is_small(keys), keys)
     prior_rows = touched(archive, keys).withColumn("seq", F.lit(ARCHIVED).cast("bigint"))
     folded = fold(prior_rows.unionByName(observations), as_of)
 

@@ -210,7 +210,7 @@ def sync_counters(spark, sf_dir):
 @query
 def known_streaks(spark, sf_dir):
     marked = boundary.mark_known(B.feed(spark, sf_dir), B.archived_keys(spark, sf_dir))
-    return boundary.known_streaks(marked, block=128)
+    return boundary.known_streaks(marked, block=128).drop("block")
 
 
 # --- index ------------------------------------------------------------------

@@ -127,6 +127,13 @@ class ArchiveStore:
         self.commit(version, BASE)
         return version
 
+    def reindex(self) -> int:
+        """Rebuild the index from the posts; returns the number of posts indexed.
+
+        A new base replaces every index row, also those of posts that are gone.
+        """
+        return self.spark.read.parquet(self.path("docs", self.compact())).count()
+
     # --- reading ------------------------------------------------------------
 
     def posts(self) -> DataFrame:

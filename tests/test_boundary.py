@@ -20,7 +20,7 @@ def loop(feed, archived, stop_after):
 
 @pytest.mark.parametrize("block", [4, 16, 65536])
 @pytest.mark.parametrize("p_new", [0.1, 0.4])
-def test_quick_cut_equals_loop(spark, monkeypatch, block, p_new):
+def test_quick_cut_equals_loop(spark, block, p_new):
     rng = random.Random(block * 10 + int(p_new * 10))
     archived = [f"a{i}" for i in range(40)]
     feeds, rows = {}, []
@@ -35,10 +35,8 @@ def test_quick_cut_equals_loop(spark, monkeypatch, block, p_new):
     rng.shuffle(rows)
     frame = spark.createDataFrame(rows, "feed_id string, pos bigint, tweet_id string")
     keys = spark.createDataFrame([(k,) for k in archived], "tweet_id string")
-    original = boundary.known_streaks
-    monkeypatch.setattr(boundary, "known_streaks", lambda marked: original(marked, block))
     for stop_after in (3, 12):
-        got = boundary.quick_cut(frame, keys, stop_after).collect()
+        got = boundary.quick_cut(frame, keys, stop_after, block).collect()
         for feed_id, feed in feeds.items():
             taken, reason = loop(feed, archived, stop_after)
             mine = sorted(r for r in got if r["feed_id"] == feed_id)
