@@ -6,34 +6,50 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postarchive.functions import scalars as X
-from postarchive.operators.projections import single_post
+from postarchive.session import broadcast_when, is_small
 
-SALTS = 32
+# An id asked for more often than this is joined apart from the others.
+HOT_ROWS = 1_000_000
 
 
-def by_reference(references: DataFrame, posts: DataFrame) -> DataFrame:
-    """Resolve rows of ``ref`` (an id or any address holding one) to posts.
+def requested(references: DataFrame) -> DataFrame:
+    """The different ids that rows of ``ref`` ask for, with ``n``, how often."""
+    ids = references.select(X.reference_id(F.col("ref")).alias("ref_id"))
+    return ids.where(F.col("ref_id").isNotNull()).groupBy("ref_id").agg(F.count("*").alias("n"))
 
-    Every reference comes back with ``ref_id`` and ``found``.  Posts are cut to
-    the distinct ids asked for; that set then meets the references, where one id
-    may be most of the rows: the references are salted and the found posts
-    repeated per salt.  References without an id never reach the join.
+
+def pick(posts: DataFrame, asked: DataFrame) -> DataFrame:
+    """The posts that are asked for; a small request filters them at the scan."""
+    ids = asked.select(F.col("ref_id").alias("tweet_id"))
+    return posts.join(broadcast_when(is_small(ids), ids), "tweet_id", "left_semi")
+
+
+def resolve(references: DataFrame, asked: DataFrame, found: DataFrame) -> DataFrame:
+    """Every reference with ``ref_id``, ``found`` and the columns of its post.
+
+    ``found`` holds each post once.  References without an id never reach a
+    join.  If the posts are too many to broadcast, ids that make up much of the
+    references are: what remains for the shuffle has no hot key.
     """
     keyed = references.withColumn("ref_id", X.reference_id(F.col("ref")))
-    asked = keyed.where(F.col("ref_id").isNotNull()).select("ref_id").distinct()
-    wanted = single_post(
-        posts.join(asked, posts["tweet_id"] == asked["ref_id"], "left_semi")
-    )
-    salted = keyed.where(F.col("ref_id").isNotNull()).withColumn(
-        "salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
-    )
-    copies = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    hits = salted.join(
-        copies,
-        (salted["ref_id"] == copies["tweet_id"]) & (salted["salt"] == copies["salt"]),
-        "left",
-    ).drop("salt")
-    no_id = keyed.where(F.col("ref_id").isNull())
-    return hits.unionByName(no_id, allowMissingColumns=True).withColumn(
+    without_id = keyed.where(F.col("ref_id").isNull())
+    with_id = keyed.where(F.col("ref_id").isNotNull())
+
+    def meet(some: DataFrame, posts: DataFrame) -> DataFrame:
+        return some.join(posts, some["ref_id"] == posts["tweet_id"], "left")
+
+    if is_small(asked):
+        hits = meet(with_id, F.broadcast(found))
+    else:
+        hot = asked.where(F.col("n") > HOT_ROWS).select("ref_id")
+        if is_small(hot):
+            hot = F.broadcast(hot)
+            hot_posts = found.join(hot, found["tweet_id"] == hot["ref_id"], "left_semi")
+            hits = meet(
+                with_id.join(hot, "ref_id", "left_semi"), F.broadcast(hot_posts)
+            ).unionByName(meet(with_id.join(hot, "ref_id", "left_anti"), found))
+        else:
+            hits = meet(with_id, found)
+    return hits.unionByName(without_id, allowMissingColumns=True).withColumn(
         "found", F.col("tweet_id").isNotNull()
     )

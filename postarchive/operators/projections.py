@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from postarchive import schema as S
 from postarchive.functions import scalars as X
-from postarchive.session import broadcast_when
+from postarchive.session import broadcast_when, is_small
 
 
 def summary(posts: DataFrame, *extra: str) -> DataFrame:
@@ -21,7 +21,8 @@ def single_post(posts: DataFrame) -> DataFrame:
 
 def folder_names(memberships: DataFrame, folders: DataFrame) -> DataFrame:
     """Sorted folder names per post; memberships of unknown folders are left out."""
-    named = memberships.join(folders, memberships["folder_id"] == folders["id"])
+    names = broadcast_when(is_small(folders), folders)
+    named = memberships.join(names, memberships["folder_id"] == names["id"])
     return named.groupBy("tweet_id").agg(
         F.array_sort(F.collect_list("name")).alias("folders")
     )

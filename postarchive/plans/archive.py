@@ -112,17 +112,18 @@ class Archive:
 
         The ids of a few references reach the scan as literals.
         """
-        ids = references.select(X.reference_id(F.col("ref")).alias("id")).where(
-            F.col("id").isNotNull()
-        )
-        few = [r["id"] for r in ids.limit(PUSHED_KEYS + 1).collect()]
+        asked = lookup.requested(references)
+        few = [r["ref_id"] for r in asked.limit(PUSHED_KEYS + 1).collect()]
         posts, memberships = self.posts, self.memberships
         if len(few) <= PUSHED_KEYS:
             keys = F.col(S.KEY).isin(few)
             posts, memberships = posts.where(keys), memberships.where(keys)
-        found = lookup.by_reference(references, posts)
-        return projections.attach_folders(
-            found, found, memberships, self.folders, is_small(references)
+        picked = projections.single_post(lookup.pick(posts, asked))
+        named = projections.attach_folders(
+            picked, picked, memberships, self.folders, is_small(asked)
+        )
+        return lookup.resolve(references, asked, named).withColumn(
+            "folders", X.items(F.col("folders"))
         )
 
     def list_folders(self) -> DataFrame:

@@ -452,7 +452,13 @@ def render_text(spark, sf_dir):
 
 @query
 def to_json_rows(spark, sf_dir):
-    return projections.json_rows(projections.json_columns(B.posts(spark, sf_dir)))
+    posts = projections.json_columns(B.posts(spark, sf_dir))
+    return projections.json_rows(
+        posts.select(
+            "tweet_id", "url", "full_text", "created_at", "status", "lang", "author_name",
+            "author_handle", "likes", "retweets", "views", "links_json", "origin", "last_seen_at",
+        )
+    )
 
 
 @query

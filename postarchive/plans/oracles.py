@@ -662,6 +662,16 @@ ORACLES["render_text"] = (
     || chr(10) || '  ' || p.url AS text
 FROM posts p LEFT JOIN folder_names n ON n.tweet_id = p.tweet_id"""
 )
+ORACLES["to_json_rows"] = (
+    with_(POSTS)
+    + f"""SELECT CAST(to_json({{'tweet_id': tweet_id, 'url': url, 'full_text': full_text,
+  'created_at': {iso('created_at')}, 'status': status, 'lang': lang,
+  'author_name': author_name, 'author_handle': author_handle, 'likes': likes,
+  'retweets': retweets, 'views': views,
+  'links_json': CASE WHEN link IS NOT NULL THEN '["' || link || '"]' END,
+  'origin': origin, 'last_seen_at': {iso('last_seen_at')}}}) AS VARCHAR) AS json
+FROM posts"""
+)
 ORACLES["health_report"] = (
     with_(FOLDERS, MEMBERSHIPS, *SELF_TEST)
     + """SELECT 'archive' AS "check", 'pass' AS state,

@@ -37,7 +37,10 @@ def plain(frame):
 
 @pytest.mark.parametrize("name", sorted(queries()))
 def test_query(spark, duck, name):
-    got = queries()[name](spark, SF_DIR).toPandas()
+    frame = queries()[name](spark, SF_DIR)
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+    got = frame.toPandas()
     sql = oracle_sql().get(name)
     if sql is None:
         assert len(got) > 0

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from postarchive import schema as S
+from postarchive import session
 from postarchive.functions import scalars as X
 from postarchive.operators import filters, lookup, projections, rollups
 from postarchive.operators.guard import read_only
@@ -171,19 +172,23 @@ def test_folder_filter_multiplicity(spark):
     assert filters.in_folder(*args, "gone").count() == 0
 
 
-def test_hot_reference(spark):
-    posts = spark.createDataFrame(
-        [(str(900000 + i),) for i in range(20)], "tweet_id string"
-    ).select(*[F.col(c) if c == "tweet_id" else F.lit(None).cast(k).alias(c) for c, k in S.POST_TYPES.items()])
+@pytest.mark.parametrize("rows, hot", [(200_000, 10**6), (3, 100), (0, 10)])
+def test_hot_reference(spark, monkeypatch, rows, hot):
+    """Broadcast, hot ids apart, and plain shuffle give the same rows."""
+    monkeypatch.setattr(session, "BROADCAST_ROWS", rows)
+    monkeypatch.setattr(lookup, "HOT_ROWS", hot)
+    posts = spark.createDataFrame([(str(900000 + i),) for i in range(20)], "tweet_id string")
     refs = spark.range(5000).select(
         F.when(F.col("id") % 3 == 0, "https://x.com/u/status/900007").when(F.col("id") % 3 == 1, "none")
         .otherwise(F.concat(F.lit("id "), (F.col("id") + 899000).cast("string"))).alias("ref")
     )
-    found = lookup.by_reference(refs, posts)
+    asked = lookup.requested(refs)
+    found = lookup.resolve(refs, asked, lookup.pick(posts, asked))
     assert found.count() == 5000
     assert found.where("found").count() == sum(i % 3 == 0 for i in range(5000)) + sum(
         1 for i in range(5000) if i % 3 == 2 and 900000 <= i + 899000 < 900020
     )
+    assert found.where("ref_id IS NULL").count() == sum(i % 3 == 1 for i in range(5000))
 
 
 @pytest.mark.parametrize("sql", [
