@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from __spark_entry__ import oracle_sql, queries
@@ -26,7 +27,7 @@ def plain(frame):
     names = sorted(frame.columns)
 
     def value(v):
-        if v is None or v != v:
+        if v is None or v is pd.NA or v != v:
             return None
         v = v.item() if hasattr(v, "item") else v
         return round(float(v), 6) if isinstance(v, (int, float)) and not isinstance(v, bool) else v
