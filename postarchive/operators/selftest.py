@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from postarchive import schema as S
 from postarchive.functions import text as T
 from postarchive.operators.index import Index
-from postarchive.operators.search import phrase_frequencies, prepare, rank
+from postarchive.operators.search import offer_parts, prepare, rank
+from postarchive.session import spread
 
 # Text length and result sizes of the test.
 MIN_LENGTH, UNIQUE_RESULTS, FALLBACK_RESULTS = 80, 10, 200
@@ -28,17 +29,27 @@ def sample(posts: DataFrame, size: int | None = SAMPLE, seed: int = 0) -> DataFr
 def unique_tokens(posts: DataFrame, index: Index) -> DataFrame:
     """``tweet_id``, ``token``: the first word of each post that only this post matches.
 
-    A word is searched as a prefix, so it must be unique as a prefix.
+    A word is searched as a prefix, so it must be unique as a prefix.  The
+    postings are first reduced to the lowest and highest post of each term; a
+    word belongs to one post when both agree over all terms it matches.
     """
-    words = posts.select(
-        S.KEY, F.posexplode(T.candidate_words(F.col("full_text"))).alias("place", "raw")
-    ).select(S.KEY, "place", F.lower("raw").alias("word"))
+    words = spread(posts.select(S.KEY, "full_text"), S.KEY).select(
+        S.KEY, F.posexplode_outer(T.candidate_words(F.col("full_text"))).alias("place", "raw")
+    ).where(F.col("raw").isNotNull()).select(S.KEY, "place", F.lower("raw").alias("word"))
     distinct = words.select(F.col("word").alias("query_id"), F.col("word").alias("query")).distinct()
     batch = prepare(distinct, index.stemmed)
     phrases = batch.phrases.select(F.col("query_id").alias("word"), "phrase")
-    tf = phrase_frequencies(index, batch)
+    terms = index.postings.groupBy("term").agg(
+        F.min(S.KEY).alias("lowest"), F.max(S.KEY).alias("highest")
+    )
+    tokens = phrases.select("phrase").distinct()
     unique = (
-        tf.groupBy("phrase").agg(F.count("*").alias("df")).where("df = 1").select("phrase")
+        offer_parts(terms, "term", batch)
+        .join(batch.of(tokens), F.col("part") == F.col("phrase"))
+        .groupBy("phrase")
+        .agg(F.min("lowest").alias("lowest"), F.max("highest").alias("highest"))
+        .where(F.col("lowest") == F.col("highest"))
+        .select("phrase")
     )
     chosen = phrases.join(batch.of(unique), "phrase", "left_semi").select("word")
     return (
