@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,12 +63,10 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder name below the cluster's shared work folder.
 
-    The folder is the one named by ``spark.checkpoint.dir``.  Only a local
-    session, where driver and executors are one process, may do without it.
+    The folder is the one named by ``spark.checkpoint.dir``; without that setting a
+    folder of the warehouse, which driver and executors share as well.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.gettempdir() + "/postarchive"
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/postarchive-work"
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
