@@ -1,8 +1,12 @@
 """Quality classifier by supervised subword embeddings.
 
-A document is the mean of the learned vectors of its words and of their character
-n-grams (3 to 5 bytes, word ends included), all hashed into ``BUCKETS`` rows; a
-softmax over the classes follows.  Vectors and output weights are trained together
+A document is the mean of the learned vectors of its words, pairs of neighbouring
+words and the words' character n-grams (3 to 5 bytes, word ends included), all
+hashed into ``BUCKETS`` rows; a softmax over the classes follows.  A pair is hashed
+by the difference of its words' hashes, so any word said twice in a row is one
+feature.  ``SMOOTH`` features without a vector are counted into each mean: a text of
+a few words then stays near the prior.  Classes are sampled alike; their shares among
+all usable labels are put back into the output bias.  Vectors and output weights are trained together
 by stochastic gradient descent in numpy on a bounded sample of labelled rows:
 ``PER_CLASS`` documents of each class at most, chosen by a hash of their ids.  The
 sample's texts are read whole, as are all texts that are scored.
@@ -31,14 +35,15 @@ from postarchive.llm.common import slices, utf8
 
 BUCKETS = 1 << 17
 DIMENSIONS = 8
-PER_CLASS = 1200
-EPOCHS = 6
+PER_CLASS = 1000
+EPOCHS = 4
 BATCH = 32
 RATE = 0.6
 SLICE_BYTES = 1 << 20
 THRESHOLD = 0.7
 NGRAMS = (3, 4, 5)
 CLASSES = 2
+SMOOTH = 100
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -76,8 +81,13 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     inverse = np.uint32(pow(0x01000193, -1, 1 << 32))
     unshift = np.cumprod(np.full(len(data) + 1, inverse, np.uint32), dtype=np.uint32)
     word = (weighted[end] - weighted[begin]) * unshift[begin]
+    of_word = owner[np.minimum(begin, len(owner) - 1)]
     found.append(((word ^ (word >> np.uint32(15))) * np.uint32(0x85EBCA77)) >> shift)
-    owners.append(owner[np.minimum(begin, len(owner) - 1)])
+    owners.append(of_word)
+    pair = np.flatnonzero(of_word[1:] == of_word[:-1])
+    gap = word[pair + 1] - word[pair] + np.uint32(0x27220A95)
+    found.append(((gap ^ (gap >> np.uint32(15))) * np.uint32(0xC2B2AE3D)) >> shift)
+    owners.append(of_word[pair])
     return np.concatenate(found), np.concatenate(owners)
 
 
@@ -94,7 +104,7 @@ class Model:
             buckets, owner = features(texts[a:b])
             total = np.bincount(owner, self.weights[buckets], minlength=b - a)
             count = np.bincount(owner, minlength=b - a)
-            out[a:b] = total / np.maximum(count, 1)
+            out[a:b] = total / (count + SMOOTH)
         return 1.0 / (1.0 + np.exp(-np.clip(out + self.bias, -500, 500)))
 
 
@@ -160,8 +170,13 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     rows = []
     for r in sorted(counted.collect(), key=lambda r: (r["doc_id"], r["quality"], r["buckets"])):
         counts = np.frombuffer(r["counts"], np.uint32).astype(np.float32)
-        rows.append((r["quality"], np.frombuffer(r["buckets"], np.uint32), counts / counts.sum()))
-    return train(rows)
+        rows.append((r["quality"], np.frombuffer(r["buckets"], np.uint32), counts / (counts.sum() + SMOOTH)))
+    model = train(rows)
+    shares = {r["quality"]: r["count"] for r in usable.groupBy("quality").count().collect()}
+    drawn = [sum(r[0] == k for r in rows) for k in range(CLASSES)]
+    if all(drawn):
+        model.bias += float(np.log(shares[1] / shares[0]) - np.log(drawn[1] / drawn[0]))
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
