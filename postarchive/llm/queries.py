@@ -5,7 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postarchive.llm import chat, contamination, mixing, quality, token_counts, warc
+from postarchive.llm import (
+    chat,
+    contamination,
+    mixing,
+    quality,
+    suffix_family,
+    superkmers,
+    token_counts,
+    warc,
+)
 from postarchive.llm.common import table
 from postarchive.session import configure, shared_dir
 
@@ -36,6 +45,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_suffix_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_family.digests(suffix_family.mark(docs))
+
+
 def op6_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scanned = contamination.scan_documents(docs, table(spark, sf_dir, "benchmark"))
@@ -56,6 +70,11 @@ def op7_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABUL
     return counted.select("doc_id", "tokens.n_words", "tokens.n_tokens")
 
 
+def op9_superkmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return superkmers.digests(superkmers.mark(docs))
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     # A text full of what templates use as marks.
@@ -78,6 +97,7 @@ def _configured(query):
 QUERIES = {
     query.__name__: _configured(query)
     for query in (
-        op1_quality, op2_warc, op3_mixing, op6_contamination, op7_token_counts, op10_chat,
+        op1_quality, op2_warc, op3_mixing, op5_suffix_family, op6_contamination, op7_token_counts, op9_superkmers,
+        op10_chat,
     )
 }
