@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from postarchive.llm import (
     chat,
     contamination,
+    minhash,
     mixing,
+    multi_index,
     quality,
     suffix_family,
     superkmers,
@@ -45,6 +47,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = multi_index.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+
+
 def op5_suffix_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return suffix_family.digests(suffix_family.mark(docs))
@@ -70,6 +77,16 @@ def op7_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABUL
     return counted.select("doc_id", "tokens.n_words", "tokens.n_tokens")
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        F.col("doc").alias("doc_id"),
+        "n_shingles",
+        "component_id",
+        F.coalesce(F.col("doc") == F.col("component_id"), F.lit(True)).alias("kept"),
+    )
+
+
 def op9_superkmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return superkmers.digests(superkmers.mark(docs))
@@ -97,7 +114,7 @@ def _configured(query):
 QUERIES = {
     query.__name__: _configured(query)
     for query in (
-        op1_quality, op2_warc, op3_mixing, op5_suffix_family, op6_contamination, op7_token_counts, op9_superkmers,
-        op10_chat,
+        op1_quality, op2_warc, op3_mixing, op4_multi_index, op5_suffix_family, op6_contamination,
+        op7_token_counts, op8_minhash, op9_superkmers, op10_chat,
     )
 }
