@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from postarchive.llm.common import mix64, slices, utf8, written
 from postarchive.llm.components import components
-from postarchive.llm.windows import rolling, word_units
+from postarchive.llm.windows import BASE, rolling, word_units
 
 SHINGLE = 5
 NEAR = 75  # per cent
@@ -82,7 +82,7 @@ def signatures(text: np.ndarray, values: np.ndarray, n: int, places: int = PLACE
     for j in range(places):
         if not len(text):
             break
-        drawn = mix64(values + np.uint64(j + 1) * np.uint64(0x9E3779B97F4A7C15))
+        drawn = mix64(values + np.uint64((j + 1) * BASE % (1 << 64)))
         other = j + ((drawn >> np.uint64(48)) % np.uint64(places - j)).astype(np.int64)
         if permuted is None:  # in the first round the permutation is still in order
             place, swap = other, other

@@ -37,6 +37,7 @@ BUCKETS = 1 << 17
 DIMENSIONS = 8
 PER_CLASS = 1000
 EPOCHS = 4
+LEAST_STEPS = 240  # a small sample is gone through more often
 BATCH = 32
 RATE = 0.6
 SLICE_BYTES = 1 << 20
@@ -113,9 +114,10 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], seed: int = 7) -> Mode
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (BUCKETS, DIMENSIONS)).astype(np.float32)
     output, bias = np.zeros((CLASSES, DIMENSIONS), np.float32), np.zeros(CLASSES, np.float32)
-    steps = max(1, EPOCHS * -(-len(rows) // BATCH))
-    step = 0
-    for _ in range(EPOCHS if rows else 0):
+    per_epoch = -(-len(rows) // BATCH)
+    epochs = max(EPOCHS, -(-LEAST_STEPS // per_epoch)) if rows else 0
+    steps, step = epochs * per_epoch, 0
+    for _ in range(epochs):
         order = rng.permutation(len(rows))
         for a in range(0, len(rows), BATCH):
             batch = [rows[i] for i in order[a : a + BATCH]]
