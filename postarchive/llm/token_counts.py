@@ -1,36 +1,41 @@
 """Token counts of a unigram vocabulary by dynamic programming over a shared trie.
 
 A text is cut at ASCII white space into pre-tokens, each with the word mark in
-front.  The distinct pre-tokens of a batch go into a trie.  Every trie node keeps
-the forward score of its prefix: the best sum of piece scores over all ways to
-write it, and the number of tokens of that way.  A prefix shared by many
-pre-tokens is computed once, and a whole pre-token's count is read at its last
-node.  The trie lives as long as its task, so later batches pay only for prefixes
-not met before; past ``MAX_NODES`` it starts anew, which changes no result.
+front.  The distinct pre-tokens of a slice of texts that were not met before go into
+a trie, as sorted strings: a node is a row where a prefix differs from the row
+above.  Depth by depth every node gets its forward score, the best sum of piece
+scores over all ways to write its prefix, and the number of tokens of that way.  So
+a prefix is computed once, whatever number of pre-tokens share it; a pre-token's
+count is read at its last node and kept for the task's later texts, ``MAX_KEPT`` of
+them at most (then they are computed anew, which changes no result).
 
 A character that no piece covers costs one token per UTF-8 byte and a score below
 all pieces.  Ties go to the way with fewer tokens.
 
 Defined cases: NULL, empty and blank texts have no token; bytes that are not
 UTF-8 count as the replacement character; repeated rows count alike; other columns
-pass through.  Past ``LONGEST_PATH`` characters a word is computed without new
-nodes, so one huge word does not fill the trie.
+pass through.  Pre-tokens beyond ``LONGEST_PATH`` characters are computed by
+themselves, so that a huge one does not widen the trie.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postarchive.llm.common import utf8
+from postarchive.llm.common import mix64, slices, utf8
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-MAX_NODES = 600_000
-LONGEST_PATH = 200
+MAX_KEPT = 500_000
+LONGEST_PATH = 48
+SLICE_BYTES = 4 << 20
+TABLE_BITS = 20
+BASE = 0x9E3779B97F4A7C15
 
 
 def read_vocabulary(path: str) -> dict[str, float]:
@@ -45,52 +50,116 @@ def read_vocabulary(path: str) -> dict[str, float]:
     }
 
 
-class TrieCounter:
-    """Counts tokens of pre-tokens; see the module's text."""
+class Pieces:
+    """The vocabulary as an open hash table over 64-bit hashes of strings."""
 
-    def __init__(self, vocabulary: dict[str, float], max_nodes: int = MAX_NODES):
+    def __init__(self, vocabulary: dict[str, float]):
         self.vocabulary = vocabulary
         self.longest = max(map(len, vocabulary), default=1)
         self.unknown = min(vocabulary.values(), default=0.0) - UNKNOWN_PENALTY
-        self.max_nodes = max_nodes
-        self.clear()
-
-    def clear(self) -> None:
-        self.children: dict[tuple[int, str], int] = {}
-        self.best: list[tuple[float, int]] = [(0.0, 0)]  # (score, minus the number of tokens)
-        self.counts: dict[bytes, int] = {}  # terminal counts
-
-    def forward(self, word: str, end: int, scores: list[tuple[float, int]]) -> tuple[float, int]:
-        """The best way to write ``word[:end]``; ``scores[-j]`` is that of ``word[:end - j]``."""
-        ways = []
-        for back in range(1, min(self.longest, end) + 1):
-            score = self.vocabulary.get(word[end - back : end])
-            if score is not None:
-                total, tokens = scores[-back]
-                ways.append((total + score, tokens - 1))
-        char = word[end - 1]
-        if char not in self.vocabulary:
-            total, tokens = scores[-1]
-            ways.append((total + self.unknown, tokens - len(char.encode("utf-8", "replace"))))
-        return max(ways)
+        self.powers = np.array([pow(BASE, i, 1 << 64) for i in range(self.longest)], np.uint64)
+        bits = max(TABLE_BITS, len(vocabulary).bit_length() + 3)
+        self.shift = np.uint64(64 - bits)
+        self.keys = np.zeros((1 << bits) + 64, np.uint64)
+        self.scores = np.zeros((1 << bits) + 64)
+        self.probes = 1
+        powers = self.powers.tolist()
+        hashes = [sum((ord(c) + 1) * powers[i] for i, c in enumerate(reversed(p))) % (1 << 64) for p in vocabulary]
+        keys = mix64(np.array(hashes, np.uint64)) | np.uint64(1)  # 0 marks a free place
+        homes = (keys >> self.shift).tolist()
+        taken: set[int] = set()
+        places = []
+        for home in homes:
+            at = home
+            while at in taken:
+                at += 1
+            taken.add(at)
+            places.append(at)
+            self.probes = max(self.probes, at - home + 1)
+        self.keys[places], self.scores[places] = keys, list(vocabulary.values())
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each hash is a piece's, and its score."""
+        keys = mix64(hashes) | np.uint64(1)
+        at = (keys >> self.shift).astype(np.int64)
+        hit = self.keys[at] == keys
+        for _ in range(self.probes - 1):
+            going = np.flatnonzero(~hit & (self.keys[at] != 0))
+            if not len(going):
+                break
+            at[going] += 1
+            hit[going] = self.keys[at[going]] == keys[going]
+        return hit, self.scores[at]
+
+
+class TrieCounter:
+    """Counts tokens of pre-tokens; see the module's text."""
+
+    def __init__(self, vocabulary: dict[str, float], max_kept: int = MAX_KEPT):
+        self.pieces = Pieces(vocabulary)
+        self.max_kept = max_kept
+        self.counts: dict[bytes, int] = {}
+
+    def alone(self, word: str) -> int:
+        """The forward recursion of one pre-token."""
+        vocabulary, longest = self.pieces.vocabulary, self.pieces.longest
+        best = [(0.0, 0)]  # (score, minus the number of tokens)
+        for end in range(1, len(word) + 1):
+            ways = []
+            for back in range(1, min(longest, end) + 1):
+                score = vocabulary.get(word[end - back : end])
+                if score is not None:
+                    ways.append((best[-back][0] + score, best[-back][1] - 1))
+            if word[end - 1] not in vocabulary:
+                size = len(word[end - 1].encode("utf-8", "replace"))
+                ways.append((best[-1][0] + self.pieces.unknown, best[-1][1] - size))
+            best.append(max(ways))
+        return -best[-1][1]
+
+    def together(self, words: list[str]) -> np.ndarray:
+        """The forward recursion of sorted distinct pre-tokens, a step for each trie node."""
+        pieces, n = self.pieces, len(words)
+        lengths = np.array([len(w) for w in words])
+        depth = int(lengths.max())
+        codes = np.array(words, f"<U{depth}").view(np.uint32).reshape(n, depth).T.copy()
+        scores, tokens = np.zeros((depth + 1, n)), np.zeros((depth + 1, n), np.int64)
+        as_above = np.ones(n, bool)
+        as_above[0] = False
+        for d in range(1, depth + 1):
+            alive = lengths >= d
+            as_above[1:] &= (codes[d - 1, 1:] == codes[d - 1, :-1]) & alive[1:] & alive[:-1]
+            node = np.flatnonzero(alive & ~as_above)
+            best, used = np.full(len(node), -np.inf), np.zeros(len(node), np.int64)
+            h = np.zeros(len(node), np.uint64)
+            for back in range(1, min(pieces.longest, d) + 1):
+                h = h + (codes[d - back, node].astype(np.uint64) + np.uint64(1)) * pieces.powers[back - 1]
+                hit, score = pieces.find(h)
+                self.better(best, used, hit, scores[d - back, node] + score, tokens[d - back, node] + 1)
+                if back == 1:
+                    char = codes[d - 1, node]
+                    size = 1 + (char >= 0x80) + (char >= 0x800) + (char >= 0x10000)
+                    self.better(best, used, ~hit, scores[d - 1, node] + pieces.unknown, tokens[d - 1, node] + size)
+            # Rows that share the prefix read the node's values from the row that has it first.
+            first = np.zeros(n, np.int64)
+            first[node] = np.arange(len(node))
+            first = np.maximum.accumulate(first)
+            scores[d], tokens[d] = best[first], used[first]
+        return tokens[lengths, np.arange(n)]
+
+    @staticmethod
+    def better(best, used, may, score, count) -> None:
+        take = may & ((score > best) | ((score == best) & (count < used)))
+        best[take], used[take] = score[take], count[take]
 
     def add(self, words: set[bytes]) -> None:
-        if len(self.best) > self.max_nodes:
-            self.clear()
-        for raw in words - self.counts.keys():
-            word = MARK + raw.decode("utf-8", "replace")
-            node, scores = 0, [self.best[0]]
-            for end, char in enumerate(word, 1):
-                child = self.children.get((node, char)) if end <= LONGEST_PATH else None
-                if child is None:
-                    scores.append(self.forward(word, end, scores))
-                    if end <= LONGEST_PATH:
-                        self.children[node, char] = child = len(self.best)
-                        self.best.append(scores[-1])
-                else:
-                    scores.append(self.best[child])
-                node = child
-            self.counts[raw] = -scores[-1][1]
+        if len(self.counts) > self.max_kept:
+            self.counts.clear()
+        new = {raw: MARK + raw.decode("utf-8", "replace") for raw in words - self.counts.keys()}
+        short = sorted({w for w in new.values() if len(w) <= LONGEST_PATH})
+        found = dict(zip(short, self.together(short).tolist(), strict=True)) if short else {}
+        for raw, word in new.items():
+            count = found.get(word)
+            self.counts[raw] = self.alone(word) if count is None else count
 
 
 def count_tokens(docs: DataFrame, vocabulary: dict[str, float]) -> DataFrame:
@@ -99,17 +168,14 @@ def count_tokens(docs: DataFrame, vocabulary: dict[str, float]) -> DataFrame:
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         counter = TrieCounter(sent.value)
-        for texts in batches:
+        for batch in batches:
+            texts = list(batch)
             words, tokens = [], []
-            for text in texts:
-                own = text.split()
-                try:
-                    total = sum(map(counter.counts.__getitem__, own))
-                except KeyError:
-                    counter.add(set(own))
-                    total = sum(map(counter.counts.__getitem__, own))
-                words.append(len(own))
-                tokens.append(total)
+            for a, b in slices(texts, SLICE_BYTES):
+                cut = [text.split() for text in texts[a:b]]
+                counter.add(set().union(*cut))
+                words += map(len, cut)
+                tokens += [sum(map(counter.counts.__getitem__, own)) for own in cut]
             yield pd.DataFrame({"n_words": words, "n_tokens": tokens})
 
     marked = F.pandas_udf(run, "n_words long, n_tokens long")

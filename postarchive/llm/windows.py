@@ -44,12 +44,17 @@ def keyed(docs: DataFrame) -> DataFrame:
     )
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    """1, base, base**2, ... modulo 2**64."""
-    out = np.full(n, np.uint64(base))
-    if n:
-        out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
+    """1, base, base**2, ... modulo 2**64; kept for the next call."""
+    kept = _POWERS.get(base)
+    if kept is None or len(kept) < n:
+        kept = np.full(max(n, 1 << 16), np.uint64(base))
+        kept[0] = 1
+        _POWERS[base] = kept = np.cumprod(kept, dtype=np.uint64)
+    return kept[:n]
 
 
 def rolling(units: np.ndarray, width: int) -> np.ndarray:
@@ -74,14 +79,21 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 
 def word_units(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and hashes of the words of ``data``, which are parted by single spaces."""
-    space = data == 0x20
-    gaps = np.flatnonzero(space)
+    gaps = np.flatnonzero(data == 0x20)
     starts, ends = np.concatenate(([0], gaps + 1)), np.concatenate((gaps, [len(data)]))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(data)), dtype=np.uint64, out=sums[1:])
     full = starts < ends
     starts, ends = starts[full], ends[full]
-    hashes = (sums[ends] - sums[starts]) * powers(INVERSE, len(data) + 1)[starts]
+    hashes = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):  # whole words, a slice's bytes or one at least
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + SLICE_BYTES, side="right")))
+        part = data[starts[i] : ends[j - 1]]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        symbols = part.astype(np.uint64) + np.uint64(1)
+        np.cumsum(symbols * powers(BASE, len(part)), dtype=np.uint64, out=sums[1:])
+        left, right = starts[i:j] - starts[i], ends[i:j] - starts[i]
+        hashes[i:j] = (sums[right] - sums[left]) * powers(INVERSE, len(part) + 1)[left]
+        i = j
     return starts, ends, mix64(hashes + (ends - starts).astype(np.uint64))
 
 
