@@ -8,7 +8,7 @@ from tests.llm import brute
 
 def frame(spark, docs):
     rows = [(d, t, "kept", 1, 2) for d, t in docs]
-    return spark.createDataFrame(rows, "doc_id long, text string, spans string, doc long, row long").drop("spans")
+    return spark.createDataFrame(rows, "doc_id long, text string, spans string, doc long, row long")
 
 
 @pytest.mark.parametrize("seed", [1, 2])
