@@ -27,14 +27,14 @@ from postarchive.llm.common import utf8
 
 WIDTH = 20
 SEED = 2
-BUCKET_BYTES = 6 << 20
+BUCKET_BYTES = 4 << 20
 
 
 def repeats(width: int) -> win.Judge:
     def judge(doc, row, unit, size, strings):
         w = win.Windows.of(np.frombuffer(strings, np.uint8), size, rule(width))
         at = np.flatnonzero(w.whole)
-        hashes = win.rolling(w.hashes, width)[at] if len(at) else np.empty(0, np.uint64)
+        hashes = win.rolling(w.hashes, width, at) if len(at) else np.empty(0, np.uint64)
         ordered = np.sort(hashes)
         twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
         if not len(twice):
@@ -68,10 +68,11 @@ def rule(width: int = WIDTH) -> win.Rule:
 
 
 def mark(docs: DataFrame, width: int = WIDTH, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """All columns of ``docs`` and ``spans``: the packed ranges of words to remove."""
+    """All columns of ``docs`` and their spans: the packed ranges of words to remove."""
     buckets = win.bucket_count(docs, bucket_bytes)
-    dealt = win.deal(win.keyed(docs), rule(width), buckets)
-    return win.with_spans(docs, win.verdicts(dealt, repeats(width)))
+    rows = win.keyed(docs)
+    dealt = win.deal(rows, rule(width), buckets)
+    return win.with_spans(rows, win.verdicts(dealt, repeats(width)))
 
 
 def kept_words(text: bytes, packed) -> tuple[int, int, bytes]:
@@ -94,7 +95,7 @@ def remove(marked: DataFrame) -> DataFrame:
         return pd.DataFrame(rows, columns=["n_words", "n_removed", "text"])
 
     cut = F.pandas_udf(run, "n_words long, n_removed long, text binary")
-    return marked.withColumn("kept", cut(utf8(), F.col("spans"))).drop("spans")
+    return marked.withColumn("kept", cut(utf8(), F.col(win.SPANS))).drop(win.SPANS)
 
 
 def digests(marked: DataFrame) -> DataFrame:
@@ -108,5 +109,5 @@ def digests(marked: DataFrame) -> DataFrame:
         )
 
     cut = F.pandas_udf(run, "n_words long, n_removed long, kept_sha256 string")
-    found = marked.select("doc_id", cut(utf8(), F.col("spans")).alias("kept"))
+    found = marked.select("doc_id", cut(utf8(), F.col(win.SPANS)).alias("kept"))
     return found.select("doc_id", "kept.*")

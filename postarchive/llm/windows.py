@@ -6,11 +6,11 @@ leftmost such).  Equal windows have equal minimisers, so all copies of a window
 meet in the bucket of that hash.  Consecutive windows with the same minimiser
 travel as one string (a super-k-mer) with the document and the place it starts at.
 
-A task packs the strings of a slice of texts by bucket: one row per slice and
-bucket, compressed.  A string that repeats within a slice is sent once, for its
-smallest document and place; the other copies are known to be repeats right there
-and sent on only as such.  So a passage that a third of all documents hold reaches
-its bucket once per slice, not once per document.  Rows stay ``bytes`` throughout.
+A task packs the strings of some megabytes of texts by bucket: one compressed row
+per bucket.  A string that repeats among them is sent once, for its smallest document;
+the copies in later documents are known to be repeats right there and sent on only as
+such.  So a passage that a third of all documents hold reaches its bucket once per
+some megabytes, not once per document.
 """
 
 from __future__ import annotations
@@ -24,9 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postarchive.llm.common import mix64, slices, utf8
+from postarchive.llm.common import mix64, slices, utf8, written
 
 SLICE_BYTES = 1 << 20
+FLUSH_BYTES = 8 << 20
 
 # A text's key: its doc_id (a missing one is the largest) and a hash that tells
 # rows with the same doc_id apart.  Equal rows share a key and all verdicts.
@@ -35,13 +36,20 @@ BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 
 
+DOC, ROW, SPANS = "__doc", "__row", "__spans"
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc, row, text of ``docs`` (doc_id, text)."""
-    return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"),
-        F.xxhash64("text").alias("row"),
-        utf8().alias("text"),
-    )
+    """``docs`` with its key.  The hash is 0 unless rows share the doc_id.
+
+    The ids that rows share are looked for first, without the texts; they are few, so
+    the join below does not shuffle the texts (Catalyst sees the size of the table).
+    """
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
+    ids = docs.select(doc.alias(DOC)).groupBy(DOC).count().where("count > 1")
+    shared = written(ids.select(DOC), "shared-ids").withColumn("__shared", F.lit(True))
+    row = F.when(F.col("__shared"), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))
+    return docs.withColumn(DOC, doc).join(shared, DOC, "left").withColumn(ROW, row).drop("__shared")
 
 
 _POWERS: dict[int, np.ndarray] = {}
@@ -57,14 +65,16 @@ def powers(base: int, n: int) -> np.ndarray:
     return kept[:n]
 
 
-def rolling(units: np.ndarray, width: int) -> np.ndarray:
-    """A polynomial hash of every ``width`` consecutive hashed units, scrambled."""
+def rolling(units: np.ndarray, width: int, at: np.ndarray | None = None) -> np.ndarray:
+    """A scrambled polynomial hash of ``width`` consecutive hashed units, at all places or ``at``."""
     n = len(units)
     if n < width:
         return np.empty(0, np.uint64)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(units * powers(BASE, n), dtype=np.uint64, out=sums[1:])
-    return mix64((sums[width:] - sums[:-width]) * powers(INVERSE, n - width + 1))
+    if at is None:
+        return mix64((sums[width:] - sums[:-width]) * powers(INVERSE, n - width + 1))
+    return mix64((sums[at + width] - sums[at]) * powers(INVERSE, n - width + 1)[at])
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -178,25 +188,89 @@ def runs(pieces: list[bytes], rule: Rule) -> tuple[np.ndarray, ...]:
     return piece, head - w.first_unit[piece], count, w.starts[head], last, lowest[head], data
 
 
-PACKED = "bucket int, docs binary, rows binary, starts binary, sizes binary, strings binary, raw long"
-SPANS = "doc long, row long, spans binary"
+PACKED = "bucket int, n long, bytes long, block binary"
+VERDICTS = f"{DOC} long, {ROW} long, spans binary"
+CODEC = pa.Codec("zstd", compression_level=6)
+
+
+def pack(doc: np.ndarray, row: np.ndarray, unit: np.ndarray, size: np.ndarray, joined: bytes) -> tuple:
+    """Documents mostly come in order: their differences are small and compress well."""
+    steps = np.diff(doc, prepend=np.int64(0))
+    block = b"".join([x.astype(np.int64).tobytes() for x in (steps, row, unit, size)] + [joined])
+    return len(doc), len(block), CODEC.compress(block, asbytes=True)
+
+
+def unpack(n: int, size: int, block: bytes) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """(doc, row, unit, size) as rows of one array, and the strings."""
+    data = CODEC.decompress(block, decompressed_size=int(size), asbytes=True)
+    arrays = np.frombuffer(data, np.int64, 4 * n).reshape(4, n).copy()
+    np.cumsum(arrays[0], out=arrays[0])
+    return arrays, data[32 * n :]
 
 
-def pack(strings: bytes) -> bytes:
-    return pa.compress(strings, codec="zstd", asbytes=True)
+class Dealer:
+    """Collects the strings of some slices of texts and packs them by bucket."""
+
+    def __init__(self, rule: Rule, buckets: int):
+        self.rule, self.buckets = rule, buckets
+        self.clear()
+
+    def clear(self) -> None:
+        self.seen: dict[bytes, int] = {}
+        self.first_doc: list[int] = []
+        self.strings: list[bytes] = []
+        self.arrays: list[tuple] = []
+        self.known: list[tuple] = []
+        self.bytes = 0
+
+    def add(self, pieces: list[bytes], doc: np.ndarray, row: np.ndarray, base: np.ndarray) -> None:
+        piece, unit, count, left, right, low, data = runs(pieces, self.rule)
+        self.bytes += len(data)
+        if not len(piece):
+            return
+        doc, row, unit = doc[piece], row[piece], unit + base[piece]
+        raw = data.tobytes()
+        strings = [raw[x:y] for x, y in zip(left.tolist(), right.tolist(), strict=True)]
+        start = len(self.first_doc)
+        self.first_doc += doc.tolist()
+        first = [self.seen.setdefault(s, i) for i, s in enumerate(strings, start)]
+        # A copy in a later document than the first met is a repeat.  All other copies
+        # are sent on: the bucket decides.
+        copy = doc > np.array([self.first_doc[i] for i in first])
+        self.known.append((doc[copy], row[copy], unit[copy], count[copy] + self.rule.width - 1))
+        sent = np.flatnonzero(~copy)
+        self.strings += [strings[i] for i in sent.tolist()]
+        bucket = (low[sent] % np.uint64(self.buckets)).astype(np.int64)
+        self.arrays.append((bucket, doc[sent], row[sent], unit[sent], right[sent] - left[sent]))
+
+    def flush(self) -> pd.DataFrame:
+        out = []
+        if self.arrays:
+            bucket, doc, row, unit, size = (np.concatenate(x) for x in zip(*self.arrays, strict=True))
+            order = np.argsort(bucket, kind="stable")
+            edges = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
+            for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                own = order[i:j]
+                joined = b" ".join([self.strings[k] for k in own.tolist()])
+                out.append((int(bucket[own[0]]), *pack(doc[own], row[own], unit[own], size[own], joined)))
+            known = merge(*(np.concatenate(x) for x in zip(*self.known, strict=True)))
+            if len(known[0]):
+                out.append((-1 - int(bucket[order[0]]), *pack(*known, b"")))
+        self.clear()
+        return pd.DataFrame(out, columns=[c.split()[0] for c in PACKED.split(", ")])
 
 
 def deal(docs: DataFrame, rule: Rule, buckets: int) -> DataFrame:
-    """Packed strings by bucket; rows with bucket -1 - b hold spans known to be repeats.
+    """Packed strings of ``docs`` (keyed) by bucket.
 
-    For those, ``starts`` and ``sizes`` are the first unit and the number of units.
+    Rows with bucket -1 - b hold spans of units that are known to be repeats.
     """
-    names = [c.split()[0] for c in PACKED.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        dealer = Dealer(rule, buckets)
         for batch in batches:
-            order = np.lexsort((batch["row"].to_numpy(), batch["doc"].to_numpy()))
-            doc, row = batch["doc"].to_numpy()[order], batch["row"].to_numpy()[order]
+            order = np.lexsort((batch[ROW].to_numpy(), batch[DOC].to_numpy()))
+            doc, row = batch[DOC].to_numpy()[order], batch[ROW].to_numpy()[order]
             pieces, text, base = [], [], []
             for i, k in enumerate(order):
                 for at, piece in rule.pieces(batch["text"].iat[k], rule.width):
@@ -205,39 +279,12 @@ def deal(docs: DataFrame, rule: Rule, buckets: int) -> DataFrame:
                     base.append(at)
             text, base = np.array(text, np.int64), np.array(base, np.int64)
             for a, b in slices(pieces, SLICE_BYTES):
-                own = text[a:b]
-                yield from one(pieces[a:b], doc[own], row[own], base[a:b])
-
-    def one(pieces, doc, row, base) -> Iterator[pd.DataFrame]:
-        piece, unit, count, left, right, low, data = runs(pieces, rule)
-        if not len(piece):
-            return
-        doc, row, unit = doc[piece], row[piece], unit + base[piece]
-        bucket = (low % np.uint64(buckets)).astype(np.int64)
-        raw = data.tobytes()
-        seen: dict[bytes, int] = {}
-        strings = [raw[x:y] for x, y in zip(left.tolist(), right.tolist(), strict=True)]
-        first = np.fromiter((seen.setdefault(s, i) for i, s in enumerate(strings)), np.int64, len(strings))
-        # Runs come in order of document: a copy in a later one is a repeat.  Copies in
-        # the same document are left to the rule, hence to the bucket.
-        copy = doc > doc[first]
-        sent = np.flatnonzero(~copy)
-        sent = sent[np.argsort(bucket[sent], kind="stable")]
-        edges = np.flatnonzero(np.diff(bucket[sent], prepend=-1, append=-1))
-        out = []
-        for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            own = sent[i:j]
-            joined = b" ".join([strings[x] for x in own.tolist()])
-            sizes = (right[own] - left[own]).astype(np.int32)
-            arrays = (doc[own], row[own], unit[own], sizes)
-            out.append((int(bucket[own[0]]), *(x.tobytes() for x in arrays), pack(joined), len(joined)))
-        dup = np.flatnonzero(copy)
-        if len(dup):
-            arrays = merge(doc[dup], row[dup], unit[dup], count[dup] + rule.width - 1)
-            out.append((-1 - int(bucket[dup[0]]), *(x.tobytes() for x in arrays), b"", 0))
-        yield pd.DataFrame(out, columns=names)
+                dealer.add(pieces[a:b], doc[text[a:b]], row[text[a:b]], base[a:b])
+                if dealer.bytes >= FLUSH_BYTES:
+                    yield dealer.flush()
+        yield dealer.flush()
 
-    return docs.mapInPandas(run, PACKED)
+    return docs.select(DOC, ROW, utf8().alias("text")).mapInPandas(run, PACKED)
 
 
 def merge(doc: np.ndarray, row: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -246,7 +293,7 @@ def merge(doc: np.ndarray, row: np.ndarray, start: np.ndarray, size: np.ndarray)
     doc, row, start = doc[order], row[order], start[order].astype(np.int64)
     end = start + size[order]
     if not len(doc):
-        return doc, row, start, end.astype(np.int32)
+        return doc, row, start, end.astype(np.int64)
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (row[1:] != row[:-1])
     # So that ends can run up over all texts at once, lift each text above the one before.
@@ -256,7 +303,7 @@ def merge(doc: np.ndarray, row: np.ndarray, start: np.ndarray, size: np.ndarray)
     head[1:] |= start[1:] > reach[:-1]
     at = np.flatnonzero(head)
     last = np.append(at[1:], len(doc)) - 1
-    return doc[at], row[at], start[at], (reach[last] - start[at]).astype(np.int32)
+    return doc[at], row[at], start[at], (reach[last] - start[at]).astype(np.int64)
 
 
 def packed_by_text(doc: np.ndarray, row: np.ndarray, start: np.ndarray, size: np.ndarray) -> pd.DataFrame:
@@ -268,7 +315,22 @@ def packed_by_text(doc: np.ndarray, row: np.ndarray, start: np.ndarray, size: np
     pairs = np.stack((start, start + size), 1)
     edges = np.append(at, len(doc))
     spans = [pairs[i:j].tobytes() for i, j in zip(edges[:-1], edges[1:], strict=True)]
-    return pd.DataFrame({"doc": doc[at], "row": row[at], "spans": spans})
+    return pd.DataFrame({DOC: doc[at], ROW: row[at], "spans": spans})
+
+
+def reordered(strings: bytes, at: np.ndarray, size: np.ndarray) -> bytes:
+    """The strings that begin ``at``, in that order, with a space after each but the last."""
+    data = np.frombuffer(strings + b" ", np.uint8)
+    ends = np.cumsum(size + 1)
+    out = np.empty(len(data) if len(size) else 0, np.uint8)
+    i = 0
+    while i < len(size):
+        start = ends[i] - size[i] - 1
+        j = max(i + 1, int(np.searchsorted(ends, start + SLICE_BYTES, side="right")))
+        to = np.arange(start, ends[j - 1])
+        out[to] = data[to + np.repeat(at[i:j] - (ends[i:j] - size[i:j] - 1), size[i:j] + 1)]
+        i = j
+    return out[:-1].tobytes()
 
 
 Judge = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes], tuple[np.ndarray, ...]]
@@ -283,31 +345,29 @@ def verdicts(dealt: DataFrame, judge: Judge) -> DataFrame:
     """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        known = (frame["bucket"] < 0).to_numpy()
-
-        def column(name: str, kind, rows) -> np.ndarray:
-            return np.frombuffer(b"".join(frame[name][rows]), kind)
-
-        doc, row, unit = (column(name, np.int64, ~known) for name in ("docs", "rows", "starts"))
-        size = column("sizes", np.int32, ~known).astype(np.int64)
-        strings = b" ".join(
-            pa.decompress(s, decompressed_size=int(n), codec="zstd", asbytes=True)
-            for s, n in zip(frame["strings"][~known], frame["raw"][~known], strict=True)
-        )
+        mine, known, texts = [np.empty((4, 0), np.int64)], [np.empty((4, 0), np.int64)], []
+        for bucket, n, size, block in frame[["bucket", "n", "bytes", "block"]].itertuples(index=False):
+            arrays, joined = unpack(n, size, block)
+            (known if bucket < 0 else mine).append(arrays)
+            if bucket >= 0:
+                texts.append(joined)
+        (doc, row, unit, size), strings = np.concatenate(mine, 1), b" ".join(texts)
+        del texts
         order = np.lexsort((unit, row, doc))
-        at = (np.cumsum(size + 1) - (size + 1))[order].tolist()
+        at = (np.cumsum(size + 1) - (size + 1))[order]
         doc, row, unit, size = doc[order], row[order], unit[order], size[order]
-        strings = b" ".join([strings[a : a + n] for a, n in zip(at, size.tolist(), strict=True)])
+        strings = reordered(strings, at, size)
         which, start, length = judge(doc, row, unit, size, strings)
+        before = np.concatenate(known, 1)
         return packed_by_text(
-            np.concatenate((doc[which], column("docs", np.int64, known))),
-            np.concatenate((row[which], column("rows", np.int64, known))),
-            np.concatenate((unit[which] + start, column("starts", np.int64, known))),
-            np.concatenate((length, column("sizes", np.int32, known))),
+            np.concatenate((doc[which], before[0])),
+            np.concatenate((row[which], before[1])),
+            np.concatenate((unit[which] + start, before[2])),
+            np.concatenate((length, before[3])),
         )
 
     home = F.when(F.col("bucket") < 0, -1 - F.col("bucket")).otherwise(F.col("bucket"))
-    return dealt.groupBy(home.alias("home")).applyInPandas(run, SPANS)
+    return dealt.groupBy(home.alias("home")).applyInPandas(run, VERDICTS)
 
 
 def bucket_count(docs: DataFrame, bucket_bytes: int) -> int:
@@ -316,15 +376,10 @@ def bucket_count(docs: DataFrame, bucket_bytes: int) -> int:
     return min(max(16, -(-total // bucket_bytes)), (1 << 31) - 1)
 
 
-def with_spans(docs: DataFrame, spans: DataFrame, *columns: str) -> DataFrame:
-    """``docs`` with ``spans``: a list of its packed spans, NULL where nothing is to go."""
-    found = spans.groupBy(F.col("doc").alias("_doc"), F.col("row").alias("_row")).agg(
-        F.collect_list("spans").alias("spans")
-    )
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
-    keyed_ = docs.withColumn("_d", doc).withColumn("_r", F.xxhash64("text"))
-    on = (F.col("_d") == F.col("_doc")) & (F.col("_r") == F.col("_row"))
-    return keyed_.join(found, on, "left").drop("_d", "_r", "_doc", "_row")
+def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """``docs`` (keyed), its key replaced by the list of its packed spans; NULL if nothing is to go."""
+    found = spans.groupBy(DOC, ROW).agg(F.collect_list("spans").alias(SPANS))
+    return docs.join(found, [DOC, ROW], "left").drop(DOC, ROW)
 
 
 def union_spans(packed: list[bytes] | None) -> np.ndarray:
