@@ -60,12 +60,19 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return taken.select(*COLUMNS, "size", "source_size", "target", copies.alias("copy"))
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("quality classifier", good_quality),
-    ("MinHash near-dedup", one_of_each_group),
-    ("substring dedup", without_repeated_passages),
-    ("benchmark decontamination", uncontaminated),
-    ("mixing sources", mixed),
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _configured(stage: Stage) -> Stage:
+    return lambda spark, docs, sf_dir: stage(configure(spark), docs, sf_dir)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality classifier", _configured(good_quality)),
+    ("MinHash near-dedup", _configured(one_of_each_group)),
+    ("substring dedup", _configured(without_repeated_passages)),
+    ("benchmark decontamination", _configured(uncontaminated)),
+    ("mixing sources", _configured(mixed)),
 ]
 
 # The classifier is trained; SQL cannot express that.  tests/llm holds the brute-force version.
@@ -74,7 +81,7 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, applied to ``documents``."""
-    docs = table(configure(spark), sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), "pipeline")
     return docs
