@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from postarchive import schema as S
-from postarchive.session import broadcast_when, is_small
 
 BLOCK = 65_536
 
+# The reasons a sync reports.
 EXHAUSTED = "exhausted"
 AT_BOUNDARY = "reached known boundary"
 ENDED = "pagination ended"
@@ -27,14 +27,13 @@ def mark_known(feed: DataFrame, archive_keys: DataFrame) -> DataFrame:
 
     The only unknown row of a post is its first one, so the posts are reduced to
     their first positions before they meet the archive, and the flag comes back
-    by position, a key without hot values.  The archive's keys are cut to those
-    of the feed, without a shuffle of the archive when the feed is small.
+    by position, a key without hot values, which is unique in a feed (see
+    :func:`postarchive.sources.feed.split_valid`).  The archive's keys are cut to those
+    of the feed.
     """
     firsts = feed.groupBy("feed_id", "tweet_id").agg(F.min("pos").alias("pos"))
     asked = firsts.select("tweet_id").distinct()
-    held = archive_keys.select("tweet_id").join(
-        broadcast_when(is_small(feed), asked), "tweet_id", "left_semi"
-    )
+    held = archive_keys.select("tweet_id").join(asked, "tweet_id", "left_semi")
     fresh = firsts.join(held, "tweet_id", "left_anti").select(
         "feed_id", "pos", F.lit(False).alias("known")
     )

@@ -9,11 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postarchive.functions import scalars as X
-from postarchive.session import broadcast_when, is_small
 
 
-def clamp(limit: int, highest: int) -> int:
-    return max(1, min(int(limit), highest))
+def at_least_one(limit: int) -> int:
+    """``limit`` as it is; an error for one that asks for nothing."""
+    if int(limit) < 1:
+        raise ValueError(f"limit must be at least 1: {limit!r}")
+    return int(limit)
 
 
 def by_author(author: str) -> Column:
@@ -39,8 +41,6 @@ def in_folder(
     join does; the default keeps each post once.
     """
     matching = matching_folders(folders, folder).select(F.col("id").alias("folder_id"))
-    # A folder may hold most memberships, so they are not shuffled by folder.
-    matching = broadcast_when(is_small(matching), matching)
     members = memberships.join(matching, "folder_id", "left_semi").select("tweet_id")
     return posts.join(members, "tweet_id", "inner" if multiplicity == "bag" else "left_semi")
 

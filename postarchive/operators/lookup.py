@@ -6,11 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postarchive.functions import scalars as X
-from postarchive.session import broadcast_when, is_small
-
-# An id asked for more often than this is joined apart from the others.
-HOT_ROWS = 1_000_000
-
 
 def requested(references: DataFrame) -> DataFrame:
     """The different ids that rows of ``ref`` ask for, with ``n``, how often."""
@@ -19,37 +14,21 @@ def requested(references: DataFrame) -> DataFrame:
 
 
 def pick(posts: DataFrame, asked: DataFrame) -> DataFrame:
-    """The posts that are asked for; a small request filters them at the scan."""
-    ids = asked.select(F.col("ref_id").alias("tweet_id"))
-    return posts.join(broadcast_when(is_small(ids), ids), "tweet_id", "left_semi")
+    """The posts that are asked for."""
+    return posts.join(asked.select(F.col("ref_id").alias("tweet_id")), "tweet_id", "left_semi")
 
 
-def resolve(references: DataFrame, asked: DataFrame, found: DataFrame) -> DataFrame:
+def resolve(references: DataFrame, found: DataFrame) -> DataFrame:
     """Every reference with ``ref_id``, ``found`` and the columns of its post.
 
-    ``found`` holds each post once.  References without an id never reach a
-    join.  If the posts are too many to broadcast, ids that make up much of the
-    references are: what remains for the shuffle has no hot key.
+    ``found`` holds each post once.  References without an id never reach the join.
+    An id that makes up much of the references is on the left side alone, whose
+    partitions AQE splits.
     """
     keyed = references.withColumn("ref_id", X.reference_id(F.col("ref")))
     without_id = keyed.where(F.col("ref_id").isNull())
     with_id = keyed.where(F.col("ref_id").isNotNull())
-
-    def meet(some: DataFrame, posts: DataFrame) -> DataFrame:
-        return some.join(posts, some["ref_id"] == posts["tweet_id"], "left")
-
-    if is_small(asked):
-        hits = meet(with_id, F.broadcast(found))
-    else:
-        hot = asked.where(F.col("n") > HOT_ROWS).select("ref_id")
-        if is_small(hot):
-            hot = F.broadcast(hot)
-            hot_posts = found.join(hot, found["tweet_id"] == hot["ref_id"], "left_semi")
-            hits = meet(
-                with_id.join(hot, "ref_id", "left_semi"), F.broadcast(hot_posts)
-            ).unionByName(meet(with_id.join(hot, "ref_id", "left_anti"), found))
-        else:
-            hits = meet(with_id, found)
+    hits = with_id.join(found, with_id["ref_id"] == found["tweet_id"], "left")
     return hits.unionByName(without_id, allowMissingColumns=True).withColumn(
         "found", F.col("tweet_id").isNotNull()
     )

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postarchive.operators.merge import ARCHIVED
+
+def _before(observed: DataFrame):
+    """The order of archived rows: none, so that any observation comes after it."""
+    return F.lit(None).cast(observed.schema["seq"].dataType).alias("seq")
 
 
 def fold_memberships(memberships: DataFrame, observations: DataFrame) -> DataFrame:
@@ -20,7 +23,7 @@ def fold_memberships(memberships: DataFrame, observations: DataFrame) -> DataFra
         observations.where("complete").groupBy("tweet_id").agg(F.max("seq").alias("cut"))
     )
     seen = (
-        memberships.select("tweet_id", "folder_id", F.lit(ARCHIVED).cast("bigint").alias("seq"))
+        memberships.select("tweet_id", "folder_id", _before(observations))
         .unionByName(
             observations.select("tweet_id", F.explode("folder_ids").alias("folder_id"), "seq")
         )
@@ -56,7 +59,8 @@ def folder_ids_by_post(memberships: DataFrame) -> DataFrame:
 
 def upsert_folders(folders: DataFrame, observed: DataFrame) -> DataFrame:
     """Folder table after the observed ``id``, ``name``, ``seq`` rows; last name wins."""
-    rows = folders.select(
-        "id", "name", F.lit(ARCHIVED).cast("bigint").alias("seq")
-    ).unionByName(observed.select("id", "name", "seq"))
-    return rows.groupBy("id").agg(F.max_by("name", "seq").alias("name"))
+    rows = folders.select("id", "name", _before(observed)).unionByName(
+        observed.select("id", "name", "seq")
+    )
+    archived = F.max(F.when(F.col("seq").isNull(), F.col("name")))
+    return rows.groupBy("id").agg(F.coalesce(F.max_by("name", "seq"), archived).alias("name"))

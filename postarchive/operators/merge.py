@@ -2,7 +2,8 @@
 
 The merge is an order-dependent fold over the observations of a post, written
 as one grouped aggregate.  The archived row, if any, takes part as the first
-observation (``seq = -1``).  Because every function has a map-side partial, a
+observation (``_archived``).  ``seq`` may be a number or a struct, such as landing, feed
+and position.  Because every function has a map-side partial, a
 post observed millions of times reaches the reducer as one row per map task.
 
 Rules
@@ -30,9 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postarchive import schema as S
-from postarchive.session import broadcast_when, is_small
 
-ARCHIVED = -1
 ORIGIN_SEPARATOR = "+"
 
 
@@ -48,13 +47,14 @@ def nonempty(name: str) -> str:
 
 def last(value: str, condition: str, alias: str) -> str:
     """The value of the last row for which ``condition`` holds, NULL included."""
-    return f"max_by({value}, seq) FILTER (WHERE {condition}) AS {alias}"
+    return f"max_by({value}, _order) FILTER (WHERE {condition}) AS {alias}"
 
 
 def fold(rows: DataFrame, as_of: datetime) -> DataFrame:
     """Fold observations to one row per post.
 
-    ``rows`` has the columns of ``OBSERVATIONS``.  The result has the post
+    ``rows`` has the columns of ``OBSERVATIONS``, and ``_archived`` where archived rows
+    are among them.  The result has the post
     columns plus ``n_observations`` and ``_prior``, the archived row as a struct
     (NULL for a new post).
     """
@@ -74,20 +74,23 @@ def fold(rows: DataFrame, as_of: datetime) -> DataFrame:
             "_reason",
         ),
         f"flatten(collect_set(split(origin, '[+]')) FILTER (WHERE {nonempty('origin')})) AS _origins",
-        f"min_by(coalesce({nonempty('origin')}, false), seq) AS _origin_known",
-        "min_by(coalesce(first_seen_at, _observed), seq) AS _first_row_seen",
+        f"min_by(coalesce({nonempty('origin')}, false), _order) AS _origin_known",
+        "min_by(coalesce(first_seen_at, _observed), _order) AS _first_row_seen",
         "min(first_seen_at) AS _first_seen",
         "max(_observed) AS last_seen_at",
         "max(content_updated_at) AS _updated",
-        "min(seq) FILTER (WHERE content_updated_at IS NOT NULL) AS _updated_seq",
-        f"min(seq) FILTER (WHERE {has_content}) AS _content_seq",
-        f"min_by(_observed, seq) FILTER (WHERE {has_content}) AS _content_seen",
-        f"count_if(seq <> {ARCHIVED}) AS n_observations",
-        f"max_by(struct({', '.join(S.POST_COLUMNS)}), seq) FILTER (WHERE seq = {ARCHIVED}) AS _prior",
+        "min(_order) FILTER (WHERE content_updated_at IS NOT NULL) AS _updated_seq",
+        f"min(_order) FILTER (WHERE {has_content}) AS _content_seq",
+        f"min_by(_observed, _order) FILTER (WHERE {has_content}) AS _content_seen",
+        "count_if(NOT _archived) AS n_observations",
+        f"max_by(struct({', '.join(S.POST_COLUMNS)}), _order) FILTER (WHERE _archived) AS _prior",
     ]
     observed = F.coalesce("last_seen_at", F.lit(as_of))
+    if "_archived" not in rows.columns:
+        rows = rows.withColumn("_archived", F.lit(False))
+    order = F.struct((~F.col("_archived")).alias("observed"), F.col("seq").alias("seq"))
     folded = (
-        rows.withColumn("_observed", observed)
+        rows.withColumns({"_observed": observed, "_order": order})
         .groupBy(S.KEY)
         .agg(*[F.expr(a) for a in aggregates])
     )
@@ -126,11 +129,11 @@ def merge_observations(archive: DataFrame, observations: DataFrame, as_of: datet
     the cost follows the batch, not the archive.
     """
     keys = observations.select(S.KEY).distinct()
-    # The keys of a small batch filter the archive where it is scanned; only the
-    # rows that are left are shuffled.
-    keys = broadcast_when(is_small(keys), keys)
-    prior_rows = touched(archive, keys).withColumn("seq", F.lit(ARCHIVED).cast("bigint"))
-    folded = fold(prior_rows.unionByName(observations), as_of)
+    prior_rows = touched(archive, keys).withColumns(
+        {"seq": F.lit(None).cast(observations.schema["seq"].dataType), "_archived": F.lit(True)}
+    )
+    observed = observations.withColumn("_archived", F.lit(False))
+    folded = fold(prior_rows.unionByName(observed), as_of)
 
     def same(columns: list[str]) -> str:
         then = [f"_prior.{c}" for c in columns]

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from postarchive import schema as S
 from postarchive.functions import scalars as X
-from postarchive.session import broadcast_when, is_small
 
 
 def summary(posts: DataFrame, *extra: str) -> DataFrame:
@@ -21,8 +20,7 @@ def single_post(posts: DataFrame) -> DataFrame:
 
 def folder_names(memberships: DataFrame, folders: DataFrame) -> DataFrame:
     """Sorted folder names per post; memberships of unknown folders are left out."""
-    names = broadcast_when(is_small(folders), folders)
-    named = memberships.join(names, memberships["folder_id"] == names["id"])
+    named = memberships.join(folders, memberships["folder_id"] == folders["id"])
     return named.groupBy("tweet_id").agg(
         F.array_sort(F.collect_list("name")).alias("folders")
     )
@@ -33,16 +31,15 @@ def attach_folders(
     keys: DataFrame,
     memberships: DataFrame,
     folders: DataFrame,
-    small: bool = False,
 ) -> DataFrame:
     """Add ``folders``, empty where a post is in none.
 
     ``keys`` holds the posts of ``results``; memberships are cut to them before
-    names are gathered.  ``small`` says that ``results`` may be broadcast.
+    names are gathered.
     """
-    wanted = broadcast_when(small, keys.select("tweet_id").distinct())
+    wanted = keys.select("tweet_id").distinct()
     names = folder_names(memberships.join(wanted, "tweet_id", "left_semi"), folders)
-    return results.join(broadcast_when(small, names), "tweet_id", "left").withColumn(
+    return results.join(names, "tweet_id", "left").withColumn(
         "folders", X.items(F.col("folders"))
     )
 

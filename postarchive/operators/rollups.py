@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from postarchive import schema as S
 from postarchive.functions import scalars as X
-from postarchive.operators.filters import clamp
+from postarchive.operators.filters import at_least_one
 
 
 def counts(posts: DataFrame, folders: DataFrame) -> DataFrame:
@@ -52,7 +52,7 @@ def top_authors(posts: DataFrame, limit: int = 50, min_posts: int = 2) -> DataFr
         )
         .where(F.col("bookmarks") >= min_posts)
         .orderBy(F.desc("bookmarks"), "author_handle")
-        .limit(clamp(limit, S.LIMIT_AUTHORS))
+        .limit(at_least_one(limit))
     )
 
 

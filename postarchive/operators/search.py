@@ -5,8 +5,8 @@ prefix (``durable-obj`` finds "durable objects").  Posts matching all phrases of
 a query win; only when no post does, posts matching any phrase are returned.
 The ranking is BM25 over all columns.
 
-Plan: the query tokens are probed against the postings.  The matching rows are
-shuffled once, by post.  Phrase matching, term frequencies and scores
+Plan: the query tokens are matched to the vocabulary, and the terms found to the
+postings.  The matching rows are shuffled once, by post.  Phrase matching, term frequencies and scores
 are all computed per post in that partitioning, and each task cuts its own top k
 before the k rows per query are brought together.  A frequent term is spread
 over the posts that contain it, so no task holds one term or one query.
@@ -15,7 +15,6 @@ over the posts that contain it, so no task holds one term or one query.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,9 +23,8 @@ from pyspark.sql import functions as F
 from postarchive import schema as S
 from postarchive.functions import text as T
 from postarchive.functions.stem import stems
-from postarchive.operators.filters import clamp
+from postarchive.operators.filters import at_least_one
 from postarchive.operators.index import Index
-from postarchive.session import BROADCAST_ROWS, broadcast_when
 
 # BM25 parameters and the floor of the inverse document frequency.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
@@ -35,11 +33,6 @@ SCORE_DIGITS = 6
 
 MATCH_ALL, MATCH_ANY = "all", "any"
 
-# The phrases of a batch up to this size are fetched and planned as a local table.
-LOCAL_PHRASES = 10_000
-# Up to this many tokens, as of a single query, are given to the scan as literals.
-MAX_PUSHED_TOKENS = 32
-
 
 def require_terms(query: str) -> None:
     """ValueError for a query without any term character."""
@@ -89,167 +82,83 @@ def phrase_tokens(phrases: DataFrame) -> DataFrame:
     ).withColumn("is_prefix", F.col("offset") == F.col("n_tokens") - 1)
 
 
-@dataclass
-class Batch:
-    """The phrases of a batch of queries, and what is known about their tokens."""
-
-    phrases: DataFrame
-    small: bool  # phrases and tokens may be broadcast
-    shortest: int  # token lengths
-    longest: int
-    has_words: bool  # there are phrases of one token
-    has_phrases: bool  # there are phrases of several tokens
-    tokens: list[str]  # the different tokens, if they are few
-
-    def of(self, phrases: DataFrame) -> DataFrame:
-        return broadcast_when(self.small, phrases)
+def tokens_of(phrases: DataFrame) -> list[str]:
+    """The different tokens of the phrases of one query, fetched."""
+    rows = phrases.select(F.explode(F.split("phrase", " ")).alias("token")).distinct().collect()
+    return sorted(r["token"] for r in rows)
 
 
-def prepare(queries: DataFrame, stem: bool) -> Batch:
-    """Phrases of the queries, measured by one job.
+def matching_terms(terms: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Rows of ``terms`` (``term`` once) with each ``token`` that matches the term.
 
-    The phrases of a small batch are fetched and become a local table, so that
-    they are not computed again wherever the plan uses them.
+    ``tokens`` has ``token`` and ``is_prefix``.  Each term is repeated for its leading
+    parts, which makes prefix matching an equi-join; only the vocabulary is repeated,
+    never the postings.
     """
-    phrases = query_phrases(queries, stem)
-    fetched = phrases.limit(LOCAL_PHRASES + 1).toArrow()
-    if fetched.num_rows <= LOCAL_PHRASES:
-        token_lists = [p.split(" ") for p in fetched.column("phrase").to_pylist()]
-        tokens = {token for tokens in token_lists for token in tokens}
-        lengths = [len(token) for token in tokens] or [1]
-        return Batch(
-            phrases=queries.sparkSession.createDataFrame(fetched, phrases.schema).coalesce(1),
-            small=True,
-            shortest=min(lengths),
-            longest=max(lengths),
-            has_words=any(len(tokens) == 1 for tokens in token_lists) or not token_lists,
-            has_phrases=any(len(tokens) > 1 for tokens in token_lists),
-            tokens=sorted(tokens) if len(tokens) <= MAX_PUSHED_TOKENS else [],
-        )
-    row = (
-        phrases.select(F.split("phrase", " ").alias("tokens"))
-        .select(F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
-        .agg(
-            F.count("*").alias("n"),
-            F.min(F.length("token")).alias("shortest"),
-            F.max(F.length("token")).alias("longest"),
-            F.min("size").alias("fewest"),
-            F.max("size").alias("most"),
-        )
-        .first()
-    )
-    return Batch(
-        phrases=phrases,
-        small=row["n"] <= BROADCAST_ROWS,
-        shortest=row["shortest"],
-        longest=row["longest"],
-        has_words=row["fewest"] == 1,
-        has_phrases=row["most"] > 1,
-        tokens=[],
+    sizes = F.sequence(F.lit(1), F.greatest(F.length("term"), F.lit(1)))
+    parts = terms.select("*", F.explode_outer(sizes).alias("part_size")).withColumn(
+        "part", F.col("term").substr(F.lit(1), F.col("part_size"))
     )
+    whole = F.col("part") == F.col("term")
+    return parts.join(
+        tokens.select("token", "is_prefix").distinct(),
+        (F.col("part") == F.col("token")) & (F.col("is_prefix") | whole),
+    ).drop("part", "part_size")
 
 
-def offer_parts(rows: DataFrame, term: str, batch: Batch) -> DataFrame:
-    """Repeat rows for every leading part of ``term`` that is as long as a token can be.
+def phrase_frequencies(
+    index: Index, phrases: DataFrame, pushed: list[str] | None = None
+) -> DataFrame:
+    """``tweet_id``, ``dl``, ``phrase``, ``tf``: occurrences of each phrase in each post.
 
-    This makes prefix matching an equi-join on ``part``.
+    The vocabulary is matched first.  The postings of matching terms are shuffled once,
+    by post.  One-token phrases add up the frequencies of their terms; for longer ones
+    the postings of a post are laid side by side, and neighbours are matched to the word
+    pairs of the phrases.  ``pushed``, the tokens of a single query, reach the scan of a
+    stored index as literal prefixes and skip its files.
     """
-    size = F.length(term)
-    parts = F.sequence(
-        F.lit(batch.shortest), F.greatest(F.least(size, F.lit(batch.longest)), F.lit(batch.shortest))
-    )
-    return (
-        rows.where(size >= batch.shortest)
-        .select("*", F.explode_outer(parts).alias("part_size"))
-        .withColumn("part", F.col(term).substr(F.lit(1), F.col("part_size")))
-        .drop("part_size")
-    )
-
-
-def matches(term: str) -> Column:
-    """Whether the token that equals ``part`` matches all of ``term``."""
-    return F.col("is_prefix") | (F.col("part") == F.col(term))
-
-
-def _candidates(index: Index, batch: Batch) -> DataFrame:
-    """The postings, cut at the scan when the query tokens are few."""
-    if not batch.tokens:
-        return index.postings
-    # Literal prefixes reach the scan, which skips files and row groups by them.
-    wanted = [F.col("term").startswith(token) for token in batch.tokens]
-    return index.postings.where(reduce(Column.__or__, wanted))
-
+    postings = index.postings
+    if pushed:
+        postings = postings.where(
+            reduce(Column.__or__, [F.col("term").startswith(token) for token in pushed])
+        )
+    tokens = phrase_tokens(phrases)
+    terms = matching_terms(postings.select("term").distinct(), tokens)
+    rows = postings.join(terms.select("term").distinct(), "term", "left_semi").repartition(S.KEY)
 
-def _word_frequencies(index: Index, words: DataFrame, batch: Batch) -> DataFrame:
-    """Frequencies of one-token phrases, partitioned by post."""
-    words = words.select(F.col("phrase").alias("token")).distinct()
-    rows = (
-        offer_parts(_candidates(index, batch).select(S.KEY, "dl", "term"), "term", batch)
-        .join(batch.of(words), F.col("part") == F.col("token"))
-        .select(S.KEY, "dl", F.col("token").alias("phrase"))
+    single = tokens.where(F.col("n_tokens") == 1).select(F.col("token").alias("phrase")).distinct()
+    word_terms = terms.where("is_prefix").join(single, F.col("token") == F.col("phrase"), "left_semi")
+    words = (
+        rows.groupBy(S.KEY, "dl", "term").agg(F.count("*").alias("n"))
+        .join(word_terms.select("term", F.col("token").alias("phrase")).distinct(), "term")
+        .groupBy(S.KEY, "dl", "phrase").agg(F.sum("n").alias("tf"))
     )
-    return rows.repartition(S.KEY).groupBy(S.KEY, "dl", "phrase").agg(F.count("*").alias("tf"))
-
 
-def _phrase_frequencies(index: Index, phrases: DataFrame, batch: Batch) -> DataFrame:
-    """Frequencies of phrases of several tokens, partitioned by post.
-
-    Tokens are matched to postings without regard to phrases, the matching
-    postings of a post are laid side by side, and neighbours are matched to the
-    word pairs of the phrases.  So a frequent word costs its occurrences once,
-    not once per phrase it is part of.
-    """
-    tokens = phrase_tokens(phrases)
-    rows = (
-        offer_parts(_candidates(index, batch), "term", batch)
-        .join(
-            batch.of(tokens.select("token", "is_prefix").distinct()),
-            (F.col("part") == F.col("token")) & matches("term"),
-        )
-        .select(S.KEY, "dl", "col", "pos", "term")
-        .repartition(S.KEY)
-        .dropDuplicates([S.KEY, "col", "pos"])
-    )
     along = Window.partitionBy(S.KEY, "col").orderBy("pos")
     pairs = (
         rows.withColumn("next_pos", F.lead("pos").over(along))
         .withColumn("next_term", F.lead("term").over(along))
         .where(F.col("next_pos") == F.col("pos") + 1)
     )
-    after = tokens.select(
-        "phrase", (F.col("offset") - 1).alias("offset"),
-        F.col("token").alias("second"), "is_prefix",
+    after = tokens.where("offset > 0").select(
+        "phrase", (F.col("offset") - 1).alias("offset"), F.col("token").alias("second"),
+        F.col("is_prefix").alias("cut"),
     )
     wanted = (
         tokens.select("phrase", "n_tokens", "offset", F.col("token").alias("first"))
         .join(after, ["phrase", "offset"])
+        .join(terms, (F.col("second") == F.col("token")) & (F.col("cut") == F.col("is_prefix")))
+        .select("phrase", "n_tokens", "offset", "first", F.col("term").alias("second_term"))
     )
     occurrences = (
-        offer_parts(pairs, "next_term", batch)
-        .join(
-            batch.of(wanted),
-            (F.col("term") == F.col("first"))
-            & (F.col("part") == F.col("second"))
-            & matches("next_term"),
-        )
+        pairs.join(wanted, (F.col("term") == F.col("first")) & (F.col("next_term") == F.col("second_term")))
         .groupBy(
             S.KEY, "dl", "col", "phrase", "n_tokens", (F.col("pos") - F.col("offset")).alias("start")
         )
         .agg(F.count("*").alias("n_pairs"))
         .where(F.col("n_pairs") == F.col("n_tokens") - 1)
     )
-    return occurrences.groupBy(S.KEY, "dl", "phrase").agg(F.count("*").alias("tf"))
-
-
-def phrase_frequencies(index: Index, batch: Batch) -> DataFrame:
-    """``tweet_id``, ``dl``, ``phrase``, ``tf``: occurrences of each phrase in each post."""
-    is_word = ~F.col("phrase").contains(" ")
-    if not batch.has_phrases:
-        return _word_frequencies(index, batch.phrases, batch)
-    several = _phrase_frequencies(index, batch.phrases.where(~is_word), batch)
-    if not batch.has_words:
-        return several
-    words = _word_frequencies(index, batch.phrases.where(is_word), batch)
+    several = occurrences.groupBy(S.KEY, "dl", "phrase").agg(F.count("*").alias("tf"))
     return words.unionByName(several)
 
 
@@ -266,6 +175,7 @@ def rank(
     index: Index,
     k: int = 25,
     eligible: DataFrame | None = None,
+    one: bool = False,
 ) -> DataFrame:
     """``query_id``, ``rank``, ``tweet_id``, ``score``, ``match_mode``.
 
@@ -273,13 +183,15 @@ def rank(
     that restricts that query alone.  ``eligible`` (``tweet_id``, and
     ``author_handle`` for author queries) restricts the posts of all queries.
     Restrictions play a part in the choice between all and any, but not in the
-    term statistics.
+    term statistics.  ``one`` says that there is one query; its tokens are fetched and
+    reach the scan.
     """
     per_author = "author" in queries.columns
-    batch = prepare(queries, index.stemmed)
-    tf = phrase_frequencies(index, batch)
-    # At most one row per query phrase.
-    df = tf.groupBy("phrase").agg(F.count("*").alias("df"))
+    k = at_least_one(k)
+    phrases = query_phrases(queries, index.stemmed)
+    tf = phrase_frequencies(index, phrases, tokens_of(phrases) if one else None)
+    # The query phrases meet their statistics first, so the large side is joined once.
+    asked = phrases.join(tf.groupBy("phrase").agg(F.count("*").alias("df")), "phrase")
 
     if eligible is not None:
         facts = eligible.select(S.KEY, *(["author_handle"] if per_author else []))
@@ -290,7 +202,7 @@ def rank(
         * idf(F.col("df"), corpus["n"])
         * bm25(F.col("tf"), F.col("dl"), corpus["mean_length"])
     )
-    matches = tf.join(batch.of(df), "phrase").join(batch.of(batch.phrases), "phrase")
+    matches = tf.join(asked, "phrase")
     if per_author:
         handle, wanted = F.col("author_handle"), F.col("author")
         matches = matches.where(
@@ -306,7 +218,7 @@ def rank(
         F.desc("all_matched"), F.desc("score"), S.KEY
     )
     top = scored.withColumn("rank", F.row_number().over(best_first)).where(
-        F.col("rank") <= clamp(k, S.LIMIT_RESULTS)
+        F.col("rank") <= k
     )
     any_full = F.max("all_matched").over(Window.partitionBy("query_id"))
     return (

@@ -14,11 +14,9 @@ from postarchive.functions import scalars as X
 from postarchive.operators import filters, index as ix, lookup, projections, rollups, selftest
 from postarchive.operators.guard import read_only
 from postarchive.operators.search import rank, require_terms
-from postarchive.session import broadcast_when, is_small
 
 PASS, WARN, FAIL = "pass", "warn", "fail"
 # Lookups of up to this many posts give the ids to the scans as literals.
-PUSHED_KEYS = 200
 
 
 @dataclass
@@ -40,12 +38,9 @@ class Archive:
 
         Filters are ``author``, ``folder``, ``since`` and ``until``.
         """
-        k = filters.clamp(limit, S.LIMIT_RESULTS)
-        hits = rank(queries, self.index, k, self._eligible(**filters_))
-        # At most k rows per query.
-        small = is_small(queries, k)
-        found = projections.summary(self.posts).join(broadcast_when(small, hits), S.KEY)
-        return self._with_folders(found, hits, small)
+        hits = rank(queries, self.index, limit, self._eligible(**filters_))
+        found = projections.summary(self.posts).join(hits, S.KEY)
+        return self._with_folders(found, hits)
 
     def search_one(self, query: str, limit: int = 25, **filters_) -> DataFrame:
         """Results of one query, best first; ValueError when it has no terms.
@@ -58,14 +53,14 @@ class Archive:
             pa.table({"query_id": ["q"], "query": [query]})
         )
         ranked = rank(
-            queries, self.index, filters.clamp(limit, S.LIMIT_RESULTS), self._eligible(**filters_)
+            queries, self.index, limit, self._eligible(**filters_), one=True
         ).drop("query_id")
         hits = ranked.toArrow()
         keys = F.col(S.KEY).isin(hits.column(S.KEY).to_pylist())
         local = self.spark.createDataFrame(hits, ranked.schema)
         found = projections.summary(self.posts.where(keys)).join(F.broadcast(local), S.KEY)
         return projections.attach_folders(
-            found, local, self.memberships.where(keys), self.folders, small=True
+            found, local, self.memberships.where(keys), self.folders
         ).orderBy("rank")
 
     def _eligible(
@@ -101,28 +96,18 @@ class Archive:
         top = (
             projections.summary(posts.withColumn("shown_at", shown), "shown_at", "first_seen_at")
             .orderBy(F.desc_nulls_last("shown_at"), F.desc(S.KEY))
-            .limit(filters.clamp(limit, S.LIMIT_RESULTS))
+            .limit(filters.at_least_one(limit))
         )
-        return self._with_folders(top, top, small=True).orderBy(
+        return self._with_folders(top, top).orderBy(
             F.desc_nulls_last("shown_at"), F.desc(S.KEY)
         )
 
     def get(self, references: DataFrame) -> DataFrame:
-        """Posts for rows of ``ref``, with ``found`` and folder names.
-
-        The ids of a few references reach the scan as literals.
-        """
+        """Posts for rows of ``ref``, with ``found`` and folder names."""
         asked = lookup.requested(references)
-        few = [r["ref_id"] for r in asked.limit(PUSHED_KEYS + 1).collect()]
-        posts, memberships = self.posts, self.memberships
-        if len(few) <= PUSHED_KEYS:
-            keys = F.col(S.KEY).isin(few)
-            posts, memberships = posts.where(keys), memberships.where(keys)
-        picked = projections.single_post(lookup.pick(posts, asked))
-        named = projections.attach_folders(
-            picked, picked, memberships, self.folders, is_small(asked)
-        )
-        return lookup.resolve(references, asked, named).withColumn(
+        picked = projections.single_post(lookup.pick(self.posts, asked))
+        named = projections.attach_folders(picked, picked, self.memberships, self.folders)
+        return lookup.resolve(references, named).withColumn(
             "folders", X.items(F.col("folders"))
         )
 
@@ -142,7 +127,7 @@ class Archive:
         self.folders.createOrReplaceTempView("folders")
         self.memberships.createOrReplaceTempView("bookmark_folders")
         rollups.latest_values(self.runs).createOrReplaceTempView("meta")
-        return self.spark.sql(checked).limit(filters.clamp(limit, S.LIMIT_SQL))
+        return self.spark.sql(checked).limit(filters.at_least_one(limit))
 
     def integrity(self) -> DataFrame:
         return ix.integrity(self.posts, self.index.docs)
@@ -205,7 +190,5 @@ class Archive:
             .unionByName(dangling).unionByName(freshness)
         )
 
-    def _with_folders(self, results: DataFrame, keys: DataFrame, small: bool) -> DataFrame:
-        return projections.attach_folders(
-            results, keys, self.memberships, self.folders, small
-        )
+    def _with_folders(self, results: DataFrame, keys: DataFrame) -> DataFrame:
+        return projections.attach_folders(results, keys, self.memberships, self.folders)

@@ -135,13 +135,14 @@ def normalize_export(spark, sf_dir):
     both = parsed.entries.select(*exports.post_columns(), *exports.membership_columns())
     shown = both.withColumns(
         {
+            "file_path": F.col("seq.file"),
             "media_url": F.get("media", F.lit(0))["url"],
             "n_tags": F.coalesce(F.size("entities.hashtags"), F.lit(0)),
         }
     )
     return flat(
         shown,
-        ["tweet_id", "seq", "url", "full_text", "lang", "created_at", "author_name",
+        ["tweet_id", "file_path", "url", "full_text", "lang", "created_at", "author_name",
          "author_handle", "likes", "views", "status", "hashtags", "links", "media_url",
          "n_tags", "origin", "first_seen_at", "last_seen_at", "complete", "folder_ids"],
     )
@@ -174,6 +175,7 @@ def normalize_feed(spark, sf_dir):
     good, _ = feeds.split_valid(records)
     shown = feeds.normalise_feed(good, B.AS_OF).withColumns(
         {
+            "pos": F.col("seq.pos"),
             "media_types": F.array_join("media.type", "|"),
             "media_urls": F.array_join("media.url", "|"),
             "n_tags": F.coalesce(F.size("entities.hashtags"), F.lit(0)),
@@ -181,7 +183,7 @@ def normalize_feed(spark, sf_dir):
     )
     return flat(
         shown,
-        ["tweet_id", "seq", "url", "full_text", "lang", "created_at", "conversation_id",
+        ["tweet_id", "pos", "url", "full_text", "lang", "created_at", "conversation_id",
          "author_name", "author_handle", "author_followers", "likes", "status", "hashtags",
          "links", "media_types", "media_urls", "n_tags", "origin", "last_seen_at"],
     )

@@ -16,6 +16,8 @@ from postarchive.sources.store import DELTA, ArchiveStore
 QUICK, FULL = "quick", "full"
 # Input of a run as it was read, kept beside the versions.
 STAGING = "staging"
+# Records and files a run has set aside, with reasons.
+REJECTED = "rejected"
 
 
 @dataclass
@@ -26,6 +28,7 @@ class RunReport:
     summary: DataFrame
     outcomes: DataFrame  # per post: outcome, content_changed, n_observations
     rejected: DataFrame  # records or files set aside, with reasons
+    files: DataFrame | None = None  # of an import: the accepted files, with their counts
 
 
 def _now(as_of: datetime | None) -> datetime:
@@ -68,14 +71,15 @@ def import_exports(
     """
     as_of = _now(as_of)
     spark, version, before = store.spark, store.next_version(), store.snapshot()
-    parsed = exports.parse_exports(
-        exports.number_files(exports.read_export_files(spark, paths)), as_of
+    # One pass parses the files; everything after reads the staged rows.
+    staged = store.write(
+        STAGING, version, exports.read_parts(exports.read_export_files(spark, paths), as_of)
     )
-    # Files are parsed once; everything after reads the staged posts.
-    entries = store.write(STAGING, version, parsed.entries)
-    merged = write_merged(store, version, exports.normalise_entries(entries), as_of)
+    parsed = exports.split_parts(staged)
+    rejected = store.write(REJECTED, version, parsed.quarantine)
+    merged = write_merged(store, version, exports.normalise_entries(parsed.entries), as_of)
 
-    observed = exports.membership_entries(entries)
+    observed = exports.membership_entries(parsed.entries)
     # A partial observation without folders says nothing.
     telling = observed.where(F.col("complete") | (F.size("folder_ids") > 0))
     keys = telling.select("tweet_id").distinct()
@@ -96,8 +100,8 @@ def import_exports(
         ),
     )
     last = parsed.files.agg(
-        F.max_by("account", F.when(F.col("account") != "", F.col("file_no"))).alias("account"),
-        F.max_by("user_id", F.when(F.col("user_id") != "", F.col("file_no"))).alias("user_id"),
+        F.max_by("account", F.when(F.col("account") != "", F.col("file_path"))).alias("account"),
+        F.max_by("user_id", F.when(F.col("user_id") != "", F.col("file_path"))).alias("user_id"),
     ).first()
     store.add_runs(
         version,
@@ -113,9 +117,9 @@ def import_exports(
         "*",
         parsed.files.agg(F.count("*")).scalar().alias("files"),
         parsed.folders.agg(F.count("*")).scalar().alias("folders"),
-        parsed.quarantine.agg(F.count("*")).scalar().alias("errors"),
+        rejected.agg(F.count("*")).scalar().alias("errors"),
     )
-    return RunReport(version, summary, _outcomes(merged), parsed.quarantine)
+    return RunReport(version, summary, _outcomes(merged), rejected, parsed.files)
 
 
 def sync(
@@ -132,17 +136,17 @@ def sync(
     as_of = _now(as_of)
     version = store.next_version()
     good, bad = feeds.split_valid(feeds.read_feed(store.spark, path, limit))
-    keyed = good.withColumn("tweet_id", feeds.record_id())
+    rejected = store.write(REJECTED, version, bad)
+    # A feed is cut within a landing; the archive alone makes posts of others known.
+    place = F.struct("landing", "feed_id")
+    keyed = good.select(place.alias("feed_id"), "pos", feeds.record_id().alias("tweet_id"))
     known = store.posts().select(S.KEY)
     cut = (
         boundary.quick_cut(keyed, known, stop_after)
         if mode == QUICK
         else boundary.full_cut(keyed, known, limit)
-    )
-    taken = store.write(
-        STAGING, version,
-        good.join(cut.select("feed_id", "pos", "stopped_reason"), ["feed_id", "pos"]),
-    )
+    ).select("feed_id.landing", "feed_id.feed_id", "pos", "stopped_reason")
+    taken = store.write(STAGING, version, good.join(cut, feeds.PLACE))
     merged = write_merged(store, version, feeds.normalise_feed(taken, as_of), as_of)
     reasons = F.array_join(F.array_sort(F.collect_set("stopped_reason")), "; ")
     summary = (
@@ -167,7 +171,7 @@ def sync(
     )
     store.commit(version, DELTA)
     result = store.spark.createDataFrame([row], summary.schema)
-    return RunReport(version, result, _outcomes(merged), bad)
+    return RunReport(version, result, _outcomes(merged), rejected)
 
 
 def _outcomes(merged: DataFrame) -> DataFrame:

@@ -229,7 +229,7 @@ CREATED = "(TIMESTAMP '2024-01-01' + to_minutes(doc_id * 37))"
 
 ORACLES["normalize_export"] = f"""SELECT
   CAST({FIRST_ID} + doc_id AS VARCHAR) AS tweet_id,
-  doc_id * 4294967296 AS seq,
+  'file-' || CAST(doc_id AS VARCHAR) AS file_path,
   CASE WHEN doc_id % 4 <> 0
        THEN 'https://x.com/' || source || '/status/' || CAST({FIRST_ID} + doc_id AS VARCHAR)
        ELSE 'https://x.com/i/status/' || CAST({FIRST_ID} + doc_id AS VARCHAR) END AS url,
@@ -268,7 +268,7 @@ FROM documents WHERE doc_id % 2 = 1 AND doc_id % 17 <> 0 AND doc_id % 19 <> 0"""
 )
 
 ORACLES["normalize_feed"] = f"""SELECT
-  CAST({FIRST_ID} + doc_id AS VARCHAR) AS tweet_id, doc_id AS seq,
+  CAST({FIRST_ID} + doc_id AS VARCHAR) AS tweet_id, doc_id AS pos,
   CASE WHEN doc_id % 5 = 0 THEN 'https://x.com/a/status/'
        WHEN doc_id % 4 = 0 THEN 'https://x.com/i/status/'
        ELSE 'https://x.com/' || source || '/status/' END
@@ -356,19 +356,18 @@ FROM posts"""
 
 # --- search -----------------------------------------------------------------
 
-WORDS_4 = r"regexp_extract_all(text, '\p{L}{4,}')"
-WORDS = r"regexp_extract_all(text, '\p{L}+')"
+WORDS = r"list_append(regexp_extract_all(text, '\p{L}+'), '')"
 
-SEARCH_QUERIES = f"""queries AS (
+SEARCH_QUERIES = """queries AS (
+  SELECT CAST(item_id AS VARCHAR) AS query_id, text AS query FROM benchmark)"""
+FALLBACK_QUERIES = """queries AS (
   SELECT CAST(item_id AS VARCHAR) AS query_id,
-         array_to_string({WORDS_4}[1:2], ' ') AS query FROM benchmark)"""
-FALLBACK_QUERIES = f"""queries AS (
-  SELECT CAST(item_id AS VARCHAR) AS query_id,
-         array_to_string({WORDS_4}[1:2], ' ')
-           || CASE WHEN item_id % 2 = 0 THEN ' zzqx9' ELSE '' END AS query FROM benchmark)"""
+         text || CASE WHEN item_id % 2 = 0 THEN ' zzqx9' ELSE '' END AS query FROM benchmark)"""
 PHRASE_QUERIES = f"""queries AS (
-  SELECT CAST(item_id AS VARCHAR) AS query_id,
-         {WORDS}[1] || '-' || left({WORDS}[2], 2) AS query FROM benchmark)"""
+  SELECT query_id, array_to_string(list_transform(
+           generate_series(1, greatest(len(ws) // 2, 1)),
+           i -> ws[2 * i - 1] || '-' || left(coalesce(ws[2 * i], ''), 2)), ' ') AS query
+  FROM (SELECT CAST(item_id AS VARCHAR) AS query_id, {WORDS} AS ws FROM benchmark) w)"""
 
 PHRASES = rf"""terms AS (
   SELECT query_id, unnest(regexp_extract_all(query, '[\p{{L}}\p{{N}}_@#.\-]+')) AS term
@@ -518,14 +517,13 @@ SELF_TEST = [
   LEFT JOIN longest l ON l.tweet_id = p.tweet_id
   WHERE length(p.full_text) > 80),
 queries AS (
-  SELECT tweet_id AS query_id, token AS query FROM plan WHERE token IS NOT NULL)""",
+  SELECT DISTINCT token AS query_id, token AS query FROM plan WHERE token IS NOT NULL)""",
     PHRASES,
     SCORES.format(eligible=""),
     """tested AS (
   SELECT p.tweet_id, p.mode, p.token, count(r.tweet_id) AS hits,
          count(*) FILTER (WHERE r.tweet_id = p.tweet_id) > 0 AS found
-  FROM plan p LEFT JOIN ranked r ON r.query_id = p.tweet_id
-   AND r.rank <= CASE WHEN p.mode = 'unique-token' THEN 10 ELSE 200 END
+  FROM plan p LEFT JOIN ranked r ON r.query_id = p.token
   GROUP BY p.tweet_id, p.mode, p.token),
 self_tests AS (
   SELECT *, CASE WHEN mode = 'unique-token' THEN found END AS author_filter_ok, found AS ok

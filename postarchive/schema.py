@@ -144,10 +144,11 @@ EXPORT_ENTRY = f"""
     _malformed string
 """
 
-# One landed feed record per JSON line.  ``feed_id``, ``pos`` (0 = newest) and
-# ``observed_at`` are added by whoever lands the feed.
+# One landed feed record per JSON line.  ``feed_id``, ``pos`` (0 = newest),
+# ``observed_at`` and ``landing`` are added by whoever lands the feed; without a
+# ``landing`` every file is one.
 FEED = f"""
-    feed_id string, pos bigint, observed_at string,
+    feed_id string, pos bigint, observed_at string, landing string,
     id_str string, id string, url string, rawContent string, lang string,
     date string, sourceUrl string, sourceLabel string,
     conversationIdStr string, conversationId string,

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 
 # Settings the library relies on.  Timestamps are instants that are shown and
 # cut into days and months in UTC; the rest only matters for speed.
@@ -13,18 +12,18 @@ RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Split a skewed side of a join even where that costs one more shuffle.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # The fold keeps ~50 values per key, so hashing pays for more than the
     # default 128 keys before the aggregate turns to sorting.
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",
+    # Texts may be long: bound what a Python worker is handed at once.
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
     # Id lists of lookups are compared with row-group statistics one by one.
     "spark.sql.parquet.pushdown.inFilterThreshold": "200",
 }
 
-# A side is broadcast by hint only if it is known to have at most this many rows.
-BROADCAST_ROWS = 200_000
-
-
 def configure(spark: SparkSession) -> SparkSession:
     """Apply :data:`RUNTIME_CONF` to a running session."""
     for key, value in RUNTIME_CONF.items():
@@ -32,34 +31,6 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def is_small(df: DataFrame, rows_each: int = 1) -> bool:
-    """Whether ``df``, at ``rows_each`` result rows per row, may be broadcast.
-
-    Costs one job that reads at most ``BROADCAST_ROWS + 1`` rows of ``df``, so it
-    is meant for frames that are cheap to compute, such as a batch of queries.
-    """
-    most = BROADCAST_ROWS // rows_each
-    return df.limit(most + 1).count() <= most
-
-
-def broadcast_when(small: bool, df: DataFrame) -> DataFrame:
-    """``df`` marked for broadcast if ``small``; else AQE picks the join and splits skewed keys."""
-    return F.broadcast(df) if small else df
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """``df`` over all cores when its scan has fewer splits than there are cores.
-
-    For expensive row-wise work on small inputs.  A large input has more splits
-    than cores and is returned as it is, so there it costs no shuffle.  The rows
-    are not left partitioned by ``key`` itself: a later shuffle by ``key`` then
-    happens after the expensive work, where its result can be used twice.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    few = df.rdd.getNumPartitions() < cores
-    return df.repartition(cores, F.xxhash64(key)) if few else df
-
-
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder name below the cluster's shared work folder.
 

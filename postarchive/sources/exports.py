@@ -11,21 +11,24 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postarchive import schema as S
 from postarchive.functions import scalars as X
 
-# ``seq`` of a post is its place in arrival order: file number, then position.
-POSTS_PER_FILE = 2**32
+FILE, POST, FOLDER = "file", "post", "folder"
 
 
 @dataclass
 class Export:
-    """The parts of a set of export files."""
+    """The parts of a set of export files.
 
-    files: DataFrame  # file_path, file_no, account columns, one row per accepted file
+    ``seq``, the arrival order of posts and folders, is the path of the file, then the
+    position in it.
+    """
+
+    files: DataFrame  # file_path, account columns, counts; one row per accepted file
     entries: DataFrame  # one row per well-formed post: file columns, pos, seq, post
     folders: DataFrame  # id, name, seq
     quarantine: DataFrame  # file_path, pos, reason, raw
@@ -39,83 +42,109 @@ def read_export_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     )
 
 
-def number_files(files: DataFrame) -> DataFrame:
-    """Add ``file_no``, the rank of ``file_path``: files arrive in path order.
+def once(**columns: Column) -> Column:
+    """Columns behind a generator, so that a filter above it does not compute them again."""
+    return F.inline(F.array(F.struct(*(c.alias(name) for name, c in columns.items()))))
+
 
-    Only the distinct paths, never file contents, pass the unpartitioned window.
+def read_parts(files: DataFrame, as_of: datetime) -> DataFrame:
+    """Export texts (``file_path``, ``value``) as rows tagged file, post or folder.
+
+    One pass parses a file once and each of its posts and folders once; ``reason``
+    marks what is to be set aside.  A job writes these rows before it splits them.
     """
-    ranks = files.select("file_path").distinct().withColumn(
-        "file_no", F.row_number().over(Window.orderBy("file_path")).cast("bigint")
+    corrupt = {"columnNameOfCorruptRecord": "_malformed"}
+    parsed = files.select(
+        "file_path", "value", once(doc=F.from_json("value", S.EXPORT + ", _malformed string", corrupt))
+    )
+    doc, meta = F.col("doc"), F.col("doc.export_metadata")
+    # Only a number counts as a version; as text it is any other label.
+    numbered = F.col("value").rlike(r'"schema_version"\s*:\s*[0-9]')
+    broken = doc["_malformed"].isNotNull() & F.get_json_object("value", "$").isNull()
+    refused = (
+        F.when(~F.col("value").rlike(r"^\s*\{"), "not a JSON object")
+        .when(doc.isNull() | broken, "invalid JSON")
+        .when(doc["bookmarks"].isNull(), "no bookmarks array")
+        .when(
+            (meta["schema_version"].try_cast("double") > S.MAX_EXPORT_VERSION) & numbered,
+            "unsupported schema version",
+        )
     )
-    return files.join(ranks, "file_path")
 
+    def tagged(part: str, raws: Column) -> Column:
+        rows = F.transform(
+            raws, lambda raw, i: F.struct(F.lit(part).alias("part"), i.alias("pos"), raw.alias("raw"))
+        )
+        return F.coalesce(rows, F.array().cast("array<struct<part:string,pos:int,raw:string>>"))
 
-def parse_exports(files: DataFrame, as_of: datetime) -> Export:
-    """Split export texts (``file_path``, ``file_no``, ``value``) into their parts."""
-    doc = F.from_json("value", S.EXPORT, {"mode": "PERMISSIVE"})
-    parsed = files.select("file_path", "file_no", "value", doc.alias("doc"))
-    meta = F.col("doc.export_metadata")
-    version = meta["schema_version"].try_cast("double")
-    checked = parsed.withColumn(
-        "reason",
-        F.when(~F.ltrim("value").startswith("{"), "not a JSON object")
-        .when(F.col("doc").isNull(), "invalid JSON")
-        .when(F.col("doc.bookmarks").isNull(), "no bookmarks array")
-        .when(version > S.MAX_EXPORT_VERSION, "unsupported schema version"),
+    one_file = F.array(
+        F.struct(F.lit(FILE).alias("part"), F.lit(None).cast("int").alias("pos"), F.lit(None).cast("string").alias("raw"))
+    )
+    whole = F.array(
+        F.struct(F.lit(FILE).alias("part"), F.lit(None).cast("int").alias("pos"), F.col("value").alias("raw"))
     )
-    accepted = checked.where(F.col("reason").isNull()).select(
+    parts = F.when(F.col("refused").isNotNull(), whole).otherwise(
+        F.concat(one_file, tagged(POST, doc["bookmarks"]), tagged(FOLDER, doc["folders"]))
+    )
+    rows = parsed.withColumn("refused", refused).select(
         "file_path",
-        "file_no",
+        "refused",
         meta["screen_name"].alias("account"),
         meta["user_id"].alias("user_id"),
         meta["kind"].alias("kind"),
         F.coalesce(X.instant(meta["exported_at"]), F.lit(as_of)).alias("exported_at"),
-        F.coalesce(meta["collection"]["folders"] == "complete", F.lit(False)).alias(
-            "folders_complete"
-        ),
-        F.col("doc.folders").alias("folders"),
-        F.col("doc.bookmarks").alias("bookmarks"),
-    )
-    posts = accepted.select(
-        "file_path", "file_no", "exported_at", "folders_complete",
-        F.posexplode("bookmarks").alias("pos", "raw"),
+        F.coalesce(meta["collection"]["folders"] == "complete", F.lit(False)).alias("folders_complete"),
+        F.inline(parts),
     )
-    entries = posts.select(
+    is_post = F.col("part") == POST
+    read = rows.select(
         "*",
-        (F.col("file_no") * POSTS_PER_FILE + F.col("pos")).alias("seq"),
-        F.from_json("raw", S.EXPORT_ENTRY, {"columnNameOfCorruptRecord": "_malformed"}).alias(
-            "post"
+        once(
+            post=F.from_json(F.when(is_post, F.col("raw")), S.EXPORT_ENTRY, corrupt),
+            folder=F.from_json(F.when(F.col("part") == FOLDER, F.col("raw")), S.EXPORT_FOLDER),
         ),
-    ).withColumn(
-        "reason",
-        F.when(
-            F.col("post").isNull() | F.col("post._malformed").isNotNull(), "malformed post"
-        ).when(X.text(F.col("post.tweet_id")).isNull(), "missing tweet_id"),
-    )
-    folder = F.from_json("raw", S.EXPORT_FOLDER)
-    folders = (
-        accepted.select("file_no", F.posexplode("folders").alias("pos", "raw"))
-        .select(
-            folder["id"].alias("id"),
-            folder["name"].alias("name"),
-            (F.col("file_no") * POSTS_PER_FILE + F.col("pos")).alias("seq"),
-        )
-        .where(X.text(F.col("id")).isNotNull() & X.text(F.col("name")).isNotNull())
     )
-    rejected = checked.where(F.col("reason").isNotNull()).select(
-        "file_path", F.lit(None).cast("int").alias("pos"), "reason", F.col("value").alias("raw")
+    reason = F.coalesce(
+        "refused",
+        F.when(
+            is_post & (F.col("post").isNull() | F.col("post._malformed").isNotNull()), "malformed post"
+        ).when(is_post & X.text(F.col("post.tweet_id")).isNull(), "missing tweet_id"),
     )
-    malformed = entries.where(F.col("reason").isNotNull()).select(
-        "file_path", "pos", "reason", "raw"
+    return read.withColumn("reason", reason).withColumn(
+        "raw", F.when(F.col("reason").isNotNull(), F.col("raw"))
+    ).drop("refused")
+
+
+def split_parts(parts: DataFrame) -> Export:
+    """The rows of :func:`read_parts` by what they are."""
+    fine = parts.where(F.col("reason").isNull())
+    seq = F.struct(F.col("file_path").alias("file"), "pos").alias("seq")
+    named = X.text(F.col("folder.id")).isNotNull() & X.text(F.col("folder.name")).isNotNull()
+    counts = parts.groupBy("file_path").agg(
+        *(
+            F.max(F.when(F.col("part") == FILE, F.col(c))).alias(c)
+            for c in ("account", "user_id", "kind", "exported_at", "folders_complete")
+        ),
+        F.count_if((F.col("part") == POST) & F.col("reason").isNull()).alias("posts"),
+        F.count_if((F.col("part") == FOLDER) & named).alias("folders"),
+        F.count_if(F.col("reason").isNotNull()).alias("errors"),
+        F.count_if((F.col("part") == FILE) & F.col("reason").isNull()).alias("accepted"),
     )
     return Export(
-        files=accepted.drop("folders", "bookmarks"),
-        entries=entries.where(F.col("reason").isNull()).drop("reason", "raw"),
-        folders=folders,
-        quarantine=rejected.unionByName(malformed),
+        files=counts.where("accepted > 0").drop("accepted"),
+        entries=fine.where(F.col("part") == POST).select(
+            "file_path", "exported_at", "folders_complete", "pos", "post", seq
+        ),
+        folders=fine.where((F.col("part") == FOLDER) & named).select("folder.id", "folder.name", seq),
+        quarantine=parts.where(F.col("reason").isNotNull()).select("file_path", "pos", "reason", "raw"),
     )
 
 
+def parse_exports(files: DataFrame, as_of: datetime) -> Export:
+    """Split export texts (``file_path``, ``value``) into their parts."""
+    return split_parts(read_parts(files, as_of))
+
+
 def _media(media: Column) -> Column:
     """Media items; the address falls back to the thumbnail."""
     return X.or_null(
@@ -168,13 +197,16 @@ def entities(hashtags: Column, cashtags: Column, mentions: Column) -> Column:
 
 
 def observation(columns: dict[str, Column]) -> list[Column]:
-    """Select list of a full observation; columns not given are NULL."""
+    """Select list of a full observation; columns not given are NULL.
+
+    ``seq``, the arrival order, may have any type that can be compared.
+    """
     return [
         columns[name].cast(kind).alias(name)
         if name in columns
         else F.expr(f"CAST(NULL AS {kind}) AS {name}")
-        for name, kind in {**S.POST_TYPES, "seq": "bigint"}.items()
-    ]
+        for name, kind in S.POST_TYPES.items()
+    ] + [columns["seq"].alias("seq") if "seq" in columns else F.expr("CAST(NULL AS bigint) AS seq")]
 
 
 def normalise_entries(entries: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,14 +13,30 @@ from postarchive.functions import scalars as X
 from postarchive.sources.exports import entities, observation
 
 
+# One landing of one feed: the same positions may come back in another landing.
+PLACE = ["landing", "feed_id", "pos"]
+
+
+def _landed(records: DataFrame) -> DataFrame:
+    """Names the landing of each record: the one it states, or its file by time and path.
+
+    Landings arrive in the order of their names, which makes a later one win.
+    """
+    file = F.concat(
+        F.date_format("_metadata.file_modification_time", "yyyyMMddHHmmssSSS"),
+        F.lit(" "), F.col("_metadata.file_path"),
+    )
+    return records.withColumn("landing", F.coalesce(X.text(F.col("landing")), file))
+
+
 def read_feed(spark: SparkSession, path: str | list[str], limit: int | None = None) -> DataFrame:
     """Landed feed records; ``limit`` keeps the newest ``limit`` of every feed."""
     feed = spark.read.schema(S.FEED).option("columnNameOfCorruptRecord", "_malformed").json(path)
-    return cap(feed, limit)
+    return cap(_landed(feed), limit)
 
 
 def stream_feed(spark: SparkSession, path: str) -> DataFrame:
-    return (
+    return _landed(
         spark.readStream.schema(S.FEED)
         .option("columnNameOfCorruptRecord", "_malformed")
         .json(path)
@@ -28,23 +45,41 @@ def stream_feed(spark: SparkSession, path: str) -> DataFrame:
 
 def cap(feed: DataFrame, limit: int | None) -> DataFrame:
     """The first ``limit`` positions of each feed; no limit for None or <= 0."""
-    return feed.where(F.col("pos") < limit) if limit and limit > 0 else feed
+    return feed.where(F.col("pos").isNull() | (F.col("pos") < limit)) if limit and limit > 0 else feed
 
 
 def record_id() -> Column:
     return X.first_text(F.col("id_str"), F.col("id"))
 
 
+REJECTED = "landing string, feed_id string, pos bigint, reason string, raw string"
+
+
 def split_valid(feed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Well-formed records with an id, and the others with a reason."""
-    reason = F.when(F.col("_malformed").isNotNull(), "malformed record").when(
-        record_id().isNull(), "missing id"
+    """Well-formed records with an id and a place of their own, and the others with a reason.
+
+    A place (landing, feed, position) orders the observations, so it must be there and
+    be one record's alone; all records of a repeated place are set aside.
+    """
+    taken = feed.groupBy(*PLACE).agg(F.count("*").alias("_n")).where("_n > 1").select(
+        *(F.col(c).alias(f"_{c}") for c in PLACE), F.lit(True).alias("_repeated")
+    )
+    reason = (
+        F.when(F.col("_malformed").isNotNull(), "malformed record")
+        .when(record_id().isNull(), "missing id")
+        .when(X.text(F.col("feed_id")).isNull(), "missing feed_id")
+        .when(F.col("pos").isNull(), "missing position")
+        .when(F.col("_repeated"), "repeated position")
+    )
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in PLACE])
+    marked = (
+        feed.join(taken, same, "left").withColumn("reason", reason)
+        .drop("_repeated", *(f"_{c}" for c in PLACE))
     )
-    marked = feed.withColumn("reason", reason)
     return (
         marked.where(F.col("reason").isNull()).drop("reason"),
         marked.where(F.col("reason").isNotNull()).select(
-            "feed_id", "pos", "reason",
+            *PLACE, "reason",
             F.coalesce("_malformed", F.to_json(F.struct(*feed.columns))).alias("raw"),
         ),
     )
@@ -166,7 +201,7 @@ def normalise_feed(feed: DataFrame, as_of: datetime) -> DataFrame:
                 "status": F.lit(S.AVAILABLE),
                 "origin": F.lit(S.ORIGIN_LIVE),
                 "last_seen_at": F.coalesce(X.instant(c("observed_at")), F.lit(as_of)),
-                "seq": c("pos"),
+                "seq": F.struct(*PLACE),
             }
         )
     )

@@ -148,6 +148,14 @@ class ArchiveStore:
     def runs(self) -> DataFrame:
         return self.snapshot().runs()
 
+    def rejected(self, ddl: str) -> DataFrame:
+        """What committed runs have set aside, with the run's ``version``.
+
+        ``ddl`` names the columns: those of export quarantines or of rejected feed records.
+        """
+        rows = self._read("rejected", f"{ddl}, version bigint")
+        return rows.where(F.col("version").isin(self.snapshot().committed))
+
     def index(self) -> ix.Index:
         return self.snapshot().index()
 

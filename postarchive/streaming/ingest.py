@@ -4,7 +4,7 @@ A batch is keyed by stream name and batch id.  If the job dies before the commit
 the repeated batch overwrites its own unfinished folders; if it dies after, the
 repeated batch finds its commit and does nothing.  Nothing is late: times are
 folded by earliest and latest, content by arrival, which is batch order and,
-inside a batch, ``seq``.  The archive itself is the state, so the stream keeps
+inside a batch, ``seq``: landing, feed and position.  The archive itself is the state, so the stream keeps
 none and needs no watermark.
 """
 
@@ -15,7 +15,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postarchive.plans.ingest import STAGING, counters, write_merged
+from postarchive.plans.ingest import REJECTED, STAGING, counters, write_merged
 from postarchive.sources import feed as feeds
 from postarchive.sources.store import DELTA, ArchiveStore
 
@@ -32,14 +32,18 @@ class StreamIngest:
         self.store, self.name, self.checkpoint = store, name, checkpoint
         self.indexed, self.as_of = indexed, as_of
 
-    def process(self, observations: DataFrame, batch_id: int) -> None:
-        """Merge one micro-batch and record its counters."""
+    def process(
+        self, observations: DataFrame, batch_id: int, rejected: DataFrame | None = None
+    ) -> None:
+        """Merge one micro-batch, store what it sets aside and record its counters."""
         source = f"{self.name}/{batch_id}"
         if self.store.version_of(source) is not None:
             return
         as_of = self.as_of or datetime.now(timezone.utc)
         version = self.store.next_version()
         staged = self.store.write(STAGING, version, observations)
+        if rejected is not None:
+            self.store.write(REJECTED, version, rejected)
         merged = write_merged(self.store, version, staged, as_of, self.indexed)
         row = merged.agg(*counters(merged)).first()
         self.store.add_runs(
@@ -56,23 +60,29 @@ class StreamIngest:
         )
         self.store.commit(version, DELTA, source)
 
-    def run(self, observations: DataFrame) -> None:
-        """Process everything available in a streaming frame of observations, then stop."""
+    def process_feed(self, records: DataFrame, batch_id: int) -> None:
+        """Merge one micro-batch of landed feed records."""
+        good, bad = feeds.split_valid(records)
+        stamped = self.as_of or datetime.now(timezone.utc)
+        self.process(feeds.normalise_feed(good, stamped), batch_id, bad)
+
+    def _start(self, rows: DataFrame, process) -> None:
         query = (
-            observations.writeStream.queryName(self.name)
-            .foreachBatch(self.process)
+            rows.writeStream.queryName(self.name)
+            .foreachBatch(process)
             .option("checkpointLocation", self.checkpoint)
             .trigger(availableNow=True)
             .start()
         )
         query.awaitTermination()
 
+    def run(self, observations: DataFrame) -> None:
+        """Process everything available in a streaming frame of observations, then stop."""
+        self._start(observations, self.process)
+
     def run_feed(self, path: str) -> None:
         """Process the landed feed files that are new since the last run."""
-        landed = feeds.stream_feed(self.store.spark, path)
-        good, _ = feeds.split_valid(landed)
-        stamped = self.as_of or datetime.now(timezone.utc)
-        self.run(feeds.normalise_feed(good, stamped))
+        self._start(feeds.stream_feed(self.store.spark, path), self.process_feed)
 
 
 def batch_counters(store: ArchiveStore) -> DataFrame:

@@ -104,7 +104,7 @@ def test_few_tokens_reach_the_scan(spark, folder):
     ix.write_index(posts, f"{folder}/index", False)
     index = ix.read_index(spark, f"{folder}/index", False)
     one = spark.createDataFrame([("q", "durable-obj")], "query_id string, query string")
-    plan = search.rank(one, index)._jdf.queryExecution().executedPlan().toString()
+    plan = search.rank(one, index, one=True)._jdf.queryExecution().executedPlan().toString()
     assert "StringStartsWith(term,durable)" in plan and "StringStartsWith(term,obj)" in plan
 
 
@@ -118,14 +118,24 @@ def test_plan_shape(spark):
     assert "Exchange hashpartitioning(query_id" in plan
 
 
-def test_large_batches_join_by_shuffle(spark, monkeypatch):
-    """Past the broadcast bound the results are the same."""
-    posts = post_frame(spark, random_posts(80, 3))
-    queries = spark.createDataFrame(list(enumerate(QUERIES)), "query_id int, query string")
+def test_no_limit_is_cut(spark):
+    posts = post_frame(spark, [dict(r, full_text="common") for r in random_posts(300, 3)])
+    queries = spark.createDataFrame([("q", "common")], "query_id string, query string")
     index = ix.build_index(posts, False)
-    expected = sorted(map(tuple, search.rank(queries, index, 10).collect()))
-    monkeypatch.setattr(search, "BROADCAST_ROWS", 1)
-    assert sorted(map(tuple, search.rank(queries, index, 10).collect())) == expected
+    assert search.rank(queries, index, 250).count() == 250
+    with pytest.raises(ValueError):
+        search.rank(queries, index, 0)
+
+
+def test_only_the_vocabulary_is_repeated(spark):
+    posts = post_frame(spark, random_posts(50, 2))
+    queries = spark.createDataFrame([("q", "durable-obj word")], "query_id string, query string")
+    plan = search.rank(queries, ix.build_index(posts, False))._jdf.queryExecution().optimizedPlan().toString()
+    # Below the generator of leading parts stands the aggregate of distinct terms.
+    lines = plan.split("\n")
+    for i, line in enumerate(lines):
+        if "Generate explode(sequence(1, " in line:
+            assert any("Aggregate [term" in below for below in lines[i + 1 : i + 3])
 
 
 def test_refresh_equals_rebuild(spark):
