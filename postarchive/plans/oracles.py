@@ -366,7 +366,7 @@ FALLBACK_QUERIES = """queries AS (
 PHRASE_QUERIES = f"""queries AS (
   SELECT query_id, array_to_string(list_transform(
            generate_series(1, greatest(len(ws) // 2, 1)),
-           i -> ws[2 * i - 1] || '-' || left(coalesce(ws[2 * i], ''), 2)), ' ') AS query
+           lambda i: ws[2 * i - 1] || '-' || left(coalesce(ws[2 * i], ''), 2)), ' ') AS query
   FROM (SELECT CAST(item_id AS VARCHAR) AS query_id, {WORDS} AS ws FROM benchmark) w)"""
 
 PHRASES = rf"""terms AS (
