@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
+
+from pyspark.sql import SparkSession
 
 # Statements that only read, and verbs that write.
 READ_VERBS = ("select", "with", "explain", "describe", "show columns")
@@ -11,6 +14,9 @@ WRITE_VERBS = (
     "merge", "truncate", "load", "set", "reset", "refresh", "cache", "uncache",
 )
 
+# Functions that run code of the JVM.
+FOREIGN_CALLS = {"reflect", "try_reflect", "java_method"}
+
 # Comments and quoted parts, read from left to right so neither hides the other.
 _NOISE = re.compile(
     r"--[^\n]*|/\*.*?\*/|'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.|\"\")*\"|`[^`]*`", re.DOTALL
@@ -34,3 +40,19 @@ def read_only(sql: str) -> str:
     if ";" in bare or _WRITE_HEAD.search(bare):
         raise ValueError("write statements are not allowed")
     return statement
+
+
+def only_reads(spark: SparkSession, statement: str, tables: Iterable[str]) -> None:
+    """ValueError if the statement, as Spark parses it, reads more than ``tables``.
+
+    Files named as relations, tables of other databases and calls into the JVM are
+    refused; tables that the statement's own WITH defines are not.
+    """
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(statement).toString()
+    named = re.findall(r"'Unresolved(?:Relation|TableOrView) \[([^\]]*)\]", plan)
+    own = {name.strip() for names in re.findall(r"\bCTE \[([^\]]*)\]", plan) for name in names.split(",")}
+    foreign = [name for name in named if name not in {*tables, *own}]
+    if foreign:
+        raise ValueError(f"only the archive's views may be read, not {foreign[0]!r}")
+    if called := FOREIGN_CALLS & {name.lower() for name in re.findall(r"'(\w+)\(", plan)}:
+        raise ValueError(f"this function is not allowed: {called.pop()}")

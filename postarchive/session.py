@@ -19,7 +19,7 @@ RUNTIME_CONF = {
     # default 128 keys before the aggregate turns to sorting.
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",
     # Texts may be long: bound what a Python worker is handed at once.
-    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
     # Id lists of lookups are compared with row-group statistics one by one.
     "spark.sql.parquet.pushdown.inFilterThreshold": "200",
 }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from postarchive import schema as S
 from postarchive.functions import scalars as X
 from postarchive.operators import filters, lookup, projections, rollups
-from postarchive.operators.guard import read_only
+from postarchive.operators.guard import only_reads, read_only
 from postarchive.plans.ingest import sync
 from postarchive.sources import feed as feeds
 from postarchive.sources.store import ArchiveStore
@@ -242,6 +242,27 @@ def test_guard_rejects(sql):
         read_only(sql)
 
 
+VIEWS = ("bookmarks", "folders", "bookmark_folders", "meta")
+
+
+@pytest.mark.parametrize("sql", [
+    "select 1", "with a as (select 1 as x) select x from a join bookmarks on true",
+    "select name from folders where id in (select folder_id from bookmark_folders)", "describe folders",
+])
+def test_plan_guard_allows(spark, sql):
+    only_reads(spark, sql, VIEWS)
+
+
+@pytest.mark.parametrize("sql", [
+    "select * from text.`/etc/hostname`", "select reflect('java.lang.System', 'currentTimeMillis')",
+    "select * from bookmarks where JAVA_METHOD('a.B', 'c') = 1", "select * from elsewhere",
+    "select (select max(x) from other.t) from meta", "describe elsewhere",
+])
+def test_plan_guard_rejects(spark, sql):
+    with pytest.raises(ValueError):
+        only_reads(spark, sql, VIEWS)
+
+
 def test_json_columns_and_back(spark):
     post = spark.createDataFrame([("1", ["a", "b"])], "tweet_id string, links array<string>").select(
         *[F.col(c) if c in ("tweet_id", "links") else F.lit(None).cast(k).alias(c) for c, k in S.POST_TYPES.items()]
