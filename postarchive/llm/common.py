@@ -30,6 +30,10 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+# Stands for a missing id on the way through pandas, which would turn ids into floats.
+NO_ID = -(1 << 63)
+
+
 def utf8(name: str = "text"):
     """A text column as bytes; NULL counts as empty."""
     return F.coalesce(F.col(name), F.lit("")).cast("binary")

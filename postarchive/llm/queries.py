@@ -73,8 +73,7 @@ def op6_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    counted = token_counts.count_tokens(docs, token_counts.read_vocabulary(vocabulary))
-    return counted.select("doc_id", "tokens.n_words", "tokens.n_tokens")
+    return token_counts.count_tokens(docs, token_counts.read_vocabulary(vocabulary))
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,8 +13,8 @@ A character that no piece covers costs one token per UTF-8 byte and a score belo
 all pieces.  Ties go to the way with fewer tokens.
 
 Defined cases: NULL, empty and blank texts have no token; bytes that are not
-UTF-8 count as the replacement character; repeated rows count alike; other columns
-pass through.  Pre-tokens beyond ``LONGEST_PATH`` characters are computed by
+UTF-8 count as the replacement character; repeated rows count alike; other columns are
+ignored; a missing key stays missing.  Pre-tokens beyond ``LONGEST_PATH`` characters are computed by
 themselves, so that a huge one does not widen the trie.
 """
 
@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postarchive.llm.common import mix64, slices, utf8
+from postarchive.llm.common import NO_ID, mix64, slices, utf8
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -162,21 +162,25 @@ class TrieCounter:
             self.counts[raw] = self.alone(word) if count is None else count
 
 
-def count_tokens(docs: DataFrame, vocabulary: dict[str, float]) -> DataFrame:
-    """All columns of ``docs`` and ``tokens``: n_words, n_tokens."""
+def count_tokens(docs: DataFrame, vocabulary: dict[str, float], key: str = "doc_id") -> DataFrame:
+    """``key``, n_words, n_tokens of every row of ``docs`` (``key``, text).
+
+    The texts go to Python and do not come back, so no task has to hold them meanwhile.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)  # a vocabulary file: of fixed size
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counter = TrieCounter(sent.value)
         for batch in batches:
-            texts = list(batch)
+            texts = list(batch["text"])
             words, tokens = [], []
             for a, b in slices(texts, SLICE_BYTES):
                 cut = [text.split() for text in texts[a:b]]
                 counter.add(set().union(*cut))
                 words += map(len, cut)
                 tokens += [sum(map(counter.counts.__getitem__, own)) for own in cut]
-            yield pd.DataFrame({"n_words": words, "n_tokens": tokens})
+            yield pd.DataFrame({key: batch[key], "n_words": words, "n_tokens": tokens})
 
-    marked = F.pandas_udf(run, "n_words long, n_tokens long")
-    return docs.withColumn("tokens", marked(utf8()))
+    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias(key), utf8().alias("text"))
+    counted = rows.mapInPandas(run, f"`{key}` long, n_words long, n_tokens long")
+    return counted.withColumn(key, F.nullif(F.col(key), F.lit(NO_ID)))

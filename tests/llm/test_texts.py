@@ -181,12 +181,15 @@ def test_counts(spark):
     long = "ab" * 400
     texts = ["ab abab  b", None, "", " \n", "ab", "q", "日", long, "ab " * 20000, "ab", "😀a😀", "a\0 a\0b a"]
     docs = spark.createDataFrame([(i, t, 5) for i, t in enumerate(texts)], "doc_id long, text string, n_tokens int")
-    got = [tuple(r["tokens"]) for r in token_counts.count_tokens(docs, VOCABULARY).orderBy("doc_id").collect()]
+    got = [tuple(r)[1:] for r in token_counts.count_tokens(docs, VOCABULARY).orderBy("doc_id").collect()]
     counter = token_counts.TrieCounter(VOCABULARY)
     want = [(len(brute.raw(t).split()), sum(counter.alone("▁" + w.decode()) for w in brute.raw(t).split())) for t in texts]
     assert got == want
     assert got[5][1] == 2 and got[6][1] == 4  # the mark, and a token per byte
     assert token_counts.count_tokens(docs.limit(0), VOCABULARY).count() == 0
+    ids = [(1 << 62) + 1, None]
+    both = spark.createDataFrame([(i, "ab") for i in ids], "doc_id long, text string").coalesce(1)
+    assert {r["doc_id"] for r in token_counts.count_tokens(both, VOCABULARY).collect()} == set(ids)
 
 
 def test_counts_of_a_public_vocabulary(spark):
