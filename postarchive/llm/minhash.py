@@ -11,11 +11,13 @@ one shingle).  Two are linked if their sets' Jaccard similarity is ``NEAR`` or m
    the set), so thousands of exact copies are one row.
 3. Bands.  ``ROWS`` places make a band; classes that agree in a band are candidates.
    At similarity 0.75 a pair misses all bands with probability about 1e-6.
-4. Verification on full sets, in two passes.  First each class against the smallest of
-   its band's bucket, which settles tight groups with a pair per member.  Then, in
-   buckets whose members are still in several components, pairs across components,
-   after a look at the whole signatures (``HOPELESS``).  No bucket emits its pairs
-   inside a component.
+4. Verification on full sets.  First each class against the smallest of its band's
+   bucket.  In buckets whose members are then in several components, members are
+   compared by their whole signatures, and each meets its likeliest partner in every
+   other component: a tight group grows together with a few pairs per member.  What is
+   apart even then is verified with every partner whose estimate is not hopelessly low.
+   Nothing is compared inside a component, no bucket emits all its pairs, and no pair
+   that may be near is left out.
 5. Grouping by union-find (:mod:`postarchive.llm.components`).
 
 Defined cases: texts without words are linked with nothing, also not with one another.
@@ -33,7 +35,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postarchive.llm.common import mix64, slices, utf8, written
+from postarchive.llm.common import NO_ID, mix64, slices, utf8, written
 from postarchive.llm.components import components
 from postarchive.llm.windows import BASE, rolling, word_units
 
@@ -41,8 +43,10 @@ SHINGLE = 5
 NEAR = 75  # per cent
 BANDS, ROWS = 36, 4
 PLACES = BANDS * ROWS
-HOPELESS = 0.5  # an estimate this low is seven deviations below NEAR
-SLICE_BYTES = 1 << 20
+TILE = 2048
+HOPELESS = 0.55  # an estimate this low is five deviations below NEAR
+GLANCE = 48  # places that are compared first
+SLICE_BYTES = 1 << 19
 UPPER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 
 
@@ -137,7 +141,9 @@ def sign(docs: DataFrame) -> DataFrame:
                     }
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc"), utf8().alias("text")).mapInPandas(run, SIGNED)
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    signed = docs.select(doc.alias("doc"), utf8().alias("text")).mapInPandas(run, SIGNED)
+    return signed.withColumn("doc", F.nullif(F.col("doc"), F.lit(NO_ID)))
 
 
 def similar(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -180,8 +186,64 @@ def similar(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(near("x", "y")).select("a", "b")
 
 
-def sizes_allow(a: Column, b: Column) -> Column:
-    return F.lit(100) * F.least(a, b) >= F.lit(NEAR) * F.greatest(a, b)
+# Sets whose sizes differ more than this cannot be near.
+SIZES = f"100 * least({{a}}, {{b}}) >= {NEAR} * greatest({{a}}, {{b}})"
+
+
+def unsettled(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """``rows`` (band, hash, doc, ...) of buckets with several components, with ``component``."""
+    placed = rows.drop("component").join(found.withColumnRenamed("node", "doc"), "doc", "left")
+    placed = placed.withColumn("component", F.coalesce("component", "doc"))
+    spread = placed.groupBy("band", "hash").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    return placed.join(spread.where("lo <> hi").select("band", "hash"), ["band", "hash"], "left_semi")
+
+
+def compared(rows: DataFrame, every: bool, tile: int = TILE) -> DataFrame:
+    """Pairs (a, b) of a bucket's members in different components that may be near.
+
+    ``rows``: band, hash, doc, n, component, sketch.  Sizes and sketches are compared
+    where the members of a bucket meet, so only what may be near leaves the task: for
+    each member and component the likeliest partner, or ``every`` one.  Members of a
+    large bucket are cut into parts, and each two parts meet in a task.
+    """
+    parts = rows.groupBy("band", "hash").agg(F.ceil(F.count("*") / tile).cast("int").alias("parts"))
+    cut = rows.join(parts, ["band", "hash"]).withColumn("part", F.pmod(F.xxhash64("doc"), "parts").cast("int"))
+    dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")})
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        doc, n, component = (frame[c].to_numpy() for c in ("doc", "n", "component"))
+        sketch = np.frombuffer(b"".join(frame["sketch"]), np.uint8).reshape(-1, PLACES)
+        part, i, j, band = frame["part"].to_numpy(), frame["i"].iat[0], frame["j"].iat[0], frame["band"].iat[0]
+        ones, twos = np.flatnonzero(part == i), np.flatnonzero(part == j)
+        out = [np.empty((2, 0), np.int64)]
+        for start in range(0, len(ones), 64):
+            some = ones[start : start + 64]
+            small, large = np.minimum.outer(n[some], n[twos]), np.maximum.outer(n[some], n[twos])
+            may = (100 * small >= NEAR * large) & (component[some][:, None] != component[twos][None, :])
+            x, y = np.nonzero(may)
+            kept, same = [], []
+            for k in range(0, len(x), 1 << 15):
+                p, q = some[x[k : k + (1 << 15)]], twos[y[k : k + (1 << 15)]]
+                likely = (sketch[p, :GLANCE] == sketch[q, :GLANCE]).mean(1) >= HOPELESS - 0.1
+                p, q = p[likely], q[likely]
+                equal = sketch[p] == sketch[q]
+                # A pair is looked at in the first band that it shares only.
+                agree = equal.reshape(-1, BANDS, ROWS).all(2)
+                good = (equal.mean(1) >= HOPELESS) & (agree.argmax(1) == band)
+                kept.append(np.stack((p[good], q[good])))
+                same.append(equal[good].mean(1))
+            (x, y), same = np.concatenate([np.empty((2, 0), np.int64), *kept], 1), np.concatenate([[], *same])
+            if not every and len(x):
+                best = np.lexsort((doc[y], -same, component[y], x))
+                x, y = x[best], y[best]
+                first = np.append(True, (x[1:] != x[:-1]) | (component[y[1:]] != component[y[:-1]]))
+                x, y = x[first], y[first]
+            out.append(np.stack((np.minimum(doc[x], doc[y]), np.maximum(doc[x], doc[y]))))
+        a, b = np.concatenate(out, 1)
+        return pd.DataFrame({"a": a, "b": b}).drop_duplicates()
+
+    return dealt.groupBy("band", "hash", "i", "j").applyInPandas(run, "a long, b long").distinct()
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -201,48 +263,27 @@ def groups(docs: DataFrame) -> DataFrame:
         docs.select(F.col("doc_id").cast("long").alias("doc"), utf8().alias("text"))
         .join(classes.select("doc"), "doc", "left_semi")
     )
-    buckets = band.groupBy("band", "hash").agg(F.min("doc").alias("least"), F.count("*").alias("members"))
-    buckets = written(buckets.where("members > 1"), "minhash-buckets")
+    buckets = band.groupBy("band", "hash").agg(F.min(F.struct("doc", "n")).alias("least"), F.count("*").alias("members"))
+    buckets = buckets.where("members > 1").select("band", "hash", "least.doc", "least.n").toDF("band", "hash", "least", "least_n")
+    buckets = written(buckets, "minhash-buckets")
     members = written(band.join(buckets, ["band", "hash"]), "minhash-members")
-    first = written(
-        members.where("least <> doc").groupBy(F.col("least").alias("a"), F.col("doc").alias("b")).agg(F.first("n")),
+    tried = written(
+        members.where("least <> doc AND " + SIZES.format(a="n", b="least_n"))
+        .groupBy(F.col("least").alias("a"), F.col("doc").alias("b")).agg(F.count("*").alias("bands")),
         "minhash-first",
     ).select("a", "b")
-    links = written(similar(first, texts), "minhash-links")
-    found = components(links)
-    # Second pass: buckets whose members are not all in one component yet.
-    placed = members.join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn(
-        "component", F.coalesce("component", "doc")
-    )
-    mixed = placed.groupBy("band", "hash").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    left = placed.join(mixed.where("lo <> hi").select("band", "hash"), ["band", "hash"], "left_semi")
-    left = written(
-        left.select("band", "hash", "doc", "n", "component").join(classes.select("doc", "sketch"), "doc"),
-        "minhash-mixed",
-    )
-    a = left.select("band", "hash", *(F.col(c).alias(f"{c}_a") for c in ("doc", "n", "component", "sketch")))
-    b = left.select("band", "hash", *(F.col(c).alias(f"{c}_b") for c in ("doc", "n", "component", "sketch")))
-
-    @F.pandas_udf("boolean")
-    def hopeful(x: pd.Series, y: pd.Series) -> pd.Series:
-        p = np.frombuffer(b"".join(x), np.uint8).reshape(-1, PLACES)
-        q = np.frombuffer(b"".join(y), np.uint8).reshape(-1, PLACES)
-        return pd.Series((p == q).mean(1) >= HOPELESS)
-
-    across = (
-        a.join(b, ["band", "hash"])
-        .where("doc_a < doc_b AND component_a <> component_b")
-        .where(sizes_allow(F.col("n_a"), F.col("n_b")))
-        .where(hopeful("sketch_a", "sketch_b"))
-        .select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
-        .distinct()
-        .join(first, ["a", "b"], "left_anti")
-    )
-    more = similar(written(across, "minhash-across"), texts)
+    links = written(similar(tried, texts), "minhash-links")
+    left = members.select("band", "hash", "doc", "n").join(classes.select("doc", "sketch"), "doc")
+    for every in (False, True):
+        left = written(unsettled(left, components(links)), "minhash-unsettled")
+        found = compared(left, every).join(tried, ["a", "b"], "left_anti")
+        pairs = written(found, "minhash-pairs")
+        links = links.union(written(similar(pairs, texts), "minhash-links"))
+        tried = tried.union(pairs)
     shared = usable.groupBy("doc").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y")
     of_id = usable.join(shared.select("doc"), "doc").select(F.col("doc").alias("b"), "digest")
     tied = of_id.join(classes.select("digest", F.col("doc").alias("a")), "digest").select("a", "b")
-    final = components(links.union(more).union(tied))
+    final = components(links.union(tied))
     by_class = classes.select("digest", "doc").join(final.withColumnRenamed("node", "doc"), "doc", "left").select(
         "digest", F.coalesce("component", "doc").alias("component")
     )
