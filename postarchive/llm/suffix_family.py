@@ -32,10 +32,10 @@ from postarchive.llm import windows as win
 from postarchive.llm.common import utf8
 
 WIDTH = 50
-SEED = 12
-BUCKET_BYTES = 4 << 20
+SEED = 8
+BUCKET_BYTES = 5 << 20
 BATCH_BYTES = 1 << 20
-INDEX_BITS = 20  # a batch has fewer suffixes than 2**20
+INDEX_BITS = 20  # a batch has 2**20 suffixes at most
 
 
 @dataclass
@@ -109,22 +109,24 @@ def repeats(width: int, batch_bytes: int = BATCH_BYTES) -> win.Judge:
     def judge(doc, row, unit, size, strings):
         family = IndexFamily(strings, width)
         begin = np.cumsum(size + 1) - (size + 1)
+        # Documents by rank, and places, fit 32 bits: a bucket is of bounded size.
+        rank = np.cumsum(np.append(False, doc[1:] != doc[:-1]), dtype=np.int32)
         which, start = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         a = 0
         while a < len(size):
             # Whole strings, batch_bytes or one at least; one too long is taken in parts.
             b = max(a + 1, int(np.searchsorted(begin + size, begin[a] + batch_bytes, side="right")))
             end = int(begin[b - 1] + size[b - 1])
+            owner = np.repeat(np.arange(a, b), size[a:b] + 1)
             for part in range(int(begin[a]), max(end - width, int(begin[a])) + 1, batch_bytes):
                 data = family.data[part : min(end, part + batch_bytes + width - 1)]
-                hashes = win.rolling(win.byte_units(data)[2], width)
-                at = part + np.arange(len(hashes))
-                owner = np.searchsorted(begin, at, side="right") - 1
-                whole = at + width <= (begin + size)[owner]
-                at, owner = at[whole], owner[whole]
-                gone = family.add(hashes[whole], doc[owner], at)
-                which.append(owner[gone])
-                start.append(at[gone] - begin[owner[gone]])
+                at = part + np.arange(max(0, len(data) - width + 1))
+                own = owner[at - begin[a]]
+                whole = at + width <= (begin + size)[own]
+                at, own = at[whole], own[whole]
+                gone = family.add(win.rolling(win.byte_units(data)[2], width, at - part), rank[own], at.astype(np.int32))
+                which.append(own[gone])
+                start.append(at[gone] - begin[own[gone]])
             a = b
         which = np.concatenate(which)
         return which, np.concatenate(start), np.full(len(which), width)
@@ -133,10 +135,11 @@ def repeats(width: int, batch_bytes: int = BATCH_BYTES) -> win.Judge:
 
 
 def mark(docs: DataFrame, width: int = WIDTH, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """All columns of ``docs`` and ``spans``: the packed ranges of bytes to remove."""
+    """All columns of ``docs`` and their spans: the packed ranges of bytes to remove."""
     buckets = win.bucket_count(docs, bucket_bytes)
-    dealt = win.deal(win.keyed(docs), rule(width), buckets)
-    return win.with_spans(docs, win.verdicts(dealt, repeats(width)))
+    rows = win.keyed(docs)
+    dealt = win.deal(rows, rule(width), buckets)
+    return win.with_spans(rows, win.verdicts(dealt, repeats(width)))
 
 
 def kept_bytes(text: bytes, packed) -> tuple[bytes, np.ndarray]:
@@ -156,5 +159,5 @@ def digests(marked: DataFrame) -> DataFrame:
         return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     cut = F.pandas_udf(run, "n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    found = marked.select("doc_id", cut(utf8(), F.col("spans")).alias("kept"))
+    found = marked.select("doc_id", cut(utf8(), F.col(win.SPANS)).alias("kept"))
     return found.select("doc_id", "kept.*")
