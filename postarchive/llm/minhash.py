@@ -201,10 +201,11 @@ def unsettled(rows: DataFrame, found: DataFrame) -> DataFrame:
 def compared(rows: DataFrame, every: bool, tile: int = TILE) -> DataFrame:
     """Pairs (a, b) of a bucket's members in different components that may be near.
 
-    ``rows``: band, hash, doc, n, component, sketch.  Sizes and sketches are compared
-    where the members of a bucket meet, so only what may be near leaves the task: for
-    each member and component the likeliest partner, or ``every`` one.  Members of a
-    large bucket are cut into parts, and each two parts meet in a task.
+    ``rows``: band, hash, doc, n, component, sketch, before (hashes of the bands before
+    this one).  Sizes and sketches are compared where the members of a bucket meet, so
+    only what may be near leaves the task: for each member and component the likeliest
+    partner, or ``every`` one.  Members of a large bucket are cut into parts, and each
+    two parts meet in a task.
     """
     parts = rows.groupBy("band", "hash").agg(F.ceil(F.count("*") / tile).cast("int").alias("parts"))
     cut = rows.join(parts, ["band", "hash"]).withColumn("part", F.pmod(F.xxhash64("doc"), "parts").cast("int"))
@@ -215,6 +216,7 @@ def compared(rows: DataFrame, every: bool, tile: int = TILE) -> DataFrame:
         doc, n, component = (frame[c].to_numpy() for c in ("doc", "n", "component"))
         sketch = np.frombuffer(b"".join(frame["sketch"]), np.uint8).reshape(-1, PLACES)
         part, i, j, band = frame["part"].to_numpy(), frame["i"].iat[0], frame["j"].iat[0], frame["band"].iat[0]
+        before = np.array(frame["before"].tolist(), np.int64).reshape(len(frame), band)
         ones, twos = np.flatnonzero(part == i), np.flatnonzero(part == j)
         out = [np.empty((2, 0), np.int64)]
         for start in range(0, len(ones), 64):
@@ -228,9 +230,10 @@ def compared(rows: DataFrame, every: bool, tile: int = TILE) -> DataFrame:
                 likely = (sketch[p, :GLANCE] == sketch[q, :GLANCE]).mean(1) >= HOPELESS - 0.1
                 p, q = p[likely], q[likely]
                 equal = sketch[p] == sketch[q]
-                # A pair is looked at in the first band that it shares only.
-                agree = equal.reshape(-1, BANDS, ROWS).all(2)
-                good = (equal.mean(1) >= HOPELESS) & (agree.argmax(1) == band)
+                good = equal.mean(1) >= HOPELESS
+                # A pair is looked at in the first band that it shares only.  That goes by the
+                # hashes that made the buckets: sketches may agree where the pair never met.
+                good[good] = ~(before[p[good]] == before[q[good]]).any(1)
                 kept.append(np.stack((p[good], q[good])))
                 same.append(equal[good].mean(1))
             (x, y), same = np.concatenate([np.empty((2, 0), np.int64), *kept], 1), np.concatenate([[], *same])
@@ -273,7 +276,8 @@ def groups(docs: DataFrame) -> DataFrame:
         "minhash-first",
     ).select("a", "b")
     links = written(similar(tried, texts), "minhash-links")
-    left = members.select("band", "hash", "doc", "n").join(classes.select("doc", "sketch"), "doc")
+    left = members.select("band", "hash", "doc", "n").join(classes.select("doc", "sketch", "bands"), "doc")
+    left = left.withColumn("before", F.slice("bands", F.lit(1), F.col("band"))).drop("bands")
     for every in (False, True):
         left = written(unsettled(left, components(links)), "minhash-unsettled")
         found = compared(left, every).join(tried, ["a", "b"], "left_anti")

@@ -58,6 +58,19 @@ def test_documents_of_the_table(spark):
     assert sum(d != c for d, _, c in want) > 20
 
 
+@pytest.mark.parametrize("tile", [16, 2048])
+def test_bytes_alone_do_not_make_a_shared_band(spark, tile):
+    """All sketches agree in every band, so only the bands' hashes tell where a pair meets first."""
+    n, band = 60, 3
+    before = [[i, 1000 + i // 2, 2000 + i] for i in range(n)]  # 2k and 2k + 1 share an earlier band
+    rows = [(band, 7, i, 100, i % 20, bytes(minhash.PLACES), before[i]) for i in range(n)]
+    schema = "band int, hash long, doc long, n long, component long, sketch binary, before array<long>"
+    got = minhash.compared(spark.createDataFrame(rows, schema), True, tile).collect()
+    pairs = itertools.combinations(range(n), 2)
+    want = {(a, b) for a, b in pairs if a % 20 != b % 20 and not (a // 2 == b // 2)}
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(1)
     errors = []
