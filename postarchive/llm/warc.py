@@ -35,7 +35,9 @@ MAGIC = b"WARC/1.0\r\n"
 RECORD_END = "\r\n\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
-MAX_HEADER = 1 << 16
+BLANK = b"\r\n\r\n"
+
+READ_AHEAD = 1 << 16  # a first try; longer headers are read on to their end
 BLOCK_BYTES = 8 << 20
 BATCH_BYTES = 8 << 20
 
@@ -117,7 +119,7 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0, date: str = "2026-0
 
 def parse_header(data: bytes, at: int) -> tuple[dict[str, str], int] | None:
     """Fields of the header at ``at`` and where its block begins; None if there is none."""
-    end = data.find(b"\r\n\r\n", at, at + MAX_HEADER)
+    end = data.find(BLANK, at)
     if end < 0 or not data.startswith(MAGIC, at):
         return None
     fields = {}
@@ -131,18 +133,50 @@ def parse_header(data: bytes, at: int) -> tuple[dict[str, str], int] | None:
     return fields, end + 4
 
 
+def whole_headers(file, size: int) -> bytes:
+    """The next ``size`` bytes of ``file`` and as many more as the headers that begin there have."""
+    data, step = file.read(size + READ_AHEAD), READ_AHEAD
+    last = data.rfind(MAGIC, 0, size + len(MAGIC) - 1)
+    while last >= 0 and data.find(BLANK, last) < 0:
+        lines = data[last + len(MAGIC) :].split(b"\r\n")
+        if any(b":" not in line for line in lines[:-1]):
+            break  # no header, nor any before it that has no blank line yet
+        more = file.read(step)
+        if not more:
+            break
+        data, step = data + more, 2 * step
+    return data
+
+
 def links(data: bytes, start: int, end: int) -> list[tuple[int, int]]:
     """(offset, first place at or after ``end`` on its chain) of the candidates in [start, end).
 
-    ``data`` begins at ``start`` and goes on past ``end`` by the length of a header.
+    ``data`` begins at ``start`` and is of :func:`whole_headers`.  Candidates before the
+    same blank line share their last lines, so these are looked at once for all of them.
     A chain that meets no candidate inside the block leads nowhere and is dropped.
     """
     onward: dict[int, int] = {}
     at = data.find(MAGIC)
-    while 0 <= at < end - start:
-        if (found := parse_header(data, at)) is not None:
-            onward[start + at] = start + found[1] + int(found[0]["content-length"]) + len(RECORD_END)
-        at = data.find(MAGIC, at + 1)
+    while 0 <= at < end - start and (blank := data.find(BLANK, at)) >= 0:
+        begins = []
+        while 0 <= at < min(end - start, blank + 1):
+            begins.append(at + len(MAGIC))
+            at = data.find(MAGIC, at + 1)
+        line, length, last = blank, None, -1  # the last length, and where its line begins
+        for field in reversed(data[begins[0] : blank].split(b"\r\n")):
+            line -= len(field)
+            name, colon, value = field.partition(b":")
+            if not colon:
+                break
+            if length is None and name.strip().lower() == b"content-length":
+                length, last = value.strip(), line
+            line -= 2
+        else:
+            line = -1
+        if length is not None and re.fullmatch(rb"[0-9]{1,18}", length):
+            to = start + blank + len(BLANK) + int(length) + len(RECORD_END)
+            # The lines after ``line`` are fields; a header has them only, and a length.
+            onward |= {start + x - len(MAGIC): to for x in begins if line < x <= last}
     leaves: dict[int, int] = {}
     for offset in sorted(onward, reverse=True):
         to = onward[offset]
@@ -164,7 +198,7 @@ def records(path: str, entry: int, end: int) -> Iterator[tuple]:
         size, at = file.size(), entry
         while at < min(end, size):
             file.seek(at)
-            found = parse_header(file.read(MAX_HEADER), 0)
+            found = parse_header(whole_headers(file, 1), 0)
             if found is None:
                 return
             fields, begin = found
@@ -202,10 +236,11 @@ def entries(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES) -> D
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, length, start in zip(batch["path"], batch["length"], batch["start"], strict=True):
+                end = min(start + block_bytes, length)
                 with open_file(name) as file:
                     file.seek(start)
-                    data = file.read(block_bytes + MAX_HEADER)
-                found = links(data, start, min(start + block_bytes, length))
+                    data = whole_headers(file, end - start)
+                found = links(data, start, end)
                 yield pd.DataFrame({"path": name, "offset": [x[0] for x in found], "to": [x[1] for x in found]})
 
     candidates = written(
@@ -237,7 +272,7 @@ def read(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES) -> Data
                 rows, size = [], 0
                 for row in records(name, entry, (entry // block_bytes + 1) * block_bytes):
                     rows.append(row)
-                    size += len(row[-1])
+                    size += sum(len(x) for x in row if isinstance(x, str | bytes))
                     if size > BATCH_BYTES:
                         yield pd.DataFrame(rows, columns=names)
                         rows, size = [], 0

@@ -2,6 +2,8 @@
 
 import base64
 import hashlib
+import io
+import random
 
 import pytest
 
@@ -64,6 +66,40 @@ def test_magic_in_payload_is_not_a_record():
     assert len(found) == 2
 
 
+@pytest.mark.parametrize("block", [30_000, 1 << 20])
+def test_long_headers(spark, tmp_path, block):
+    """Pages after one with a very long url are still found, in its block and in later ones."""
+    long = [(1, "u" * 200_000, "a"), (2, "v" * 65_500, "b"), (3, "w" * 300_000, "a"), (4, "x", "c"), (5, "y" * 90_000, None)]
+    pages = [(0, "u", "first"), *long, *((10 + i, "z", f"page {i} " * 500) for i in range(20))]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    path = f"file://{tmp_path}/warc"
+    warc.write(frame.coalesce(1), path)
+    records = warc.read(spark, path, block_bytes=block)
+    got = [tuple(r) for r in warc.summary(records).collect()]
+    assert sorted(got, key=repr) == want_pages(pages)
+    uris = {r["record_id"]: r["target_uri"] for r in records.collect()}
+    assert all(uris[f"<urn:page:{page_id}>"] == url for page_id, url, _ in pages)
+
+
+def test_links_are_those_of_single_headers(monkeypatch):
+    monkeypatch.setattr(warc, "READ_AHEAD", len(warc.MAGIC))
+    rng = random.Random(4)
+    tokens = [warc.MAGIC, warc.MAGIC, b"a: b\r\n", b"Content-Length: 0\r\n", b"content-length: 12\r\n",
+              b"Content-Length: x\r\n", b"bad\r\n", b"\r\n", b"\r\n", b"\r", b"q"]
+    for _ in range(2000):
+        data = b"".join(rng.choices(tokens, k=rng.randint(1, 30)))
+        end = rng.randint(1, len(data))
+        want = {}
+        for at in reversed([i for i in range(end) if data.startswith(warc.MAGIC, i)]):
+            if (found := warc.parse_header(data, at)) is not None:
+                to = found[1] + int(found[0]["content-length"]) + len(warc.RECORD_END)
+                want |= {at: to} if to >= end else {at: want[to]} if to in want else {}
+        assert dict(warc.links(data, 0, end)) == want
+        # What is read ahead is enough: the links are those of the whole file.
+        read = warc.whole_headers(io.BytesIO(data), end)
+        assert dict(warc.links(read, 0, end)) == want
+
+
 def test_empty_archive(spark, tmp_path):
     frame = spark.createDataFrame([], "page_id long, url string, html string")
     warc.write(frame, f"file://{tmp_path}/warc")
