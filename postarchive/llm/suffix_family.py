@@ -109,8 +109,9 @@ def repeats(width: int, batch_bytes: int = BATCH_BYTES) -> win.Judge:
     def judge(doc, row, unit, size, strings):
         family = IndexFamily(strings, width)
         begin = np.cumsum(size + 1) - (size + 1)
-        # Documents by rank, and places, fit 32 bits: a bucket is of bounded size.
-        rank = np.cumsum(np.append(False, doc[1:] != doc[:-1]), dtype=np.int32)
+        # Documents by rank, and places, mostly fit 32 bits, as large buckets are dealt anew.
+        kind = np.int32 if len(strings) < 1 << 31 else np.int64
+        rank = np.cumsum(np.append(False, doc[1:] != doc[:-1]), dtype=kind)
         which, start = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         a = 0
         while a < len(size):
@@ -124,7 +125,7 @@ def repeats(width: int, batch_bytes: int = BATCH_BYTES) -> win.Judge:
                 own = owner[at - begin[a]]
                 whole = at + width <= (begin + size)[own]
                 at, own = at[whole], own[whole]
-                gone = family.add(win.rolling(win.byte_units(data)[2], width, at - part), rank[own], at.astype(np.int32))
+                gone = family.add(win.rolling(win.byte_units(data)[2], width, at - part), rank[own], at.astype(kind))
                 which.append(own[gone])
                 start.append(at[gone] - begin[own[gone]])
             a = b
@@ -139,7 +140,7 @@ def mark(docs: DataFrame, width: int = WIDTH, bucket_bytes: int = BUCKET_BYTES)
     buckets = win.bucket_count(docs, bucket_bytes)
     rows = win.keyed(docs)
     dealt = win.deal(rows, rule(width), buckets)
-    return win.with_spans(rows, win.verdicts(dealt, repeats(width)))
+    return win.with_spans(rows, win.verdicts(dealt, repeats(width), rule(width), win.SPLIT * bucket_bytes))
 
 
 def kept_bytes(text: bytes, packed) -> tuple[bytes, np.ndarray]:

@@ -72,7 +72,7 @@ def mark(docs: DataFrame, width: int = WIDTH, bucket_bytes: int = BUCKET_BYTES)
     buckets = win.bucket_count(docs, bucket_bytes)
     rows = win.keyed(docs)
     dealt = win.deal(rows, rule(width), buckets)
-    return win.with_spans(rows, win.verdicts(dealt, repeats(width)))
+    return win.with_spans(rows, win.verdicts(dealt, repeats(width), rule(width), win.SPLIT * bucket_bytes))
 
 
 def kept_words(text: bytes, packed) -> tuple[int, int, bytes]:

@@ -11,12 +11,18 @@ per bucket.  A string that repeats among them is sent once, for its smallest doc
 the copies in later documents are known to be repeats right there and sent on only as
 such.  So a passage that a third of all documents hold reaches its bucket once per
 some megabytes, not once per document.
+
+Windows around one frequent seed may still make a bucket of any size.  A bucket is read
+as a stream, and one that exceeds its limit is dealt anew: by minimisers of half a
+window first, then by whole windows, as often as needed.  Equal windows meet each time.
+Where copies of one window make a bucket, those known to be repeats leave it on the way.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -28,6 +34,10 @@ from postarchive.llm.common import mix64, slices, utf8, written
 
 SLICE_BYTES = 1 << 20
 FLUSH_BYTES = 8 << 20
+FLUSH_STRINGS = 1 << 18  # short strings take more memory than their bytes
+FAN = 64  # parts that a bucket is dealt to anew
+WHOLE = 2  # from this level on, windows are dealt by their own hashes
+SPLIT = 12  # a bucket's strings are that much larger than its share of the texts, at most
 
 # A text's key: its doc_id (a missing one is the largest) and a hash that tells
 # rows with the same doc_id apart.  Equal rows share a key and all verdicts.
@@ -188,7 +198,7 @@ def runs(pieces: list[bytes], rule: Rule) -> tuple[np.ndarray, ...]:
     return piece, head - w.first_unit[piece], count, w.starts[head], last, lowest[head], data
 
 
-PACKED = "bucket int, n long, bytes long, block binary"
+PACKED = "bucket long, n long, bytes long, block binary"
 VERDICTS = f"{DOC} long, {ROW} long, spans binary"
 CODEC = pa.Codec("zstd", compression_level=6)
 
@@ -211,8 +221,8 @@ def unpack(n: int, size: int, block: bytes) -> tuple[np.ndarray, np.ndarray, byt
 class Dealer:
     """Collects the strings of some slices of texts and packs them by bucket."""
 
-    def __init__(self, rule: Rule, buckets: int):
-        self.rule, self.buckets = rule, buckets
+    def __init__(self, rule: Rule, buckets: int, shift: int = 0):
+        self.rule, self.buckets, self.shift = rule, buckets, np.uint64(shift)
         self.clear()
 
     def clear(self) -> None:
@@ -240,7 +250,7 @@ class Dealer:
         self.known.append((doc[copy], row[copy], unit[copy], count[copy] + self.rule.width - 1))
         sent = np.flatnonzero(~copy)
         self.strings += [strings[i] for i in sent.tolist()]
-        bucket = (low[sent] % np.uint64(self.buckets)).astype(np.int64)
+        bucket = ((low[sent] >> self.shift) % np.uint64(self.buckets)).astype(np.int64)
         self.arrays.append((bucket, doc[sent], row[sent], unit[sent], right[sent] - left[sent]))
 
     def flush(self) -> pd.DataFrame:
@@ -255,7 +265,8 @@ class Dealer:
                 out.append((int(bucket[own[0]]), *pack(doc[own], row[own], unit[own], size[own], joined)))
             known = merge(*(np.concatenate(x) for x in zip(*self.known, strict=True)))
             if len(known[0]):
-                out.append((-1 - int(bucket[order[0]]), *pack(*known, b"")))
+                # They go with any bucket, but not all with the same.
+                out.append((-1 - int(bucket[int(known[0][0]) % len(bucket)]), *pack(*known, b"")))
         self.clear()
         return pd.DataFrame(out, columns=[c.split()[0] for c in PACKED.split(", ")])
 
@@ -336,38 +347,146 @@ def reordered(strings: bytes, at: np.ndarray, size: np.ndarray) -> bytes:
 Judge = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes], tuple[np.ndarray, ...]]
 
 
-def verdicts(dealt: DataFrame, judge: Judge) -> DataFrame:
-    """Spans to remove, by text: what ``judge`` finds in each bucket, and what was known before.
+Judge = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes], tuple[np.ndarray, ...]]
+GATHERED = f"{VERDICTS}, {PACKED}"
 
-    ``judge`` gets the bucket's strings in order of document, row and place: doc, row,
-    first unit, size in bytes, and the strings joined by spaces.  It returns string number, first
-    unit in the string and number of units of what is to go.
-    """
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        mine, known, texts = [np.empty((4, 0), np.int64)], [np.empty((4, 0), np.int64)], []
-        for bucket, n, size, block in frame[["bucket", "n", "bytes", "block"]].itertuples(index=False):
-            arrays, joined = unpack(n, size, block)
-            (known if bucket < 0 else mine).append(arrays)
-            if bucket >= 0:
-                texts.append(joined)
-        (doc, row, unit, size), strings = np.concatenate(mine, 1), b" ".join(texts)
-        del texts
+class Bucket:
+    """The strings of a bucket: judged together, or dealt anew once they exceed ``limit`` bytes."""
+
+    def __init__(self, home: int, level: int, rule: Rule, judge: Judge, limit: int):
+        self.home, self.level, self.rule, self.judge, self.limit = home, level, rule, judge, limit
+        self.dealer: Dealer | None = None
+        self.hold([], [])
+
+    def hold(self, arrays: list[np.ndarray], texts: list[bytes]) -> None:
+        full = [i for i, a in enumerate(arrays) if a.shape[1]]
+        self.arrays, self.texts = [arrays[i] for i in full], [texts[i] for i in full]
+        self.bytes = sum(32 * a.shape[1] for a in arrays) + sum(map(len, texts))
+
+    def take(self, arrays: np.ndarray, joined: bytes) -> Iterator[pd.DataFrame]:
+        if self.dealer is not None:
+            yield from self.deal(arrays, joined)
+            return
+        self.arrays.append(arrays)
+        self.texts.append(joined)
+        self.bytes += 32 * arrays.shape[1] + len(joined)
+        if self.bytes <= self.limit:
+            return
+        if self.level >= WHOLE:
+            yield self.judged()
+            alone = self.drop_repeats()
+            if alone or 2 * self.bytes <= self.limit:
+                self.limit = max(self.limit, 2 * self.bytes)
+                return
+        seed = self.rule.width if self.level + 1 >= WHOLE else max(self.rule.seed, self.rule.width // 2)
+        # Each level of whole windows looks at other bits of their hashes.
+        shift = min(58, 6 * max(0, self.level + 1 - WHOLE))
+        self.dealer = Dealer(replace(self.rule, seed=seed), FAN, shift)
+        held = list(zip(self.arrays, self.texts, strict=True))
+        self.hold([], [])
+        while held:
+            yield from self.deal(*held.pop(0))
+
+    def deal(self, arrays: np.ndarray, joined: bytes) -> Iterator[pd.DataFrame]:
+        doc, row, unit, size = arrays
+        ends = np.cumsum(size + 1) - 1
+        strings = [joined[a:b] for a, b in zip((ends - size).tolist(), ends.tolist(), strict=True)]
+        for a, b in slices(strings, SLICE_BYTES):
+            self.dealer.add(strings[a:b], doc[a:b], row[a:b], unit[a:b])
+            if self.dealer.bytes >= FLUSH_BYTES or len(self.dealer.first_doc) >= FLUSH_STRINGS:
+                yield self.parts()
+
+    def parts(self) -> pd.DataFrame:
+        found = self.dealer.flush()
+        bucket = found["bucket"].to_numpy(np.int64)
+        base = self.home % (1 << 56) * FAN
+        found["bucket"] = np.where(bucket < 0, bucket - base, bucket + base)
+        return found.assign(**{DOC: 0, ROW: 0, "spans": None})
+
+    def judged(self) -> pd.DataFrame:
+        """Verdicts on the strings held, which are then in order of document, row and place."""
+        (doc, row, unit, size), strings = np.concatenate(self.arrays, 1), b" ".join(self.texts)
+        self.hold([], [])
         order = np.lexsort((unit, row, doc))
         at = (np.cumsum(size + 1) - (size + 1))[order]
         doc, row, unit, size = doc[order], row[order], unit[order], size[order]
         strings = reordered(strings, at, size)
-        which, start, length = judge(doc, row, unit, size, strings)
-        before = np.concatenate(known, 1)
-        return packed_by_text(
-            np.concatenate((doc[which], before[0])),
-            np.concatenate((row[which], before[1])),
-            np.concatenate((unit[which] + start, before[2])),
-            np.concatenate((length, before[3])),
-        )
+        which, start, length = self.judge(doc, row, unit, size, strings)
+        self.hold([np.stack((doc, row, unit, size))], [strings])
+        self.gone = np.bincount(which, minlength=len(doc))
+        return verdict_rows(doc[which], row[which], unit[which] + start, length)
+
+    def drop_repeats(self) -> bool:
+        """Keep of the strings judged those with a window that may stay; is it one window only?
+
+        A repeat decides on nothing: what it repeats is kept.
+        """
+        (arrays,), (strings,) = self.arrays, self.texts
+        w = Windows.of(np.frombuffer(strings, np.uint8), arrays[3], self.rule)
+        at = np.flatnonzero(w.whole)
+        kept = self.gone < np.bincount(w.owner[at], minlength=len(self.gone))
+        hashes = rolling(w.hashes, self.rule.width, at[kept[w.owner[at]]])
+        size = arrays[3][kept]
+        begin = (np.cumsum(arrays[3] + 1) - (arrays[3] + 1))[kept]
+        self.hold([arrays[:, kept]], [b" ".join([strings[a : a + n] for a, n in zip(begin.tolist(), size.tolist(), strict=True)])])
+        return len(np.unique(hashes)) <= 1
+
+    def finish(self) -> Iterator[pd.DataFrame]:
+        if self.dealer is not None:
+            yield self.parts()
+        elif self.arrays:
+            yield self.judged()
+
+
+def verdict_rows(doc: np.ndarray, row: np.ndarray, start: np.ndarray, size: np.ndarray) -> pd.DataFrame:
+    return packed_by_text(doc, row, start, size).assign(bucket=0, n=0, bytes=0, block=None)
+
+
+def gathered(dealt: DataFrame, judge: Judge, rule: Rule, limit: int, level: int) -> DataFrame:
+    """Verdicts of the buckets within ``limit``, and the strings of the others, dealt anew."""
+    columns = [c.split()[0] for c in GATHERED.split(", ")]
+
+    def frames(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            for home, bucket, n, size, block in batch.itertuples(index=False):
+                if bucket < 0:  # known to be repeats
+                    yield verdict_rows(*unpack(n, size, block)[0])
+                    continue
+                if held is None or held.home != home:
+                    if held is not None:
+                        yield from held.finish()
+                    held = Bucket(int(home), level, rule, judge, limit)
+                yield from held.take(*unpack(n, size, block))
+        if held is not None:
+            yield from held.finish()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames(batches):
+            if len(frame):
+                yield frame[columns]
 
     home = F.when(F.col("bucket") < 0, -1 - F.col("bucket")).otherwise(F.col("bucket"))
-    return dealt.groupBy(home.alias("home")).applyInPandas(run, VERDICTS)
+    rows = dealt.select(home.alias("home"), "bucket", "n", "bytes", "block")
+    return rows.repartition("home").sortWithinPartitions("home").mapInPandas(run, GATHERED)
+
+
+def verdicts(dealt: DataFrame, judge: Judge, rule: Rule, limit: int) -> DataFrame:
+    """Spans to remove, by text: what ``judge`` finds in each bucket, and what was known before.
+
+    ``judge`` gets a bucket's strings in order of document, row and place: doc, row,
+    first unit, size in bytes, and the strings joined by spaces.  It returns string number, first
+    unit in the string and number of units of each window that is to go.  Buckets of more
+    than ``limit`` bytes are dealt anew.
+    """
+    found, level = [], 0
+    while not found or not dealt.isEmpty():
+        out = written(gathered(dealt, judge, rule, limit, level), "window-verdicts")
+        found.append(out.where("block IS NULL").select(DOC, ROW, "spans"))
+        dealt = out.where("block IS NOT NULL").select("bucket", "n", "bytes", "block")
+        level += 1
+    return reduce(DataFrame.union, found)
 
 
 def bucket_count(docs: DataFrame, bucket_bytes: int) -> int:

@@ -1,5 +1,8 @@
 """Byte and word substring dedup against plain loops."""
 
+import random
+
+import numpy as np
 import pytest
 
 from postarchive.llm import suffix_family, superkmers, windows
@@ -29,6 +32,66 @@ def test_words(spark, seed):
     assert sum(x[1] for _, x in want) > 300
 
 
+def lowest(strings, rule):
+    """The string whose units hash lowest as a seed."""
+    hashes = [int(windows.rolling(rule.units(np.frombuffer(s, np.uint8))[2], rule.seed)[0]) for s in strings]
+    return strings[int(np.argmin(hashes))].decode()
+
+
+def around_one_seed(op):
+    """Texts that differ, but for a few copied passages, around a low-hashing seed in every window."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    if op is superkmers:
+        seed, parts = lowest([f"{word()} {word()}".encode() for _ in range(5000)], op.rule()), 8
+    else:
+        seed, parts = lowest(["".join(rng.choices("abcdefghij", k=8)).encode() for _ in range(5000)], op.rule()), 3
+    docs = []
+    for i in range(300):
+        words = [x for _ in range(8) for x in [*(word() for _ in range(parts)), seed]]
+        if i % 5 == 4:
+            words[20:40] = docs[i - 3][1].split(" ")[22:50]
+        docs.append((i, " ".join(words)))
+    return docs
+
+
+OPS = [(suffix_family, brute.removed_bytes, 50), (superkmers, brute.removed_words, 20)]
+
+
+@pytest.mark.parametrize("op, removed, width", OPS)
+def test_bucket_of_one_seed_is_split(spark, monkeypatch, op, removed, width):
+    docs = around_one_seed(op)
+    plain = op.repeats
+
+    def bounded(width):
+        judge = plain(width)
+
+        def run(doc, row, unit, size, strings):
+            if len(strings) > 60_000:
+                raise ValueError(f"a bucket of {len(strings)} bytes")
+            return judge(doc, row, unit, size, strings)
+
+        return run
+
+    monkeypatch.setattr(op, "repeats", bounded)
+    got = op.digests(op.mark(frame(spark, docs).repartition(16), bucket_bytes=1500)).collect()
+    want = list(zip([d for d, _ in docs], removed(docs, width)))
+    assert sorted((r[0], tuple(r[1:])) for r in got) == want
+    assert sum(x[1] for _, x in want) > 300
+
+
+@pytest.mark.parametrize("op, removed, width", OPS)
+def test_split_down_to_equal_windows(spark, monkeypatch, op, removed, width):
+    """Buckets of a few hundred bytes: single windows are dealt anew, and copies leave on the way."""
+    monkeypatch.setattr(windows, "SPLIT", 1)
+    same = " ".join(f"w{i}" for i in range(25))
+    docs = around_one_seed(op)[:40] + brute.invented(6, 30)
+    docs += [(1000 + i // 2, f"{i} " + " " * (55 + i % 7) + f"{same} x{i} {same}" + " go" * (18 + i % 9)) for i in range(60)]
+    got = op.digests(op.mark(frame(spark, docs).repartition(8), bucket_bytes=1000)).collect()
+    want = sorted(zip([d for d, _ in docs], removed(docs, width)), key=repr)
+    assert sorted(((r[0], tuple(r[1:])) for r in got), key=repr) == want
+
+
 def test_pieces_of_long_texts(monkeypatch):
     monkeypatch.setattr(windows, "SLICE_BYTES", 64)
     text = bytes(range(33, 120)) * 5
