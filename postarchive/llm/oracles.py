@@ -2,7 +2,7 @@
 
 Not here, and tested against plain versions in tests/llm instead: op1 and the pipeline
 (trained), op2 (archives), op4 and op8 (components of a graph), op5 (windows of bytes),
-op7 (a vocabulary file).
+op7 (a vocabulary file), op13 (eigenvectors).
 """
 
 from __future__ import annotations
@@ -123,3 +123,50 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(coalesce(string_agg(text, '' ORDER BY nth) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(upto) FILTER (WHERE role = 'assistant' OR nth = n) AS BIGINT) AS formatted_chars
 FROM placed GROUP BY conv_id"""
+
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLES["op11_filter_audit"] = f"""WITH texts AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, {SPLIT} AS ws FROM documents),
+firsts AS (SELECT text, min(doc_id) AS least FROM texts GROUP BY text),
+flags AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good,
+         max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+facts AS (
+  SELECT t.part, coalesce(l.good, 0) AS good, coalesce(l.toxic, 0) AS toxic,
+         CASE WHEN len(ws) < 200 THEN 'A' ELSE '' END
+         || CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * length(regexp_replace(t.text, '[^A-Z]', '', 'g')) > 2 * length(t.text) THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(t.text, '[#$%&*|]') THEN 'D' ELSE '' END
+         || CASE WHEN t.doc_id > f.least OR (t.doc_id IS NULL AND f.least IS NOT NULL) THEN 'E' ELSE '' END AS fails
+  FROM texts t JOIN firsts f ON f.text = t.text LEFT JOIN flags l ON l.doc_id = t.doc_id),
+cells AS (
+  SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM facts GROUP BY part, fails),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+orders AS (
+  SELECT a.l || b.l || c.l || d.l || e.l AS o
+  FROM letters a, letters b, letters c, letters d, letters e
+  WHERE length(replace(replace(replace(replace('ABCDE', a.l, ''), b.l, ''), c.l, ''), d.l, '')) = 1
+    AND replace(replace(replace(replace('ABCDE', a.l, ''), b.l, ''), c.l, ''), d.l, '') = e.l),
+steps AS (SELECT o, unnest([1, 2, 3, 4, 5]) AS step FROM orders),
+tried AS (
+  SELECT c.part, s.o, s.step, c.n, c.good, c.toxic, c.fails,
+         contains(c.fails, s.o[s.step]) AS fails_here,
+         s.step > 1 AND regexp_matches(c.fails, '[' || s.o[1 : s.step - 1] || '0]') AS went
+  FROM cells c, steps s),
+counted AS (
+  SELECT part, o AS filter_order, step,
+         CAST(coalesce(sum(n) FILTER (WHERE NOT fails_here AND NOT went), 0) AS BIGINT) AS kept,
+         CAST(coalesce(sum(n) FILTER (WHERE fails_here AND NOT went), 0) AS BIGINT) AS removed,
+         CAST(coalesce(sum(n) FILTER (WHERE fails_here AND went), 0) AS BIGINT) AS redundant,
+         CAST(coalesce(sum(n) FILTER (WHERE fails = o[step]), 0) AS BIGINT) AS unique_fails,
+         CAST(coalesce(sum(good) FILTER (WHERE fails_here AND NOT went), 0) AS BIGINT) AS good_lost,
+         CAST(coalesce(sum(toxic) FILTER (WHERE fails_here AND NOT went), 0) AS BIGINT) AS toxic_lost
+  FROM tried GROUP BY part, o, step)
+SELECT *, CAST(sum(removed) OVER (PARTITION BY part, filter_order[step]) AS BIGINT) AS shapley FROM counted"""
+
+ORACLES["op12_exact_dedup"] = f"""WITH texts AS (SELECT doc_id, {LOWER} AS text FROM documents),
+groups AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM texts GROUP BY text)
+SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id IS NOT DISTINCT FROM g.keep_id AS kept,
+       sha256(t.text) AS text_sha256
+FROM texts t JOIN groups g ON g.text = t.text"""

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from postarchive.llm import (
     chat,
     contamination,
+    exact_dedup,
+    filter_audit,
     minhash,
     mixing,
     multi_index,
@@ -16,6 +18,7 @@ from postarchive.llm import (
     superkmers,
     token_counts,
     warc,
+    whitening,
 )
 from postarchive.llm.common import table
 from postarchive.session import configure, shared_dir
@@ -103,6 +106,23 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.read_conversations(chat.expand(asked.unionByName(hostile))))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return filter_audit.audit(docs, table(spark, sf_dir, "labels"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = exact_dedup.deduplicate(docs, shared_dir(spark, "digest-index"))
+    return found.select(
+        "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256")
+    )
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark, table(spark, sf_dir, "embeddings"))
+
+
 def _configured(query):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return query(configure(spark), sf_dir)
@@ -114,6 +134,7 @@ QUERIES = {
     query.__name__: _configured(query)
     for query in (
         op1_quality, op2_warc, op3_mixing, op4_multi_index, op5_suffix_family, op6_contamination,
-        op7_token_counts, op8_minhash, op9_superkmers, op10_chat,
+        op7_token_counts, op8_minhash, op9_superkmers, op10_chat, op11_filter_audit, op12_exact_dedup,
+        op13_whitening,
     )
 }
