@@ -11,12 +11,10 @@ from pyspark.sql import functions as F
 
 from postarchive import schema as S
 from postarchive.functions import scalars as X
-from postarchive.operators import filters, index as ix, lookup, projections, rollups, selftest
-from postarchive.operators.guard import only_reads, read_only
+from postarchive.operators import filters, guard, index as ix, lookup, projections, rollups, selftest
 from postarchive.operators.search import rank, require_terms
 
 PASS, WARN, FAIL = "pass", "warn", "fail"
-# Lookups of up to this many posts give the ids to the scans as literals.
 
 
 @dataclass
@@ -122,17 +120,13 @@ class Archive:
 
     def sql(self, statement: str, limit: int = 200) -> DataFrame:
         """A read-only statement over the views bookmarks, folders, bookmark_folders, meta."""
-        checked = read_only(statement)
         views = {
             "bookmarks": self.posts,
             "folders": self.folders,
             "bookmark_folders": self.memberships,
             "meta": rollups.latest_values(self.runs),
         }
-        only_reads(self.spark, checked, views)
-        for name, rows in views.items():
-            rows.createOrReplaceTempView(name)
-        return self.spark.sql(checked).limit(filters.at_least_one(limit))
+        return guard.query(self.spark, statement, views).limit(filters.at_least_one(limit))
 
     def integrity(self) -> DataFrame:
         return ix.integrity(self.posts, self.index.docs)

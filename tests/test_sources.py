@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from postarchive import schema as S
 from postarchive.functions import scalars as X
 from postarchive.operators import filters, lookup, projections, rollups
-from postarchive.operators.guard import only_reads, read_only
+from postarchive.operators import guard
+from postarchive.operators.guard import read_only
 from postarchive.plans.ingest import sync
 from postarchive.sources import feed as feeds
 from postarchive.sources.store import ArchiveStore
@@ -242,25 +243,63 @@ def test_guard_rejects(sql):
         read_only(sql)
 
 
-VIEWS = ("bookmarks", "folders", "bookmark_folders", "meta")
+@pytest.fixture
+def views(spark):
+    return {
+        "bookmarks": spark.createDataFrame([("1", 2)], "tweet_id string, x int"),
+        "folders": spark.createDataFrame([("f", "F")], "id string, name string"),
+        "bookmark_folders": spark.createDataFrame([("1", "f")], "tweet_id string, folder_id string"),
+        "meta": spark.createDataFrame([("k", "v")], "key string, value string"),
+    }
 
 
-@pytest.mark.parametrize("sql", [
-    "select 1", "with a as (select 1 as x) select x from a join bookmarks on true",
-    "select name from folders where id in (select folder_id from bookmark_folders)", "describe folders",
+@pytest.mark.parametrize(("sql", "rows"), [
+    ("select 1", 1), ("with a as (select 1 as x) select a.x from a join bookmarks on true", 1),
+    ("select name from folders where id in (select folder_id from bookmark_folders)", 1), ("describe folders", None),
+    ("select sum(id) from range(4)", 1), ("values (1), (2)", None), ("explain select * from meta", None),
+    ("show columns in folders", 2), ("select (select max(x) from bookmarks) as m, f.* from Folders f", 1),
+    ("describe query select * from meta", 2), ("select upper(name), count(*) over () from folders", 1),
+    ("select * from bookmarks lateral view explode(array(1, 2)) as y", 2), ("select 'text.`/etc/hostname`'", 1),
 ])
-def test_plan_guard_allows(spark, sql):
-    only_reads(spark, sql, VIEWS)
+def test_query_guard_allows(spark, views, sql, rows):
+    if sql.startswith("values"):
+        with pytest.raises(ValueError):
+            guard.query(spark, sql, views)
+        return
+    found = guard.query(spark, sql, views).collect()
+    assert rows is None or len(found) == rows
+
+
+COLUMNS = ", ".join(f"{i} as c{i}" for i in range(40))
 
 
 @pytest.mark.parametrize("sql", [
     "select * from text.`/etc/hostname`", "select reflect('java.lang.System', 'currentTimeMillis')",
     "select * from bookmarks where JAVA_METHOD('a.B', 'c') = 1", "select * from elsewhere",
     "select (select max(x) from other.t) from meta", "describe elsewhere",
+    "SELECT * FROM IDENTIFIER('text.`/etc/hostname`')", "select * from identifier('elsewhere')",
+    "SELECT IDENTIFIER('reflect')('java.lang.System', 'currentTimeMillis')",
+    f"select {COLUMNS}, reflect('java.lang.System', 'currentTimeMillis')",
+    "select try_reflect('java.lang.System', 'currentTimeMillis')", "select own_python(1)", "select * from theirs",
+    "select transform(x) using 'cat' from bookmarks", "with t as (select * from theirs) select * from t",
+    "select * from bookmarks where exists (select 1 from theirs)", "explain select * from theirs",
+    "explain extended select reflect('java.lang.System', 'currentTimeMillis')",
+    "describe query select reflect('java.lang.System', 'currentTimeMillis') as x",
+    "select * from folders union all select * from json.`/tmp`", "select * from bookmarks, lateral (select * from theirs)",
+    "describe text.`/etc/hostname`", "show columns in theirs", "select nonsense from folders",
 ])
-def test_plan_guard_rejects(spark, sql):
+def test_query_guard_rejects(spark, views, sql):
+    spark.range(3).createOrReplaceTempView("theirs")
+    spark.udf.register("own_python", lambda x: x)
     with pytest.raises(ValueError):
-        only_reads(spark, sql, VIEWS)
+        guard.query(spark, sql, views)
+
+
+def test_query_leaves_the_callers_views(spark, views):
+    spark.range(7).createOrReplaceTempView("folders")
+    assert guard.query(spark, "select * from folders", views).count() == 1
+    assert spark.table("folders").count() == 7
+    spark.catalog.dropTempView("folders")
 
 
 def test_json_columns_and_back(spark):
