@@ -12,12 +12,14 @@ one shingle).  Two are linked if their sets' Jaccard similarity is ``NEAR`` or m
 3. Bands.  ``ROWS`` places make a band; classes that agree in a band are candidates.
    At similarity 0.75 a pair misses all bands with probability about 1e-6.
 4. Verification on full sets.  First each class against the smallest of its band's
-   bucket.  In buckets whose members are then in several components, members are
-   compared by their whole signatures, and each meets its likeliest partner in every
-   other component: a tight group grows together with a few pairs per member.  What is
-   apart even then is verified with every partner whose estimate is not hopelessly low.
-   Nothing is compared inside a component, no bucket emits all its pairs, and no pair
-   that may be near is left out.
+   bucket.  Buckets whose members are then in several components are unsettled; those
+   that share members make a region.  A region is cut into tiles, and where two parts of
+   it meet, each two members in different components are compared: by size and whole
+   signature, then by their full sets.  Only the unions that a tile makes leave it, one
+   row each.  Where a region's pairs outnumber those of its buckets, the buckets are
+   compared instead.  Nothing is compared inside a component, and no pairs leave a task.
+   A pair at the threshold is passed over by its signature only if its estimate is five
+   deviations too low, which is rarer than a miss of all bands.
 5. Grouping by union-find (:mod:`postarchive.llm.components`).
 
 Defined cases: texts without words are linked with nothing, also not with one another.
@@ -43,7 +45,8 @@ SHINGLE = 5
 NEAR = 75  # per cent
 BANDS, ROWS = 36, 4
 PLACES = BANDS * ROWS
-TILE = 2048
+TILE = 2048  # members of a part, at most about
+ELEMENTS = 1 << 21  # elements of a part's sets, at most about, or one set
 HOPELESS = 0.55  # an estimate this low is five deviations below NEAR
 GLANCE = 48  # places that are compared first
 SLICE_BYTES = 1 << 19
@@ -132,10 +135,7 @@ def sign(docs: DataFrame) -> DataFrame:
                     {
                         "doc": batch["doc"].iloc[a:b].to_numpy(),
                         "n_shingles": counts,
-                        "digest": [
-                            hashlib.blake2b(values[i:j].tobytes(), digest_size=16).digest()
-                            for i, j in zip(edges[:-1], edges[1:], strict=True)
-                        ],
+                        "digest": [digest(values[i:j]) for i, j in zip(edges[:-1], edges[1:], strict=True)],
                         "bands": list(bands.view(np.int64)),
                         "sketch": [s.tobytes() for s in sketch],
                     }
@@ -146,29 +146,42 @@ def sign(docs: DataFrame) -> DataFrame:
     return signed.withColumn("doc", F.nullif(F.col("doc"), F.lit(NO_ID)))
 
 
-def similar(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of ids whose sets are near, verified on the full sets.
+def digest(elements: np.ndarray) -> bytes:
+    return hashlib.blake2b(elements.tobytes(), digest_size=16).digest()
 
-    ``docs``: doc, text, one row per id.  Only the texts of ids in ``pairs`` are read on.
-    """
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
 
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def tag() -> Column:
+    """What tells classes with the same smallest id apart; 0 unless rows share that id."""
+    return F.when(F.col("shared"), F.conv(F.substring(F.hex("digest"), 1, 15), 16, 10).cast("long")).otherwise(0)
+
+
+def full_sets(texts: DataFrame) -> DataFrame:
+    """doc, tag, elements (sorted 64-bit hashes) of ``texts`` (doc, shared, text)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = list(batch["text"])
             for a, b in slices(texts, SLICE_BYTES):
                 text, values = shingle_sets(texts[a:b])
                 edges = np.searchsorted(text, np.arange(b - a + 1))
+                found = [values[i:j] for i, j in zip(edges[:-1], edges[1:], strict=True)]
                 yield pd.DataFrame(
                     {
                         "doc": batch["doc"].iloc[a:b].to_numpy(),
-                        "elements": [values[i:j].tobytes() for i, j in zip(edges[:-1], edges[1:], strict=True)],
+                        "shared": batch["shared"].iloc[a:b].to_numpy(),
+                        "digest": [digest(x) for x in found],
+                        "elements": [x.tobytes() for x in found],
                     }
                 )
 
-    found = written(docs.join(ids, "doc", "left_semi").mapInPandas(sets, "doc long, elements binary"), "minhash-sets")
-    left = found.select(F.col("doc").alias("a"), F.col("elements").alias("x"))
-    right = found.select(F.col("doc").alias("b"), F.col("elements").alias("y"))
+    found = texts.select("doc", "shared", "text").mapInPandas(run, "doc long, shared boolean, digest binary, elements binary")
+    return found.select("doc", tag().alias("tag"), "elements")
+
+
+def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b of the pairs (a, a_tag, b, b_tag) whose sets are near, verified on the full ``sets``."""
+    left = sets.toDF("a", "a_tag", "x")
+    right = sets.toDF("b", "b_tag", "y")
 
     @F.pandas_udf("boolean")
     def near(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -183,7 +196,8 @@ def similar(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             out.append(shared > 0 and 100 * shared >= NEAR * (len(both) - shared))
         return pd.Series(out, dtype=bool)
 
-    return pairs.join(left, "a").join(right, "b").where(near("x", "y")).select("a", "b")
+    met = pairs.join(left, ["a", "a_tag"]).join(right, ["b", "b_tag"])
+    return met.where(near("x", "y")).select("a", "b")
 
 
 # Sets whose sizes differ more than this cannot be near.
@@ -191,100 +205,128 @@ SIZES = f"100 * least({{a}}, {{b}}) >= {NEAR} * greatest({{a}}, {{b}})"
 
 
 def unsettled(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """``rows`` (band, hash, doc, ...) of buckets with several components, with ``component``."""
-    placed = rows.drop("component").join(found.withColumnRenamed("node", "doc"), "doc", "left")
+    """``rows`` (band, hash, doc, tag) of buckets with several components, with ``component``."""
+    placed = rows.join(found.withColumnRenamed("node", "doc"), "doc", "left")
     placed = placed.withColumn("component", F.coalesce("component", "doc"))
     spread = placed.groupBy("band", "hash").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     return placed.join(spread.where("lo <> hi").select("band", "hash"), ["band", "hash"], "left_semi")
 
 
-def compared(rows: DataFrame, every: bool, tile: int = TILE) -> DataFrame:
-    """Pairs (a, b) of a bucket's members in different components that may be near.
+def regions(rows: DataFrame) -> DataFrame:
+    """region, band, hash, doc, tag, component: who is to be compared with whom.
 
-    ``rows``: band, hash, doc, n, component, sketch, before (hashes of the bands before
-    this one).  Sizes and sketches are compared where the members of a bucket meet, so
-    only what may be near leaves the task: for each member and component the likeliest
-    partner, or ``every`` one.  Members of a large bucket are cut into parts, and each
-    two parts meet in a task.
+    ``rows`` (band, hash, doc, tag, component) share a region if they share a bucket, over any
+    number of steps.  Its members are compared with one another once (band -1), unless
+    there are fewer pairs in its buckets.
     """
-    parts = rows.groupBy("band", "hash").agg(F.ceil(F.count("*") / tile).cast("int").alias("parts"))
-    cut = rows.join(parts, ["band", "hash"]).withColumn("part", F.pmod(F.xxhash64("doc"), "parts").cast("int"))
+    least = rows.groupBy("band", "hash").agg(F.min("doc").alias("a"))
+    steps = rows.join(least, ["band", "hash"]).select("a", F.col("doc").alias("b")).where("a <> b").distinct()
+    region = components(steps).select(F.col("node").alias("doc"), F.col("component").alias("region"))
+    placed = written(rows.join(region, "doc"), "minhash-regions")
+    buckets = placed.groupBy("region", "band", "hash").agg(F.count("*").cast("double").alias("n"))
+    members = placed.select("region", "doc", "tag", "component").distinct()
+    cost = buckets.groupBy("region").agg(F.sum(F.col("n") * F.col("n")).alias("in_buckets"))
+    sizes = members.groupBy("region").agg(F.count("*").cast("double").alias("n")).join(cost, "region")
+    apart = written(sizes.where("n * n > in_buckets").select("region"), "minhash-apart")
+    whole = members.join(apart, "region", "left_anti").select(
+        "region", F.lit(-1).alias("band"), F.lit(0).cast("long").alias("hash"), "doc", "tag", "component"
+    )
+    return whole.unionByName(placed.join(apart, "region", "left_semi").select(whole.columns))
+
+
+def joined_in_tile(n: np.ndarray, component: np.ndarray, sketch: np.ndarray, ids: np.ndarray, anchors, others) -> list:
+    """Unions (x, y) of members whose sets are near, of ``anchors`` with later ``others``.
+
+    ``ids``: the elements of all sets one after the other, as small numbers.
+    """
+    begin = np.cumsum(n) - n
+    marked = np.zeros(int(ids.max(initial=0)) + 1, bool)
+    label = np.unique(component, return_inverse=True)[1]
+    unions = []
+    same_part = anchors is others
+    for k, x in enumerate(anchors):
+        y = others[k + 1 :] if same_part else others
+        y = y[label[y] != label[x]]
+        y = y[100 * np.minimum(n[x], n[y]) >= NEAR * np.maximum(n[x], n[y])]
+        y = y[(sketch[y, :GLANCE] == sketch[x, :GLANCE]).sum(1) >= (HOPELESS - 0.1) * GLANCE]
+        y = y[(sketch[y] == sketch[x]).sum(1) >= HOPELESS * PLACES]
+        if not len(y):
+            continue
+        own = ids[begin[x] : begin[x] + n[x]]
+        marked[own] = True
+        for a, b in slices([range(n[z]) for z in y], ELEMENTS):
+            some = y[a:b]
+            ends = np.cumsum(n[some])
+            places = np.arange(ends[-1]) + np.repeat(begin[some] - (ends - n[some]), n[some])
+            shared = np.add.reduceat(marked[ids[places]].astype(np.int64), ends - n[some])
+            for z in some[100 * shared >= NEAR * (n[x] + n[some] - shared)]:
+                if label[z] != label[x]:
+                    unions.append((x, z))
+                    label[label == label[z]] = label[x]
+        marked[own] = False
+    return unions
+
+
+def compared(rows: DataFrame, members: DataFrame, tile: int = TILE, elements: int = ELEMENTS) -> DataFrame:
+    """Links (a, b) that join members of a region's ``rows`` in different components.
+
+    ``members``: doc, tag, n, sketch, elements.  A large region is cut into parts by number
+    of members and of elements, and each two parts meet in a task.  A task returns the
+    unions it makes, fewer than its components.
+    """
+    key = ["region", "band", "hash"]
+    sized = rows.join(members.select("doc", "tag", "n"), ["doc", "tag"])
+    most = F.greatest(F.count("*") / tile, F.sum("n") / elements)
+    parts = sized.groupBy(*key).agg(F.greatest(F.ceil(most), F.lit(1)).cast("int").alias("parts"))
+    cut = rows.join(parts, key).withColumn("part", F.pmod(F.xxhash64("doc", "tag"), "parts").cast("int"))
     dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")})
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        doc, n, component = (frame[c].to_numpy() for c in ("doc", "n", "component"))
+        doc, n, component, part = (frame[c].to_numpy() for c in ("doc", "n", "component", "part"))
         sketch = np.frombuffer(b"".join(frame["sketch"]), np.uint8).reshape(-1, PLACES)
-        part, i, j, band = frame["part"].to_numpy(), frame["i"].iat[0], frame["j"].iat[0], frame["band"].iat[0]
-        before = np.array(frame["before"].tolist(), np.int64).reshape(len(frame), band)
-        ones, twos = np.flatnonzero(part == i), np.flatnonzero(part == j)
-        out = [np.empty((2, 0), np.int64)]
-        for start in range(0, len(ones), 64):
-            some = ones[start : start + 64]
-            small, large = np.minimum.outer(n[some], n[twos]), np.maximum.outer(n[some], n[twos])
-            may = (100 * small >= NEAR * large) & (component[some][:, None] != component[twos][None, :])
-            x, y = np.nonzero(may)
-            kept, same = [], []
-            for k in range(0, len(x), 1 << 15):
-                p, q = some[x[k : k + (1 << 15)]], twos[y[k : k + (1 << 15)]]
-                likely = (sketch[p, :GLANCE] == sketch[q, :GLANCE]).mean(1) >= HOPELESS - 0.1
-                p, q = p[likely], q[likely]
-                equal = sketch[p] == sketch[q]
-                good = equal.mean(1) >= HOPELESS
-                # A pair is looked at in the first band that it shares only.  That goes by the
-                # hashes that made the buckets: sketches may agree where the pair never met.
-                good[good] = ~(before[p[good]] == before[q[good]]).any(1)
-                kept.append(np.stack((p[good], q[good])))
-                same.append(equal[good].mean(1))
-            (x, y), same = np.concatenate([np.empty((2, 0), np.int64), *kept], 1), np.concatenate([[], *same])
-            if not every and len(x):
-                best = np.lexsort((doc[y], -same, component[y], x))
-                x, y = x[best], y[best]
-                first = np.append(True, (x[1:] != x[:-1]) | (component[y[1:]] != component[y[:-1]]))
-                x, y = x[first], y[first]
-            out.append(np.stack((np.minimum(doc[x], doc[y]), np.maximum(doc[x], doc[y]))))
-        a, b = np.concatenate(out, 1)
-        return pd.DataFrame({"a": a, "b": b}).drop_duplicates()
-
-    return dealt.groupBy("band", "hash", "i", "j").applyInPandas(run, "a long, b long").distinct()
+        ids = np.unique(np.frombuffer(b"".join(frame["elements"]), np.uint64), return_inverse=True)[1].astype(np.int32)
+        i, j = frame["i"].iat[0], frame["j"].iat[0]
+        anchors = np.flatnonzero(part == i)
+        others = anchors if i == j else np.flatnonzero(part == j)
+        unions = joined_in_tile(n, component, sketch, ids, anchors, others)
+        return pd.DataFrame([(doc[x], doc[y]) for x, y in unions], columns=["a", "b"], dtype="int64")
+
+    return dealt.join(members, ["doc", "tag"]).groupBy(*key, "i", "j").applyInPandas(run, "a long, b long")
 
 
 def groups(docs: DataFrame) -> DataFrame:
     """doc, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
     signed = written(sign(docs), "minhash-signed")
     usable = signed.where("n_shingles > 0 AND doc IS NOT NULL")
-    classes = written(
-        usable.groupBy("digest").agg(
-            F.min("doc").alias("doc"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"),
-            F.first("sketch").alias("sketch"),
-        ),
-        "minhash-classes",
+    shared = usable.groupBy("doc").count().where("count > 1").select("doc")
+    shared = written(shared, "minhash-shared").withColumn("shared", F.lit(True))
+    classes = usable.groupBy("digest").agg(
+        F.min("doc").alias("doc"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"),
+        F.first("sketch").alias("sketch"),
     )
-    band = classes.select("doc", "n", F.posexplode("bands").alias("band", "hash"))
-    # One text for each class: the smallest row of its smallest id with that set.
-    texts = (
-        docs.select(F.col("doc_id").cast("long").alias("doc"), utf8().alias("text"))
-        .join(classes.select("doc"), "doc", "left_semi")
+    classes = written(classes.join(shared, "doc", "left").withColumn("tag", tag()).drop("shared"), "minhash-classes")
+    band = classes.select("doc", "tag", "n", F.posexplode("bands").alias("band", "hash"))
+    least = F.min(F.struct("doc", "tag", "n"))
+    buckets = band.groupBy("band", "hash").agg(least.alias("least"), F.count("*").alias("members")).where("members > 1")
+    buckets = written(
+        buckets.select("band", "hash", "least.*").toDF("band", "hash", "a", "a_tag", "least_n"), "minhash-buckets"
     )
-    buckets = band.groupBy("band", "hash").agg(F.min(F.struct("doc", "n")).alias("least"), F.count("*").alias("members"))
-    buckets = buckets.where("members > 1").select("band", "hash", "least.doc", "least.n").toDF("band", "hash", "least", "least_n")
-    buckets = written(buckets, "minhash-buckets")
     members = written(band.join(buckets, ["band", "hash"]), "minhash-members")
-    tried = written(
-        members.where("least <> doc AND " + SIZES.format(a="n", b="least_n"))
-        .groupBy(F.col("least").alias("a"), F.col("doc").alias("b")).agg(F.count("*").alias("bands")),
-        "minhash-first",
-    ).select("a", "b")
-    links = written(similar(tried, texts), "minhash-links")
-    left = members.select("band", "hash", "doc", "n").join(classes.select("doc", "sketch", "bands"), "doc")
-    left = left.withColumn("before", F.slice("bands", F.lit(1), F.col("band"))).drop("bands")
-    for every in (False, True):
-        left = written(unsettled(left, components(links)), "minhash-unsettled")
-        found = compared(left, every).join(tried, ["a", "b"], "left_anti")
-        pairs = written(found, "minhash-pairs")
-        links = links.union(written(similar(pairs, texts), "minhash-links"))
-        tried = tried.union(pairs)
-    shared = usable.groupBy("doc").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y")
+    # One text for each class that shares a bucket: of its smallest id, and equal rows of that once.
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), utf8().alias("text"))
+    asked = members.select("doc").distinct()
+    once = texts.join(shared, "doc", "left_anti").join(asked, "doc", "left_semi").withColumn("shared", F.lit(False))
+    again = texts.join(shared, "doc").join(asked, "doc", "left_semi").distinct()
+    sets = written(full_sets(once.unionByName(again)), "minhash-sets")
+    tried = members.where("a <> doc AND " + SIZES.format(a="n", b="least_n"))
+    tried = tried.select("a", "a_tag", F.col("doc").alias("b"), F.col("tag").alias("b_tag")).distinct()
+    links = written(similar(tried, sets), "minhash-links")
+    left = written(unsettled(members.select("band", "hash", "doc", "tag"), components(links)), "minhash-unsettled")
+    asked = left.select("doc", "tag").distinct()
+    of_members = classes.select("doc", "tag", "n", "sketch").join(asked, ["doc", "tag"], "left_semi")
+    of_members = of_members.join(sets, ["doc", "tag"])
+    links = links.union(written(compared(regions(left), of_members), "minhash-links"))
     of_id = usable.join(shared.select("doc"), "doc").select(F.col("doc").alias("b"), "digest")
     tied = of_id.join(classes.select("digest", F.col("doc").alias("a")), "digest").select("a", "b")
     final = components(links.union(tied))

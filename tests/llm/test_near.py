@@ -58,17 +58,51 @@ def test_documents_of_the_table(spark):
     assert sum(d != c for d, _, c in want) > 20
 
 
-@pytest.mark.parametrize("tile", [16, 2048])
-def test_bytes_alone_do_not_make_a_shared_band(spark, tile):
-    """All sketches agree in every band, so only the bands' hashes tell where a pair meets first."""
-    n, band = 60, 3
-    before = [[i, 1000 + i // 2, 2000 + i] for i in range(n)]  # 2k and 2k + 1 share an earlier band
-    rows = [(band, 7, i, 100, i % 20, bytes(minhash.PLACES), before[i]) for i in range(n)]
-    schema = "band int, hash long, doc long, n long, component long, sketch binary, before array<long>"
-    got = minhash.compared(spark.createDataFrame(rows, schema), True, tile).collect()
-    pairs = itertools.combinations(range(n), 2)
-    want = {(a, b) for a, b in pairs if a % 20 != b % 20 and not (a // 2 == b // 2)}
-    assert sorted(map(tuple, got)) == sorted(want)
+def tile_input(spark, sets, components_, sketches=None):
+    """Rows of one region and its members, from lists of numbers."""
+    rows, members = [], []
+    for i, (numbers, component) in enumerate(zip(sets, components_, strict=True)):
+        values = np.sort(minhash.mix64(np.array(sorted(numbers), np.uint64)))
+        signature = minhash.signatures(np.zeros(len(values), np.int64), values, 1)[0]
+        sketch = minhash.mix64(signature).astype(np.uint8).tobytes()
+        rows.append((5, -1, 0, i, 0, component))
+        members.append((i, 0, len(values), sketch, values.tobytes()))
+    return (
+        spark.createDataFrame(rows, "region long, band int, hash long, doc long, tag long, component long"),
+        spark.createDataFrame(members, "doc long, tag long, n long, sketch binary, elements binary"),
+    )
+
+
+@pytest.mark.parametrize(("tile", "elements"), [(16, 1 << 21), (2048, 1 << 21), (2048, 900)])
+def test_tiles_join_what_is_near(spark, tile, elements):
+    rng = np.random.default_rng(tile + elements)
+    base = rng.integers(0, 1 << 40, (6, 120))
+    sets = [set(base[i % 6][: rng.integers(70, 121)].tolist()) | set(rng.integers(0, 99, 5).tolist()) for i in range(90)]
+    before = [i if i % 4 else i % 6 for i in range(90)]  # some are in one component already
+    rows, members = tile_input(spark, sets, before)
+    got = [tuple(r) for r in minhash.compared(rows, members, tile, elements).collect()]
+    near = linked(sets)
+    assert {tuple(sorted(p)) for p in got} <= set(near)
+    known = [(i, j) for i, j in itertools.combinations(range(90), 2) if before[i] == before[j]]
+    assert brute.roots(range(90), got + known) == brute.roots(range(90), near + known)
+    if tile > 90 and elements > 1 << 20:
+        assert len(got) == len(set(brute.roots(range(90), known).values())) - len(set(brute.roots(range(90), near + known).values()))
+
+
+def test_tile_sends_unions_only(spark):
+    """All near one another: a row less than members, not their pairs."""
+    shared = set(range(1000, 1200))
+    rows, members = tile_input(spark, [shared | {i} for i in range(300)], range(300))
+    assert minhash.compared(rows, members).count() == 299
+
+
+def test_same_id_with_two_texts(spark):
+    """Rows that share an id are one node; each of its texts links."""
+    x, y = (" ".join(f"{c}{i}" for i in range(60)) for c in "xy")
+    docs = [(1, x), (1, y), (1, x), (2, x + " end"), (3, y + " end"), (4, "alone " * 30)] + [(1, x)] * 50
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc"]: r["component_id"] for r in minhash.groups(frame).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4}
 
 
 def test_signatures_estimate_similarity():
