@@ -33,7 +33,7 @@ from postarchive.llm.common import utf8
 
 WIDTH = 50
 SEED = 8
-BUCKET_BYTES = 5 << 20
+BUCKET_BYTES = 2 << 20
 BATCH_BYTES = 1 << 20
 INDEX_BITS = 20  # a batch has 2**20 suffixes at most
 
@@ -55,11 +55,7 @@ class IndexFamily:
         self.others: dict[bytes, int] = {}  # strings that share another's fingerprint
 
     def same(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        if not len(a):
-            return np.empty(0, bool)
-        view = np.lib.stride_tricks.sliding_window_view(self.data, self.width)
-        parts = range(0, len(a), 1 << 17)
-        return np.concatenate([(view[a[i : i + (1 << 17)]] == view[b[i : i + (1 << 17)]]).all(1) for i in parts])
+        return win.same_bytes(self.data, a, b, np.full(len(a), self.width))
 
     def add(self, hashes: np.ndarray, docs: np.ndarray, places: np.ndarray) -> np.ndarray:
         """Which suffixes of a batch, in order of document, start in a smaller document too."""
@@ -137,10 +133,8 @@ def repeats(width: int, batch_bytes: int = BATCH_BYTES) -> win.Judge:
 
 def mark(docs: DataFrame, width: int = WIDTH, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """All columns of ``docs`` and their spans: the packed ranges of bytes to remove."""
-    buckets = win.bucket_count(docs, bucket_bytes)
     rows = win.keyed(docs)
-    dealt = win.deal(rows, rule(width), buckets)
-    return win.with_spans(rows, win.verdicts(dealt, repeats(width), rule(width), win.SPLIT * bucket_bytes))
+    return win.with_spans(rows, win.spans_to_remove(rows, repeats(width), rule(width), bucket_bytes))
 
 
 def kept_bytes(text: bytes, packed) -> tuple[bytes, np.ndarray]:

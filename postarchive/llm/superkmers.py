@@ -5,7 +5,7 @@ window that covers it, as a sequence of words, also starts earlier: in a documen
 with a smaller id, or in the same one further ahead.  Windows are dealt to buckets
 by their minimisers, neighbours with the same minimiser as one packed string (see
 :mod:`postarchive.llm.windows`).  A bucket sorts the hashes of its windows; those
-whose hash is not alone are counted exactly, by their words.
+whose hash is not alone are compared by their bytes, so counts are exact.
 
 Defined cases: NULL and blank texts have no words; texts shorter than a window keep
 all words; rows sharing a doc_id are judged each against smaller ids and against
@@ -27,36 +27,63 @@ from postarchive.llm.common import utf8
 
 WIDTH = 20
 SEED = 2
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES = 2 << 20
+
+
+def repeated(w: win.Windows, at: np.ndarray, hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(group, window) of the windows ``at`` that are not alone, equal windows in a group, in order.
+
+    Windows are sorted by hash.  Neighbours under one hash are compared by their bytes;
+    should they differ, their group is told apart by its words.
+    """
+    order = np.argsort(hashes, kind="stable")
+    hashes = hashes[order]
+    same = hashes[1:] == hashes[:-1]
+    several = np.zeros(len(order), bool)
+    several[1:] = same
+    several[:-1] |= same
+    order, hashes = at[order[several]], hashes[several]
+    if not len(order):
+        return order, order
+    left, size = w.starts[order].astype(np.int64), w.ends[order + width - 1] - w.starts[order]
+    pair = np.flatnonzero(hashes[1:] == hashes[:-1])
+    equal = size[pair] == size[pair + 1]
+    equal[equal] = win.same_bytes(w.data, left[pair[equal]], left[pair[equal] + 1], size[pair[equal]])
+    group = np.cumsum(np.append(True, hashes[1:] != hashes[:-1]))
+    if not equal.all():
+        group = told_apart(w, order, group, np.unique(group[pair[~equal]]), left, size)
+    back = np.lexsort((order, group))
+    return group[back], order[back]
+
+
+def told_apart(w, order, group, mixed, left, size) -> np.ndarray:
+    """``group`` with the windows of the ``mixed`` groups, which share a hash only, numbered by their bytes."""
+    group, numbers = group.copy(), {}
+    for k in np.flatnonzero(np.isin(group, mixed)).tolist():
+        window = w.data[left[k] : left[k] + size[k]].tobytes()
+        group[k] = numbers.setdefault((int(group[k]), window), len(order) + 1 + len(numbers))
+    return group
 
 
 def repeats(width: int) -> win.Judge:
     def judge(doc, row, unit, size, strings):
-        w = win.Windows.of(np.frombuffer(strings, np.uint8), size, rule(width))
+        data = np.frombuffer(strings, np.uint8)
+        w = win.Windows.of(data, size, rule(width))
         at = np.flatnonzero(w.whole)
-        hashes = win.rolling(w.hashes, width, at) if len(at) else np.empty(0, np.uint64)
-        ordered = np.sort(hashes)
-        twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
-        if not len(twice):
+        group, at = repeated(w, at, win.rolling(w.hashes, width, at), width)
+        if not len(at):
             none = np.empty(0, np.int64)
             return none, none, none
-        place = np.minimum(np.searchsorted(twice, hashes), len(twice) - 1)
-        at = at[twice[place] == hashes]
         own = w.owner[at]
-        left, right = w.starts[at].tolist(), w.ends[at + width - 1].tolist()
-        docs, rows, places = doc[own].tolist(), row[own].tolist(), (unit[own] + at - w.first_unit[own]).tolist()
-        gone = np.zeros(len(at), bool)
-        first: dict = {}  # window -> document, row and place it was met at first
-        own_first: dict = {}  # the same by row, for rows that share the first one's id
-        for i in range(len(at)):
-            words = strings[left[i] : right[i]]
-            met = first.setdefault(words, (docs[i], rows[i], places[i]))
-            if met[0] < docs[i]:
-                gone[i] = True
-            elif met[1] == rows[i]:
-                gone[i] = met[2] != places[i]
-            else:
-                gone[i] = own_first.setdefault((words, rows[i]), places[i]) != places[i]
+        place = unit[own] + at - w.first_unit[own]
+        doc, row = doc[own], row[own]
+        # Members of a group are in order of document, row and place.
+        first = np.append(True, group[1:] != group[:-1])
+        head = np.flatnonzero(first)[np.cumsum(first) - 1]
+        own_first = first | np.append(True, (doc[1:] != doc[:-1]) | (row[1:] != row[:-1]))
+        own_head = np.flatnonzero(own_first)[np.cumsum(own_first) - 1]
+        # Rows that share the first one's id are judged against themselves only.
+        gone = (doc > doc[head]) | (place != place[own_head])
         at, own = at[gone], own[gone]
         return own, at - w.first_unit[own], np.full(len(at), width)
 
@@ -69,10 +96,8 @@ def rule(width: int = WIDTH) -> win.Rule:
 
 def mark(docs: DataFrame, width: int = WIDTH, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """All columns of ``docs`` and their spans: the packed ranges of words to remove."""
-    buckets = win.bucket_count(docs, bucket_bytes)
     rows = win.keyed(docs)
-    dealt = win.deal(rows, rule(width), buckets)
-    return win.with_spans(rows, win.verdicts(dealt, repeats(width), rule(width), win.SPLIT * bucket_bytes))
+    return win.with_spans(rows, win.spans_to_remove(rows, repeats(width), rule(width), bucket_bytes))
 
 
 def kept_words(text: bytes, packed) -> tuple[int, int, bytes]:

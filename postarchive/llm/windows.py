@@ -12,8 +12,9 @@ the copies in later documents are known to be repeats right there and sent on on
 such.  So a passage that a third of all documents hold reaches its bucket once per
 some megabytes, not once per document.
 
-Windows around one frequent seed may still make a bucket of any size.  A bucket is read
-as a stream, and one that exceeds its limit is dealt anew: by minimisers of half a
+Windows around one frequent seed may still make a bucket of any size.  Oversized buckets
+are told from a sample beforehand; the tasks that deal the texts deal their windows by
+longer seeds, to many parts, so no task reads such a bucket.  A bucket is read as a stream, and one that exceeds its limit is dealt anew: by minimisers of half a
 window first, then by whole windows, as often as needed.  Equal windows meet each time.
 Where copies of one window make a bucket, those known to be repeats leave it on the way.
 """
@@ -37,7 +38,10 @@ FLUSH_BYTES = 8 << 20
 FLUSH_STRINGS = 1 << 18  # short strings take more memory than their bytes
 FAN = 64  # parts that a bucket is dealt to anew
 WHOLE = 2  # from this level on, windows are dealt by their own hashes
-SPLIT = 12  # a bucket's strings are that much larger than its share of the texts, at most
+SPLIT = 10  # a bucket's strings are that much larger than its share of the texts, at most
+HOT = 1 << 16  # an oversized bucket with more than one in so many of all bytes is dealt apart at once
+HOT_FAN = 256  # parts of such a bucket
+SAMPLE = 1 / 16  # of the rows, to tell which buckets these are
 
 # A text's key: its doc_id (a missing one is the largest) and a hash that tells
 # rows with the same doc_id apart.  Equal rows share a key and all verdicts.
@@ -76,15 +80,44 @@ def powers(base: int, n: int) -> np.ndarray:
 
 
 def rolling(units: np.ndarray, width: int, at: np.ndarray | None = None) -> np.ndarray:
-    """A scrambled polynomial hash of ``width`` consecutive hashed units, at all places or ``at``."""
-    n = len(units)
-    if n < width:
+    """A scrambled polynomial hash of ``width`` consecutive hashed units, at all places or ``at`` (rising)."""
+    n = len(units) - width + 1
+    if n <= 0:
         return np.empty(0, np.uint64)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(units * powers(BASE, n), dtype=np.uint64, out=sums[1:])
-    if at is None:
-        return mix64((sums[width:] - sums[:-width]) * powers(INVERSE, n - width + 1))
-    return mix64((sums[at + width] - sums[at]) * powers(INVERSE, n - width + 1)[at])
+    out = np.empty(n if at is None else len(at), np.uint64)
+    for i in range(0, n, SLICE_BYTES):
+        j = min(n, i + SLICE_BYTES)
+        part = units[i : j + width - 1]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part * powers(BASE, len(part)), dtype=np.uint64, out=sums[1:])
+        if at is None:
+            out[i:j] = (sums[width:] - sums[:-width]) * powers(INVERSE, j - i)
+        else:
+            a, b = np.searchsorted(at, (i, j))
+            own = at[a:b] - i
+            out[a:b] = (sums[own + width] - sums[own]) * powers(INVERSE, j - i)[own]
+    return mix64(out)
+
+
+def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the ``size`` bytes that begin at ``a`` and at ``b`` are equal, pair by pair."""
+    same = np.ones(len(a), bool)
+    if len(data) < 8:
+        short = np.ones(len(a), bool)
+    else:
+        words = np.ndarray((len(data) - 7,), np.uint64, data, strides=(1,))  # eight bytes at any place
+        short = (size < 8) | (size > 2048)
+        for i in range(0, len(a), 1 << 16):
+            at = np.flatnonzero(~short[i : i + (1 << 16)]) + i
+            step = 0
+            while len(at):
+                place = np.minimum(step, size[at] - 8)
+                same[at] = words[a[at] + place] == words[b[at] + place]
+                step += 8
+                at = at[same[at] & (size[at] > step)]
+    for k in np.flatnonzero(short).tolist():
+        same[k] = np.array_equal(data[a[k] : a[k] + size[k]], data[b[k] : b[k] + size[k]])
+    return same
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -99,8 +132,11 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 
 def word_units(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and hashes of the words of ``data``, which are parted by single spaces."""
-    gaps = np.flatnonzero(data == 0x20)
-    starts, ends = np.concatenate(([0], gaps + 1)), np.concatenate((gaps, [len(data)]))
+    kind = np.int32 if len(data) < (1 << 31) - 1 else np.int64
+    gaps = np.flatnonzero(data == 0x20).astype(kind)
+    starts = np.concatenate((np.zeros(1, kind), gaps + 1), dtype=kind)
+    ends = np.concatenate((gaps, np.full(1, len(data), kind)), dtype=kind)
+    del gaps
     full = starts < ends
     starts, ends = starts[full], ends[full]
     hashes = np.empty(len(starts), np.uint64)
@@ -121,7 +157,7 @@ BYTE_HASHES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB8665
 
 
 def byte_units(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    at = np.arange(len(data))
+    at = np.arange(len(data), dtype=np.int32 if len(data) < (1 << 31) - 1 else np.int64)
     return at, at + 1, BYTE_HASHES[data]
 
 
@@ -167,7 +203,7 @@ class Windows:
     def of(cls, data: np.ndarray, lengths: np.ndarray, rule: Rule) -> Windows:
         begin = np.cumsum(lengths + 1) - (lengths + 1)
         starts, ends, hashes = rule.units(data)
-        owner = np.searchsorted(begin, starts, side="right") - 1
+        owner = (np.searchsorted(begin, starts, side="right") - 1).astype(np.int32)
         inside = starts < (begin + lengths)[owner]
         n = max(0, len(starts) - rule.width + 1)
         whole = (owner[rule.width - 1 :] == owner[:n]) & inside[rule.width - 1 :] & inside[:n]
@@ -221,8 +257,10 @@ def unpack(n: int, size: int, block: bytes) -> tuple[np.ndarray, np.ndarray, byt
 class Dealer:
     """Collects the strings of some slices of texts and packs them by bucket."""
 
-    def __init__(self, rule: Rule, buckets: int, shift: int = 0):
+    def __init__(self, rule: Rule, buckets: int, shift: int = 0, hot: np.ndarray | None = None):
         self.rule, self.buckets, self.shift = rule, buckets, np.uint64(shift)
+        self.hot = hot if hot is not None and len(hot) else None
+        self.finer = replace(rule, seed=max(rule.seed, rule.width // 2))
         self.clear()
 
     def clear(self) -> None:
@@ -239,7 +277,26 @@ class Dealer:
         if not len(piece):
             return
         doc, row, unit = doc[piece], row[piece], unit + base[piece]
+        bucket = ((low >> self.shift) % np.uint64(self.buckets)).astype(np.int64)
         raw = data.tobytes()
+        if self.hot is not None:
+            place = np.minimum(np.searchsorted(self.hot, bucket), len(self.hot) - 1)
+            hot = self.hot[place] == bucket
+            at = np.flatnonzero(hot)
+            if len(at):
+                pieces = [raw[x:y] for x, y in zip(left[at].tolist(), right[at].tolist(), strict=True)]
+                for i, j in slices(pieces, SLICE_BYTES):
+                    own = at[i:j]
+                    which, first, n, x, y, low, part = runs(pieces[i:j], self.finer)
+                    home = self.buckets + place[own][which] * HOT_FAN + ((low >> np.uint64(32)) % np.uint64(HOT_FAN)).astype(np.int64)
+                    self.take(part.tobytes(), home, doc[own][which], row[own][which], unit[own][which] + first, n, x, y)
+                doc, row, unit, count, left, right, bucket = (v[~hot] for v in (doc, row, unit, count, left, right, bucket))
+        self.take(raw, bucket, doc, row, unit, count, left, right)
+
+    def take(self, raw: bytes, bucket, doc, row, unit, count, left, right) -> None:
+        """Strings, from ``left`` to ``right`` of ``raw``, for their buckets."""
+        if not len(doc):
+            return
         strings = [raw[x:y] for x, y in zip(left.tolist(), right.tolist(), strict=True)]
         start = len(self.first_doc)
         self.first_doc += doc.tolist()
@@ -250,8 +307,7 @@ class Dealer:
         self.known.append((doc[copy], row[copy], unit[copy], count[copy] + self.rule.width - 1))
         sent = np.flatnonzero(~copy)
         self.strings += [strings[i] for i in sent.tolist()]
-        bucket = ((low[sent] >> self.shift) % np.uint64(self.buckets)).astype(np.int64)
-        self.arrays.append((bucket, doc[sent], row[sent], unit[sent], right[sent] - left[sent]))
+        self.arrays.append((bucket[sent], doc[sent], row[sent], unit[sent], right[sent] - left[sent]))
 
     def flush(self) -> pd.DataFrame:
         out = []
@@ -271,28 +327,59 @@ class Dealer:
         return pd.DataFrame(out, columns=[c.split()[0] for c in PACKED.split(", ")])
 
 
-def deal(docs: DataFrame, rule: Rule, buckets: int) -> DataFrame:
-    """Packed strings of ``docs`` (keyed) by bucket.
+Texts = tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]
+
+
+def cut(batches: Iterator[pd.DataFrame], rule: Rule) -> Iterator[Texts]:
+    """Pieces of the texts of some slice, with their documents, rows and first units."""
+    for batch in batches:
+        order = np.lexsort((batch[ROW].to_numpy(), batch[DOC].to_numpy()))
+        doc, row = batch[DOC].to_numpy()[order], batch[ROW].to_numpy()[order]
+        pieces, text, base = [], [], []
+        for i, k in enumerate(order):
+            for at, piece in rule.pieces(batch["text"].iat[k], rule.width):
+                pieces.append(piece)
+                text.append(i)
+                base.append(at)
+        text, base = np.array(text, np.int64), np.array(base, np.int64)
+        for a, b in slices(pieces, SLICE_BYTES):
+            yield pieces[a:b], doc[text[a:b]], row[text[a:b]], base[a:b]
+
+
+def hot_buckets(docs: DataFrame, rule: Rule, buckets: int, limit: int) -> list[int]:
+    """Buckets of more than ``limit`` bytes and one in :data:`HOT` of all: fewer than that; rising.
+
+    Told from a random :data:`SAMPLE` of the rows.  This only plans who does the work, as
+    range partitioning does: a bucket that it misses is dealt anew when it is read.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pieces, *_ in cut(batches, rule):
+            _, _, _, left, right, low, _ = runs(pieces, rule)
+            bucket, at = np.unique((low % np.uint64(buckets)).astype(np.int64), return_inverse=True)
+            size = np.bincount(at, right - left + 32, len(bucket)).astype(np.int64)
+            yield pd.DataFrame({"bucket": bucket, "size": size})
+
+    some = docs.sample(SAMPLE, seed=7).select(DOC, ROW, utf8().alias("text"))
+    sizes = some.mapInPandas(run, "bucket long, size long").groupBy("bucket").agg(F.sum("size").alias("size"))
+    sizes = written(sizes, "bucket-sizes")
+    total = sizes.agg(F.sum("size")).first()[0] or 0
+    hot = sizes.where((F.col("size") > limit * SAMPLE) & (F.col("size") * HOT > total))
+    return sorted(r["bucket"] for r in hot.select("bucket").collect())
+
+
+def deal(docs: DataFrame, rule: Rule, buckets: int, hot: list[int] | None = None) -> DataFrame:
+    """Packed strings of ``docs`` (keyed) by bucket; ``hot`` buckets dealt by longer seeds to parts of theirs.
 
     Rows with bucket -1 - b hold spans of units that are known to be repeats.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        dealer = Dealer(rule, buckets)
-        for batch in batches:
-            order = np.lexsort((batch[ROW].to_numpy(), batch[DOC].to_numpy()))
-            doc, row = batch[DOC].to_numpy()[order], batch[ROW].to_numpy()[order]
-            pieces, text, base = [], [], []
-            for i, k in enumerate(order):
-                for at, piece in rule.pieces(batch["text"].iat[k], rule.width):
-                    pieces.append(piece)
-                    text.append(i)
-                    base.append(at)
-            text, base = np.array(text, np.int64), np.array(base, np.int64)
-            for a, b in slices(pieces, SLICE_BYTES):
-                dealer.add(pieces[a:b], doc[text[a:b]], row[text[a:b]], base[a:b])
-                if dealer.bytes >= FLUSH_BYTES:
-                    yield dealer.flush()
+        dealer = Dealer(rule, buckets, hot=np.array(hot or [], np.int64))
+        for texts in cut(batches, rule):
+            dealer.add(*texts)
+            if dealer.bytes >= FLUSH_BYTES or len(dealer.first_doc) >= 2 * FLUSH_STRINGS:
+                yield dealer.flush()
         yield dealer.flush()
 
     return docs.select(DOC, ROW, utf8().alias("text")).mapInPandas(run, PACKED)
@@ -344,9 +431,6 @@ def reordered(strings: bytes, at: np.ndarray, size: np.ndarray) -> bytes:
     return out[:-1].tobytes()
 
 
-Judge = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes], tuple[np.ndarray, ...]]
-
-
 Judge = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes], tuple[np.ndarray, ...]]
 GATHERED = f"{VERDICTS}, {PACKED}"
 
@@ -489,6 +573,13 @@ def verdicts(dealt: DataFrame, judge: Judge, rule: Rule, limit: int) -> DataFram
     return reduce(DataFrame.union, found)
 
 
+def spans_to_remove(rows: DataFrame, judge: Judge, rule: Rule, bucket_bytes: int) -> DataFrame:
+    """The spans to remove of ``rows`` (keyed): dealt, hot buckets apart, and judged."""
+    buckets, limit = bucket_count(rows, bucket_bytes), SPLIT * bucket_bytes
+    hot = hot_buckets(rows, rule, buckets, limit)
+    return verdicts(deal(rows, rule, buckets, hot), judge, rule, limit)
+
+
 def bucket_count(docs: DataFrame, bucket_bytes: int) -> int:
     """As many buckets as the texts have ``bucket_bytes``, so that a bucket's size stays the same."""
     total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
