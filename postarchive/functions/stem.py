@@ -1,9 +1,8 @@
-"""English stemming of token arrays.
+"""English stemming of terms and of token arrays.
 
-Spark has no stemmer, so this is the one place that runs Python: an Arrow UDF
-over the token arrays of a batch of rows.  Each batch is dictionary-encoded by
-Arrow first; Python sees every distinct word of a batch once, and a word cache
-carries over between batches of the same worker.
+Spark has no stemmer, so this is the one place that runs Python: an Arrow UDF.  The
+index stems its vocabulary: Python sees each different term once, and its stem is joined
+back to the tokens.  The few tokens of queries are stemmed as arrays, where they stand.
 
 The rules are those of M. F. Porter, "An algorithm for suffix stripping",
 Program 14(3), 1980, with the two later changes ``bli`` -> ``ble`` and
@@ -148,3 +147,9 @@ def stems(token_arrays: pa.Array) -> pa.Array:
     stemmed = pa.array(_stem_distinct(encoded.dictionary.to_pylist()), pa.string())
     values = stemmed.take(encoded.indices)
     return pa.ListArray.from_arrays(offsets, values)
+
+
+@F.arrow_udf(T.StringType())
+def stem(words: pa.Array) -> pa.Array:
+    """Stem every word of a column."""
+    return pa.array([w if w is None else stem_word(w) for w in words.to_pylist()], pa.string())

@@ -1,36 +1,60 @@
 """The keyword index: tokens of seven text columns as relational tables.
 
-``postings(term, tweet_id, col, pos, dl)`` has one row per token.  ``dl``, the
+``postings(term, tweet_id, col, pos, dl, bucket)`` has one row per token.  ``dl``, the
 token count of the whole post, rides along so that scoring needs no join with
 the document lengths.  ``docs(tweet_id, dl)`` has one row per post, also for
-posts without tokens.
-
-Stored postings are range-partitioned and sorted by term and post.  A file then
-covers a short range of terms, so a search for a few terms skips all other files
-by their statistics, and a term that makes up much of the text is cut into many
-files by post.
+posts without tokens.  ``vocabulary(part, posts, term_posts)`` has a row for every
+leading part of every term: the posts with a term that begins so, and the posts with
+the part itself as a term.  A search takes its terms and the document frequencies of
+its prefixes from there, so it knows before it reads any postings which of them are
+frequent.  Counts add up: a delta stores what its posts have now with a plus and what
+they had before with a minus, and reading sums them.
+
+Stored postings are partitioned by bucket, a hash of a term's first letters, so all
+terms that begin with a token of two letters or more share a bucket.  A batch of
+queries reads the buckets of its terms only, by dynamic partition pruning.  Inside, they
+are sorted by term and post: a file covers a short range of terms, so a search for a
+few terms skips all other files by their statistics, and a term that makes up much of
+the text is cut into many files by post.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postarchive import schema as S
 from postarchive.functions import text as T
-from postarchive.functions.stem import stems
+from postarchive.functions.stem import stem as stemmed
 
-POSTINGS = "term string, tweet_id string, col int, pos int, dl bigint"
+POSTINGS = "term string, tweet_id string, col int, pos int, dl bigint, bucket int"
 DOCS = "tweet_id string, dl bigint"
+VOCABULARY = "part string, posts bigint, term_posts bigint"
+# Leading parts of terms are listed up to this length, whole terms of any.
+PART = 32
+BUCKETS = 64
+BUCKET_LETTERS = 2
+
+
+def bucket_of(term: str) -> Column:
+    return F.pmod(F.xxhash64(F.substring(term, 1, BUCKET_LETTERS)), F.lit(BUCKETS)).cast("int")
 
 
 @dataclass
 class Index:
+    """``postings`` are the live rows.  A stored index also has ``stored``, all rows with
+    their bucket, and under deltas ``newest`` (tweet_id, newest): the version whose rows count.
+    """
+
     postings: DataFrame
     docs: DataFrame
     stemmed: bool
+    vocabulary: DataFrame
+    stored: DataFrame | None = None
+    newest: DataFrame | None = None
 
     @property
     def corpus(self) -> Column:
@@ -39,6 +63,37 @@ class Index:
             F.struct(F.count("*").alias("n"), F.avg("dl").alias("mean_length"))
         ).scalar()
 
+    def terms(self) -> DataFrame:
+        """``term``, each once."""
+        if self.stored is None:
+            return self.postings.select("term").distinct()
+        return self.vocabulary.where("term_posts > 0").select(F.col("part").alias("term"))
+
+    def rows_of(self, terms: DataFrame, pushed: list[str] | None = None) -> DataFrame:
+        """The live postings of ``terms``.
+
+        Of a stored index only the terms' buckets are read; they are at most
+        :data:`BUCKETS`, so their list is broadcast.  Rows that a later version replaced
+        are looked for among the terms' rows only.  ``pushed``, the tokens of a single
+        query, reach the scan as literal prefixes.
+        """
+        if self.stored is None:
+            return self.postings.join(terms.select("term"), "term", "left_semi")
+        rows = self.stored
+        if pushed:
+            rows = rows.where(reduce(Column.__or__, [F.col("term").startswith(token) for token in pushed]))
+        buckets = terms.select(bucket_of("term").alias("bucket")).distinct()
+        found = rows.join(F.broadcast(buckets), "bucket", "left_semi").join(terms.select("term"), "term", "left_semi")
+        return live(found, self.newest).select("term", S.KEY, "col", "pos", "dl")
+
+
+def live(rows: DataFrame, newest: DataFrame | None) -> DataFrame:
+    """``rows`` (tweet_id, version, ...) that no later version has replaced."""
+    if newest is None:
+        return rows
+    current = F.col("newest").isNull() | (F.col("newest") == F.col("version"))
+    return rows.join(newest, S.KEY, "left").where(current).drop("newest")
+
 
 def searchable(posts: DataFrame) -> DataFrame:
     """Key and the indexed text columns; links become one text."""
@@ -69,44 +124,116 @@ def doc_lengths(posts: DataFrame) -> DataFrame:
     return _tokenised(posts).select(S.KEY, "dl")
 
 
+def stem_table(terms: DataFrame) -> DataFrame:
+    """``term``, ``stem`` of the different ``terms``; only they go through Python."""
+    return terms.select("term").distinct().select("term", stemmed("term").alias("stem"))
+
+
 def tokenise(posts: DataFrame, stem: bool) -> DataFrame:
     """Postings of the given posts.
 
     The outer forms of the generators keep the optimiser from adding a filter on
     the array size below them, which would tokenise every text a second time.
+    Stems are joined to the tokens by term; the table of stems is as large as the
+    vocabulary, and Spark broadcasts it only if it is small.
     """
     columns = _tokenised(posts).select(S.KEY, "dl", F.inline_outer("cols"))
-    terms = stems("tokens") if stem else F.col("tokens")
-    return (
-        columns.select(S.KEY, "dl", "col", F.posexplode_outer(terms).alias("pos", "term"))
+    rows = (
+        columns.select(S.KEY, "dl", "col", F.posexplode_outer("tokens").alias("pos", "term"))
         .where(F.col("term").isNotNull())
         .select("term", S.KEY, "col", "pos", "dl")
     )
+    return restemmed(rows, "term", S.KEY, "col", "pos", "dl") if stem else rows
+
+
+def restemmed(rows: DataFrame, *columns: str) -> DataFrame:
+    """``rows`` with the stem in place of each ``term``."""
+    return rows.join(stem_table(rows), "term").select(
+        *[F.col("stem").alias("term") if c == "term" else F.col(c) for c in columns]
+    )
+
+
+def post_terms(posts: DataFrame, stem: bool) -> DataFrame:
+    """``tweet_id``, ``terms``: the different terms of each post."""
+    every = F.flatten(F.transform("cols", lambda c: c["tokens"]))
+    distinct = _tokenised(posts).select(S.KEY, F.array_distinct(every).alias("terms"))
+    if not stem:
+        return distinct
+    rows = restemmed(distinct.select(S.KEY, F.explode("terms").alias("term")), "term", S.KEY)
+    return rows.groupBy(S.KEY).agg(F.collect_set("term").alias("terms"))  # a post's own terms
+
+
+def part_counts(per_post: DataFrame, sign: int = 1) -> DataFrame:
+    """Vocabulary rows of ``per_post`` (tweet_id, terms): counted inside a post, then by part."""
+    one, none = F.lit(sign).cast("bigint"), F.lit(0).cast("bigint")
+
+    def leading(term: Column) -> Column:
+        sizes = F.sequence(F.lit(1), F.least(F.length(term), F.lit(PART)))
+        return F.transform(sizes, lambda size: F.substring(term, F.lit(1), size))
+
+    parts = F.array_distinct(F.flatten(F.transform("terms", leading)))
+    listed = per_post.select("terms", parts.alias("parts")).select(
+        F.inline_outer(
+            F.concat(
+                F.transform("parts", lambda p: F.struct(p.alias("part"), one.alias("posts"), none.alias("term_posts"))),
+                F.transform(
+                    "terms",
+                    lambda t: F.struct(
+                        t.alias("part"), F.when(F.length(t) > PART, one).otherwise(none).alias("posts"), one.alias("term_posts")
+                    ),
+                ),
+            )
+        )
+    )
+    return summed(listed.where(F.col("part").isNotNull()))
+
+
+def summed(rows: DataFrame) -> DataFrame:
+    """Vocabulary rows added up, parts that no post has any more left out."""
+    total = rows.groupBy("part").agg(F.sum("posts").alias("posts"), F.sum("term_posts").alias("term_posts"))
+    return total.where("posts <> 0 OR term_posts <> 0")
+
+
+def vocabulary(posts: DataFrame, stem: bool) -> DataFrame:
+    return part_counts(post_terms(posts, stem))
+
+
+def vocabulary_change(before: DataFrame, after: DataFrame, stem: bool) -> DataFrame:
+    """Signed vocabulary rows of posts that were ``before`` and are ``after``."""
+    return summed(
+        part_counts(post_terms(after, stem)).unionByName(part_counts(post_terms(before, stem), -1))
+    )
 
 
 def build_index(posts: DataFrame, stem: bool = True) -> Index:
     """An index that is computed from the posts whenever it is used."""
-    return Index(tokenise(posts, stem), doc_lengths(posts), stem)
+    return Index(tokenise(posts, stem), doc_lengths(posts), stem, vocabulary(posts, stem))
 
 
-def layout(postings: DataFrame) -> DataFrame:
-    """Postings in the order they are stored in."""
-    return postings.repartitionByRange("term", S.KEY).sortWithinPartitions(
-        "term", S.KEY, "col", "pos"
+def write_postings(postings: DataFrame, path: str) -> None:
+    """Store postings by bucket, sorted by term and post."""
+    placed = postings.withColumn("bucket", bucket_of("term"))
+    ordered = placed.repartitionByRange("bucket", "term", S.KEY).sortWithinPartitions(
+        "bucket", "term", S.KEY, "col", "pos"
     )
+    ordered.write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def write_index(posts: DataFrame, path: str, stem: bool = True) -> None:
     """Store the index of ``posts`` below ``path``, replacing what is there."""
-    layout(tokenise(posts, stem)).write.mode("overwrite").parquet(f"{path}/postings")
+    write_postings(tokenise(posts, stem), f"{path}/postings")
     doc_lengths(posts).write.mode("overwrite").parquet(f"{path}/docs")
+    vocabulary(posts, stem).write.mode("overwrite").parquet(f"{path}/vocabulary")
 
 
 def read_index(spark: SparkSession, path: str, stem: bool = True) -> Index:
+    stored = spark.read.schema(POSTINGS).parquet(f"{path}/postings")
     return Index(
-        spark.read.schema(POSTINGS).parquet(f"{path}/postings"),
+        stored.drop("bucket"),
         spark.read.schema(DOCS).parquet(f"{path}/docs"),
         stem,
+        spark.read.schema(VOCABULARY).parquet(f"{path}/vocabulary"),
+        stored,
     )
 
 
@@ -114,10 +241,12 @@ def refresh(index: Index, touched_posts: DataFrame) -> Index:
     """The index after the given posts changed or arrived: their rows are replaced."""
     keys = touched_posts.select(S.KEY)
     fresh = build_index(touched_posts, index.stemmed)
+    gone = index.postings.join(keys, S.KEY, "left_semi").groupBy(S.KEY).agg(F.collect_set("term").alias("terms"))
     return Index(
         fresh.postings.unionByName(index.postings.join(keys, S.KEY, "left_anti")),
         fresh.docs.unionByName(index.docs.join(keys, S.KEY, "left_anti")),
         index.stemmed,
+        summed(index.vocabulary.unionByName(fresh.vocabulary).unionByName(part_counts(gone, -1))),
     )
 
 

@@ -83,12 +83,17 @@ def latest_values(runs: DataFrame) -> DataFrame:
     )
 
 
-def archive_status(posts: DataFrame, folders: DataFrame, runs: DataFrame) -> DataFrame:
-    """The status report as rows of ``section``, ``key``, ``value``.
+# Counts by group that add up: of all posts, by origin, by month and by author.
+TALLIES = "section string, key string, n bigint, available bigint, newest timestamp, gone timestamp"
+ALL = "all"
+
 
-    One scan of the posts feeds all sections: the grouping sets are the whole
-    archive, the origins, the months and the authors, and only the largest
-    groups of a section leave the aggregation.
+def tallies(posts: DataFrame, sign: int = 1) -> DataFrame:
+    """``section``, ``key``, ``n``, ``available``, ``newest``, ``gone`` of all groups of the report.
+
+    One scan of the posts: the grouping sets are the whole archive, the origins, the
+    months and the authors.  With ``sign`` -1 the counts are negative, and the newest
+    time is one that goes.
     """
     facts = posts.select(
         "origin",
@@ -103,21 +108,49 @@ def archive_status(posts: DataFrame, folders: DataFrame, runs: DataFrame) -> Dat
         F.grouping_id().alias("gid"),
         F.count("*").alias("n"),
         F.count_if(F.col("status") == S.AVAILABLE).alias("available"),
-        F.max("shown").alias("newest"),
+        F.max("shown").alias("shown"),
     )
     # grouping_id sets a bit for every column that is not part of the set.
     section = (
         F.when(F.col("gid") == 0b011, "by_origin")
         .when(F.col("gid") == 0b101, "by_month")
         .when(F.col("gid") == 0b110, "top_authors")
+        .otherwise(ALL)
     )
-    named = grouped.select(
-        "gid", "n", "available", "newest", section.alias("section"),
-        F.coalesce("origin", "month", "author_handle").alias("key"),
+    nothing = F.lit(None).cast("timestamp")
+    return grouped.select(
+        section.alias("section"), F.coalesce("origin", "month", "author_handle").alias("key"),
+        (F.col("n") * sign).alias("n"), (F.col("available") * sign).alias("available"),
+        (F.col("shown") if sign > 0 else nothing).alias("newest"),
+        (F.col("shown") if sign < 0 else nothing).alias("gone"),
     )
-    groups = named.where(
-        F.col("section").isNotNull()
-        & (F.col("key").isNotNull() | (F.col("section") == "by_origin"))
+
+
+def tally_change(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Signed tallies of posts that were ``before`` and are ``after``."""
+    return added(tallies(after).unionByName(tallies(before, -1)))
+
+
+def added(rows: DataFrame) -> DataFrame:
+    """Tallies added up; groups without posts are gone, but for the whole archive."""
+    total = rows.groupBy("section", "key").agg(
+        F.sum("n").alias("n"), F.sum("available").alias("available"), F.max("newest").alias("newest"),
+        F.max("gone").alias("gone"),
+    )
+    return total.where((F.col("n") != 0) | (F.col("available") != 0) | (F.col("section") == ALL))
+
+
+def archive_status(posts: DataFrame, folders: DataFrame, runs: DataFrame) -> DataFrame:
+    """The status report as rows of ``section``, ``key``, ``value``, from one scan of the posts."""
+    return status_report(tallies(posts), folders, runs)
+
+
+def status_report(
+    tallied: DataFrame, folders: DataFrame, runs: DataFrame, months: int = S.MONTHS_SHOWN, authors: int = S.AUTHORS_SHOWN
+) -> DataFrame:
+    """The status report of added tallies; only the largest groups of a section are shown."""
+    groups = tallied.where(
+        (F.col("section") != ALL) & (F.col("key").isNotNull() | (F.col("section") == "by_origin"))
     )
     order = Window.partitionBy("section").orderBy(
         F.when(F.col("section") == "by_month", F.col("key")).desc_nulls_last(),
@@ -127,14 +160,14 @@ def archive_status(posts: DataFrame, folders: DataFrame, runs: DataFrame) -> Dat
     shown = (
         groups.where(F.col("section") != "by_origin")
         .withColumn("nth", F.row_number().over(order))
-        .where(F.col("nth") <= S.MONTHS_SHOWN)
-        .where((F.col("section") != "top_authors") | (F.col("nth") <= S.AUTHORS_SHOWN))
+        .where(F.col("nth") <= max(months, authors))
+        .where(F.col("nth") <= F.when(F.col("section") == "top_authors", authors).otherwise(months))
         .drop("nth")
         .unionByName(groups.where(F.col("section") == "by_origin"))
         .select("section", "key", F.col("n").cast("string").alias("value"))
     )
     n_folders = folders.agg(F.count("*")).scalar()
-    totals = named.where("gid = 7").select(
+    totals = tallied.where(F.col("section") == ALL).select(
         F.explode(
             F.array(
                 *[

@@ -10,12 +10,23 @@ postings.  The matching rows are shuffled once, by post.  Phrase matching, term
 are all computed per post in that partitioning, and each task cuts its own top k
 before the k rows per query are brought together.  A frequent term is spread
 over the posts that contain it, so no task holds one term or one query.
+
+Frequent phrases add little to a score and most of the work, so they are left for last
+(MaxScore).  The vocabulary tells the document frequency of each phrase, hence the most it
+can add to any score.  The phrases that together can add less than a query's rarest one
+are put aside, and posts are scored by the others, the essential ones.  The k-th best of
+these sums is a threshold that the result cannot fall below.  If what was put aside stays
+below it too, no post without an essential phrase can get into the result; posts that
+cannot reach the threshold with all that is left go, but for those that may match every
+phrase; for the few that remain the frequent phrases are looked up, in their posts only.
+Queries for which it does not stay below are scored by all their phrases.  The result is
+that of scoring everything, which is what a search does that has no stored vocabulary, or
+where the vocabulary tells that all sums together have no more than :data:`AT_ONCE` parts.
 """
 
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,13 +35,19 @@ from postarchive import schema as S
 from postarchive.functions import text as T
 from postarchive.functions.stem import stems
 from postarchive.operators.filters import at_least_one
-from postarchive.operators.index import Index
+from postarchive.operators.index import PART, Index
+from postarchive.session import held
 
 # BM25 parameters and the floor of the inverse document frequency.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 # Scores are rounded before they are compared, so posts with equal text tie.
 SCORE_DIGITS = 6
 
+# Scores are summed at once where they have no more parts than this; their number is known beforehand.
+AT_ONCE = 200_000_000
+# Sums may differ in their last digits by the order of adding.
+MARGIN = 1e-5
+
 MATCH_ALL, MATCH_ANY = "all", "any"
 
 
@@ -92,22 +109,24 @@ def matching_terms(terms: DataFrame, tokens: DataFrame) -> DataFrame:
     """Rows of ``terms`` (``term`` once) with each ``token`` that matches the term.
 
     ``tokens`` has ``token`` and ``is_prefix``.  Each term is repeated for its leading
-    parts, which makes prefix matching an equi-join; only the vocabulary is repeated,
-    never the postings.
+    parts up to :data:`~postarchive.operators.index.PART` letters, which makes prefix
+    matching an equi-join; only the vocabulary is repeated, never the postings.
     """
-    sizes = F.sequence(F.lit(1), F.greatest(F.length("term"), F.lit(1)))
+    sizes = F.sequence(F.lit(1), F.greatest(F.least(F.length("term"), F.lit(PART)), F.lit(1)))
     parts = terms.select("*", F.explode_outer(sizes).alias("part_size")).withColumn(
         "part", F.col("term").substr(F.lit(1), F.col("part_size"))
     )
-    whole = F.col("part") == F.col("term")
-    return parts.join(
-        tokens.select("token", "is_prefix").distinct(),
-        (F.col("part") == F.col("token")) & (F.col("is_prefix") | whole),
-    ).drop("part", "part_size")
+    asked = tokens.select("token", "is_prefix", F.substring("token", 1, PART).alias("head")).distinct()
+    fits = F.when(F.col("is_prefix"), F.col("term").startswith(F.col("token"))).otherwise(F.col("term") == F.col("token"))
+    return parts.join(asked, (F.col("part") == F.col("head")) & fits).drop("part", "part_size", "head")
 
 
 def phrase_frequencies(
-    index: Index, phrases: DataFrame, pushed: list[str] | None = None
+    index: Index,
+    phrases: DataFrame,
+    pushed: list[str] | None = None,
+    posts: DataFrame | None = None,
+    words_only: bool = False,
 ) -> DataFrame:
     """``tweet_id``, ``dl``, ``phrase``, ``tf``: occurrences of each phrase in each post.
 
@@ -115,16 +134,15 @@ def phrase_frequencies(
     by post.  One-token phrases add up the frequencies of their terms; for longer ones
     the postings of a post are laid side by side, and neighbours are matched to the word
     pairs of the phrases.  ``pushed``, the tokens of a single query, reach the scan of a
-    stored index as literal prefixes and skip its files.
+    stored index as literal prefixes and skip its files.  With ``posts`` (tweet_id) only
+    the postings of these are shuffled.  ``words_only`` says that all phrases are of one token.
     """
-    postings = index.postings
-    if pushed:
-        postings = postings.where(
-            reduce(Column.__or__, [F.col("term").startswith(token) for token in pushed])
-        )
     tokens = phrase_tokens(phrases)
-    terms = matching_terms(postings.select("term").distinct(), tokens)
-    rows = postings.join(terms.select("term").distinct(), "term", "left_semi").repartition(S.KEY)
+    terms = matching_terms(index.terms(), tokens)
+    rows = index.rows_of(terms.select("term").distinct(), pushed)
+    if posts is not None:
+        rows = rows.join(posts.select(S.KEY), S.KEY, "left_semi")
+    rows = rows.repartition(S.KEY)
 
     single = tokens.where(F.col("n_tokens") == 1).select(F.col("token").alias("phrase")).distinct()
     word_terms = terms.where("is_prefix").join(single, F.col("token") == F.col("phrase"), "left_semi")
@@ -134,6 +152,9 @@ def phrase_frequencies(
         .groupBy(S.KEY, "dl", "phrase").agg(F.sum("n").alias("tf"))
     )
 
+    if words_only:
+        return words
+
     along = Window.partitionBy(S.KEY, "col").orderBy("pos")
     pairs = (
         rows.withColumn("next_pos", F.lead("pos").over(along))
@@ -170,6 +191,22 @@ def bm25(tf: Column, dl: Column, mean_length: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean_length))
 
 
+def statistics(index: Index, phrases: DataFrame, pushed: list[str] | None) -> tuple[DataFrame, DataFrame | None]:
+    """``phrase``, ``df`` of the phrases that some post has, and frequencies already found.
+
+    The vocabulary knows the frequencies of single tokens.  Phrases of several tokens, or
+    of a very long one, are looked up in the postings.
+    """
+    looked_up = F.col("phrase").contains(" ") | (F.length("phrase") > PART)
+    known = index.vocabulary.select(F.col("part").alias("phrase"), F.col("posts").alias("df"))
+    single = phrases.where(~looked_up).select("phrase").distinct().join(known, "phrase")
+    several = phrases.where(looked_up)
+    if several.isEmpty():
+        return single, None
+    found = held(phrase_frequencies(index, several, pushed), "search-phrases-found")
+    return single.unionByName(found.groupBy("phrase").agg(F.count("*").alias("df"))), found
+
+
 def rank(
     queries: DataFrame,
     index: Index,
@@ -184,33 +221,107 @@ def rank(
     ``author_handle`` for author queries) restricts the posts of all queries.
     Restrictions play a part in the choice between all and any, but not in the
     term statistics.  ``one`` says that there is one query; its tokens are fetched and
-    reach the scan.
+    reach the scan.  Thresholds and candidates are computed at once and written to the
+    work folder; the last step is left to the result.
     """
     per_author = "author" in queries.columns
     k = at_least_one(k)
-    phrases = query_phrases(queries, index.stemmed)
-    tf = phrase_frequencies(index, phrases, tokens_of(phrases) if one else None)
-    # The query phrases meet their statistics first, so the large side is joined once.
-    asked = phrases.join(tf.groupBy("phrase").agg(F.count("*").alias("df")), "phrase")
-
+    corpus = index.docs.agg(F.count("*").alias("n"), F.avg("dl").alias("mean_length")).first()
+    n_docs, mean_length = F.lit(corpus["n"]), F.lit(corpus["mean_length"])
+    phrases = held(query_phrases(queries, index.stemmed), "search-phrases")
+    pushed = tokens_of(phrases) if one else None
+    if index.stored is None:
+        words_only = phrases.where(F.col("phrase").contains(" ")).isEmpty()
+        found = held(phrase_frequencies(index, phrases, words_only=words_only), "search-phrases-found")
+        frequencies = found.groupBy("phrase").agg(F.count("*").alias("df"))
+    else:
+        frequencies, found = statistics(index, phrases, pushed)
+    weight = F.col("mult") * idf(F.col("df"), n_docs)
+    of_query = Window.partitionBy("query_id")
+    least_first = of_query.orderBy("weight", F.desc("df"), "phrase").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    asked = (
+        phrases.join(frequencies, "phrase")
+        .withColumn("weight", weight)
+        .withColumn("most", F.col("weight") * (K1 + 1))
+        .withColumn("essential", F.sum("most").over(least_first) >= F.max("weight").over(of_query))
+    )
+    asked = held(asked, "search-asked")
+    if index.stored is None or (asked.agg(F.sum("df")).first()[0] or 0) <= AT_ONCE:
+        asked = asked.withColumn("essential", F.lit(True))
+    facts = None
     if eligible is not None:
         facts = eligible.select(S.KEY, *(["author_handle"] if per_author else []))
-        tf = tf.join(facts, S.KEY, "inner" if per_author else "left_semi")
-    corpus = index.corpus
-    contribution = (
-        F.col("mult")
-        * idf(F.col("df"), corpus["n"])
-        * bm25(F.col("tf"), F.col("dl"), corpus["mean_length"])
-    )
-    matches = tf.join(asked, "phrase")
-    if per_author:
+
+    def occurrences(of: DataFrame, posts: DataFrame | None = None) -> DataFrame:
+        """Frequencies of the phrases of ``of``: those already found, and the others."""
+        wanted = of.select("phrase").distinct()
+        if found is None:
+            return phrase_frequencies(index, wanted, pushed, posts, words_only=True)
+        if index.stored is None:
+            return found.join(wanted, "phrase", "left_semi")
+        known = found.select("phrase").distinct()
+        words = wanted.join(known, "phrase", "left_anti")
+        rest = phrase_frequencies(index, words, pushed, posts, words_only=True)
+        return rest.unionByName(found.join(wanted, "phrase", "left_semi"))
+
+    def added(tf: DataFrame, of: DataFrame, *keys: str) -> DataFrame:
+        """``query_id``, ``tweet_id``, ``sum``, ``n``: what the phrases of ``of`` add, and their number."""
+        matches = tf.join(of, [*keys, "phrase"])
+        part = F.col("weight") * bm25(F.col("tf"), F.col("dl"), mean_length)
+        return matches.groupBy("query_id", S.KEY).agg(F.sum(part).alias("sum"), F.count("*").alias("n"))
+
+    def matched(of: DataFrame) -> DataFrame:
+        tf = occurrences(of)
+        if facts is not None:
+            tf = tf.join(facts, S.KEY, "inner" if per_author else "left_semi")
+        if not per_author:
+            return added(tf, of)
         handle, wanted = F.col("author_handle"), F.col("author")
-        matches = matches.where(
-            wanted.isNull() | (handle == wanted) | (handle == F.ltrim(wanted, F.lit("@")))
+        own = wanted.isNull() | (handle == wanted) | (handle == F.ltrim(wanted, F.lit("@")))
+        return added(tf.join(of.select("query_id", "phrase", "author"), "phrase").where(own).drop("author"), of, "query_id")
+
+    essential, others = asked.where("essential"), asked.where("NOT essential")
+
+    def with_threshold() -> DataFrame:
+        """Sums of the posts that can get into the result; frequent phrases are looked up for few."""
+        sums = held(matched(essential), "search-sums")
+        order = Window.partitionBy("query_id").orderBy(F.desc("sum"))
+        best = sums.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+        kth = best.where(F.col("place") == k).select("query_id", (F.col("sum") - MARGIN).alias("threshold"))
+        plan = asked.groupBy("query_id").agg(
+            F.max("n_phrases").alias("n_phrases"), F.count_if("essential").alias("n_essential"),
+            F.coalesce(F.sum(F.when(~F.col("essential"), F.col("most"))), F.lit(0.0)).alias("left"),
+        ).join(kth, "query_id", "left")
+        # Where nothing was put aside, the sums are the scores.
+        proven = (F.col("left") == 0) | F.coalesce(F.col("left") < F.col("threshold"), F.lit(False))
+        plan = held(plan.withColumn("proven", proven), "search-plan")
+        may_reach = F.col("threshold").isNull() | (F.col("sum") + F.col("left") >= F.col("threshold"))
+        candidates = sums.join(plan.where("proven"), "query_id")
+        scored = candidates.where(may_reach | (F.col("n") == F.col("n_essential"))).select(
+            "query_id", S.KEY, "sum", "n", "n_phrases"
         )
-    scored = matches.groupBy("query_id", S.KEY).agg(
-        F.round(F.sum(contribution), SCORE_DIGITS).alias("score"),
-        (F.count("*") == F.max("n_phrases")).alias("all_matched"),
+        if not others.join(plan.where("proven"), "query_id", "left_semi").isEmpty():
+            scored = held(scored, "search-candidates")
+            tf = occurrences(others, scored.select(S.KEY).distinct())
+            asked_of = scored.select("query_id", S.KEY).join(others.select("query_id", "phrase", "weight"), "query_id")
+            more = added(tf, asked_of, S.KEY).withColumnsRenamed({"sum": "more", "n": "n_more"})
+            scored = scored.join(more, ["query_id", S.KEY], "left").select(
+                "query_id", S.KEY, (F.col("sum") + F.coalesce("more", F.lit(0.0))).alias("sum"),
+                (F.col("n") + F.coalesce("n_more", F.lit(0))).alias("n"), "n_phrases",
+            )
+        rest = plan.where("NOT proven")
+        if not rest.isEmpty():
+            whole = matched(asked.join(rest.select("query_id"), "query_id", "left_semi"))
+            scored = scored.unionByName(whole.join(rest.select("query_id", "n_phrases"), "query_id"))
+        return scored
+
+    if others.isEmpty():
+        scored = matched(asked).join(asked.groupBy("query_id").agg(F.max("n_phrases").alias("n_phrases")), "query_id")
+    else:
+        scored = with_threshold()
+    scored = scored.select(
+        "query_id", S.KEY, F.round("sum", SCORE_DIGITS).alias("score"),
+        (F.col("n") == F.col("n_phrases")).alias("all_matched"),
     )
     # Posts matching all phrases sort first, so the top k hold one if any exists
     # and the choice between all and any can be made among k rows per query.

@@ -26,6 +26,7 @@ class Archive:
     folders: DataFrame
     runs: DataFrame
     index: ix.Index
+    tallies: DataFrame | None = None  # kept with a stored archive, see rollups.tallies
 
     @property
     def spark(self) -> SparkSession:
@@ -115,8 +116,10 @@ class Archive:
     def top_authors(self, limit: int = 25, min_posts: int = 2) -> DataFrame:
         return rollups.top_authors(self.posts, limit, min_posts)
 
-    def status(self) -> DataFrame:
-        return rollups.archive_status(self.posts, self.folders, self.runs)
+    def status(self, months: int = S.MONTHS_SHOWN, authors: int = S.AUTHORS_SHOWN) -> DataFrame:
+        """The status report; of a stored archive from its tallies, without a scan of the posts."""
+        tallied = rollups.tallies(self.posts) if self.tallies is None else self.tallies
+        return rollups.status_report(tallied, self.folders, self.runs, months, authors)
 
     def sql(self, statement: str, limit: int = 200) -> DataFrame:
         """A read-only statement over the views bookmarks, folders, bookmark_folders, meta."""
@@ -177,17 +180,30 @@ class Archive:
             "folder links", passes(F.col("n") == 0, WARN),
             F.lit("memberships of unknown folders="), text("n"),
         )
-        last = self.runs.where(F.col("key") == "last_sync_at").agg(
-            F.max_by("value", F.struct("ts", "value")).alias("value")
-        )
+        def last(key: str):
+            newest = F.max_by(F.when(F.col("key") == key, F.col("value")), F.when(F.col("key") == key, F.struct("ts", "value")))
+            return newest.alias(key)
+
+        synced = self.runs.agg(last("last_sync_at"), last("last_sync_mode"))
         freshness = check(
-            last, "freshness", passes(F.col("value").isNotNull(), WARN),
-            F.lit("last sync "), F.coalesce("value", F.lit("never")),
+            synced, "freshness", passes(F.col("last_sync_at").isNotNull(), WARN),
+            F.lit("last sync "), F.coalesce("last_sync_at", F.lit("never")),
+            F.lit(" (mode "), F.coalesce("last_sync_mode", F.lit("-")), F.lit(")"),
         )
-        return (
+        checks = (
             size_check.unionByName(index_check).unionByName(retrieval)
             .unionByName(dangling).unionByName(freshness)
         )
+        # Failures and warnings of the checks above, in the same job.
+        totals = check(
+            checks.agg(
+                F.count_if(F.col("state") == FAIL).alias("failures"), F.count_if(F.col("state") == WARN).alias("warnings")
+            ),
+            "summary",
+            F.when(F.col("failures") > 0, FAIL).when(F.col("warnings") > 0, WARN).otherwise(PASS),
+            F.lit("failures="), text("failures"), F.lit(" warnings="), text("warnings"),
+        )
+        return checks.unionByName(totals)
 
     def _with_folders(self, results: DataFrame, keys: DataFrame) -> DataFrame:
         return projections.attach_folders(results, keys, self.memberships, self.folders)

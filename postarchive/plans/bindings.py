@@ -92,6 +92,17 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def sync_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sync times from signups, and modes from views."""
+    kind, n = F.col("event_type"), F.col("event_id")
+    return table(spark, sf_dir, "events").where(kind.isin("signup", "view")).select(
+        F.when(kind == "signup", "last_sync_at").otherwise("last_sync_mode").alias("key"),
+        F.when(kind == "signup", F.concat(F.lit("run-"), n.cast("string")))
+        .when(n % 2 == 0, "quick").otherwise("full").alias("value"),
+        F.col("ts").cast("timestamp").alias("ts"),
+    )
+
+
 def index(spark: SparkSession, sf_dir: str, stem: bool = False) -> Index:
     return build_index(posts(spark, sf_dir), stem)
 

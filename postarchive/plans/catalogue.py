@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,12 +12,14 @@ from postarchive import schema as S
 from postarchive.functions import scalars as X
 from postarchive.functions import text as T
 from postarchive.operators import (
-    boundary, filters, index as ix, membership, merge, projections, rollups, search, selftest,
+    boundary, filters, index as ix, membership, merge, projections, registers, rollups, search, selftest,
 )
 from postarchive.plans import bindings as B
+from postarchive.plans.ingest import FULL, QUICK, sync
 from postarchive.session import configure, shared_dir
 from postarchive.sources import exports, feed as feeds
 from postarchive.sources.store import ArchiveStore
+from postarchive.streaming.cut import run_cut
 from postarchive.streaming.ingest import StreamIngest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,6 +78,18 @@ def merge_outcomes(spark, sf_dir):
     )
 
 
+@query
+def merge_by_time(spark, sf_dir):
+    """Merged by observed time, the later half of the month first."""
+    early, late = B.split_observations(spark, sf_dir)
+    nothing = late.limit(0).select(*S.POST_COLUMNS)
+    none = spark.createDataFrame([], registers.REGISTERS)
+    states, rows = registers.merge_states(nothing, none, late, B.AS_OF)
+    after, _ = registers.merge_states(rows.select(*S.POST_COLUMNS), states, early, B.AS_OF)
+    untouched = states.join(after.select(S.KEY), S.KEY, "left_anti")
+    return flat(registers.post_rows(after.unionByName(untouched)), MERGED)
+
+
 @query
 def membership_fold(spark, sf_dir):
     return membership.fold_memberships(
@@ -125,6 +140,42 @@ def stream_merge(spark, sf_dir):
     return flat(store.posts(), MERGED)
 
 
+@query
+def stream_quick_cut(spark, sf_dir):
+    """The cut of all feeds over a stream that lands in parts, going on after each of them."""
+    root, parts = shared_dir(spark, "stream-cut"), 4
+    rows, keys = B.feed(spark, sf_dir), B.archived_keys(spark, sf_dir)
+    first, last = rows.agg(F.min("pos"), F.max("pos")).first()
+    part = F.floor((F.col("pos") - first) * parts / (last - first + 1))
+    for i in range(parts):
+        rows.where(part == i).write.mode("append").parquet(f"{root}/feed")
+        feed = spark.readStream.schema(rows.schema).parquet(f"{root}/feed")
+        taken = run_cut(feed, keys, f"{root}/taken", f"{root}/checkpoint")
+    ends = taken.groupBy("feed_id").agg(F.max("stops").alias("stopped"))
+    reason = F.when(F.col("stopped"), boundary.AT_BOUNDARY).otherwise(boundary.EXHAUSTED)
+    kept = taken.where("NOT late").join(ends, "feed_id")
+    return kept.select("feed_id", "pos", "tweet_id", "known", reason.alias("stopped_reason"))
+
+
+@query
+def sync_landings(spark, sf_dir):
+    """A full sync of the older half of a feed, then a quick one of all of it by its manifest."""
+    root = shared_dir(spark, "sync")
+    store = ArchiveStore(spark, f"{root}/archive")
+    lines = B.feed_texts(spark, sf_dir).withColumn("pos", F.get_json_object("value", "$.pos").cast("long"))
+    half = lines.agg(F.floor(F.max("pos") / 2)).first()[0]
+    older = lines.where(F.col("pos") >= half).coalesce(1)
+    older.select("value").write.text(f"{root}/older")
+    # Several files of one landing, which its records state.
+    stated = F.concat(F.lit('{"landing":"all",'), F.col("value").substr(F.lit(2), F.length("value")))
+    lines.repartitionByRange(16, "pos").select(stated).write.text(f"{root}/all")
+    feeds.write_manifest(spark, f"{root}/all")
+    sync(store, f"{root}/older", FULL, as_of=B.AS_OF)
+    report = sync(store, f"{root}/all", QUICK, as_of=B.AS_OF)
+    reason = report.summary.first()["stopped_reason"]
+    return report.outcomes.select("tweet_id", "outcome", "n_observations", F.lit(reason).alias("stopped_reason"))
+
+
 # --- ingest -----------------------------------------------------------------
 
 
@@ -305,6 +356,18 @@ def search_stemmed(spark, sf_dir):
     return flat(found, [*SEARCH_RESULT, "author_handle", "created_at", "folders"])
 
 
+@query
+def stemmed_terms(spark, sf_dir):
+    """Every different term of the posts and its stem."""
+    return ix.stem_table(B.index(spark, sf_dir).postings)
+
+
+@query
+def stemmed_vocabulary(spark, sf_dir):
+    """The vocabulary of the stemmed index: posts by term and by leading part."""
+    return B.index(spark, sf_dir, stem=True).vocabulary
+
+
 @query
 def search_terms(spark, sf_dir):
     """Terms and phrases of every query."""
@@ -465,4 +528,6 @@ def to_json_rows(spark, sf_dir):
 
 @query
 def health_report(spark, sf_dir):
-    return B.archive(spark, sf_dir).health(size=None)
+    archive = B.archive(spark, sf_dir)
+    synced = replace(archive, runs=archive.runs.unionByName(B.sync_runs(spark, sf_dir)))
+    return synced.health(size=None)

@@ -6,6 +6,8 @@ Each statement works on whole tables and states the binding rules of
 
 from __future__ import annotations
 
+from postarchive.plans.stemming import stem_tables
+
 ORACLES: dict[str, str] = {}
 
 FIRST_ID = "1900000000000000000"
@@ -183,6 +185,34 @@ ORACLES["merge_outcomes"] = (
        count(*) AS posts, CAST(sum(n) AS BIGINT) AS observations
 FROM compared GROUP BY 1, 2"""
 )
+LATEST = "(max(struct_pack(at := last_seen_at, v := {0})) FILTER (WHERE {1})).v"
+ORACLES["merge_by_time"] = (
+    with_(
+        OBSERVATIONS,
+        f"""states AS (
+  SELECT tweet_id,
+    coalesce({LATEST.format('url', "url NOT LIKE 'https://x.com/i/status/%'")},
+             {LATEST.format('url', "url LIKE 'https://x.com/i/status/%'")}) AS url,
+    {LATEST.format('full_text', "full_text <> ''")} AS full_text,
+    {LATEST.format('author_handle', "author_handle <> ''")} AS author_handle,
+    {LATEST.format('likes', 'likes IS NOT NULL')} AS likes,
+    {LATEST.format('views', 'views IS NOT NULL')} AS views,
+    {LATEST.format('hashtags', "hashtags <> ''")} AS hashtags,
+    coalesce({LATEST.format('status', "status <> ''")}, 'available') AS status,
+    {LATEST.format("coalesce(CASE WHEN status = 'unavailable' THEN reason END, '')",
+                   "status = 'available' OR (status = 'unavailable' AND reason <> '')")} AS reason,
+    string_agg(DISTINCT origin, '+' ORDER BY origin) AS origin,
+    min(coalesce(first_seen_at, last_seen_at)) AS first_seen_at,
+    max(last_seen_at) AS last_seen_at,
+    coalesce(max(content_updated_at), min(last_seen_at) FILTER (WHERE full_text <> '')) AS content_updated_at
+  FROM obs GROUP BY tweet_id)""",
+    )
+    + f"""SELECT tweet_id, url, full_text, author_handle, likes, views, hashtags, status,
+  CASE WHEN status = 'unavailable' THEN nullif(reason, '') END AS unavailable_reason, origin,
+  {iso('first_seen_at')} AS first_seen_at, {iso('last_seen_at')} AS last_seen_at,
+  {iso('content_updated_at')} AS content_updated_at
+FROM states"""
+)
 ORACLES["stream_merge"] = ORACLES["merge_observations"]
 
 ORACLES["membership_fold"] = (
@@ -291,6 +321,16 @@ FROM documents WHERE doc_id % 19 <> 0"""
 # --- incremental sync -------------------------------------------------------
 
 ORACLES["quick_cut"] = with_(FEED) + "SELECT * FROM quick"
+ORACLES["stream_quick_cut"] = ORACLES["quick_cut"]
+# Records without an id are set aside; the quick sync ends 25 records into the older half.
+ORACLES["sync_landings"] = f"""WITH placed AS (
+  SELECT doc_id, doc_id >= (SELECT max(doc_id) // 2 FROM documents) AS older FROM documents WHERE doc_id % 19 <> 0),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY older ORDER BY doc_id) AS nth FROM placed)
+SELECT CAST({FIRST_ID} + doc_id AS VARCHAR) AS tweet_id,
+       CASE WHEN older THEN 'unchanged' ELSE 'added' END AS outcome, CAST(1 AS BIGINT) AS n_observations,
+       CASE WHEN (SELECT count(*) FROM placed WHERE older) >= 25 THEN 'reached known boundary'
+            ELSE 'exhausted' END AS stopped_reason
+FROM numbered WHERE NOT older OR nth <= 25"""
 ORACLES["full_cut"] = (
     with_(FEED)
     + "SELECT feed_id, pos, tweet_id, known, 'pagination ended' AS stopped_reason FROM marked"
@@ -463,6 +503,48 @@ ORACLES["search_per_author"] = (
     )
     + TOP_10
 )
+ORACLES["stemmed_terms"] = (
+    with_(POSTS, postings(), stem_tables("tok")) + "SELECT term, stem FROM stems"
+)
+ORACLES["stemmed_vocabulary"] = (
+    with_(
+        POSTS, postings(), stem_tables("tok"),
+        "held AS (SELECT DISTINCT t.tweet_id, s.stem FROM tok t JOIN stems s ON s.term = t.term)",
+        """leading_parts AS (
+  SELECT DISTINCT tweet_id, left(stem, n) AS part
+  FROM (SELECT tweet_id, stem, unnest(generate_series(1, least(length(stem), 32))) AS n FROM held) l)""",
+        "long_terms AS (SELECT tweet_id, stem AS part FROM held WHERE length(stem) > 32)",
+    )
+    + """SELECT p.part, p.posts, coalesce(h.n, 0) AS term_posts
+FROM (SELECT part, count(*) AS posts
+      FROM (SELECT * FROM leading_parts UNION ALL SELECT * FROM long_terms) u GROUP BY part) p
+LEFT JOIN (SELECT stem, count(*) AS n FROM held GROUP BY stem) h ON h.stem = p.part"""
+)
+# Tokens of posts and of queries are stemmed before they are matched.
+ORACLES["search_stemmed"] = (
+    with_(
+        POSTS, FOLDERS, MEMBERSHIPS, FOLDER_NAMES,
+        postings().replace("tok AS (", "plain AS ("),
+        SEARCH_QUERIES,
+        PHRASES.split("phrase_list AS (")[0].rstrip().rstrip(","),
+        f"plain_lists AS (SELECT row_number() OVER () AS id, query_id, {tokens_of('term')} AS toks FROM terms)",
+        """query_tokens AS (
+  SELECT id, query_id, unnest(toks) AS term, generate_subscripts(toks, 1) AS at FROM plain_lists)""",
+        "words AS (SELECT term FROM plain UNION SELECT term FROM query_tokens)",
+        stem_tables("words"),
+        "tok AS (SELECT p.tweet_id, p.col, s.stem AS term, p.pos FROM plain p JOIN stems s ON s.term = p.term)",
+        """phrase_list AS (
+  SELECT l.query_id, coalesce(list(s.stem ORDER BY t.at) FILTER (WHERE s.stem IS NOT NULL), []) AS toks
+  FROM plain_lists l LEFT JOIN query_tokens t ON t.id = l.id LEFT JOIN stems s ON s.term = t.term
+  GROUP BY l.id, l.query_id)""",
+        "all_phrases AS (" + PHRASES.split("all_phrases AS (")[1],
+        SCORES.format(eligible=""),
+    )
+    + f"""SELECT r.query_id, r.rank, r.tweet_id, r.score, r.match_mode, p.author_handle,
+  {iso('p.created_at')} AS created_at, coalesce(n.folders, '') AS folders
+FROM ranked r JOIN posts p ON p.tweet_id = r.tweet_id
+LEFT JOIN folder_names n ON n.tweet_id = r.tweet_id WHERE r.rank <= 10"""
+)
 ORACLES["search_terms"] = (
     with_(PHRASE_QUERIES, PHRASES)
     + "SELECT query_id, phrase, mult, n_phrases FROM qphrase WHERE phrase <> ''"
@@ -672,7 +754,7 @@ FROM posts"""
 )
 ORACLES["health_report"] = (
     with_(FOLDERS, MEMBERSHIPS, *SELF_TEST)
-    + """SELECT 'archive' AS "check", 'pass' AS state,
+    + """, checks AS (SELECT 'archive' AS "check", 'pass' AS state,
   CAST(count(*) AS VARCHAR) || ' posts ('
     || CAST(count(*) FILTER (WHERE status = 'available') AS VARCHAR) || ' available), '
     || CAST((SELECT count(*) FROM nation) AS VARCHAR) || ' folders' AS detail
@@ -686,5 +768,17 @@ UNION ALL SELECT 'retrieval', CASE WHEN bool_and(ok) THEN 'pass' ELSE 'fail' END
 UNION ALL SELECT 'folder links', CASE WHEN count(*) = 0 THEN 'pass' ELSE 'warn' END,
   'memberships of unknown folders=' || CAST(count(*) AS VARCHAR)
 FROM memberships WHERE folder_id NOT IN (SELECT id FROM folders)
-UNION ALL SELECT 'freshness', 'warn', 'last sync never'"""
+UNION ALL SELECT 'freshness', CASE WHEN synced_at IS NULL THEN 'warn' ELSE 'pass' END,
+  'last sync ' || coalesce(synced_at, 'never') || ' (mode ' || coalesce(synced_mode, '-') || ')'
+FROM (SELECT
+  (SELECT 'run-' || event_id FROM events WHERE event_type = 'signup'
+   ORDER BY ts DESC, 'run-' || event_id DESC LIMIT 1) AS synced_at,
+  (SELECT CASE WHEN event_id % 2 = 0 THEN 'quick' ELSE 'full' END FROM events WHERE event_type = 'view'
+   ORDER BY ts DESC, 1 DESC LIMIT 1) AS synced_mode) s)
+SELECT * FROM checks
+UNION ALL SELECT 'summary',
+  CASE WHEN count(*) FILTER (WHERE state = 'fail') > 0 THEN 'fail'
+       WHEN count(*) FILTER (WHERE state = 'warn') > 0 THEN 'warn' ELSE 'pass' END,
+  'failures=' || CAST(count(*) FILTER (WHERE state = 'fail') AS VARCHAR)
+    || ' warnings=' || CAST(count(*) FILTER (WHERE state = 'warn') AS VARCHAR) FROM checks"""
 )

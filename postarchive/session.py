@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the library relies on.  Timestamps are instants that are shown and
 # cut into days and months in UTC; the rest only matters for speed.
@@ -41,3 +41,14 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     if not base:
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/postarchive-work"
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def held(rows: DataFrame, purpose: str) -> DataFrame:
+    """``rows`` written to the shared work folder and read back, for a job of several steps.
+
+    Cuts the lineage, so a lost executor does not repeat the steps before, and tells
+    Catalyst the size.
+    """
+    path = shared_dir(rows.sparkSession, purpose)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

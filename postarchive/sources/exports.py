@@ -42,6 +42,17 @@ def read_export_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     )
 
 
+def stream_export_files(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
+    """Export files as they land, so many in a micro-batch."""
+    stream = spark.readStream.schema("value string").option("wholetext", "true").option("maxFilesPerTrigger", files)
+    return stream.text(path).select(F.col("_metadata.file_path").alias("file_path"), "value")
+
+
+def digests(files: DataFrame) -> DataFrame:
+    """``digest``, ``file_path``: what tells files apart, whatever their names."""
+    return files.select(F.sha2(F.col("value").cast("binary"), 256).alias("digest"), "file_path")
+
+
 def once(**columns: Column) -> Column:
     """Columns behind a generator, so that a filter above it does not compute them again."""
     return F.inline(F.array(F.struct(*(c.alias(name) for name, c in columns.items()))))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from datetime import datetime
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +36,36 @@ def read_feed(spark: SparkSession, path: str | list[str], limit: int | None = No
     return cap(_landed(feed), limit)
 
 
+MANIFEST = "landing string, feed_id string, first_pos bigint, last_pos bigint, file string"
+
+
+def manifest(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """What each landed file holds of each feed: first and last position.
+
+    Files of records without a feed or position are listed with NULL and are always read.
+    """
+    records = _landed(spark.read.schema(S.FEED).option("columnNameOfCorruptRecord", "_malformed").json(path))
+    rows = records.select("landing", "feed_id", "pos", F.col("_metadata.file_path").alias("file"))
+    return rows.groupBy("landing", "feed_id", "file").agg(
+        F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos")
+    ).select("landing", "feed_id", "first_pos", "last_pos", "file")
+
+
+def write_manifest(spark: SparkSession, path: str) -> None:
+    """Store the manifest of a landing beside its files, for whoever lands it."""
+    manifest(spark, path).write.mode("overwrite").parquet(f"{path.rstrip('/')}/_manifest")
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame | None:
+    """The manifest of a landing, None without one."""
+    try:
+        return spark.read.schema(MANIFEST).parquet(f"{path.rstrip('/')}/_manifest")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def stream_feed(spark: SparkSession, path: str) -> DataFrame:
     return _landed(
         spark.readStream.schema(S.FEED)

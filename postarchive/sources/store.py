@@ -1,47 +1,72 @@
 """Archive tables on shared storage: a base version plus small deltas.
 
-Every write goes to a new version folder; a version counts once a row in the
-``commits`` table names it, so readers never see half a write and a repeated
-write of an uncommitted version replaces it.  A delta holds the full new rows of
+Every run writes to folders of its own, below the version that it will be.  A version
+counts once its commit file names a run; the file is created only if it is not there,
+so of two runs that started from the same version the second one to end fails with
+:class:`ConcurrentRun`, has overwritten nothing, and can be repeated.  (Where a store
+cannot create a file exclusively, one writer at a time is up to the user.)  Readers never
+see half a write.  A delta holds the full new rows of
 the posts it touched.  Reading takes the base without the touched keys (an anti
 join with a small key set) plus the newest delta row of each key, so a run costs
 what it touches; :meth:`ArchiveStore.compact` folds deltas into a new base.
 
 ::
 
-    root/commits/                   version, kind, source, ts   (append only)
-    root/runs/                      key, value, ts, version     (append only)
-    root/posts/version=N/           post rows
-    root/membership_sets/version=N/ tweet_id, folder_ids
-    root/folders/version=N/         id, name
-    root/postings/version=N/        index rows, sorted by term
-    root/docs/version=N/            tweet_id, dl
-    root/staging/version=N/         input of a run as it was read
+    root/commits/N.json                   version, run, kind, source, ts
+    root/runs/                            key, value, ts, version, run     (append only)
+    root/posts/version=N/run=R/           post rows
+    root/membership_sets/version=N/run=R/ tweet_id, folder_ids
+    root/folders/version=N/run=R/         id, name
+    root/registers/version=N/run=R/       post states, where runs merge by observed time
+    root/postings/version=N/run=R/        index rows by bucket, sorted by term
+    root/docs/version=N/run=R/            tweet_id, dl
+    root/vocabulary/version=N/run=R/      parts of terms with signed counts of posts
+    root/tallies/version=N/run=R/         signed counts of posts by group
+    root/imported/version=N/run=R/        digests of the export files read
+    root/staging/version=N/run=R/         input of a run as it was read
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postarchive import schema as S
-from postarchive.operators import index as ix
+from postarchive.functions import scalars as X
+from postarchive.operators import index as ix, registers, rollups
 from postarchive.plans.archive import Archive
 
-COMMITS = "version bigint, kind string, source string, ts timestamp"
-RUN_ROWS = S.RUNS + ", version bigint"
+COMMITS = "version bigint, run string, kind string, source string, ts timestamp"
+OF_RUN = ", version bigint, run string"
 TABLES = {
     "posts": (S.POSTS, S.KEY),
     "membership_sets": ("tweet_id string, folder_ids array<string>", "tweet_id"),
     "folders": (S.FOLDERS, "id"),
+    "registers": (registers.REGISTERS, S.KEY),
 }
+IMPORTED = "digest string, file_path string"
 BASE, DELTA = "base", "delta"
 
 
+class ConcurrentRun(RuntimeError):
+    """Another run has committed the version that this one was to be."""
+
+
+@dataclass(frozen=True)
+class Run:
+    """A run that has begun: the version it will be, and its own name."""
+
+    version: int
+    name: str
+
+
 class ArchiveStore:
     def __init__(self, spark: SparkSession, root: str, stem: bool = True):
         self.spark, self.root, self.stem = spark, root.rstrip("/"), stem
@@ -64,11 +89,18 @@ class ArchiveStore:
         )
 
     def commits(self) -> list:
-        """``version``, ``kind``, ``source`` of all commits: one small row per run."""
-        return self._read("commits", COMMITS).select("version", "kind", "source").collect()
+        """``version``, ``run``, ``kind``, ``source`` of all commits: one small row per run."""
+        try:
+            found = self.spark.read.schema(COMMITS).json(f"{self.root}/commits")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return []
+        return found.where("version IS NOT NULL").select("version", "run", "kind", "source").collect()
 
-    def next_version(self) -> int:
-        return max((c["version"] for c in self.commits()), default=-1) + 1
+    def begin(self) -> Run:
+        """A run that follows the last commit."""
+        return Run(max((c["version"] for c in self.commits()), default=-1) + 1, uuid.uuid4().hex)
 
     def version_of(self, source: str) -> int | None:
         """The committed version that a source, e.g. a stream batch, has produced."""
@@ -82,57 +114,78 @@ class ArchiveStore:
             c["version"] for c in commits
             if c["kind"] == DELTA and (base is None or c["version"] > base)
         }
-        return Snapshot(self, base, sorted(deltas), sorted({c["version"] for c in commits}))
+        return Snapshot(self, base, sorted(deltas), {c["version"]: c["run"] for c in commits})
 
-    def commit(self, version: int, kind: str, source: str | None = None) -> None:
-        now = datetime.now(timezone.utc)
-        self._append("commits", [(version, kind, source, now)], COMMITS)
+    def commit(self, run: Run, kind: str, source: str | None = None) -> None:
+        """Make the run's rows count; :class:`ConcurrentRun` if another run came first."""
+        record = {
+            "version": run.version, "run": run.name, "kind": kind, "source": source,
+            "ts": datetime.now(timezone.utc).isoformat(),
+        }
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/commits/{run.version:012d}.json")
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        try:
+            out = files.create(path, False)
+        except Py4JJavaError as error:
+            if "FileAlreadyExists" not in error.java_exception.getClass().getName():
+                raise
+            raise ConcurrentRun(f"version {run.version} is another run's") from error
+        out.write(bytearray(json.dumps(record).encode()))
+        out.close()
 
     # --- writing ------------------------------------------------------------
 
-    def path(self, table: str, version: int) -> str:
-        return f"{self.root}/{table}/version={version}"
+    def path(self, table: str, run: Run) -> str:
+        return f"{self.root}/{table}/version={run.version}/run={run.name}"
 
-    def write(self, table: str, version: int, rows: DataFrame) -> DataFrame:
-        """Write one table of a version and return it as read back."""
-        rows.write.mode("overwrite").parquet(self.path(table, version))
-        return self.spark.read.parquet(self.path(table, version))
+    def write(self, table: str, run: Run, rows: DataFrame) -> DataFrame:
+        """Write one table of a run and return it as read back."""
+        rows.write.mode("overwrite").parquet(self.path(table, run))
+        return self.spark.read.parquet(self.path(table, run))
 
-    def write_base(self, table: str, version: int, rows: DataFrame) -> None:
+    def write_base(self, table: str, run: Run, rows: DataFrame) -> None:
         """Write a table range-partitioned and sorted by its key.
 
         Lookups by id then skip files by statistics.  Post ids grow with time, so
         files also cover short ranges of created times.
         """
         key = TABLES[table][1]
-        self.write(table, version, rows.repartitionByRange(key).sortWithinPartitions(key))
+        self.write(table, run, rows.repartitionByRange(key).sortWithinPartitions(key))
 
-    def write_index(self, version: int, posts: DataFrame) -> None:
-        index = ix.build_index(posts, self.stem)
-        self.write("postings", version, ix.layout(index.postings))
-        self.write("docs", version, index.docs)
+    def write_index(self, run: Run, posts: DataFrame, before: DataFrame | None = None) -> None:
+        """The index rows of ``posts``; of a delta, with what the vocabulary had of them ``before``."""
+        ix.write_postings(ix.tokenise(posts, self.stem), self.path("postings", run))
+        self.write("docs", run, ix.doc_lengths(posts))
+        counts = ix.vocabulary(posts, self.stem) if before is None else ix.vocabulary_change(before, posts, self.stem)
+        self.write("vocabulary", run, counts)
 
-    def add_runs(self, version: int, values: dict[str, str | None], ts: datetime) -> None:
-        rows = [(k, v, ts, version) for k, v in values.items() if v is not None]
+    def add_runs(self, run: Run, values: dict[str, str | None], ts: datetime) -> None:
+        rows = [(k, v, ts, run.version, run.name) for k, v in values.items() if v is not None]
         if rows:
-            self._append("runs", rows, RUN_ROWS)
+            self._append("runs", rows, S.RUNS + OF_RUN)
 
     def compact(self) -> int:
         """Fold all deltas into a new base version."""
-        version, now = self.next_version(), self.snapshot()
-        self.write_base("posts", version, now.posts())
-        self.write_base("membership_sets", version, now.membership_sets())
-        self.write_base("folders", version, now.folders())
-        self.write_index(version, self.spark.read.parquet(self.path("posts", version)))
-        self.commit(version, BASE)
-        return version
+        return self._compacted().version
+
+    def _compacted(self) -> Run:
+        run, now = self.begin(), self.snapshot()
+        self.write_base("posts", run, now.posts())
+        self.write_base("membership_sets", run, now.membership_sets())
+        self.write_base("folders", run, now.folders())
+        self.write_base("registers", run, now.registers())
+        posts = self.spark.read.parquet(self.path("posts", run))
+        self.write("tallies", run, rollups.tallies(posts))
+        self.write_index(run, posts)
+        self.commit(run, BASE)
+        return run
 
     def reindex(self) -> int:
         """Rebuild the index from the posts; returns the number of posts indexed.
 
         A new base replaces every index row, also those of posts that are gone.
         """
-        return self.spark.read.parquet(self.path("docs", self.compact())).count()
+        return self.spark.read.parquet(self.path("docs", self._compacted())).count()
 
     # --- reading ------------------------------------------------------------
 
@@ -153,8 +206,8 @@ class ArchiveStore:
 
         ``ddl`` names the columns: those of export quarantines or of rejected feed records.
         """
-        rows = self._read("rejected", f"{ddl}, version bigint")
-        return rows.where(F.col("version").isin(self.snapshot().committed))
+        rows = self._read("rejected", ddl + OF_RUN)
+        return rows.where(F.col("run").isin(list(self.snapshot().runs_by_version.values()))).drop("run")
 
     def index(self) -> ix.Index:
         return self.snapshot().index()
@@ -170,12 +223,13 @@ class Snapshot:
     store: ArchiveStore
     base: int | None
     deltas: list[int]
-    committed: list[int]
+    runs_by_version: dict[int, str]
 
     def _rows(self, table: str, ddl: str, versions: list[int]) -> DataFrame:
         """The given versions of a table, with their ``version``."""
-        rows = self.store._read(table, f"{ddl}, version bigint")
-        return rows.where(F.col("version").isin(versions) if versions else F.lit(False))
+        rows = self.store._read(table, ddl + OF_RUN)
+        runs = [self.runs_by_version[v] for v in versions]
+        return rows.where(F.col("run").isin(runs) if runs else F.lit(False)).drop("run")
 
     def _current(self, table: str) -> DataFrame:
         ddl, key = TABLES[table]
@@ -205,33 +259,58 @@ class Snapshot:
     def folders(self) -> DataFrame:
         return self._current("folders")
 
+    def registers(self) -> DataFrame:
+        return self._current("registers")
+
+    def tallies(self) -> DataFrame:
+        """Counts by group, added up over the versions.
+
+        They tell the newest time unless a post that had it has changed; then the posts do.
+        """
+        versions = ([] if self.base is None else [self.base]) + self.deltas
+        total = rollups.added(self._rows("tallies", rollups.TALLIES, versions))
+        whole = total.where(F.col("section") == rollups.ALL).first()
+        if whole is None:
+            return rollups.tallies(self.posts())
+        if whole["gone"] is None or whole["newest"] is not None and whole["gone"] < whole["newest"]:
+            return total
+        posts = self.posts()
+        newest = posts.agg(F.max(X.shown_at(posts))).first()[0]
+        known = F.when(F.col("section") == rollups.ALL, F.lit(newest)).otherwise(F.col("newest"))
+        return total.withColumn("newest", known)
+
+    def imported(self) -> DataFrame:
+        """Digests of the export files that committed runs have read."""
+        rows = self.store._read("imported", IMPORTED + OF_RUN)
+        return rows.where(F.col("run").isin(list(self.runs_by_version.values()))).select("digest").distinct()
+
     def runs(self) -> DataFrame:
         """Run state of committed versions."""
-        rows = self.store._read("runs", RUN_ROWS)
-        return rows.where(F.col("version").isin(self.committed)).drop("version")
+        rows = self.store._read("runs", S.RUNS + OF_RUN)
+        return rows.where(F.col("run").isin(list(self.runs_by_version.values()))).drop("version", "run")
 
     def index(self) -> ix.Index:
-        """The stored index: a base and deltas, in which the newest rows of a post count."""
-        live = ([] if self.base is None else [self.base]) + self.deltas
-        docs = self._rows("docs", ix.DOCS, live)
-        postings = self._rows("postings", ix.POSTINGS, live)
+        """The stored index: a base and deltas, in which the newest rows of a post count.
+
+        Which posts a delta has replaced is known from the document lengths, a row per
+        post; searches ask for it after they have found their terms.
+        """
+        versions = ([] if self.base is None else [self.base]) + self.deltas
+        docs = self._rows("docs", ix.DOCS, versions)
+        stored = self._rows("postings", ix.POSTINGS, versions)
+        vocabulary = ix.summed(self._rows("vocabulary", ix.VOCABULARY, versions))
+        newest = None
         if self.deltas:
-            newest = (
-                docs.where(F.col("version").isin(self.deltas))
-                .groupBy(S.KEY)
-                .agg(F.max("version").alias("newest"))
-            )
-            docs, postings = (
-                rows.join(newest, S.KEY, "left")
-                .where(F.col("newest").isNull() | (F.col("newest") == F.col("version")))
-                .drop("newest")
-                for rows in (docs, postings)
-            )
-        return ix.Index(postings.drop("version"), docs.drop("version"), self.store.stem)
+            later = docs.where(F.col("version").isin(self.deltas))
+            newest = later.groupBy(S.KEY).agg(F.max("version").alias("newest"))
+        return ix.Index(
+            ix.live(stored, newest).drop("version", "bucket"), ix.live(docs, newest).drop("version"),
+            self.store.stem, vocabulary, stored, newest,
+        )
 
     def archive(self) -> Archive:
         return Archive(
-            self.posts(), self.memberships(), self.folders(), self.runs(), self.index()
+            self.posts(), self.memberships(), self.folders(), self.runs(), self.index(), self.tallies()
         )
 
 

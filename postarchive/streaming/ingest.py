@@ -4,7 +4,8 @@ A batch is keyed by stream name and batch id.  If the job dies before the commit
 the repeated batch overwrites its own unfinished folders; if it dies after, the
 repeated batch finds its commit and does nothing.  Nothing is late: times are
 folded by earliest and latest, content by arrival, which is batch order and,
-inside a batch, ``seq``: landing, feed and position.  The archive itself is the state, so the stream keeps
+inside a batch, ``seq``: landing, feed and position; with ``order_by="observed_at"`` by the
+observed time instead, whatever the order of batches.  The archive itself is the state, so the stream keeps
 none and needs no watermark.
 """
 
@@ -15,8 +16,8 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postarchive.plans.ingest import REJECTED, STAGING, counters, write_merged
-from postarchive.sources import feed as feeds
+from postarchive.plans.ingest import ARRIVAL, REJECTED, STAGING, import_new_exports, write_merged
+from postarchive.sources import exports, feed as feeds
 from postarchive.sources.store import DELTA, ArchiveStore
 
 
@@ -28,9 +29,10 @@ class StreamIngest:
         checkpoint: str,
         indexed: bool = True,
         as_of: datetime | None = None,
+        order_by: str = ARRIVAL,
     ):
         self.store, self.name, self.checkpoint = store, name, checkpoint
-        self.indexed, self.as_of = indexed, as_of
+        self.indexed, self.as_of, self.order_by = indexed, as_of, order_by
 
     def process(
         self, observations: DataFrame, batch_id: int, rejected: DataFrame | None = None
@@ -40,14 +42,13 @@ class StreamIngest:
         if self.store.version_of(source) is not None:
             return
         as_of = self.as_of or datetime.now(timezone.utc)
-        version = self.store.next_version()
-        staged = self.store.write(STAGING, version, observations)
+        run = self.store.begin()
+        staged = self.store.write(STAGING, run, observations)
         if rejected is not None:
-            self.store.write(REJECTED, version, rejected)
-        merged = write_merged(self.store, version, staged, as_of, self.indexed)
-        row = merged.agg(*counters(merged)).first()
+            self.store.write(REJECTED, run, rejected)
+        row = write_merged(self.store, run, staged, as_of, self.indexed, self.order_by).counts
         self.store.add_runs(
-            version,
+            run,
             {
                 "last_sync_at": as_of.isoformat(),
                 "last_sync_mode": "stream",
@@ -58,7 +59,7 @@ class StreamIngest:
             },
             as_of,
         )
-        self.store.commit(version, DELTA, source)
+        self.store.commit(run, DELTA, source)
 
     def process_feed(self, records: DataFrame, batch_id: int) -> None:
         """Merge one micro-batch of landed feed records."""
@@ -66,6 +67,12 @@ class StreamIngest:
         stamped = self.as_of or datetime.now(timezone.utc)
         self.process(feeds.normalise_feed(good, stamped), batch_id, bad)
 
+    def process_exports(self, files: DataFrame, batch_id: int) -> None:
+        """Import the export files of one micro-batch that no run has imported yet."""
+        source = f"{self.name}/{batch_id}"
+        if self.store.version_of(source) is None:
+            import_new_exports(self.store, files, self.as_of or datetime.now(timezone.utc), source)
+
     def _start(self, rows: DataFrame, process) -> None:
         query = (
             rows.writeStream.queryName(self.name)
@@ -85,6 +92,15 @@ class StreamIngest:
         self._start(feeds.stream_feed(self.store.spark, path), self.process_feed)
 
 
+    def run_exports(self, path: str, files: int = 1) -> None:
+        """Import the export files that are new since the last run, ``files`` in a version.
+
+        Every version is a step that is kept: a job that dies goes on with the next file.
+        A file that was copied or renamed is applied once.
+        """
+        self._start(exports.stream_export_files(self.store.spark, path, files), self.process_exports)
+
+
 def batch_counters(store: ArchiveStore) -> DataFrame:
     """The counters of all stream batches so far."""
     return store.runs().where(F.col("key") == "last_sync_summary").select("ts", "value")

@@ -200,3 +200,55 @@ def test_words(spark):
         T.distinctive_word(F.col("t")).alias("w"), T.candidate_words(F.col("t")).alias("c")
     ).first()
     assert row["w"] == "elephants" and row["c"] == ["Elephants", "elephants", "Giraffes"]
+
+
+@pytest.mark.parametrize("seed", [7, 8])
+def test_frequent_phrases_are_left_for_last(spark, folder, monkeypatch, seed):
+    """The same ranking as scoring everything, with fewer posts looked at."""
+    rng = random.Random(seed)
+    rows = random_posts(250, seed)
+    for i, r in enumerate(rows):
+        r["full_text"] += " the a of" + rng.choice(["", " the", f" rare{i % 40}", f" rare{i % 40} rare{i % 7}"])
+    ix.write_index(post_frame(spark, rows), f"{folder}/index", False)
+    index = ix.read_index(spark, f"{folder}/index", False)
+    vocabulary = WORDS + ["the", "a", "of", "nosuchword", "durable-obj", "of-the", *[f"rare{i}" for i in range(40)]]
+    queries = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(1, 12)))) for i in range(60)]
+    frame = spark.createDataFrame(queries, "query_id int, query string")
+    written = {}
+    keep = search.held
+
+    def recorded(frame, purpose):
+        written[purpose] = keep(frame, purpose)
+        return written[purpose]
+
+    monkeypatch.setattr(search, "held", recorded)
+    monkeypatch.setattr(search, "AT_ONCE", 0)
+    got = search.rank(frame, index, 5).collect()
+    pruned = written["search-candidates"].count()
+    assert written["search-asked"].where("NOT essential").count() > 20
+    assert written["search-plan"].where("proven AND left > 0").count() > 10 and written["search-plan"].where("NOT proven").count() > 0
+    monkeypatch.setattr(search, "MARGIN", 1e9)  # no threshold: every query is scored by all its phrases
+    want = search.rank(frame, index, 5).collect()
+    assert sorted(got) == sorted(want) and len(want) > 200
+    assert pruned < 60 * 250 / 4
+    monkeypatch.setattr(search, "AT_ONCE", 10**9)
+    assert sorted(search.rank(frame, index, 5).collect()) == sorted(want)
+    assert sorted(search.rank(frame, ix.build_index(post_frame(spark, rows), False), 5).collect()) == sorted(want)
+
+
+def test_stems_in_sql_equal_the_rules():
+    """The SQL that checks the stemmed searches, on the rules' own suffixes."""
+    import duckdb
+
+    from postarchive.plans.stemming import stem_tables
+
+    rng = random.Random(3)
+    ends = ("sses ies s ed ing eed y ational enci izer bli alli entli ousli ization ator alism iveness fulness aliti biliti "
+            "logi icate ative iciti ness al ance er able ible ement ment ent sion tion ou ism ate iti ive ize e ll").split()
+    words = {"".join(rng.choice("bcdaeiouylstxwzé") for _ in range(rng.randrange(1, 7))) + rng.choice(ends) + rng.choice(["", *ends])
+             for _ in range(20_000)} | {"x" * 70, "a", "é"}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE words(term VARCHAR)")
+    con.execute("INSERT INTO words SELECT unnest(?)", [sorted(words)])
+    got = dict(con.execute(f"WITH {stem_tables('words')} SELECT term, stem FROM stems").fetchall())
+    assert got == {w: stem_word(w) for w in words}

@@ -124,9 +124,9 @@ def test_stream_equals_batch_and_replay_is_idempotent(spark, tmp_path_factory):
     )
     assert sorted(store.index().postings.collect()) == sorted(once.index().postings.collect())
 
-    before = store.next_version()
+    before = store.begin().version
     stream.process(feeds.normalise_feed(good, AS_OF), 0)  # batch 0 again
-    assert store.next_version() == before
+    assert store.begin().version == before
     lines = [r["value"] for r in batch_counters(store).collect()]
     assert len(lines) == 3 and any("batch=0 seen=12 added=7" in line for line in lines)
 
@@ -167,10 +167,11 @@ def test_unfinished_version_is_invisible_and_replaced(spark, tmp_path_factory):
     posts = spark.createDataFrame([("1",)], "tweet_id string").select(
         *[F.col(c) if c == "tweet_id" else F.lit(None).cast(k).alias(c) for c, k in S.POST_TYPES.items()]
     )
-    store.write("posts", 0, posts)
-    assert store.posts().count() == 0 and store.next_version() == 0
-    store.write("posts", 0, posts.unionByName(posts.withColumn("tweet_id", F.lit("2"))))
-    store.commit(0, "delta")
+    store.write("posts", store.begin(), posts)
+    assert store.posts().count() == 0 and store.begin().version == 0
+    run = store.begin()
+    store.write("posts", run, posts.unionByName(posts.withColumn("tweet_id", F.lit("2"))))
+    store.commit(run, "delta")
     assert store.posts().count() == 2
 
 
