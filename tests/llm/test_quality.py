@@ -68,3 +68,64 @@ def test_odd_rows(spark):
     nothing = quality.fit(docs, labels.limit(0))
     assert {r["score"] for r in quality.score(docs, nothing).collect()} == {0.5}
     assert quality.score(docs.limit(0), model).count() == 0
+
+
+def plain_training(rows, seed=7):
+    """The same classifier, a document and a number at a time, in double precision."""
+    rng = np.random.default_rng(seed)
+    size, classes = quality.DIMENSIONS, quality.CLASSES
+    vectors = rng.uniform(-1 / size, 1 / size, (quality.BUCKETS, size)).astype(np.float32).astype(float)
+    output, bias = [[0.0] * size for _ in range(classes)], [0.0] * classes
+    per_epoch = -(-len(rows) // quality.BATCH)
+    epochs = max(quality.EPOCHS, -(-quality.LEAST_STEPS // per_epoch))
+    step = 0
+    for _ in range(epochs):
+        order = rng.permutation(len(rows))
+        for a in range(0, len(rows), quality.BATCH):
+            batch = [rows[i] for i in order[a : a + quality.BATCH]]
+            rate = quality.RATE * quality.BATCH * (1 - step / (epochs * per_epoch))
+            step += 1
+            grads = []
+            for label, ids, shares in batch:
+                hidden = [sum(vectors[i][d] * s for i, s in zip(ids, shares)) for d in range(size)]
+                logits = [sum(h * o for h, o in zip(hidden, output[k])) + bias[k] for k in range(classes)]
+                odds = [np.exp(x - max(logits)) for x in logits]
+                wrong = [(o / sum(odds) - (k == label)) / len(batch) for k, o in enumerate(odds)]
+                grads.append((ids, shares, hidden, wrong))
+            old = [list(o) for o in output]
+            for ids, shares, hidden, wrong in grads:
+                for k in range(classes):
+                    bias[k] -= 0.1 * rate * wrong[k]
+                    for d in range(size):
+                        output[k][d] -= rate * wrong[k] * hidden[d]
+                for i, s in zip(ids, shares):
+                    for d in range(size):
+                        vectors[i][d] -= rate * s * sum(wrong[k] * old[k][d] for k in range(classes))
+    return vectors, np.array(output), np.array(bias)
+
+
+def test_training_and_scores_equal_plain_loops(monkeypatch):
+    """Averaged vectors, softmax and descent against loops; scores against vectors and outputs, not folded."""
+    monkeypatch.setattr(quality, "BUCKETS", 64)
+    monkeypatch.setattr(quality, "DIMENSIONS", 3)
+    monkeypatch.setattr(quality, "EPOCHS", 2)
+    monkeypatch.setattr(quality, "LEAST_STEPS", 100)
+    monkeypatch.setattr(quality, "BATCH", 4)
+    monkeypatch.setattr(quality, "SMOOTH", 1)
+    texts = [(1, b"good calm words here"), (0, b"BUY now now now"), (1, b"more calm words"), (0, b"now BUY"), (1, b"x"),
+             (0, b"now and now and now"), (1, b"calm and good")]
+    rows = []
+    for label, text in texts:
+        ids, counts = np.unique(quality.features([text])[0], return_counts=True)
+        rows.append((label, ids, counts.astype(np.float32) / (counts.sum() + quality.SMOOTH)))
+    model = quality.train(rows)
+    vectors, output, bias = plain_training(rows)
+    asked = [t for _, t in texts] + [b"", b"calm now", b" \t "]
+    want = []
+    for text in asked:
+        found = quality.features([text])[0]
+        hidden = vectors[found].sum(0) / (len(found) + quality.SMOOTH) if len(found) else np.zeros(3)
+        logits = output @ hidden + bias
+        want.append(1 / (1 + np.exp(logits[0] - logits[1])))
+    assert np.allclose(model.scores(asked), want, atol=1e-4)
+    assert np.ptp(want) > 0.02
