@@ -270,6 +270,10 @@ def export_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(d % 5 == 3, F.concat(F.lit("Mon "), F.date_format(created, "MMM dd HH:mm:ss '+0000' yyyy")))
         .otherwise("not a date")
     )
+    photo, clip = (
+        F.struct(F.lit(kind).alias("type"), url.alias("url"), F.concat(F.lit("https://t.co/"), label).alias("thumbnail_url"))
+        for kind, url in (("photo", F.lit(None).cast("string")), ("video", F.concat(F.lit("https://v.co/"), label)))
+    )
     post = F.to_json(
         F.struct(
             F.when(d % 19 != 0, post_id(d)).alias("tweet_id"),
@@ -294,16 +298,26 @@ def export_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.concat(F.lit("https://s.co/"), label).alias("url"),
                     )
                 ).alias("urls"),
+                F.when(
+                    d % 4 == 1,
+                    F.array(F.struct(c("source").alias("screen_name"), F.concat(F.lit("u"), label).alias("user_id"))),
+                ).alias("mentions"),
             ).alias("entities"),
+            F.when(d % 16 == 0, F.array(photo, clip)).when(d % 8 == 0, F.array(photo)).alias("media"),
             F.when(
-                d % 8 == 0,
-                F.array(
-                    F.struct(
-                        F.lit("photo").alias("type"),
-                        F.concat(F.lit("https://t.co/"), label).alias("thumbnail_url"),
-                    )
+                d % 9 == 0,
+                F.struct(
+                    F.lit("summary").alias("type"), F.concat(F.lit("https://c.co/"), label).alias("url"),
+                    F.concat(F.lit("Card "), c("lang")).alias("title"),
+                ),
+            ).alias("card"),
+            F.when(
+                d % 12 == 0,
+                F.struct(
+                    post_id(d + 1).alias("tweet_id"), F.concat(F.lit("quoted "), c("lang")).alias("full_text"),
+                    F.struct(c("source").alias("screen_name"), c("lang").alias("name")).alias("author"),
                 ),
-            ).alias("media"),
+            ).alias("quoted_tweet"),
             F.array(F.concat(F.lit("Folder "), (d % 9).cast("string"))).alias("folders"),
             F.when(d % 2 == 0, F.array(F.concat(F.lit("f-"), (d % 25).cast("string")))).alias(
                 "folder_ids"
@@ -364,6 +378,27 @@ def feed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
             ).alias("videos"),
         ).alias("media"),
         F.when(d % 2 == 0, F.array("lang")).otherwise(F.array()).alias("hashtags"),
+        F.when(d % 6 == 0, F.array(F.lit("usd"), c("lang"))).alias("cashtags"),
+        F.when(
+            d % 4 == 1, F.array(F.struct(c("source").alias("username"), d.alias("id")))
+        ).alias("mentionedUsers"),
+        F.when(
+            d % 9 == 0,
+            F.struct(
+                F.lit("summary").alias("_type"), F.concat(F.lit("https://c.co/"), label).alias("url"),
+                F.concat(F.lit("Card "), c("lang")).alias("title"),
+            ),
+        ).alias("card"),
+        F.when(
+            d % 12 == 0,
+            F.struct(
+                post_id(d + 1).alias("id_str"), F.concat(F.lit("quoted "), c("lang")).alias("rawContent"),
+                F.struct(c("source").alias("username"), c("lang").alias("displayname")).alias("user"),
+            ),
+        ).alias("quotedTweet"),
+        F.when(
+            d % 7 == 0, F.struct(F.concat(F.lit("Report "), c("lang")).alias("title"), c("source").alias("preview_text"))
+        ).alias("article"),
         F.array(
             F.struct(F.lit("").alias("url"), F.concat(F.lit("https://s.co/"), label).alias("tcourl")),
             F.struct(F.lit("").alias("url"), F.lit(None).cast("string").alias("tcourl")),

@@ -39,6 +39,25 @@ MERGED = [
     "tweet_id", "url", "full_text", "author_handle", "likes", "views", "hashtags", "status",
     "unavailable_reason", "origin", "first_seen_at", "last_seen_at", "content_updated_at",
 ]
+QUOTED = [
+    "quoted_tweet_id", "quoted_full_text", "quoted_author_handle", "quoted_author_name", "card_type", "card_title",
+    "card_url",
+]
+
+
+def nested() -> dict:
+    """All media and entities of a post, as joined text."""
+    mention = lambda m: F.concat_ws("/", m["screen_name"], m["user_id"])
+    return {
+        "media_types": F.array_join("media.type", "|"),
+        "media_urls": F.array_join("media.url", "|"),
+        "media_thumbnails": F.array_join("media.thumbnail_url", "|"),
+        "tags": F.array_join("entities.hashtags", "|"),
+        "cashtags": F.array_join("entities.cashtags", "|"),
+        "mentions": F.array_join(F.transform("entities.mentions", mention), "|"),
+    }
+
+
 SEARCH_RESULT = ["query_id", "rank", "tweet_id", "score", "match_mode"]
 
 
@@ -187,15 +206,14 @@ def normalize_export(spark, sf_dir):
     shown = both.withColumns(
         {
             "file_path": F.col("seq.file"),
-            "media_url": F.get("media", F.lit(0))["url"],
-            "n_tags": F.coalesce(F.size("entities.hashtags"), F.lit(0)),
+            **nested(),
         }
     )
     return flat(
         shown,
         ["tweet_id", "file_path", "url", "full_text", "lang", "created_at", "author_name",
-         "author_handle", "likes", "views", "status", "hashtags", "links", "media_url",
-         "n_tags", "origin", "first_seen_at", "last_seen_at", "complete", "folder_ids"],
+         "author_handle", "likes", "views", "status", "hashtags", "links", "origin", "first_seen_at",
+         "last_seen_at", "complete", "folder_ids", *nested(), *QUOTED],
     )
 
 
@@ -227,16 +245,14 @@ def normalize_feed(spark, sf_dir):
     shown = feeds.normalise_feed(good, B.AS_OF).withColumns(
         {
             "pos": F.col("seq.pos"),
-            "media_types": F.array_join("media.type", "|"),
-            "media_urls": F.array_join("media.url", "|"),
-            "n_tags": F.coalesce(F.size("entities.hashtags"), F.lit(0)),
+            **nested(),
         }
     )
     return flat(
         shown,
         ["tweet_id", "pos", "url", "full_text", "lang", "created_at", "conversation_id",
          "author_name", "author_handle", "author_followers", "likes", "status", "hashtags",
-         "links", "media_types", "media_urls", "n_tags", "origin", "last_seen_at"],
+         "links", "article_title", "article_summary", "origin", "last_seen_at", *nested(), *QUOTED],
     )
 
 

@@ -257,6 +257,14 @@ GROUP BY id"""
 
 CREATED = "(TIMESTAMP '2024-01-01' + to_minutes(doc_id * 37))"
 
+QUOTED = f"""  CASE WHEN doc_id % 12 = 0 THEN CAST({FIRST_ID} + doc_id + 1 AS VARCHAR) END AS quoted_tweet_id,
+  CASE WHEN doc_id % 12 = 0 THEN 'quoted ' || lang END AS quoted_full_text,
+  CASE WHEN doc_id % 12 = 0 THEN source END AS quoted_author_handle,
+  CASE WHEN doc_id % 12 = 0 THEN lang END AS quoted_author_name,
+  CASE WHEN doc_id % 9 = 0 THEN 'summary' END AS card_type,
+  CASE WHEN doc_id % 9 = 0 THEN 'Card ' || lang END AS card_title,
+  CASE WHEN doc_id % 9 = 0 THEN 'https://c.co/' || CAST(doc_id AS VARCHAR) END AS card_url,"""
+
 ORACLES["normalize_export"] = f"""SELECT
   CAST({FIRST_ID} + doc_id AS VARCHAR) AS tweet_id,
   'file-' || CAST(doc_id AS VARCHAR) AS file_path,
@@ -273,8 +281,15 @@ ORACLES["normalize_export"] = f"""SELECT
   CASE WHEN doc_id % 2 = 0 THEN lang || '|' || source END AS hashtags,
   CASE WHEN doc_id % 3 = 0 THEN 'https://e.org/' ELSE 'https://s.co/' END
     || CAST(doc_id AS VARCHAR) AS links,
-  CASE WHEN doc_id % 8 = 0 THEN 'https://t.co/' || CAST(doc_id AS VARCHAR) END AS media_url,
-  CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 0 END AS n_tags,
+  CASE WHEN doc_id % 16 = 0 THEN 'photo|video' WHEN doc_id % 8 = 0 THEN 'photo' END AS media_types,
+  CASE WHEN doc_id % 8 = 0 THEN 'https://t.co/' || CAST(doc_id AS VARCHAR)
+    || CASE WHEN doc_id % 16 = 0 THEN '|https://v.co/' || CAST(doc_id AS VARCHAR) ELSE '' END END AS media_urls,
+  CASE WHEN doc_id % 8 = 0 THEN 'https://t.co/' || CAST(doc_id AS VARCHAR)
+    || CASE WHEN doc_id % 16 = 0 THEN '|https://t.co/' || CAST(doc_id AS VARCHAR) ELSE '' END END AS media_thumbnails,
+  CASE WHEN doc_id % 2 = 0 THEN lang || '|' || source WHEN doc_id % 4 = 1 THEN '' END AS tags,
+  CASE WHEN doc_id % 2 = 0 OR doc_id % 4 = 1 THEN '' END AS cashtags,
+  CASE WHEN doc_id % 4 = 1 THEN source || '/u' || CAST(doc_id AS VARCHAR) WHEN doc_id % 2 = 0 THEN '' END AS mentions,
+{QUOTED}
   'export' AS origin, '2024-01-31T10:00:00+00:00' AS first_seen_at,
   '2024-01-31T10:00:00+00:00' AS last_seen_at,
   doc_id % 2 = 0 AS complete,
@@ -314,7 +329,14 @@ ORACLES["normalize_feed"] = f"""SELECT
   CASE WHEN doc_id % 6 = 0 THEN 'https://p.co/' || CAST(doc_id AS VARCHAR)
                                 || '|https://v.co/high/' || CAST(doc_id AS VARCHAR)
        WHEN doc_id % 3 = 0 THEN 'https://t.co/v' END AS media_urls,
-  CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS n_tags,
+  CASE WHEN doc_id % 6 = 0 THEN 'https://p.co/' || CAST(doc_id AS VARCHAR) || '|https://t.co/v'
+       WHEN doc_id % 3 = 0 THEN 'https://t.co/v' END AS media_thumbnails,
+  CASE WHEN doc_id % 2 = 0 THEN lang WHEN doc_id % 4 = 1 THEN '' END AS tags,
+  CASE WHEN doc_id % 6 = 0 THEN 'usd|' || lang WHEN doc_id % 2 = 0 OR doc_id % 4 = 1 THEN '' END AS cashtags,
+  CASE WHEN doc_id % 4 = 1 THEN source || '/' || CAST(doc_id AS VARCHAR) WHEN doc_id % 2 = 0 THEN '' END AS mentions,
+  CASE WHEN doc_id % 7 = 0 THEN 'Report ' || lang END AS article_title,
+  CASE WHEN doc_id % 7 = 0 THEN source END AS article_summary,
+{QUOTED}
   'live' AS origin, '2024-01-31T10:00:00+00:00' AS last_seen_at
 FROM documents WHERE doc_id % 19 <> 0"""
 
