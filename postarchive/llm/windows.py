@@ -41,6 +41,7 @@ WHOLE = 2  # from this level on, windows are dealt by their own hashes
 SPLIT = 10  # a bucket's strings are that much larger than its share of the texts, at most
 HOT = 1 << 16  # an oversized bucket with more than one in so many of all bytes is dealt apart at once
 HOT_FAN = 256  # parts of such a bucket
+TASKS = 1 << 16  # that gather buckets, at most
 SAMPLE = 1 / 16  # of the rows, to tell which buckets these are
 
 # A text's key: its doc_id (a missing one is the largest) and a hash that tells
@@ -527,8 +528,11 @@ def verdict_rows(doc: np.ndarray, row: np.ndarray, start: np.ndarray, size: np.n
     return packed_by_text(doc, row, start, size).assign(bucket=0, n=0, bytes=0, block=None)
 
 
-def gathered(dealt: DataFrame, judge: Judge, rule: Rule, limit: int, level: int) -> DataFrame:
-    """Verdicts of the buckets within ``limit``, and the strings of the others, dealt anew."""
+def gathered(dealt: DataFrame, judge: Judge, rule: Rule, limit: int, level: int, parts: int | None) -> DataFrame:
+    """Verdicts of the buckets within ``limit``, and the strings of the others, dealt anew.
+
+    Buckets are gathered in ``parts`` tasks, a few buckets each, or as Spark sees fit.
+    """
     columns = [c.split()[0] for c in GATHERED.split(", ")]
 
     def frames(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -553,20 +557,23 @@ def gathered(dealt: DataFrame, judge: Judge, rule: Rule, limit: int, level: int)
 
     home = F.when(F.col("bucket") < 0, -1 - F.col("bucket")).otherwise(F.col("bucket"))
     rows = dealt.select(home.alias("home"), "bucket", "n", "bytes", "block")
-    return rows.repartition("home").sortWithinPartitions("home").mapInPandas(run, GATHERED)
+    placed = rows.repartition(parts, "home") if parts else rows.repartition("home")
+    return placed.sortWithinPartitions("home").mapInPandas(run, GATHERED)
 
 
-def verdicts(dealt: DataFrame, judge: Judge, rule: Rule, limit: int) -> DataFrame:
+def verdicts(dealt: DataFrame, judge: Judge, rule: Rule, limit: int, buckets: int) -> DataFrame:
     """Spans to remove, by text: what ``judge`` finds in each bucket, and what was known before.
 
     ``judge`` gets a bucket's strings in order of document, row and place: doc, row,
     first unit, size in bytes, and the strings joined by spaces.  It returns string number, first
     unit in the string and number of units of each window that is to go.  Buckets of more
-    than ``limit`` bytes are dealt anew.
+    than ``limit`` bytes are dealt anew.  There is a task for each of the ``buckets``, up to
+    :data:`TASKS`, so that a task's share does not grow with their number.
     """
     found, level = [], 0
     while not found or not dealt.isEmpty():
-        out = written(gathered(dealt, judge, rule, limit, level), "window-verdicts")
+        parts = None if level else min(buckets, TASKS)
+        out = written(gathered(dealt, judge, rule, limit, level, parts), "window-verdicts")
         found.append(out.where("block IS NULL").select(DOC, ROW, "spans"))
         dealt = out.where("block IS NOT NULL").select("bucket", "n", "bytes", "block")
         level += 1
@@ -577,7 +584,7 @@ def spans_to_remove(rows: DataFrame, judge: Judge, rule: Rule, bucket_bytes: int
     """The spans to remove of ``rows`` (keyed): dealt, hot buckets apart, and judged."""
     buckets, limit = bucket_count(rows, bucket_bytes), SPLIT * bucket_bytes
     hot = hot_buckets(rows, rule, buckets, limit)
-    return verdicts(deal(rows, rule, buckets, hot), judge, rule, limit)
+    return verdicts(deal(rows, rule, buckets, hot), judge, rule, limit, buckets)
 
 
 def bucket_count(docs: DataFrame, bucket_bytes: int) -> int:
