@@ -231,23 +231,23 @@ def test_status_is_kept_up_to_date(spark, tmp_path):
     assert sorted(map(str, store.archive().status().collect())) == sorted(map(str, want.collect()))
 
 
-def test_any_order_gives_one_archive(spark, tmp_path):
-    """Merged by observed time: landings in any order, split and repeated."""
+def test_any_order_gives_one_state(spark, tmp_path):
+    """Merged by observed time: landings in any order, in parts and repeated."""
+    from postarchive.operators import registers
+
     rng = random.Random(2)
-    landings = [
-        [record(f"l{n}", i, f"{100 + i % 5}", rawContent=rng.choice(["", f"text {n} {i}"]), likeCount=rng.choice([None, n]),
-                observed_at=f"2025-12-{rng.randrange(1, 9):02d}T00:00:00Z", hashtags=rng.choice([[], [f"t{n}"]]))
-         for i in range(9)]
-        for n in range(3)
-    ]
+    states = []
+    for n in range(3):
+        rows = [record(f"l{n}", i, f"{100 + i % 5}", rawContent=rng.choice(["", f"text {n} {i}"]), likeCount=rng.choice([None, n]),
+                       observed_at=f"2025-12-{rng.randrange(1, 9):02d}T00:00:00Z", hashtags=rng.choice([[], [f"t{n}"]]))
+                for i in range(9)]
+        land(tmp_path / str(n), "a", rows)
+        seen = feeds.normalise_feed(feeds.read_feed(spark, str(tmp_path / str(n))), AS_OF)
+        states.append(spark.createDataFrame(registers.registers(seen, AS_OF).collect(), registers.REGISTERS))
     results = []
-    for k, order in enumerate([[0, 1, 2], [2, 0, 1, 0], [1, 2, 0]]):
-        store = ArchiveStore(spark, f"{tmp_path}/archive{k}")
-        for step, n in enumerate(order):
-            folder = tmp_path / f"{k}-{step}"
-            land(folder, "a", landings[n])
-            sync(store, str(folder), "full", as_of=AS_OF, order_by="observed_at")
-        results.append(sorted(map(str, store.posts().drop("raw_json").collect())))
+    for order in ([0, 1, 2], [2, 0, 1, 0], [1, 2, 0]):
+        state = spark.createDataFrame([], registers.REGISTERS)
+        for n in order:
+            state = registers.merged(state.unionByName(states[n]))
+        results.append(sorted(map(str, registers.post_rows(state).collect())))
     assert results[0] == results[1] == results[2] and len(results[0]) == 5
-    with pytest.raises(ValueError):
-        sync(store, str(folder), "full", order_by="other")
