@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from postarchive import schema as S
 from postarchive.functions import text as T
-from postarchive.functions.stem import stem as stemmed
+from postarchive.functions.stem import stem as stemmed, stems
 
 POSTINGS = "term string, tweet_id string, col int, pos int, dl bigint, bucket int"
 DOCS = "tweet_id string, dl bigint"
@@ -37,6 +37,8 @@ VOCABULARY = "part string, posts bigint, term_posts bigint"
 PART = 32
 BUCKETS = 64
 BUCKET_LETTERS = 2
+# Posts of a task that keeps all tokens of its posts together.
+POSTS_AT_ONCE = 4096
 
 
 def bucket_of(term: str) -> Column:
@@ -47,6 +49,7 @@ def bucket_of(term: str) -> Column:
 class Index:
     """``postings`` are the live rows.  A stored index also has ``stored``, all rows with
     their bucket, and under deltas ``newest`` (tweet_id, newest): the version whose rows count.
+    An index computed from posts knows them as ``source``.
     """
 
     postings: DataFrame
@@ -55,6 +58,18 @@ class Index:
     vocabulary: DataFrame
     stored: DataFrame | None = None
     newest: DataFrame | None = None
+    source: DataFrame | None = None
+
+    def dealt(self, n_posts: int) -> DataFrame:
+        """The postings, of an index computed from posts with all of a post in one task.
+
+        The posts are dealt out before they are taken apart: a shuffle of texts instead
+        of tokens, after which nothing that is grouped by post moves again.
+        """
+        if self.source is None:
+            return self.postings
+        tasks = max(self.source.sparkSession.sparkContext.defaultParallelism, -(-n_posts // POSTS_AT_ONCE))
+        return tokenise(self.source.repartition(tasks, S.KEY), self.stemmed)
 
     @property
     def corpus(self) -> Column:
@@ -63,6 +78,24 @@ class Index:
             F.struct(F.count("*").alias("n"), F.avg("dl").alias("mean_length"))
         ).scalar()
 
+    def terms_by_post(self) -> DataFrame:
+        """``tweet_id``, ``groups`` (dl, terms): the different terms of each post, a row a post.
+
+        Rows of one post are one group if they have the same length.
+        """
+        if self.source is None:
+            rows = self.postings.groupBy(S.KEY, "dl").agg(F.collect_set("term").alias("terms"))
+        else:
+            every = F.flatten(F.transform("cols", lambda c: c["tokens"]))
+            rows = _tokenised(self.source, self.stemmed).select(S.KEY, "dl", F.array_distinct(every).alias("terms"))
+        posts = rows.groupBy(S.KEY).agg(F.collect_list(F.struct("dl", "terms")).alias("all"))
+
+        def group(dl: Column) -> Column:
+            same = F.transform(F.filter("all", lambda row: row["dl"] == dl), lambda row: row["terms"])
+            return F.struct(dl.alias("dl"), F.array_distinct(F.flatten(same)).alias("terms"))
+
+        return posts.select(S.KEY, F.transform(F.array_distinct("all.dl"), group).alias("groups"))
+
     def terms(self) -> DataFrame:
         """``term``, each once."""
         if self.stored is None:
@@ -103,8 +136,12 @@ def searchable(posts: DataFrame) -> DataFrame:
     )
 
 
-def _tokenised(posts: DataFrame) -> DataFrame:
-    """Per post: ``cols``, the non-empty columns with their tokens, and ``dl``."""
+def _tokenised(posts: DataFrame, stem: bool = False) -> DataFrame:
+    """Per post: ``cols``, the non-empty columns with their tokens, and ``dl``.
+
+    Tokens are stemmed where they stand, an array a post: Python works on the different
+    words of a batch, and no token is shuffled to meet its stem.
+    """
     cols = F.array(
         *[
             F.struct(F.lit(i).alias("col"), T.tokens(F.col(name)).alias("tokens"))
@@ -117,7 +154,15 @@ def _tokenised(posts: DataFrame) -> DataFrame:
     length = F.aggregate(
         "cols", F.lit(0).cast("bigint"), lambda total, c: total + F.size(c["tokens"])
     )
-    return filled.withColumn("dl", length)
+    if not stem:
+        return filled.withColumn("dl", length)
+    every = filled.withColumn("every", stems(F.flatten(F.transform("cols", lambda c: c["tokens"]))))
+
+    def own(c: Column, i: Column) -> Column:
+        before = F.aggregate(F.slice("cols", F.lit(1), i), F.lit(0), lambda n, earlier: n + F.size(earlier["tokens"]))
+        return F.struct(c["col"].alias("col"), F.slice("every", before + 1, F.size(c["tokens"])).alias("tokens"))
+
+    return every.select(S.KEY, F.transform("cols", own).alias("cols"), length.alias("dl"))
 
 
 def doc_lengths(posts: DataFrame) -> DataFrame:
@@ -134,45 +179,37 @@ def tokenise(posts: DataFrame, stem: bool) -> DataFrame:
 
     The outer forms of the generators keep the optimiser from adding a filter on
     the array size below them, which would tokenise every text a second time.
-    Stems are joined to the tokens by term; the table of stems is as large as the
-    vocabulary, and Spark broadcasts it only if it is small.
     """
-    columns = _tokenised(posts).select(S.KEY, "dl", F.inline_outer("cols"))
-    rows = (
+    columns = _tokenised(posts, stem).select(S.KEY, "dl", F.inline_outer("cols"))
+    return (
         columns.select(S.KEY, "dl", "col", F.posexplode_outer("tokens").alias("pos", "term"))
         .where(F.col("term").isNotNull())
         .select("term", S.KEY, "col", "pos", "dl")
     )
-    return restemmed(rows, "term", S.KEY, "col", "pos", "dl") if stem else rows
-
-
-def restemmed(rows: DataFrame, *columns: str) -> DataFrame:
-    """``rows`` with the stem in place of each ``term``."""
-    return rows.join(stem_table(rows), "term").select(
-        *[F.col("stem").alias("term") if c == "term" else F.col(c) for c in columns]
-    )
 
 
 def post_terms(posts: DataFrame, stem: bool) -> DataFrame:
     """``tweet_id``, ``terms``: the different terms of each post."""
     every = F.flatten(F.transform("cols", lambda c: c["tokens"]))
     distinct = _tokenised(posts).select(S.KEY, F.array_distinct(every).alias("terms"))
-    if not stem:
-        return distinct
-    rows = restemmed(distinct.select(S.KEY, F.explode("terms").alias("term")), "term", S.KEY)
-    return rows.groupBy(S.KEY).agg(F.collect_set("term").alias("terms"))  # a post's own terms
+    return distinct.withColumn("terms", F.array_distinct(stems("terms"))) if stem else distinct
+
+
+def leading_parts(terms: Column, shortest: int, longest: int) -> Column:
+    """The different leading parts of ``terms`` from ``shortest`` to ``longest`` letters."""
+
+    def parts(term: Column) -> Column:
+        sizes = F.sequence(F.lit(shortest), F.least(F.length(term), F.lit(longest)))
+        return F.transform(sizes, lambda size: F.substring(term, F.lit(1), size))
+
+    return F.array_distinct(F.flatten(F.transform(F.filter(terms, lambda t: F.length(t) >= shortest), parts)))
 
 
 def part_counts(per_post: DataFrame, sign: int = 1) -> DataFrame:
     """Vocabulary rows of ``per_post`` (tweet_id, terms): counted inside a post, then by part."""
     one, none = F.lit(sign).cast("bigint"), F.lit(0).cast("bigint")
 
-    def leading(term: Column) -> Column:
-        sizes = F.sequence(F.lit(1), F.least(F.length(term), F.lit(PART)))
-        return F.transform(sizes, lambda size: F.substring(term, F.lit(1), size))
-
-    parts = F.array_distinct(F.flatten(F.transform("terms", leading)))
-    listed = per_post.select("terms", parts.alias("parts")).select(
+    listed = per_post.select("terms", leading_parts(F.col("terms"), 1, PART).alias("parts")).select(
         F.inline_outer(
             F.concat(
                 F.transform("parts", lambda p: F.struct(p.alias("part"), one.alias("posts"), none.alias("term_posts"))),
@@ -207,7 +244,7 @@ def vocabulary_change(before: DataFrame, after: DataFrame, stem: bool) -> DataFr
 
 def build_index(posts: DataFrame, stem: bool = True) -> Index:
     """An index that is computed from the posts whenever it is used."""
-    return Index(tokenise(posts, stem), doc_lengths(posts), stem, vocabulary(posts, stem))
+    return Index(tokenise(posts, stem), doc_lengths(posts), stem, vocabulary(posts, stem), source=posts)
 
 
 def write_postings(postings: DataFrame, path: str) -> None:

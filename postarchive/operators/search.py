@@ -20,8 +20,9 @@ below it too, no post without an essential phrase can get into the result; posts
 cannot reach the threshold with all that is left go, but for those that may match every
 phrase; for the few that remain the frequent phrases are looked up, in their posts only.
 Queries for which it does not stay below are scored by all their phrases.  The result is
-that of scoring everything, which is what a search does that has no stored vocabulary, or
-where the vocabulary tells that all sums together have no more than :data:`AT_ONCE` parts.
+that of scoring everything, which is what a search does that has no stored vocabulary
+(posts are dealt out by key before their texts are taken apart, and again, as frequencies,
+before scores are summed: no token and no score is shuffled), or where the vocabulary tells that all sums together have no more than :data:`AT_ONCE` parts.
 """
 
 from __future__ import annotations
@@ -45,6 +46,8 @@ SCORE_DIGITS = 6
 
 # Scores are summed at once where they have no more parts than this; their number is known beforehand.
 AT_ONCE = 200_000_000
+# Scores of a task of a search without a stored index.
+SCORES_AT_ONCE = 1_000_000
 # Sums may differ in their last digits by the order of adding.
 MARGIN = 1e-5
 
@@ -105,14 +108,16 @@ def tokens_of(phrases: DataFrame) -> list[str]:
     return sorted(r["token"] for r in rows)
 
 
-def matching_terms(terms: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Rows of ``terms`` (``term`` once) with each ``token`` that matches the term.
+def matching_terms(terms: DataFrame, tokens: DataFrame, longest: int = PART) -> DataFrame:
+    """Rows of ``terms`` with each ``token`` that matches the term.
 
     ``tokens`` has ``token`` and ``is_prefix``.  Each term is repeated for its leading
-    parts up to :data:`~postarchive.operators.index.PART` letters, which makes prefix
-    matching an equi-join; only the vocabulary is repeated, never the postings.
+    parts up to :data:`~postarchive.operators.index.PART` letters, or ``longest`` where no
+    token is longer, which makes prefix matching an equi-join.  Postings are repeated only
+    for the few tokens of queries, which come to them; else it is the vocabulary.
     """
-    sizes = F.sequence(F.lit(1), F.greatest(F.least(F.length("term"), F.lit(PART)), F.lit(1)))
+    most = F.lit(min(longest, PART))
+    sizes = F.sequence(F.lit(1), F.greatest(F.least(F.length("term"), most), F.lit(1)))
     parts = terms.select("*", F.explode_outer(sizes).alias("part_size")).withColumn(
         "part", F.col("term").substr(F.lit(1), F.col("part_size"))
     )
@@ -183,6 +188,47 @@ def phrase_frequencies(
     return words.unionByName(several)
 
 
+def computed_frequencies(rows: DataFrame, phrases: DataFrame, words_only: bool = False) -> DataFrame:
+    """What :func:`phrase_frequencies` tells, for an index that has no stored vocabulary.
+
+    ``rows`` are postings, best those of :meth:`Index.dealt`.  Tokens meet the phrases
+    where they are: leading parts of a token, or of a token's neighbour, are looked up
+    among the tokens of the queries, which do not grow with the posts.
+    """
+    tokens = phrase_tokens(phrases)
+    longest = tokens.agg(F.max(F.length("token"))).first()[0] or 1
+    alone = tokens.where("n_tokens = 1")
+    words = (
+        matching_terms(rows.select(S.KEY, "dl", "term"), alone, longest)
+        .groupBy(S.KEY, "dl", F.col("token").alias("phrase")).agg(F.count("*").alias("tf"))
+    )
+    if words_only:
+        return words
+    along = Window.partitionBy(S.KEY, "col").orderBy("pos")
+    after = tokens.where("offset > 0").select(
+        "phrase", (F.col("offset") - 1).alias("offset"), F.col("token").alias("second"), "is_prefix"
+    )
+    wanted = tokens.select("phrase", "n_tokens", "offset", F.col("token").alias("first")).join(after, ["phrase", "offset"])
+    pairs = (
+        rows.withColumn("next_pos", F.lead("pos").over(along)).withColumn("next_term", F.lead("term").over(along))
+        .where(F.col("next_pos") == F.col("pos") + 1)
+        .join(wanted.select(F.col("first").alias("term")).distinct(), "term", "left_semi")
+        .select(S.KEY, "dl", "col", "pos", F.col("term").alias("before"), F.col("next_term").alias("term"))
+    )
+    seconds = wanted.select(F.col("second").alias("token"), "is_prefix")
+    found = matching_terms(pairs, seconds, longest).join(
+        wanted.withColumnRenamed("is_prefix", "cut"),
+        (F.col("before") == F.col("first")) & (F.col("token") == F.col("second")) & (F.col("is_prefix") == F.col("cut")),
+    )
+    start = (F.col("pos") - F.col("offset")).alias("start")
+    several = (
+        found.groupBy(S.KEY, "dl", "col", "phrase", "n_tokens", start).agg(F.count("*").alias("n_pairs"))
+        .where(F.col("n_pairs") == F.col("n_tokens") - 1)
+        .groupBy(S.KEY, "dl", "phrase").agg(F.count("*").alias("tf"))
+    )
+    return words.unionByName(several)
+
+
 def idf(df: Column, n_docs: Column) -> Column:
     return F.greatest(F.log((n_docs - df + 0.5) / (df + 0.5)), F.lit(IDF_FLOOR))
 
@@ -232,7 +278,8 @@ def rank(
     pushed = tokens_of(phrases) if one else None
     if index.stored is None:
         words_only = phrases.where(F.col("phrase").contains(" ")).isEmpty()
-        found = held(phrase_frequencies(index, phrases, words_only=words_only), "search-phrases-found")
+        rows = index.dealt(corpus["n"])
+        found = held(computed_frequencies(rows, phrases, words_only), "search-phrases-found")
         frequencies = found.groupBy("phrase").agg(F.count("*").alias("df"))
     else:
         frequencies, found = statistics(index, phrases, pushed)
@@ -258,15 +305,20 @@ def rank(
         if found is None:
             return phrase_frequencies(index, wanted, pushed, posts, words_only=True)
         if index.stored is None:
-            return found.join(wanted, "phrase", "left_semi")
+            # All of a post in one task, in so many that the scores of one are few.
+            scores = corpus["n"] * (asked.agg(F.count_distinct("query_id")).first()[0] or 1)
+            tasks = max(found.sparkSession.sparkContext.defaultParallelism, -(-scores // SCORES_AT_ONCE))
+            return found.join(wanted, "phrase", "left_semi").repartition(tasks, S.KEY)
         known = found.select("phrase").distinct()
         words = wanted.join(known, "phrase", "left_anti")
         rest = phrase_frequencies(index, words, pushed, posts, words_only=True)
         return rest.unionByName(found.join(wanted, "phrase", "left_semi"))
 
-    def added(tf: DataFrame, of: DataFrame, *keys: str) -> DataFrame:
+    def added(tf: DataFrame, of: DataFrame, *keys: str, own: Column | None = None) -> DataFrame:
         """``query_id``, ``tweet_id``, ``sum``, ``n``: what the phrases of ``of`` add, and their number."""
         matches = tf.join(of, [*keys, "phrase"])
+        if own is not None:
+            matches = matches.where(own)
         part = F.col("weight") * bm25(F.col("tf"), F.col("dl"), mean_length)
         return matches.groupBy("query_id", S.KEY).agg(F.sum(part).alias("sum"), F.count("*").alias("n"))
 
@@ -278,7 +330,7 @@ def rank(
             return added(tf, of)
         handle, wanted = F.col("author_handle"), F.col("author")
         own = wanted.isNull() | (handle == wanted) | (handle == F.ltrim(wanted, F.lit("@")))
-        return added(tf.join(of.select("query_id", "phrase", "author"), "phrase").where(own).drop("author"), of, "query_id")
+        return added(tf, of, own=own)
 
     essential, others = asked.where("essential"), asked.where("NOT essential")
 

@@ -252,3 +252,55 @@ def test_stems_in_sql_equal_the_rules():
     con.execute("INSERT INTO words SELECT unnest(?)", [sorted(words)])
     got = dict(con.execute(f"WITH {stem_tables('words')} SELECT term, stem FROM stems").fetchall())
     assert got == {w: stem_word(w) for w in words}
+
+
+def test_stemming_moves_no_token(spark):
+    """Stems are those of the rules, and neither the index nor its vocabulary joins tokens with stems."""
+    posts = post_frame(spark, random_posts(60, 9))
+    plain, stemmed = (sorted(ix.tokenise(posts, s).select("tweet_id", "col", "pos", "dl", "term").collect()) for s in (False, True))
+    assert [(*r[:4], stem_word(r["term"])) for r in plain] == [tuple(r) for r in stemmed] and plain != stemmed
+    plan = ix.vocabulary(posts, True)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+@pytest.mark.parametrize("stem", [False, True])
+def test_frequencies_without_a_shuffle_of_tokens(spark, stem):
+    """The same frequencies as by way of the vocabulary, with texts dealt out once."""
+    long = "x" * 40
+    rows = [dict(r, full_text=f"{r['full_text']} alpha beta gammas {long}{i % 3} alpha beta") for i, r in enumerate(random_posts(60, 10))]
+    index = ix.build_index(post_frame(spark, rows), stem)
+    texts = ["al", "alpha-be", "alpha-beta-ga", "beta-alpha", f"{long}1", f"{'x' * 35}", f"gammas-{long}", "durable-obj", "nosuch", "a"]
+    queries = spark.createDataFrame(list(enumerate(texts)), "query_id int, query string")
+    phrases = search.held(search.query_phrases(queries, stem), "test")
+    got = search.computed_frequencies(index.dealt(60), phrases)
+    want = search.phrase_frequencies(index, phrases)
+    assert sorted(got.collect()) == sorted(want.collect()) and got.count() > 300
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert set(re.findall(r"Exchange hashpartitioning\((\w+?)#", plan)) <= {"tweet_id", "phrase", "token", "query_id", "term"}
+    assert "SortMergeJoin [term" not in plan and "REPARTITION_BY_NUM" in plan
+
+
+def test_prefix_posts(spark):
+    rng = random.Random(4)
+    word = lambda: rng.choice(["zebra", "zebras", "zeb", "horse", "z" * 40, "z" * 40 + "q", "z" * 33])
+    posts = [[word() for _ in range(rng.randrange(4))] for _ in range(50)]
+    frame = spark.createDataFrame([(p,) for p in posts], "terms array<string>")
+    for asked in (["zebra", "horse", "nosuch"], ["zeb", "z" * 33, "z" * 32, "z" * 41, "z" * 40 + "q"]):
+        phrases = spark.createDataFrame([(a,) for a in asked], "phrase string")
+        got = {r["phrase"]: r["posts"] for r in selftest.prefix_posts(frame, phrases).collect()}
+        want = {a: sum(any(t.startswith(a) for t in p) for p in posts) for a in asked}
+        assert got == {a: n for a, n in want.items() if n}
+
+
+def test_self_test_counts_rows_of_one_post_together(spark):
+    """Equal rows are one post, and a word of one post alone stays unique."""
+    rows = [dict(r, full_text=f"{r['full_text']} filler text that makes this post long enough to be tested zebra{i:03d}x end of it")
+            for i, r in enumerate(random_posts(10, 6))]
+    posts = post_frame(spark, rows + rows[:3])
+    tests = selftest.self_test(posts, ix.build_index(posts, False), size=None).collect()
+    assert {r["hits"] for r in tests if r["token"].startswith("zebra")} == {1} and all(r["ok"] for r in tests)
+    plan = selftest.prefix_posts(
+        ix.build_index(posts, False).terms_by_post().select(F.inline_outer("groups")),
+        spark.createDataFrame([("zebra",)], "phrase string"),
+    )._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(term" not in plan
