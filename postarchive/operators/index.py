@@ -192,7 +192,11 @@ def post_terms(posts: DataFrame, stem: bool) -> DataFrame:
     """``tweet_id``, ``terms``: the different terms of each post."""
     every = F.flatten(F.transform("cols", lambda c: c["tokens"]))
     distinct = _tokenised(posts).select(S.KEY, F.array_distinct(every).alias("terms"))
-    return distinct.withColumn("terms", F.array_distinct(stems("terms"))) if stem else distinct
+    if not stem:
+        return distinct
+    # Rows of one post count once; their arrays of terms meet, not the terms.
+    own = distinct.withColumn("terms", stems("terms")).groupBy(S.KEY).agg(F.collect_list("terms").alias("terms"))
+    return own.select(S.KEY, F.array_distinct(F.flatten("terms")).alias("terms"))
 
 
 def leading_parts(terms: Column, shortest: int, longest: int) -> Column:
