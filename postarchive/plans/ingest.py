@@ -189,7 +189,7 @@ def sync(
     if mode not in (QUICK, FULL):
         raise ValueError(f"unknown sync mode: {mode!r}")
     as_of = _now(as_of)
-    run, known = store.begin(), store.posts().select(S.KEY)
+    run, known = store.begin(), store.snapshot().keys()
     listed = feeds.read_manifest(store.spark, path) if mode == QUICK and isinstance(path, str) else None
     # The records are read once; everything after reads them as staged.
     if listed is None:
@@ -199,7 +199,7 @@ def sync(
     good, bad = feeds.split_valid(records)
     set_aside = Observation("rejected")
     rejected = store.write(REJECTED, run, bad.observe(set_aside, F.count("*").alias("rejected")))
-    keyed = _placed(good)
+    keyed = _placed(records)
     cut = (
         boundary.quick_cut(keyed, known, stop_after)
         if mode == QUICK
@@ -231,13 +231,17 @@ def sync(
     return RunReport(run.version, result, _outcomes(merged.rows), rejected)
 
 
-def _placed(records: DataFrame) -> DataFrame:
-    """Keys of records by feed; a feed is cut within a landing.
+def _placed(records: DataFrame, end: int | None = None) -> DataFrame:
+    """Keys of the valid records before ``end`` by feed; a feed is cut within a landing.
 
-    The archive alone makes posts of other landings known.
+    The archive alone makes posts of other landings known.  The keys are written, because
+    a cut reads them many times: planned from the records each time, its plans alone take
+    hundreds of MB of the driver's memory.
     """
+    good, _ = feeds.split_valid(records.select(*feeds.KEYED))
     place = F.struct("landing", "feed_id")
-    return records.select(place.alias("feed_id"), "pos", feeds.record_id().alias("tweet_id"))
+    keys = good.select(place.alias("feed_id"), "pos", feeds.record_id().alias("tweet_id"))
+    return held(keys if end is None else keys.where(F.col("pos") < end), "feed-keys")
 
 
 def read_frontier(
@@ -268,8 +272,7 @@ def read_frontier(
             feeds.read_feed(spark, sorted(files), limit).write.mode("append").parquet(path)
             read |= files
         records = spark.read.schema(S.FEED).parquet(path)
-        good, _ = feeds.split_valid(records)
-        cut = boundary.quick_cut(_placed(good.where(F.col("pos") < end)), known, stop_after)
+        cut = boundary.quick_cut(_placed(records, end), known, stop_after)
         stopped = cut.where(F.col("stopped_reason") == boundary.AT_BOUNDARY).select("feed_id.*").distinct()
         further = waiting.where(F.col("first_pos") >= end)
         waiting = held(further.join(held(stopped, "feeds-stopped"), feed, "left_anti"), "feeds-waiting")

@@ -16,6 +16,8 @@ from postarchive.sources.exports import entities, observation
 
 # One landing of one feed: the same positions may come back in another landing.
 PLACE = ["landing", "feed_id", "pos"]
+# What tells whether a record is valid, and its post.
+KEYED = [*PLACE, "id_str", "id", "_malformed"]
 
 
 def _landed(records: DataFrame) -> DataFrame:

@@ -250,6 +250,11 @@ class Snapshot:
     def posts(self) -> DataFrame:
         return self._current("posts")
 
+    def keys(self) -> DataFrame:
+        """Keys of the posts, without their rows; a key comes once for every version that has it."""
+        versions = ([] if self.base is None else [self.base]) + self.deltas
+        return self._rows("posts", f"{S.KEY} string", versions).select(S.KEY)
+
     def membership_sets(self) -> DataFrame:
         return self._current("membership_sets")
 

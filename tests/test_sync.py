@@ -97,6 +97,27 @@ def test_frontier_equals_reading_everything(spark, tmp_path, seed):
     assert outcomes[0] == outcomes[1]
 
 
+def test_rounds_cut_written_keys(spark, tmp_path, monkeypatch):
+    """No cut plans reading records or folding stored posts again, so a round's plans stay small on the driver."""
+    store = ArchiveStore(spark, f"{tmp_path}/archive")
+    for name, first in (("one", 30), ("two", 20)):
+        land(tmp_path / name, "a", [record(name, i, f"{1000 + i}") for i in range(first, 60)])
+        sync(store, str(tmp_path / name), "full", as_of=AS_OF)
+    keys = sorted(r["tweet_id"] for r in store.snapshot().keys().distinct().collect())
+    assert keys == sorted(r["tweet_id"] for r in store.posts().select(S.KEY).collect()) == [f"{1000 + i}" for i in range(20, 60)]
+    for n in range(6):
+        land(tmp_path / "new", f"{n}", [record("new", i, f"{1000 + i}") for i in range(10 * n, 10 * n + 10)])
+    feeds.write_manifest(spark, str(tmp_path / "new"))
+    given, cut = [], boundary.quick_cut
+    monkeypatch.setattr(boundary, "quick_cut", lambda feed, known, *a: given.append((feed, known)) or cut(feed, known, *a))
+    row = sync(store, str(tmp_path / "new"), "quick", stop_after=2, as_of=AS_OF).summary.first()
+    assert (row["added"], row["unchanged"] + row["updated"], row["stopped_reason"]) == (20, 2, "reached known boundary")
+    assert len(given) == 3  # rounds up to 16 and 64, and the cut of all
+    for frame in (f for pair in given for f in pair):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "Aggregate" not in plan and "full_text" not in plan and "rawContent" not in plan
+
+
 def test_vocabulary_after_deltas_equals_rebuild(spark, tmp_path):
     store = ArchiveStore(spark, f"{tmp_path}/archive")
     for n, (texts, landing) in enumerate([
