@@ -205,6 +205,8 @@ def sync(
         if mode == QUICK
         else boundary.full_cut(keyed, known, limit)
     ).select("feed_id.landing", "feed_id.feed_id", "pos", "stopped_reason")
+    # Written, so that the steps of the cut are not planned together with whole records.
+    cut = held(cut, "feed-cut")
     reasons, reached = Observation("reasons"), F.collect_set("stopped_reason").alias("reasons")
     taken = store.write(STAGING, run, good.join(cut, feeds.PLACE).observe(reasons, reached))
     merged = write_merged(store, run, feeds.normalise_feed(taken, as_of), as_of, order_by=order_by)
