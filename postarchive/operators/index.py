@@ -20,6 +20,8 @@ the text is cut into many files by post.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
@@ -27,8 +29,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postarchive import schema as S
-from postarchive.functions import text as T
+from postarchive.functions import parts, text as T
 from postarchive.functions.stem import stem as stemmed, stems
+from postarchive.session import held_meanwhile
 
 POSTINGS = "term string, tweet_id string, col int, pos int, dl bigint, bucket int"
 DOCS = "tweet_id string, dl bigint"
@@ -180,7 +183,11 @@ def tokenise(posts: DataFrame, stem: bool) -> DataFrame:
     The outer forms of the generators keep the optimiser from adding a filter on
     the array size below them, which would tokenise every text a second time.
     """
-    columns = _tokenised(posts, stem).select(S.KEY, "dl", F.inline_outer("cols"))
+    return _postings(_tokenised(posts, stem))
+
+
+def _postings(rows: DataFrame) -> DataFrame:
+    columns = rows.select(S.KEY, "dl", F.inline_outer("cols"))
     return (
         columns.select(S.KEY, "dl", "col", F.posexplode_outer("tokens").alias("pos", "term"))
         .where(F.col("term").isNotNull())
@@ -210,23 +217,9 @@ def leading_parts(terms: Column, shortest: int, longest: int) -> Column:
 
 
 def part_counts(per_post: DataFrame, sign: int = 1) -> DataFrame:
-    """Vocabulary rows of ``per_post`` (tweet_id, terms): counted inside a post, then by part."""
-    one, none = F.lit(sign).cast("bigint"), F.lit(0).cast("bigint")
-
-    listed = per_post.select("terms", leading_parts(F.col("terms"), 1, PART).alias("parts")).select(
-        F.inline_outer(
-            F.concat(
-                F.transform("parts", lambda p: F.struct(p.alias("part"), one.alias("posts"), none.alias("term_posts"))),
-                F.transform(
-                    "terms",
-                    lambda t: F.struct(
-                        t.alias("part"), F.when(F.length(t) > PART, one).otherwise(none).alias("posts"), one.alias("term_posts")
-                    ),
-                ),
-            )
-        )
-    )
-    return summed(listed.where(F.col("part").isNotNull()))
+    """Vocabulary rows of ``per_post`` (tweet_id, terms): counted by task, then by part."""
+    counted = per_post.select("terms").mapInArrow(parts.counts(PART), VOCABULARY)
+    return summed(counted.select("part", *[(F.col(c) * sign).alias(c) for c in ("posts", "term_posts")]))
 
 
 def summed(rows: DataFrame) -> DataFrame:
@@ -239,13 +232,6 @@ def vocabulary(posts: DataFrame, stem: bool) -> DataFrame:
     return part_counts(post_terms(posts, stem))
 
 
-def vocabulary_change(before: DataFrame, after: DataFrame, stem: bool) -> DataFrame:
-    """Signed vocabulary rows of posts that were ``before`` and are ``after``."""
-    return summed(
-        part_counts(post_terms(after, stem)).unionByName(part_counts(post_terms(before, stem), -1))
-    )
-
-
 def build_index(posts: DataFrame, stem: bool = True) -> Index:
     """An index that is computed from the posts whenever it is used."""
     return Index(tokenise(posts, stem), doc_lengths(posts), stem, vocabulary(posts, stem), source=posts)
@@ -260,6 +246,30 @@ def write_postings(postings: DataFrame, path: str) -> None:
     ordered.write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
+@dataclass
+class Tokens:
+    """Tokens of posts, written once for all tables of an index; a post is one row."""
+
+    rows: DataFrame
+
+    def postings(self) -> DataFrame:
+        return _postings(self.rows)
+
+    def docs(self) -> DataFrame:
+        return self.rows.select(S.KEY, "dl")
+
+    def vocabulary(self, sign: int = 1) -> DataFrame:
+        every = F.flatten(F.transform("cols", lambda c: c["tokens"]))
+        return part_counts(self.rows.select(S.KEY, F.array_distinct(every).alias("terms")), sign)
+
+
+@contextmanager
+def held_tokens(posts: DataFrame, stem: bool) -> Iterator[Tokens]:
+    """The tokens of ``posts``, which have a row for each key, for as long as the block takes."""
+    with held_meanwhile(_tokenised(posts, stem), "index-tokens") as rows:
+        yield Tokens(rows)
+
+
 def write_index(posts: DataFrame, path: str, stem: bool = True) -> None:
     """Store the index of ``posts`` below ``path``, replacing what is there."""
     write_postings(tokenise(posts, stem), f"{path}/postings")

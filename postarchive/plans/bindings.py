@@ -334,7 +334,7 @@ def export_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def feed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def feed_texts(documents: DataFrame) -> DataFrame:
     """One landed feed line per document."""
     c, d = F.col, F.col("doc_id")
     label = d.cast("string")
@@ -404,4 +404,4 @@ def feed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.struct(F.lit("").alias("url"), F.lit(None).cast("string").alias("tcourl")),
         ).alias("links"),
     )
-    return table(spark, sf_dir, "documents").select(F.to_json(record).alias("value"))
+    return documents.select(F.to_json(record).alias("value"))

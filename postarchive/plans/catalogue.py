@@ -176,18 +176,27 @@ def stream_quick_cut(spark, sf_dir):
     return kept.select("feed_id", "pos", "tweet_id", "known", reason.alias("stopped_reason"))
 
 
+# Documents of a landed file.
+DOCUMENTS_A_FILE = 8192
+
+
 @query
 def sync_landings(spark, sf_dir):
     """A full sync of the older half of a feed, then a quick one of all of it by its manifest."""
     root = shared_dir(spark, "sync")
     store = ArchiveStore(spark, f"{root}/archive")
-    lines = B.feed_texts(spark, sf_dir).withColumn("pos", F.get_json_object("value", "$.pos").cast("long"))
-    half = lines.agg(F.floor(F.max("pos") / 2)).first()[0]
-    older = lines.where(F.col("pos") >= half).coalesce(1)
-    older.select("value").write.text(f"{root}/older")
+    documents, pos = B.table(spark, sf_dir, "documents"), F.col("doc_id")
+    n, half = documents.agg(F.count("*"), F.floor(F.max(pos) / 2)).first()
+    files = -(-n // DOCUMENTS_A_FILE)
+
+    def land(rows: DataFrame, files: int) -> DataFrame:
+        """Lines of documents by position; these are dealt out as they are and then written as lines."""
+        return B.feed_texts(rows.repartitionByRange(files, pos))
+
+    land(documents.where(pos >= half), max(1, files // 2)).write.text(f"{root}/older")
     # Several files of one landing, which its records state.
     stated = F.concat(F.lit('{"landing":"all",'), F.col("value").substr(F.lit(2), F.length("value")))
-    lines.repartitionByRange(16, "pos").select(stated).write.text(f"{root}/all")
+    land(documents, max(16, files)).select(stated).write.text(f"{root}/all")
     feeds.write_manifest(spark, f"{root}/all")
     sync(store, f"{root}/older", FULL, as_of=B.AS_OF)
     report = sync(store, f"{root}/all", QUICK, as_of=B.AS_OF)
@@ -237,7 +246,7 @@ def legacy_folders(spark, sf_dir):
 @query
 def normalize_feed(spark, sf_dir):
     """Landed feed lines to observations."""
-    lines = B.feed_texts(spark, sf_dir)
+    lines = B.feed_texts(B.table(spark, sf_dir, "documents"))
     records = lines.select(
         F.from_json("value", S.FEED, {"columnNameOfCorruptRecord": "_malformed"}).alias("r")
     ).select("r.*")

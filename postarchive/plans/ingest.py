@@ -67,7 +67,9 @@ def write_merged(
     if order_by not in (ARRIVAL, OBSERVED_AT):
         raise ValueError(f"unknown order: {order_by!r}")
     before, counted = store.snapshot(), Observation("merge")
-    stored = before.posts()
+    # Which stored posts are observed is told by keys, so that the rows of the others are not moved.
+    seen = before.keys().join(observations.select(S.KEY), S.KEY, "left_semi").distinct()
+    stored = before.posts(held(seen, "keys-seen"))
     if order_by == OBSERVED_AT:
         states, rows = registers.merge_states(stored, before.registers(), observations, as_of)
         store.write("registers", run, states)
@@ -196,7 +198,8 @@ def sync(
         records = store.write(RECORDS, run, feeds.read_feed(store.spark, path, limit))
     else:
         records = read_frontier(store, run, listed, known, stop_after, limit)
-    good, bad = feeds.split_valid(records)
+    places = held(feeds.repeated_places(records), "places-repeated")
+    good, bad = feeds.split_valid(records, places)
     set_aside = Observation("rejected")
     rejected = store.write(REJECTED, run, bad.observe(set_aside, F.count("*").alias("rejected")))
     keyed = _placed(records)
@@ -204,11 +207,13 @@ def sync(
         boundary.quick_cut(keyed, known, stop_after)
         if mode == QUICK
         else boundary.full_cut(keyed, known, limit)
-    ).select("feed_id.landing", "feed_id.feed_id", "pos", "stopped_reason")
-    # Written, so that the steps of the cut are not planned together with whole records.
-    cut = held(cut, "feed-cut")
+    )
+    # A cut is a feed's records up to a last one: a row a feed meets the whole records, not a row a record.
+    last = cut.groupBy("feed_id").agg(F.max("pos").alias("last"), F.max("stopped_reason").alias("stopped_reason"))
+    last = held(last.select("feed_id.*", "last", "stopped_reason"), "feed-cut")
     reasons, reached = Observation("reasons"), F.collect_set("stopped_reason").alias("reasons")
-    taken = store.write(STAGING, run, good.join(cut, feeds.PLACE).observe(reasons, reached))
+    kept = good.join(last, ["landing", "feed_id"]).where("pos <= last").drop("last")
+    taken = store.write(STAGING, run, kept.observe(reasons, reached))
     merged = write_merged(store, run, feeds.normalise_feed(taken, as_of), as_of, order_by=order_by)
     counts, stopped = merged.counts, "; ".join(sorted(reasons.get["reasons"]))
     text = (

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,3 +54,15 @@ def held(rows: DataFrame, purpose: str) -> DataFrame:
     path = shared_dir(rows.sparkSession, purpose)
     rows.write.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+@contextmanager
+def held_meanwhile(rows: DataFrame, purpose: str) -> Iterator[DataFrame]:
+    """``rows`` as :func:`held`, until the block ends: what is read from them must be written by then."""
+    spark, path = rows.sparkSession, shared_dir(rows.sparkSession, purpose)
+    try:
+        rows.write.parquet(path)
+        yield spark.read.schema(rows.schema).parquet(path)
+    finally:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -88,15 +88,21 @@ def record_id() -> Column:
 REJECTED = "landing string, feed_id string, pos bigint, reason string, raw string"
 
 
-def split_valid(feed: DataFrame) -> tuple[DataFrame, DataFrame]:
+def repeated_places(feed: DataFrame) -> DataFrame:
+    """The places that more than one record has."""
+    return feed.groupBy(*PLACE).agg(F.count("*").alias("_n")).where("_n > 1").select(
+        *(F.col(c).alias(f"_{c}") for c in PLACE), F.lit(True).alias("_repeated")
+    )
+
+
+def split_valid(feed: DataFrame, taken: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Well-formed records with an id and a place of their own, and the others with a reason.
 
     A place (landing, feed, position) orders the observations, so it must be there and
-    be one record's alone; all records of a repeated place are set aside.
+    be one record's alone; all records of a repeated place are set aside.  ``taken``, the
+    :func:`repeated_places` as they were written, saves shuffling whole records to find few.
     """
-    taken = feed.groupBy(*PLACE).agg(F.count("*").alias("_n")).where("_n > 1").select(
-        *(F.col(c).alias(f"_{c}") for c in PLACE), F.lit(True).alias("_repeated")
-    )
+    taken = repeated_places(feed) if taken is None else taken
     reason = (
         F.when(F.col("_malformed").isNotNull(), "malformed record")
         .when(record_id().isNull(), "missing id")

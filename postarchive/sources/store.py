@@ -153,11 +153,19 @@ class ArchiveStore:
         self.write(table, run, rows.repartitionByRange(key).sortWithinPartitions(key))
 
     def write_index(self, run: Run, posts: DataFrame, before: DataFrame | None = None) -> None:
-        """The index rows of ``posts``; of a delta, with what the vocabulary had of them ``before``."""
-        ix.write_postings(ix.tokenise(posts, self.stem), self.path("postings", run))
-        self.write("docs", run, ix.doc_lengths(posts))
-        counts = ix.vocabulary(posts, self.stem) if before is None else ix.vocabulary_change(before, posts, self.stem)
-        self.write("vocabulary", run, counts)
+        """The index rows of ``posts``; of a delta, with what the vocabulary had of them ``before``.
+
+        Keys are those of one post each.
+        """
+        with ix.held_tokens(posts, self.stem) as tokens:
+            ix.write_postings(tokens.postings(), self.path("postings", run))
+            self.write("docs", run, tokens.docs())
+            if before is None:
+                self.write("vocabulary", run, tokens.vocabulary())
+            else:
+                with ix.held_tokens(before, self.stem) as gone:
+                    change = tokens.vocabulary().unionByName(gone.vocabulary(-1))
+                    self.write("vocabulary", run, ix.summed(change))
 
     def add_runs(self, run: Run, values: dict[str, str | None], ts: datetime) -> None:
         rows = [(k, v, ts, run.version, run.name) for k, v in values.items() if v is not None]
@@ -231,12 +239,17 @@ class Snapshot:
         runs = [self.runs_by_version[v] for v in versions]
         return rows.where(F.col("run").isin(runs) if runs else F.lit(False)).drop("run")
 
-    def _current(self, table: str) -> DataFrame:
+    def _current(self, table: str, keys: DataFrame | None = None) -> DataFrame:
+        """The rows that count, of ``keys`` only if given: these are told apart before any row is folded."""
         ddl, key = TABLES[table]
-        base = self._rows(table, ddl, [] if self.base is None else [self.base]).drop("version")
+
+        def wanted(rows: DataFrame) -> DataFrame:
+            return rows if keys is None else rows.join(keys, key, "left_semi")
+
+        base = wanted(self._rows(table, ddl, [] if self.base is None else [self.base]).drop("version"))
         if not self.deltas:
             return base
-        changed = self._rows(table, ddl, self.deltas)
+        changed = wanted(self._rows(table, ddl, self.deltas))
         latest = (
             changed.groupBy(key)
             .agg(F.max_by(F.struct(*base.columns), "version").alias("row"))
@@ -247,8 +260,9 @@ class Snapshot:
         touched = changed.select(key).distinct()
         return base.join(touched, key, "left_anti").unionByName(latest)
 
-    def posts(self) -> DataFrame:
-        return self._current("posts")
+    def posts(self, keys: DataFrame | None = None) -> DataFrame:
+        """The posts, of ``keys`` only if given."""
+        return self._current("posts", keys)
 
     def keys(self) -> DataFrame:
         """Keys of the posts, without their rows; a key comes once for every version that has it."""

@@ -3,6 +3,7 @@
 import json
 import random
 from datetime import datetime, timezone
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -118,6 +119,77 @@ def test_rounds_cut_written_keys(spark, tmp_path, monkeypatch):
         assert "Join" not in plan and "Aggregate" not in plan and "full_text" not in plan and "rawContent" not in plan
 
 
+def test_whole_records_meet_small_tables(spark, tmp_path, monkeypatch):
+    """Repeated places and ends of feeds are written, so no shuffle is planned to set records aside or to keep them."""
+    store, plans, write = ArchiveStore(spark, f"{tmp_path}/archive"), {}, ArchiveStore.write
+
+    def noted(self, table, run, rows):
+        plans[table] = rows._jdf.queryExecution().executedPlan().toString()
+        return write(self, table, run, rows)
+
+    monkeypatch.setattr(ArchiveStore, "write", noted)
+    rows = [record("1", i, f"{1000 + i}") for i in range(20)] + [record("1", 7, "1007"), record("1", 30, None, id=None)]
+    land(tmp_path / "in", "a", rows + [record("1", i, f"{2000 + i}", "side") for i in range(5)])
+    for mode, seen in (("quick", 19 + 5), ("full", 19 + 5)):
+        report = sync(store, str(tmp_path / "in"), mode, as_of=AS_OF)
+        assert report.summary.first()["seen"] == seen
+        assert sorted(r["reason"] for r in report.rejected.collect()) == ["missing id"] + ["repeated position"] * 2
+        for table in ("rejected", "staging"):
+            assert "BroadcastHashJoin" in plans[table]
+            assert "Aggregate" not in plans[table] and "hashpartitioning" not in plans[table]
+
+
+def test_stored_posts_are_told_by_keys(spark, tmp_path):
+    """Of base and deltas, the newest rows of asked keys, told apart before rows are folded."""
+    store = ArchiveStore(spark, f"{tmp_path}/archive")
+    for n, ids in enumerate((range(100, 106), range(103, 110), range(105, 112))):
+        land(tmp_path / f"{n}", "a", [record(f"{n}", i, f"{k}", rawContent=f"text {n}") for i, k in enumerate(ids)])
+        sync(store, str(tmp_path / f"{n}"), "full", as_of=AS_OF)
+        if n == 0:
+            store.compact()
+    keys = spark.createDataFrame([(k,) for k in ("101", "104", "105", "111", "999", None)], "tweet_id string")
+    rows = store.snapshot().posts(keys)
+    want = {"101": "text 0", "104": "text 1", "105": "text 2", "111": "text 2"}
+    assert {r["tweet_id"]: r["full_text"] for r in rows.collect()} == want and rows.count() == 4
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("max_by") < plan.rindex("LeftSemi")
+
+
+def test_an_index_is_written_from_tokens_written_once(spark, tmp_path, monkeypatch):
+    calls, tokenised = [], ix._tokenised
+    monkeypatch.setattr(ix, "_tokenised", lambda *a: calls.append(a) or tokenised(*a))
+    store = ArchiveStore(spark, f"{tmp_path}/archive")
+    land(tmp_path / "in", "a", [record("1", i, f"{100 + i}", rawContent=f"runner{i} running runs") for i in range(5)])
+    sync(store, str(tmp_path / "in"), "full", as_of=AS_OF)
+    assert len(calls) == 2  # the posts, and what they were before
+    store.compact()
+    assert len(calls) == 3
+    index = store.index()
+    assert index.postings.where("term = 'run'").count() == 10 and index.docs.where("dl = 5").count() == 5
+    work = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    assert not list(Path(work).glob("index-tokens-*"))
+
+
+def test_landed_documents_are_dealt_out(spark, tmp_path, monkeypatch):
+    """Neither half of the feed is written by one task; ids that repeat or are missing are still set aside."""
+    from postarchive.plans import catalogue
+
+    monkeypatch.setattr(catalogue, "DOCUMENTS_A_FILE", 20)
+    ids = [*range(1, 121), 90, 30, None, None]
+    rows = [(i, f"text of {i}", "en", "web", 9) for i in ids]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    folder = f"{tmp_path}/work"
+    monkeypatch.setattr(catalogue, "shared_dir", lambda *a: folder)
+    got = {r["tweet_id"]: r["outcome"] for r in catalogue.REGISTRY["sync_landings"](spark, str(tmp_path)).collect()}
+    assert len(list(Path(folder, "older").glob("part-*"))) == 3 and len(list(Path(folder, "all").glob("part-*"))) == 16
+    alone = [i for i in range(1, 121) if i % 19 and i not in (30, 90)]
+    older = [i for i in alone if i >= 60][:25]
+    base = 1900000000000000000
+    want = {str(base + i): "added" for i in alone if i < 60} | {str(base + i): "unchanged" for i in older}
+    assert got == want
+
+
 def test_vocabulary_after_deltas_equals_rebuild(spark, tmp_path):
     store = ArchiveStore(spark, f"{tmp_path}/archive")
     for n, (texts, landing) in enumerate([
