@@ -46,11 +46,16 @@ def _counted(arrays: list[pa.Array], longest: int) -> Iterator[pa.RecordBatch]:
     rows = np.cumsum([0, *(len(a) for a in arrays)])
     post = np.concatenate([pc.list_parent_indices(a).to_numpy() + first for a, first in zip(arrays, rows, strict=False)])
     order = pc.sort_indices(flat.dictionary).to_numpy()
-    words, n = flat.dictionary.take(pa.array(order)), len(order)
-    rank = np.empty(n, np.int64)
-    rank[order] = np.arange(n)
-    post, word = np.divmod(np.unique(post.astype(np.int64) * n + rank[flat.indices.to_numpy()]), n)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    for columns in sums(flat.dictionary.take(pa.array(order)), post, rank[flat.indices.to_numpy()], longest):
+        yield pa.RecordBatch.from_arrays(list(columns), ["part", "posts", "term_posts"])
 
+
+def sums(words: pa.Array, post: np.ndarray, word: np.ndarray, longest: int) -> Iterator[tuple[pa.Array, pa.Array, pa.Array]]:
+    """``part``, ``posts``, ``term_posts`` of terms: each one's post and place in the sorted ``words``."""
+    n = len(words)
+    post, word = np.divmod(np.unique(post.astype(np.int64) * n + word), n)
     letters = np.array(words.to_pylist(), dtype=f"U{longest}").view(np.uint32).reshape(n, longest)
     size = pc.utf8_length(words).to_numpy()
     shared = np.append(0, _shared(letters, word[:-1], word[1:]))
@@ -58,16 +63,16 @@ def _counted(arrays: list[pa.Array], longest: int) -> Iterator[pa.RecordBatch]:
     # Posts in which the word shares at most so many letters with the one before it.
     upto = np.bincount(word * (longest + 1) + shared, minlength=n * (longest + 1)).reshape(n, -1).cumsum(axis=1)
     total = upto[:, longest]
-    yield _batch(words, np.where(size > longest, total, 0), total)
+    yield words, pa.array(np.where(size > longest, total, 0), pa.int64()), pa.array(total, pa.int64())
     next_to = np.append(0, _shared(letters, np.arange(n - 1), np.arange(1, n)))
     for length in range(1, longest + 1):
         at = np.flatnonzero(size >= length)
         if not len(at):
             break
         heads = np.flatnonzero(next_to[at] < length)
-        parts = np.ascontiguousarray(letters[at[heads], :length]).view(f"U{length}").ravel()
+        found = np.ascontiguousarray(letters[at[heads], :length]).view(f"U{length}").ravel()
         posts = np.add.reduceat(upto[at, length - 1], heads)
-        yield _batch(pa.array(parts, pa.string()), posts, np.zeros_like(posts))
+        yield pa.array(found, pa.string()), pa.array(posts, pa.int64()), pa.array(np.zeros_like(posts), pa.int64())
 
 
 def _shared(letters: np.ndarray, one: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -77,8 +82,3 @@ def _shared(letters: np.ndarray, one: np.ndarray, other: np.ndarray) -> np.ndarr
         same = letters[one[i : i + PAIRS_AT_ONCE]] == letters[other[i : i + PAIRS_AT_ONCE]]
         found[i : i + PAIRS_AT_ONCE] = np.where(same.all(axis=1), letters.shape[1], same.argmin(axis=1))
     return found
-
-
-def _batch(part: pa.Array, posts: np.ndarray, term_posts: np.ndarray) -> pa.RecordBatch:
-    numbers = [pa.array(a.astype(np.int64)) for a in (posts, term_posts)]
-    return pa.RecordBatch.from_arrays([part, *numbers], ["part", "posts", "term_posts"])

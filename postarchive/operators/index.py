@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postarchive import schema as S
-from postarchive.functions import parts, text as T
+from postarchive.functions import parts, postings as made, text as T
 from postarchive.functions.stem import stem as stemmed, stems
 from postarchive.session import held_meanwhile
 
@@ -247,27 +247,37 @@ def write_postings(postings: DataFrame, path: str) -> None:
 
 
 @dataclass
-class Tokens:
-    """Tokens of posts, written once for all tables of an index; a post is one row."""
+class IndexRows:
+    """The rows of all tables of an index, made in one pass over its posts and written together."""
 
     rows: DataFrame
 
     def postings(self) -> DataFrame:
-        return _postings(self.rows)
+        return self._of(made.POSTING).select("term", S.KEY, "col", "pos", "dl")
 
     def docs(self) -> DataFrame:
-        return self.rows.select(S.KEY, "dl")
+        return self._of(made.DOC).select(S.KEY, "dl")
 
-    def vocabulary(self, sign: int = 1) -> DataFrame:
-        every = F.flatten(F.transform("cols", lambda c: c["tokens"]))
-        return part_counts(self.rows.select(S.KEY, F.array_distinct(every).alias("terms")), sign)
+    def counts(self) -> DataFrame:
+        """Vocabulary rows, which are to be added up."""
+        return self._of(made.PART).select(F.col("term").alias("part"), "posts", "term_posts")
+
+    def _of(self, kind: int) -> DataFrame:
+        return self.rows.where(F.col("kind") == kind)
 
 
 @contextmanager
-def held_tokens(posts: DataFrame, stem: bool) -> Iterator[Tokens]:
-    """The tokens of ``posts``, which have a row for each key, for as long as the block takes."""
-    with held_meanwhile(_tokenised(posts, stem), "index-tokens") as rows:
-        yield Tokens(rows)
+def held_rows(posts: DataFrame, stem: bool) -> Iterator[IndexRows]:
+    """The index rows of ``posts``, which have a row for each key, for as long as the block takes."""
+    rows = _tokenised(posts).select(S.KEY, "cols", "dl").mapInArrow(made.rows(stem, PART, BUCKETS, BUCKET_LETTERS), made.ROWS)
+    with held_meanwhile(rows, "index-rows") as written:
+        yield IndexRows(written)
+
+
+def counts_of(posts: DataFrame, stem: bool, sign: int = 1) -> DataFrame:
+    """Vocabulary rows of ``posts``, which have a row for each key."""
+    every = F.flatten(F.transform("cols", lambda c: c["tokens"]))
+    return part_counts(_tokenised(posts, stem).select(S.KEY, F.array_distinct(every).alias("terms")), sign)
 
 
 def write_index(posts: DataFrame, path: str, stem: bool = True) -> None:

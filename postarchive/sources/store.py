@@ -157,15 +157,13 @@ class ArchiveStore:
 
         Keys are those of one post each.
         """
-        with ix.held_tokens(posts, self.stem) as tokens:
-            ix.write_postings(tokens.postings(), self.path("postings", run))
-            self.write("docs", run, tokens.docs())
-            if before is None:
-                self.write("vocabulary", run, tokens.vocabulary())
-            else:
-                with ix.held_tokens(before, self.stem) as gone:
-                    change = tokens.vocabulary().unionByName(gone.vocabulary(-1))
-                    self.write("vocabulary", run, ix.summed(change))
+        with ix.held_rows(posts, self.stem) as made:
+            ix.write_postings(made.postings(), self.path("postings", run))
+            self.write("docs", run, made.docs())
+            counts = made.counts()
+            if before is not None:
+                counts = counts.unionByName(ix.counts_of(before, self.stem, -1))
+            self.write("vocabulary", run, ix.summed(counts))
 
     def add_runs(self, run: Run, values: dict[str, str | None], ts: datetime) -> None:
         rows = [(k, v, ts, run.version, run.name) for k, v in values.items() if v is not None]

@@ -155,7 +155,7 @@ def test_stored_posts_are_told_by_keys(spark, tmp_path):
     assert plan.rindex("max_by") < plan.rindex("LeftSemi")
 
 
-def test_an_index_is_written_from_tokens_written_once(spark, tmp_path, monkeypatch):
+def test_an_index_is_made_in_one_pass(spark, tmp_path, monkeypatch):
     calls, tokenised = [], ix._tokenised
     monkeypatch.setattr(ix, "_tokenised", lambda *a: calls.append(a) or tokenised(*a))
     store = ArchiveStore(spark, f"{tmp_path}/archive")
@@ -167,7 +167,7 @@ def test_an_index_is_written_from_tokens_written_once(spark, tmp_path, monkeypat
     index = store.index()
     assert index.postings.where("term = 'run'").count() == 10 and index.docs.where("dl = 5").count() == 5
     work = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
-    assert not list(Path(work).glob("index-tokens-*"))
+    assert not list(Path(work).glob("index-rows-*"))
 
 
 def test_landed_documents_are_dealt_out(spark, tmp_path, monkeypatch):
